@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
+from . import langid, pii, secrets
 from .frames import table
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
