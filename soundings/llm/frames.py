@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as a table in the shared checkpoint folder and read it again: smaller than a checkpoint for texts."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        cut(df.sparkSession.range(1))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """Apply a function of one Arrow batch to a frame; it keeps no state between batches but caches."""
     prepare(df.sparkSession)
