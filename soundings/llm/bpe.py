@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import ChainMap
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -65,12 +64,11 @@ class Vocabulary:
             self.rank.setdefault((a, b), n)
             self.halves.setdefault(token, (a, b))
             self.age.setdefault(token, n)
-        self.ends: dict = {}  # trie of the tokens read backwards; None leads to the token that ends there
-        for b, i in ids.items():
-            node = self.ends
-            for c in reversed(b):
-                node = node.setdefault(c, {})
-            node[None] = i
+        self.starts = {b[:n] for b in ids for n in range(len(b) + 1)}
+        self.states: dict[bytes, int] = {b"": 0}  # of the automaton below: the longest end of a text that starts a token
+        self.names: list[bytes] = [b""]
+        self.ending: list[list[tuple[int, int]]] = [[]]  # the tokens that end there, longest first
+        self.moves: dict[int, int] = {}
         self.length = {i: len(b) for i, b in self.bytes.items()}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -99,11 +97,26 @@ class Vocabulary:
                 # a merge that would take place at the very moment of the right one is tried earlier, further left
                 now, b = older_right + 1, halves[b][0]
 
+    def move(self, state: int, byte: int) -> int:
+        """The automaton's next state, made when first asked for."""
+        name = self.names[state] + bytes([byte])
+        while name not in self.starts:
+            name = name[1:]
+        if (new := self.states.get(name)) is None:
+            new = self.states[name] = len(self.names)
+            self.names.append(name)
+            ends = (name[len(name) - n :] for n in range(len(name), 0, -1))
+            self.ending.append([(len(e), self.ids[e]) for e in ends if e in self.ids])
+        self.moves[state << 8 | byte] = new
+        return new
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Encodings of distinct words by one depth-first walk over their trie."""
-        seen, fits, root, length = self._fits, self.fits, self.ends, self.length
+        seen, fits, length = self._fits, self.fits, self.length
+        moves, move, ending = self.moves, self.move, self.ending
         out: dict[bytes, tuple[int, ...]] = {}
         last: list[int] = []  # the last token of each prefix on the path from the root
+        state: list[int] = [0]  # and the automaton's state there
         path = b""
         for word in sorted(words):  # sorted words meet the trie's nodes in depth-first order
             shared, most = 0, min(len(path), len(word))
@@ -112,15 +125,15 @@ class Vocabulary:
             else:
                 while word[shared] == path[shared]:
                     shared += 1
-            del last[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                node, at, found = root, end - 1, []
-                while at >= 0 and (node := node.get(word[at])) is not None:
-                    if None in node:
-                        found.append((end - at, node[None]))
-                    at -= 1
-                found.reverse()
-                for n, token in found:
+            del last[shared:], state[shared + 1 :]
+            at, end = state[shared], shared
+            for byte in word[shared:]:
+                end += 1
+                if (new := moves.get(at << 8 | byte)) is None:
+                    new = move(at, byte)
+                at = new
+                state.append(at)
+                for n, token in ending[at]:
                     if n == end:
                         break
                     before = last[end - n - 1]
@@ -165,26 +178,42 @@ class Codec:
         return {**known, **extra} if extra else known
 
     def _split(self, text: str) -> list[str]:
-        """Parts of a text that encode independently: special tokens, pieces led by their space, or pre-tokens."""
+        """Parts of a text that encode independently. A part stands for itself behind a space, or, if it starts with
+        NUL, for the rest of it alone: a special token, a text's first piece, or a pre-token."""
         if self.special is not None and any(s in text for s in self.vocabulary.special):
-            return [p for part in self.special.split(text) if part for p in ([part] if part in self.vocabulary.special else self.words(part))]
-        if self.uneven(text):
-            return self.words(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+            return ["\0" + p for part in self.special.split(text) if part for p in ([part] if part in self.vocabulary.special else self.words(part))]
+        if "\0" in text or self.uneven(text):
+            return ["\0" + p for p in self.words(text)]
+        parts = text.split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    def _words(self, part: str) -> list[str]:
+        """The pre-tokens of a part; words of letters, alone or before a full stop or comma, need no pattern."""
+        if part[0] == "\0":
+            return self.words(part[1:])
+        if part.isalpha():
+            return [" " + part]
+        if part[-1] in ".," and part[:-1].isalpha():
+            return [" " + part[:-1], part[-1]]
+        return self.words(" " + part)
 
     def codes(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
         """The parts of each text, and the tokens of each distinct part."""
         split = [self._split(t) if t else [] for t in texts]
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        special, pieces = self.vocabulary.special, self.pieces
-        new = {p: self.words(p) for p in {p for parts in split for p in parts} if p not in pieces and p not in special}
-        codes = self._learn({w for words in new.values() for w in words})
-        extra = {t: (i,) for t, i in special.items()}
+        pieces = self.pieces
+        if len(pieces) > CACHE_WORDS:
+            pieces.clear()
+        distinct = set().union(*split)
+        special = {"\0" + t: (i,) for t, i in self.vocabulary.special.items()}
+        new = {p: self._words(p) for p in distinct if p not in pieces and p not in special}
+        known = self._learn({w for words in new.values() for w in words})
+        out = {p: pieces[p] if p in pieces else special[p] for p in distinct if p not in new}
         for p, words in new.items():
-            (pieces if len(p) <= CACHE_LENGTH else extra)[p] = tuple(i for w in words for i in codes[w])
-        return split, ChainMap(pieces, extra) if any(p in extra for parts in split for p in parts) else pieces
+            out[p] = code = known[words[0]] if len(words) == 1 else tuple([i for w in words for i in known[w]])
+            if len(p) <= CACHE_LENGTH:
+                pieces[p] = code
+        return split, out
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         split, codes = self.codes(texts)
@@ -232,9 +261,8 @@ def round_trip(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(name)
         split, codes = c.codes(b["text"].to_pylist())
-        distinct = {p for parts in split for p in parts}
-        shown = {p: ",".join(map(str, codes[p])) for p in distinct}
-        raw = {p: bytes().join(map(c.vocabulary.bytes.__getitem__, codes[p])) for p in distinct}
+        shown = {p: ",".join(map(str, i)) for p, i in codes.items()}
+        raw = {p: bytes().join(map(c.vocabulary.bytes.__getitem__, i)) for p, i in codes.items()}
         count, ids, texts = [], [], []
         for words in split:
             listed = ",".join(map(shown.__getitem__, words))
