@@ -273,3 +273,10 @@ def round_trip(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return by_batch(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+
+
+def encoded_corpus(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """``doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids`` of each document."""
+    full = decode(encode(df.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), name), name)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return full.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
