@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schema
-from .operators import local
+from .operators import local, rates, rules, selection, sequential, track
 
 _VIEWS = f"WITH levels AS ({schema.LEVELS_SQL}), profiles AS ({schema.PROFILES_SQL}), tracks AS ({schema.TRACKS_SQL})"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,147 @@ for _name in local.NAMES:
     _check(_name)
 
 
+#: Checks of the decision table.
+CHECKS = ("a01_gross_range", "a03_gradient", "a04_spike", "e01_range", "o03_gradient", "r02_gradient", "s04_short_gradient", "t07_rate_of_change")
+
+
+def flagged_levels(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = CHECKS) -> DataFrame:
+    """Levels with their truth, probe and a column per check, from one pass over the neighbour windows."""
+    levels, profiles = schema.levels(spark, sf_dir), schema.profiles(spark, sf_dir)
+    flags = local.run_local(levels, profiles, names)
+    return flags.join(levels.select("uid", "lev", "truth"), ["uid", "lev"]).join(profiles.select("uid", "probe"), "uid")
+
+
+def _decisions(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = CHECKS) -> DataFrame:
+    return rules.decisions(flagged_levels(spark, sf_dir, names), list(names))
+
+
+_FLAGGED = "SELECT v.uid, v.lev, l.truth, v.probe, " + ", ".join(f"coalesce({local.LOCAL[n].replace('{bround}', local.DUCK.bround)}, FALSE) AS {n}" for n in CHECKS) + f" FROM ({local.NEIGHBOURS}) v JOIN (SELECT uid AS own_uid, lev AS own_lev, truth FROM {{levels}}) l ON l.own_uid = v.uid AND l.own_lev = v.lev"
+_DECIDED = "SELECT uid, coalesce(bool_or(truth IN (3, 4)), FALSE) AS truth, " + ", ".join(f"bool_or({n}) AS {n}" for n in CHECKS) + f" FROM ({_FLAGGED}) f GROUP BY uid"
+
+
+def _rate_sql(names: tuple[str, ...]) -> str:
+    one = "SELECT '{0}' AS \"check\", sum({0}::INT)::BIGINT AS fails, round(100.0 * count_if({0} AND truth) / nullif(count_if(truth), 0), 6) AS tpr, round(100.0 * count_if({0} AND NOT truth) / nullif(count_if(NOT truth), 0), 6) AS fpr, round(100.0 * count_if(NOT {0} AND NOT truth) / nullif(count_if(NOT truth), 0), 6) AS tnr, round(100.0 * count_if(NOT {0} AND truth) / nullif(count_if(truth), 0), 6) AS fnr FROM d"
+    return f"WITH d AS ({_DECIDED}) " + " UNION ALL ".join(one.format(n) for n in names)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fails and rates of every check of the decision table and of the truth itself."""
+    return _rounded(rates.rates(_decisions(spark, sf_dir), list(CHECKS), include_truth=True))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else f.name for f in df.schema))
+
+
+def _add(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[name] = fn
+    if sql:
+        _ORACLES[name] = duck(sql)
+
+
+_add("summary_rates", flagship, _rate_sql(("truth", *CHECKS)))
+_add("decisions", _decisions, _DECIDED)
+_add("checks_in_one_pass", lambda s, d: flagged_levels(s, d).drop("truth", "probe"), f"SELECT * EXCLUDE (truth, probe) FROM ({_FLAGGED}) f")
+
+
+def _rule_query(rule: str, pad: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flags = local.run("e01_range", schema.levels(spark, sf_dir), schema.profiles(spark, sf_dir))
+        hit = flags.withColumn("gone", rules.removal(rule, F.col("flag"), F.col("lev")))
+        if pad:
+            from pyspark.sql import Window
+
+            hit = hit.withColumn("gone", F.max("gone").over(Window.partitionBy("uid").orderBy("lev").rowsBetween(-pad, pad)))
+        return hit.select("uid", "lev", F.col("gone").alias("removed"))
+
+    return run
+
+
+_RULE_SQL = {
+    "above": "coalesce(lev <= max(CASE WHEN flag THEN lev END) OVER (PARTITION BY uid), FALSE)",
+    "below": "coalesce(lev >= min(CASE WHEN flag THEN lev END) OVER (PARTITION BY uid), FALSE)",
+    "profile": "bool_or(flag) OVER (PARTITION BY uid)",
+    "levels": "flag",
+}
+for _rule, _text in _RULE_SQL.items():
+    for _pad in (0, 2):
+        _inner = f"SELECT uid, lev, {_text} AS gone FROM ({local.check_sql('e01_range', local.DUCK)}) c"
+        _out = "gone" if not _pad else f"max(gone::INT) OVER (PARTITION BY uid ORDER BY lev ROWS BETWEEN {_pad} PRECEDING AND {_pad} FOLLOWING) = 1"
+        _add(f"rule_{_rule}" + f"_pad{_pad}" * bool(_pad), _rule_query(_rule, _pad), f"SELECT uid, lev, {_out} AS removed FROM ({_inner}) g")
+
+
+def _rules_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.apply_rules(flagged_levels(spark, sf_dir), [("o03_gradient", "below"), ("a04_spike", "levels")], xbt_below=True)
+    return out.select("uid", "lev", "truth")
+
+
+_add(
+    "rules_in_turn",
+    _rules_in_turn,
+    f"""WITH f AS ({_FLAGGED}), a AS (SELECT *, coalesce(lev >= min(CASE WHEN o03_gradient THEN lev END) OVER (PARTITION BY uid), FALSE) AS g FROM f),
+b AS (SELECT *, bool_and(g) OVER (PARTITION BY uid) AS dead FROM a), c AS (SELECT * FROM b WHERE NOT g OR dead),
+d AS (SELECT *, CASE WHEN probe = 2 THEN coalesce(lev >= min(CASE WHEN a04_spike THEN lev END) OVER (PARTITION BY uid), FALSE) ELSE a04_spike END AS h FROM c),
+e AS (SELECT *, bool_and(h) OVER (PARTITION BY uid) AS all_h FROM d) SELECT uid, lev, truth FROM e WHERE NOT h AND NOT dead AND NOT all_h""",
+)
+_COUNT = f"SELECT uid, coalesce(min(CASE WHEN flag THEN lev END), count(*))::BIGINT AS before_first, -coalesce(count(*) - 1 - max(CASE WHEN flag THEN lev END), count(*))::BIGINT AS after_last FROM ({local.check_sql('e01_range', local.DUCK)}) c GROUP BY uid"
+_add(
+    "levels_around_flags",
+    lambda s, d: local.run("e01_range", schema.levels(s, d), schema.profiles(s, d)).groupBy("uid").agg(rules.levels_before_first_flag().alias("before_first"), rules.levels_after_last_flag().alias("after_last")),
+    _COUNT,
+)
+_MASK = " + ".join(f"CASE WHEN {n} THEN {1 << k} ELSE 0 END" for k, n in enumerate(CHECKS))
+_PATTERNS = f"SELECT truth, ({_MASK})::BIGINT AS mask, count(*) AS n FROM ({_DECIDED}) d GROUP BY ALL"
+_add("patterns", lambda s, d: selection.patterns(_decisions(s, d), CHECKS), _PATTERNS)
+_add(
+    "subset_rates",
+    lambda s, d: _rounded(selection.subset_rates(selection.patterns(_decisions(s, d), CHECKS), len(CHECKS))),
+    f"""WITH p AS ({_PATTERNS}), m AS (SELECT range AS subset FROM range(1, {1 << len(CHECKS)}))
+SELECT subset, bit_count(subset)::INT AS size, round(100.0 * sum(CASE WHEN truth AND (mask & subset) = subset THEN n ELSE 0 END) / nullif(sum(CASE WHEN truth THEN n ELSE 0 END), 0), 6) AS tpr,
+round(100.0 * sum(CASE WHEN NOT truth AND (mask & subset) = subset THEN n ELSE 0 END) / nullif(sum(CASE WHEN NOT truth THEN n ELSE 0 END), 0), 6) AS fpr FROM p CROSS JOIN m GROUP BY subset""",
+)
+_add("effective_checks", lambda s, d: _rounded(rates.effective(rates.rates(_decisions(s, d), list(CHECKS)), 0.8)), f"SELECT * FROM ({_rate_sql(CHECKS)}) r WHERE tpr > 0 AND (fpr <= 0 OR tpr >= 0.8 * fpr)")
+_add(
+    "best_checks",
+    lambda s, d: _rounded(rates.best(rates.rates(_decisions(s, d), list(CHECKS)))),
+    f"""WITH r AS ({_rate_sql(CHECKS)}) SELECT * FROM (SELECT 'lowest_fpr' AS criterion, "check", tpr, fpr FROM r WHERE tpr > 0 ORDER BY fpr, "check" LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'highest_tpr', "check", tpr, fpr FROM r WHERE fpr < 100 ORDER BY tpr DESC, "check" LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'nearest', "check", tpr, fpr FROM r ORDER BY fpr * fpr + (100 - tpr) * (100 - tpr), "check" LIMIT 1)""",
+)
+
+
+def _grown(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    table = selection.patterns(_decisions(spark, sf_dir), CHECKS).cache()
+    points = selection.grow_roc(table, selection.pairings(table, CHECKS), **how)
+    return spark.createDataFrame([(p["pos"], p["check"], round(p["tpr"], 6), round(p["fpr"], 6), p["enforced"]) for p in points], "pos int, check string, tpr double, fpr double, enforced boolean")
+
+
+_GROUPS = {"range": ["a01_gross_range", "e01_range"], "gradient": ["a03_gradient", "o03_gradient", "r02_gradient"]}
+_add("grow_roc", lambda s, d: _grown(s, d, ratio=(0.6, 0.4)))
+_add("grow_roc_groups", lambda s, d: _grown(s, d, groups=_GROUPS))
+_add("grow_roc_ordered", lambda s, d: _grown(s, d, groups=_GROUPS, ordered=True, gain=0.1))
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.cover(selection.patterns(_decisions(spark, sf_dir), CHECKS).cache(), CHECKS, least=0.5)
+    return spark.createDataFrame([(k, n, found["missed"]) for k, n in enumerate(found["tests"])], "pos int, check string, missed long")
+
+
+_add("cover", _covered)
+
+
+_add("check_e03_e04_spike_and_step", lambda s, d: sequential.spike_and_step(schema.levels(s, d), schema.profiles(s, d)))
+_add("check_e05_increasing_depth", lambda s, d: sequential.increasing_depth(schema.levels(s, d), schema.profiles(s, d)))
+_add("check_i05_stuck_value", lambda s, d: sequential.stuck_value(schema.levels(s, d), schema.profiles(s, d)))
+_add("check_e10_track", lambda s, d: track.track_check(schema.tracks(s, d)))
+_METRES = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(o)) / 2), 2))))"
+_add(
+    "track_speeds",
+    lambda s, d: track.segments(schema.tracks(s, d)).select("uid", F.round("speed", 4).alias("speed")),
+    f"SELECT uid, round(({_METRES} - 20000) / greatest(floor(epoch(ts)) - floor(epoch(b)), 600), 4) AS speed FROM (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS o, lag(ts) OVER w AS b FROM {{tracks}} WINDOW w AS (PARTITION BY country, cruise, ocruise ORDER BY ts, uid)) x",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
