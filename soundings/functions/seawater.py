@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coefficients of the 25-term equation of state and of the potential-temperature fit (McDougall et al., 2003).
 _P1 = (9.99843699e2, 7.35212840e0, -5.45928211e-2, 3.98476704e-4, 2.96938239e0, -7.23268813e-3, 2.12382341e-3, 1.04004591e-2, 1.03970529e-7, 5.18761880e-6, -3.24041825e-8, -1.23869360e-11)
@@ -56,7 +57,7 @@ def _lapse(t: np.ndarray, s: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (cubic * p + square) * p + (-4.2393e-8 * t + 1.8932e-6) * s + ((6.6228e-10 * t - 6.836e-8) * t + 8.5258e-6) * t + 3.5803e-5
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def moved_temperature(t: pd.Series, s: pd.Series, p0: pd.Series, p1: pd.Series) -> pd.Series:
     """Temperature of water moved from pressure ``p0`` to ``p1``: leap-frog steps of 1 dbar, then interpolation.
 

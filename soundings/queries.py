@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import local, rates, rules, selection, sequential, track
+from .operators import buddy, gridded, local, rates, rules, selection, sequential, track
 
 _VIEWS = f"WITH levels AS ({schema.LEVELS_SQL}), profiles AS ({schema.PROFILES_SQL}), tracks AS ({schema.TRACKS_SQL})"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,10 +166,153 @@ _METRES = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(
 _add(
     "track_speeds",
     lambda s, d: track.segments(schema.tracks(s, d)).select("uid", F.round("speed", 4).alias("speed")),
-    f"SELECT uid, round(({_METRES} - 20000) / greatest(floor(epoch(ts)) - floor(epoch(b)), 600), 4) AS speed FROM (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS o, lag(ts) OVER w AS b FROM {{tracks}} WINDOW w AS (PARTITION BY country, cruise, ocruise ORDER BY ts, uid)) x",
+    f"SELECT uid, round(CASE WHEN b IS NOT NULL THEN ({_METRES} - 20000) / greatest(floor(epoch(ts)) - floor(epoch(b)), 600) END, 4) AS speed FROM (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS o, lag(ts) OVER w AS b FROM {{tracks}} WINDOW w AS (PARTITION BY country, cruise, ocruise ORDER BY ts, uid)) x",
 )
 
 
+# Reference grids by arithmetic; the same text runs in both engines. They meet all levels of the derived views.
+BACKGROUND_SQL = """SELECT CAST(floor(c.id / 36) AS INT) AS ilat, CAST(c.id % 36 AS INT) AS ilon, CAST(d.k * 100 AS DOUBLE) AS depth,
+  CAST(24 - 2 * d.k + c.id % 3 AS DOUBLE) AS clim, CAST(1 + c.id % 2 AS DOUBLE) AS bgev, CAST(0.5 AS DOUBLE) AS obev
+  FROM range(0, 684) AS c(id) CROSS JOIN range(0, 13) AS d(k) WHERE c.id % 7 <> 0 AND d.k <= 5 + c.id % 8"""
+RELIEF_SQL = "SELECT CAST(floor(c.id / 36) AS INT) AS ilat, CAST(c.id % 36 AS INT) AS ilon, CAST(CASE WHEN floor(c.id / 36) < 6 THEN 300 ELSE -50 - (c.id * 37) % 1200 END AS DOUBLE) AS height FROM range(0, 684) AS c(id)"
+REGIONS_SQL = "SELECT CAST(floor(c.id / 360) AS DOUBLE) - 89.5 AS glat, CAST(c.id % 360 AS DOUBLE) - 179.5 AS glon, CAST(c.id % 5 AS INT) AS region FROM range(0, 64800) AS c(id)"
+RANGES_SQL = "SELECT CAST(r.id AS INT) AS region, CAST(d.k * 150 AS DOUBLE) AS depth, CAST(20 - 3 * d.k + r.id AS DOUBLE) AS tmin, CAST(30 - 3 * d.k + r.id AS DOUBLE) AS tmax FROM range(0, 5) AS r(id) CROSS JOIN range(0, 8) AS d(k)"
+EDGES = (0.0, 50.0, 100.0, 200.0, 400.0, 800.0, 1600.0)
+_BINS = "CASE " + " ".join(f"WHEN z >= {a} AND z < {b} THEN {k}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))) + " END"
+MONTHLY_SQL = """SELECT DISTINCT CAST(floor((lon + 180) / 0.5) AS INT) AS ix, CAST(floor((90 - lat) / 0.5) AS INT) AS iy, CAST(d.k AS INT) AS k, month,
+  CAST(25 - 4 * d.k AS DOUBLE) AS med, CAST(CASE WHEN (month + d.k) % 4 = 0 THEN -1 ELSE 0.5 * d.k END AS DOUBLE) AS amd FROM {profiles} CROSS JOIN range(0, 6) AS d(k) WHERE month BETWEEN 1 AND 12"""
+ANNUAL_SQL = """SELECT DISTINCT CAST(floor((lon + 180) / 0.5) AS INT) AS ix, CAST(floor((90 - lat) / 0.5) AS INT) AS iy, CAST(d.k AS INT) AS k,
+  CAST(24 - 4 * d.k AS DOUBLE) AS med, CAST(1 + d.k AS DOUBLE) AS amd FROM {profiles} CROSS JOIN range(0, 6) AS d(k)"""
+_TENS = ((-90.0, 10.0, 19), (0.0, 10.0, 36))
+
+
+def _grid(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    return spark.sql(sql, **frames)
+
+
+def _with(fn: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: fn(s, schema.levels(s, d), schema.profiles(s, d))
+
+
+_CELL = "CAST(CASE WHEN round_even((round(degrees(asin(sin(radians(lat)))), 6) + 90) / 10, 0) = 19 THEN 18 ELSE round_even((round(degrees(asin(sin(radians(lat)))), 6) + 90) / 10, 0) END AS INT) AS ilat, CAST((round_even(lon / 10, 0)::INT % 36 + 36) % 36 AS INT) AS ilon"
+_ON_CELL = f"SELECT l.uid, l.lev, l.z, l.t, p.ilat, p.ilon, p.lat, p.lon FROM {{levels}} l JOIN (SELECT uid, lat, lon, {_CELL} FROM {{profiles}}) p ON l.uid = p.uid"
+_add("nearest_cells", _with(lambda s, lv, pr: gridded.nearest_cells(pr, *_TENS).select("uid", "ilat", "ilon")), f"SELECT uid, {_CELL} FROM {{profiles}}")
+_add(
+    "check_e08_background_available",
+    _with(lambda s, lv, pr: gridded.background_available(lv, pr, _grid(s, BACKGROUND_SQL))),
+    f"SELECT x.uid, x.lev, coalesce(g.deep IS NULL OR (x.t IS NOT NULL AND x.z > g.deep), FALSE) AS flag FROM ({_ON_CELL}) x LEFT JOIN (SELECT ilat, ilon, max(depth) AS deep FROM ({BACKGROUND_SQL}) b GROUP BY ilat, ilon) g ON g.ilat = x.ilat AND g.ilon = x.ilon",
+)
+
+
+def _e07(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    return _rounded(gridded.background(lv, pr, _grid(s, BACKGROUND_SQL), sequential.spike_and_step(lv, pr)))
+
+
+_add("check_e07_background", _with(_e07))
+_add(
+    "check_o01_below_bottom",
+    _with(lambda s, lv, pr: gridded.below_bottom(lv, pr, _grid(s, RELIEF_SQL), *_TENS)),
+    f"SELECT x.uid, x.lev, coalesce(x.z > -r.height, FALSE) AS flag FROM ({_ON_CELL}) x LEFT JOIN ({RELIEF_SQL}) r ON r.ilat = x.ilat AND r.ilon = x.ilon",
+)
+for _name, _reach in (("o05_land_around", 2), ("t14_land", 0)):
+    _add(
+        f"check_{_name}",
+        _with(lambda s, lv, pr, k=_reach: gridded.at_sea(lv, pr, _grid(s, RELIEF_SQL), *_TENS, reach=k)),
+        f"""WITH r AS ({RELIEF_SQL}), n AS (SELECT a.ilat, a.ilon, min(b.height) >= 0 AND count(*) = {(2 * _reach + 1) ** 2} AS land FROM r a JOIN r b ON abs(a.ilat - b.ilat) <= {_reach} AND least((a.ilon - b.ilon + 36) % 36, (b.ilon - a.ilon + 36) % 36) <= {_reach} GROUP BY ALL)
+SELECT x.uid, x.lev, coalesce(x.lon < -180 OR x.lon >= 360 OR x.lat < -90 OR x.lat > 90 OR n.land, FALSE) AS flag FROM ({_ON_CELL}) x LEFT JOIN n ON n.ilat = x.ilat AND n.ilon = x.ilon""",
+    )
+_add(
+    "check_o04_region_range",
+    _with(lambda s, lv, pr: gridded.region_range(lv, pr, _grid(s, REGIONS_SQL), _grid(s, RANGES_SQL))),
+    f"""WITH spot AS (SELECT uid, region FROM (SELECT uid, ((round_even(lat - 0.5, 0) + 90.5) % 180 + 180) % 180 - 90 AS glat, ((round_even(lon - 0.5, 0) + 180.5) % 360 + 360) % 360 - 180 AS glon FROM {{profiles}}) p JOIN ({REGIONS_SQL}) c ON c.glat = p.glat AND c.glon = p.glon),
+r AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY region ORDER BY depth), -1e9) AS above FROM ({RANGES_SQL}) q), l AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY lev) AS i FROM {{levels}})
+SELECT l.uid, l.lev, coalesce(l.i > 1 AND (l.t < r.tmin OR l.t > r.tmax), FALSE) AS flag FROM l LEFT JOIN spot ON spot.uid = l.uid LEFT JOIN r ON r.region = spot.region AND l.z > r.above AND l.z <= r.depth""",
+)
+_FIT = "k <= 3 AND m_amd >= 0 AND m_med >= -2.3"
+_add(
+    "check_i09_local_climatology",
+    _with(lambda s, lv, pr: gridded.local_climatology(lv, pr, _grid(s, MONTHLY_SQL, profiles=pr), _grid(s, ANNUAL_SQL, profiles=pr), EDGES, 3)),
+    f"""WITH l AS (SELECT uid, lev, t, CAST({_BINS} AS INT) AS k FROM {{levels}} WHERE z >= 0 AND t IS NOT NULL), p AS (SELECT uid, month, CAST(floor((lon + 180) / 0.5) AS INT) AS ix, CAST(floor((90 - lat) / 0.5) AS INT) AS iy FROM {{profiles}}
+WHERE NOT ((lat BETWEEN 35 AND 45 AND lon BETWEEN 45 AND 60) OR (lat BETWEEN 40 AND 50 AND lon BETWEEN -95 AND -75))),
+j AS (SELECT l.uid, l.lev, l.t, l.k, m.med AS m_med, m.amd AS m_amd, y.med AS y_med, y.amd AS y_amd FROM l JOIN p ON p.uid = l.uid LEFT JOIN ({MONTHLY_SQL}) m ON m.ix = p.ix AND m.iy = p.iy AND m.k = l.k AND m.month = p.month LEFT JOIN ({ANNUAL_SQL}) y ON y.ix = p.ix AND y.iy = p.iy AND y.k = l.k),
+c AS (SELECT uid, lev, t, CASE WHEN {_FIT} THEN m_med WHEN y_amd >= 0 AND y_med >= -2.3 THEN y_med END AS med, CASE WHEN {_FIT} THEN m_amd WHEN y_amd >= 0 AND y_med >= -2.3 THEN y_amd END AS amd0 FROM j),
+f AS (SELECT uid, lev, t < greatest(med - 3 * amd, -2.3) OR t > least(med + 3 * amd, 33.0) AS flag FROM (SELECT *, CASE WHEN amd0 > 0 AND amd0 < 0.05 THEN 0.05 ELSE amd0 END AS amd FROM c) c2 WHERE med IS NOT NULL)
+SELECT o.uid, o.lev, coalesce(f.flag, FALSE) AS flag FROM {{levels}} o LEFT JOIN f ON f.uid = o.uid AND f.lev = o.lev""",
+)
+
+
+def _i10(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    lon = "CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END"
+    cells = f"SELECT DISTINCT CAST(bround(({lon} + 180) / 0.5) AS INT) AS i, CAST(bround((90 - lat) / 0.5) AS INT) AS j, month FROM {{profiles}}"
+    grid = _grid(s, f"SELECT i, j, month, CAST(d.k AS INT) AS k, CAST(CASE WHEN (i + d.k) % 9 <> 0 THEN 18 - 3 * d.k END AS DOUBLE) AS tmin, CAST(29 - 2 * d.k AS DOUBLE) AS tmax FROM ({cells}) c CROSS JOIN range(0, 7) AS d(k)", profiles=pr)
+    annual = grid.groupBy("i", "j", "k").agg(F.lit(10.0).alias("tmin"), F.lit(30.0).alias("tmax"))
+    return gridded.two_bin_climatology(lv, pr, grid.where("month BETWEEN 1 AND 12"), annual, EDGES, 4)
+
+
+_add("check_i10_two_bin_climatology", _with(_i10))
+_add("check_r05_regional_range", _with(lambda s, lv, pr: gridded.regional_range(lv, pr)))
+_ENVELOPE = ((-1.0, 100.0, 5.0, 28.0), (100.0, 400.0, 0.0, 26.0), (400.0, 2000.0, -2.0, 20.0))
+_add(
+    "check_t06_envelope",
+    _with(lambda s, lv, pr: gridded.envelope(lv, _ENVELOPE)),
+    "SELECT uid, lev, coalesce(" + " OR ".join(f"(z > {a} AND z <= {b} AND (t < {c} OR t > {e}))" for a, b, c, e in _ENVELOPE) + ", FALSE) AS flag FROM {levels}",
+)
+
+
+def _points(s: SparkSession, pr: DataFrame) -> DataFrame:
+    return _grid(s, "SELECT DISTINCT floor(lat / 0.25) * 0.25 AS lat, floor(lon / 0.25) * 0.25 AS lon, CAST(d.k * 200 AS DOUBLE) AS depth, CAST(24 - 3 * d.k AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS sd FROM {profiles} CROSS JOIN range(0, 8) AS d(k) WHERE uid % 3 <> 0", profiles=pr)
+
+
+for _name, _most in (("a05_climatology", 5.0), ("t11_climatology_bias", 3.0), ("t12_climatology_bias_wide", 6.0)):
+    _add(f"check_{_name}", _with(lambda s, lv, pr, m=_most: gridded.climatology(lv, pr, _points(s, pr), m)))
+
+
+def _o06(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    cells = _grid(s, "SELECT CAST(id AS INT) AS cell, CAST(floor(id / 36) * 10 - 85 AS DOUBLE) AS lat, CAST(id % 36 * 10 - 175 AS DOUBLE) AS lon FROM range(0, 648) AS c(id)")
+    square = F.array(*(F.struct((F.col("lat") + a).alias("lat"), (F.col("lon") + b).alias("lon")) for a, b in ((-5, -5), (-5, 5), (5, 5), (5, -5))))
+    bounds = _grid(s, "SELECT CAST(c.id AS INT) AS cell, CAST(d.k * 200 AS DOUBLE) AS lo, CAST(d.k * 200 + 200 AS DOUBLE) AS hi, CAST(20 - 4 * d.k AS DOUBLE) AS tmin, CAST(30 - 2 * d.k AS DOUBLE) AS tmax FROM range(0, 648) AS c(id) CROSS JOIN range(0, 8) AS d(k)")
+    return gridded.min_max(lv, pr, cells.withColumn("corners", square), bounds)
+
+
+_add("check_o06_min_max", _with(_o06))
+
+
+def _features(lv: DataFrame) -> tuple[DataFrame, dict]:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("uid").orderBy("lev")
+    a, b = F.lag("t").over(w), F.lead("t").over(w)
+    f = lv.select("uid", "lev", F.abs(F.col("t") - (a + b) / 2).alias("gradient"), F.abs(F.abs(F.col("t") - (a + b) / 2) - F.abs((b - a) / 2)).alias("spike"), F.abs(F.col("t") - a).alias("rate"))
+    return f, {n: F.col(n) for n in ("gradient", "spike", "rate")}
+
+
+_LOW = {"gradient": ((0.5, 1.5), (3.0, 9.0)), "spike": ((0.2, 1.0), (2.0, 6.0)), "rate": ((0.5, 2.0), (3.0, 4.0))}
+_NARROW = {"gradient": ((0.5, 1.0), (1.0, 4.0)), "spike": ((0.2, 1.0), (1.0, 3.0)), "rate": ((0.5, 1.0), (2.0, 4.0))}
+_add("check_t15_anomaly", _with(lambda s, lv, pr: gridded.anomaly(*_features(lv), {"gradient": 0.6, "spike": 0.5, "rate": 0.8})))
+_add("check_t16_fuzzy", _with(lambda s, lv, pr: gridded.fuzzy(*_features(lv), _LOW)))
+_add("check_t17_fuzzy_narrow", _with(lambda s, lv, pr: gridded.fuzzy(*_features(lv), _NARROW)))
+DEPTHS = tuple(float(d) for d in (5, 15, 25, 50, 75, 100, 150, 200, 300, 400, 500, 600, 800, 1000, 1200))
+_PAIR = "a.uid <> b.uid AND a.year = b.year AND a.month = b.month AND a.cruise <> b.cruise AND abs(a.lat - b.lat) <= 5"
+_GREAT = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_add(
+    "buddies",
+    _with(lambda s, lv, pr: _rounded(buddy.buddies(pr).withColumn("metres", F.round("metres", 2)))),
+    f"SELECT uid, buddy, round(metres, 2) AS metres FROM (SELECT a.uid, b.uid AS buddy, {_GREAT} AS metres, row_number() OVER (PARTITION BY a.uid ORDER BY {_GREAT}, b.uid) AS r FROM {{profiles}} a JOIN {{profiles}} b ON {_PAIR}) x WHERE r = 1 AND metres <= 400000",
+)
+
+
+def _e09(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    bg = gridded.background(lv, pr, _grid(s, BACKGROUND_SQL), sequential.spike_and_step(lv, pr))
+    diff = lv.select("uid", "lev", "z").join(bg.select("uid", "lev", F.when(~F.col("flag"), F.col("theta") - F.col("clim")).alias("diff")), ["uid", "lev"])
+    cells = gridded.columns_of(_grid(s, BACKGROUND_SQL), ("ilat", "ilon"), ("clim", "bgev", "obev"))
+    at = gridded.nearest_cells(pr, *_TENS).join(cells, ["ilat", "ilon"]).select("uid", "col", F.posexplode(F.array(*map(F.lit, DEPTHS))).alias("k", "depth"))
+    errors = at.select("uid", "k", *(gridded.at_depth(F.col("col"), F.col("depth"), f).alias(f) for f in ("clim", "bgev", "obev"))).where("clim IS NOT NULL")
+    return buddy.buddy_check(diff, pr, errors, DEPTHS)
+
+
+_add("check_e09_standard_levels_and_buddies", _with(_e09))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
