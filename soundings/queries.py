@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
+from .plans import registry
+from .sources import ingest
 from .operators import buddy, gridded, local, rates, rules, selection, sequential, track
 
 _VIEWS = f"WITH levels AS ({schema.LEVELS_SQL}), profiles AS ({schema.PROFILES_SQL}), tracks AS ({schema.TRACKS_SQL})"
@@ -313,6 +315,36 @@ def _e09(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
 _add("check_e09_standard_levels_and_buddies", _with(_e09))
 
 
+_FULL = "SELECT *, CAST(uid % 9 AS INT) AS profile_type, CAST(uid % 17 AS INT) AS orig_flag_type FROM {profiles}"
+
+
+def _screened(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    full = pr.withColumn("profile_type", (F.col("uid") % 9).cast("int")).withColumn("orig_flag_type", (F.col("uid") % 17).cast("int"))
+    kept, coded = ingest.ingest(full, lv, local.run("s06_wire_break", lv, pr))
+    return kept.select("uid", "flagged")
+
+
+_BREAK = local.check_sql("s06_wire_break", local.DUCK)
+_add(
+    "ingest",
+    _with(_screened),
+    f"""WITH a AS (SELECT uid, count(t) AS n_t, count(*) AS n, bool_and(coalesce(z < 0.1, FALSE)) AS shallow, bool_or(t IS NOT NULL AND coalesce(truth, 0) <= 0) AS unjudged FROM {{levels}} GROUP BY uid),
+k AS (SELECT p.uid FROM ({_FULL}) p JOIN a ON a.uid = p.uid WHERE p.profile_type <> 1 AND p.month BETWEEN 1 AND 12 AND p.orig_flag_type BETWEEN 1 AND 14 AND n_t > 0 AND NOT (n > 1 AND shallow) AND NOT unjudged),
+b AS (SELECT l.uid, l.truth, max(w.flag::INT) OVER (PARTITION BY l.uid ORDER BY l.lev) AS gone FROM {{levels}} l JOIN ({_BREAK}) w ON w.uid = l.uid AND w.lev = l.lev)
+SELECT k.uid, coalesce(bool_or(b.gone = 0 AND b.truth IN (3, 4)), FALSE)::INT AS flagged FROM k LEFT JOIN b ON b.uid = k.uid GROUP BY k.uid""",
+)
+_add("ingest_counts", _with(lambda s, lv, pr: ingest.ingest_counts(_screened(s, lv, pr))))
+_add("split_by_cruise", _with(lambda s, lv, pr: ingest.split_by_cruise(pr.join(lv.groupBy("uid").agg(F.count("*").alias("size")), "uid"), 10).select("uid", "part")),
+     """WITH c AS (SELECT p.cruise, count(*) AS s FROM {profiles} p JOIN {levels} l ON l.uid = p.uid GROUP BY p.cruise), d AS (SELECT cruise, coalesce(sum(s) OVER (ORDER BY cruise ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(s) OVER () AS total FROM c)
+SELECT p.uid, least(floor(before * 10 / total), 9)::INT AS part FROM {profiles} p JOIN d ON d.cruise = p.cruise WHERE p.uid IN (SELECT uid FROM {levels})""")
+_add("balanced_sample", _with(lambda s, lv, pr: ingest.balanced_sample(lv.groupBy("uid").agg(F.max((F.col("truth") == 4).cast("int")).alias("flagged")), 100).groupBy("flagged").count()),
+     "SELECT flagged, least(count(*), 100) AS count FROM (SELECT uid, max((truth = 4)::INT) AS flagged FROM {levels} GROUP BY uid) x GROUP BY flagged")
+_add("run_checks", _with(lambda s, lv, pr: registry.run_checks(lv, pr, ("a03_gradient", "e01_range", "s06_wire_break", "r06_impossible_date")).groupBy("check").agg(F.count_if("flag").alias("flagged"), F.count("*").alias("levels"))),
+     " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count_if(flag)::BIGINT AS flagged, count(*) AS levels FROM ({local.check_sql(n, local.DUCK)}) q_{n}" for n in ("a03_gradient", "e01_range", "s06_wire_break", "r06_impossible_date")))
+_add("masked_sentinels", _with(lambda s, lv, pr: lv.select("uid", "lev", ingest.mask_sentinels(F.col("t") + 72).alias("t"), ingest.encode_truth(F.col("t") + 72, F.col("truth")).alias("truth"))),
+     "SELECT uid, lev, CASE WHEN NOT (t + 72 >= 99 AND t + 72 < 100) THEN t + 72 END AS t, CASE WHEN t + 72 > 99 AND t + 72 < 100 THEN 99 ELSE truth END AS truth FROM {levels}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
