@@ -57,4 +57,4 @@ def varying(decisions: DataFrame) -> DataFrame:
 def cut_roc(points: DataFrame, most_fpr: float) -> DataFrame:
     """Leading points of a stored selection (``pos, fpr, …``) until one reaches ``most_fpr``; the first always stays."""
     over = F.max(F.when(F.col("fpr") >= most_fpr, 1)).over(Window.orderBy("pos"))
-    return points.where((F.col("pos") == 0) | over.isNull())
+    return points.withColumn("_over", over).where((F.col("pos") == 0) | F.col("_over").isNull()).drop("_over")
