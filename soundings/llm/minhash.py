@@ -174,38 +174,33 @@ def _canonical(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``key, low, high, doc, partners``: signature-near pairs across the components of a key, packed by document.
 
-    Rows of a key are dealt into blocks and each pair of blocks into one group, so a hot key is many bounded groups. A
-    pair is found in the smallest key that its signatures share and nowhere else. Documents that are only partners
-    get a row with an empty list, so that a group's rows name every text that it needs.
+    A pair across components has a member outside of the key's largest component ``usual``. Those rest members are dealt
+    into ``rest_blocks`` and all members into ``blocks``; a group is one of each, so a hot key is many bounded groups, and
+    the usual members, the bulk of a hot key, travel once for each block of the rest. A pair is found in the smallest key
+    that its signatures share and nowhere else. Documents that are only partners get a row with an empty list, so that
+    a group's rows name every text that it needs.
     """
     prepare(members.sparkSession)
-    mine = F.pmod(F.hash("doc"), F.col("blocks"))
-    placed = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "doc", "component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("is_low"), (F.col("mine") >= F.col("other")).alias("is_high"))
-    rows = placed.join(classes.select("doc", "sig", "n"), "doc")
+    rest = members.where(F.col("component") != F.col("usual"))
+    lefts = rest.select("key", "doc", "component", F.pmod(F.hash("doc"), F.col("rest_blocks")).alias("low"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(True).alias("left"))
+    rights = members.select("key", "doc", "component", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("low"), F.pmod(F.hash("doc"), F.col("blocks")).alias("high"), F.lit(False).alias("left"), (F.col("component") == F.col("usual")).alias("usual"))
+    rows = lefts.withColumn("usual", F.lit(False)).unionByName(rights).join(classes.select("doc", "sig", "n"), "doc")
     schema = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("doc", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
     def run(t: pa.Table) -> pa.Table:
         doc, comp, n = (t[c].to_numpy() for c in ("doc", "component", "n"))
-        low, high = t["is_low"].to_numpy(), t["is_high"].to_numpy()
+        left, usual = t["left"].to_numpy(), t["usual"].to_numpy()
         key, lo, hi = (t[c][0].as_py() for c in ("key", "low", "high"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        names, counts = np.unique(comp, return_counts=True)
-        usual = names[counts.argmax()]  # a pair across components has a member outside of the largest one
-        lows, highs = np.flatnonzero(low), np.flatnonzero(high)
+        rights = np.flatnonzero(~left)
         partners: dict[int, list[int]] = {}
-        for lefts, others, again in ((lows, highs, False),) if lo == hi else ((lows, highs, False), (highs, lows, True)):
-            for i in lefts[comp[lefts] != usual]:
-                j = others[comp[others] != comp[i]]
-                if lo == hi:
-                    j = j[(comp[j] == usual) | (doc[j] > doc[i])]
-                elif again:
-                    j = j[comp[j] == usual]
-                j = j[np.minimum(n[j], n[i]) * SIMILAR[1] >= np.maximum(n[j], n[i]) * SIMILAR[0]]
-                if len(j) and len(j := j[(sig[j] != sig[i]).sum(1) <= DISTANCE]):
-                    j = j[_canonical(sig[j], sig[i]) == key >> 48]
-                    if len(j):
-                        partners[int(doc[i])] = doc[j].tolist()
+        for i in np.flatnonzero(left):
+            j = rights[(comp[rights] != comp[i]) & (usual[rights] | (doc[rights] > doc[i]))]
+            j = j[np.minimum(n[j], n[i]) * SIMILAR[1] >= np.maximum(n[j], n[i]) * SIMILAR[0]]
+            if len(j) and len(j := j[(sig[j] != sig[i]).sum(1) <= DISTANCE]):
+                j = j[_canonical(sig[j], sig[i]) == key >> 48]
+                if len(j):
+                    partners[int(doc[i])] = doc[j].tolist()
         wanted = partners | {d: [] for p in partners.values() for d in p if d not in partners}
         m = len(wanted)
         return pa.table([pa.array([v] * m, f.type) for v, f in zip((key, lo, hi), schema, strict=False)] + [pa.array(list(wanted), pa.int64()), pa.array(list(wanted.values()), schema.field("partners").type)], schema=schema)
@@ -249,8 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = components(links)
     placed = wide.join(joined.withColumnRenamed("node", "doc"), "doc", "left").join(classes.select("doc", "n"), "doc")
     placed = cut(placed.select("key", "doc", F.coalesce("component", "doc").alias("component"), "n"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / (2000 * BLOCK))).cast("int").alias("blocks")
-    open_keys = placed.groupBy("key").agg(blocks, F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "blocks")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    per_key = parts.groupBy("key").agg(F.max(F.struct("members", "weight", "component")).alias("most"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.count("*").alias("parts"))
+    blocks = lambda members, weight: F.ceil(F.greatest(members / BLOCK, weight / (2000 * BLOCK))).cast("int")
+    rest = blocks(F.col("members") - F.col("most.members"), F.col("weight") - F.col("most.weight")).alias("rest_blocks")
+    open_keys = per_key.where("parts > 1").select("key", F.col("most.component").alias("usual"), blocks(F.col("members"), F.col("weight")).alias("blocks"), rest)
     more = cut(_across(placed.select("key", "doc", "component").join(open_keys, "key"), classes))
     if not more.isEmpty():
         links = links.unionByName(cut(_confirmed_blocks(more, texts, width)))
