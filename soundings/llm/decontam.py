@@ -10,8 +10,9 @@ benchmark's, which is split into slices of at most ``SLICE`` hashes; each slice
 construction, and a larger benchmark only means more slices. Nothing of the corpus is shuffled for the join; only
 documents with a hit have their texts fetched again for verification.
 
-A null or empty text has no words and no overlap. An item shorter than the shortest mask is compared as a whole through
-a mask of its own length. Repeated rows share their result. Ties: each pair of document and item is reported once, with
+A null or empty text has no words and no overlap. For items shorter than the shortest
+mask (``LEAST_WORDS`` words at least; those below hold too little to tell) two masks of their length are added, one for
+each half, so one substitution is tolerated. Repeated rows share their result. Ties: each pair of document and item is reported once, with
 its best overlap, the smallest offset first.
 """
 
@@ -57,7 +58,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``id_col, item_col, start_word, n_matched, n_item_words``: each pair of a document and an item that it holds."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= LEAST_WORDS)
     shorter = sorted({r[0] for r in items.where(F.size("item_words") < min(map(len, MASKS))).select(F.size("item_words")).distinct().collect()})
-    masks = MASKS + tuple("1" * n for n in shorter)
+    masks = MASKS + tuple(m for n in shorter for m in ("1" * (n // 2) + "0" * (n - n // 2), "0" * (n // 2) + "1" * (n - n // 2)))
     theirs = seed_hashes(benchmark, item_col, "text", masks).select(F.col("id").alias("item"), "seed", F.col("at").alias("item_at")).distinct()
     slices = max(1, -(-theirs.count() // SLICE))
     ours = seed_hashes(docs, id_col, text_col, masks)
