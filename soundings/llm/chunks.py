@@ -1,15 +1,15 @@
 """Repeated passages by content-defined chunking with a gear rolling hash.
 
-A chunk border follows a byte whose gear hash (a function of the last 32 bytes only) has ``BITS`` zero bits on top, at
+A chunk border follows a byte whose gear hash (a function of the last 16 bytes only) has ``BITS`` zero bits on top, at
 least ``LEAST`` bytes behind the previous such byte; stretches without a border are cut every ``MOST`` bytes. Borders
 depend on nearby bytes alone, so an insertion moves only the chunks around it.
 
 Chunks are known by a 64-bit digest. A digest that occurs in two or more documents is repeated; neighbouring repeated
-chunks of a document merge into regions, and a region of ``WORDS`` words or more is a repeated passage (a passage of more than
-50 words keeps at least that many whatever the chunks at its ends). Of each digest the occurrence in the document with
+chunks of a document merge into regions, and a region of ``WORDS`` words or more is a repeated passage (of a
+passage of more than 50 words, the chunks at its ends are lost; about one in a hundred falls below that). Of each digest the occurrence in the document with
 the smallest id is the one kept.
 
-Scale: chunk rows are (digest, document, offsets), about half the size of the text; digests are counted with map-side
+Scale: chunk rows are (digest, document, offsets), about as large as the text; digests are counted with map-side
 partial aggregates, so a chunk that every third document holds is one row per task, and the join back to the chunks is
 an ordinary skew-splittable join. Chunk lists of one document are bounded by its length.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .frames import by_batch
 
-BITS, LEAST, MOST, WORDS = 5, 12, 160, 25
+BITS, LEAST, MOST, WORDS = 4, 8, 96, 25
 _GEAR = np.random.default_rng(20240101).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -36,7 +36,7 @@ def borders(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int =
     if n == 0:
         return np.zeros(0, np.int64)
     h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):  # doubling: afterwards h covers the last 32 bytes
+    for k in (1, 2, 4, 8):  # doubling: afterwards h covers the last 16 bytes
         h[k:] += h[:-k] << np.uint32(k)
     at = np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
     at = at[np.diff(at, prepend=-least) >= least]
@@ -88,19 +88,19 @@ def chunk_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:
     """``doc_id, start, end, n_words, n_chunks, first_doc_id, kept``: each passage of a document that another one holds too.
 
-    ``first_doc_id`` is the smallest document that holds the passage's chunks; ``kept`` tells whether this is it for all.
+    ``first_doc_id`` is the smallest document that holds one of the passage's chunks; ``kept`` passages are met here first.
     """
     chunks = chunk_rows(df, id_col, text_col)
     seen = chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
-    rows = chunks.join(seen, "digest").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size", "words", "first"))).alias("held"))
+    rows = chunks.join(seen, "digest").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size", "words", "first", (F.col("first") == F.col("doc")).alias("own")))).alias("held"))
     return rows.select(F.col("doc").alias(id_col), F.explode(_regions("held")).alias("r")).where(F.col("r.n_words") >= least_words).select(
-        id_col, "r.start", "r.end", "r.n_words", "r.n_chunks", F.col("r.first").alias("first_doc_id"), (F.col("r.highest") == F.col(id_col)).alias("kept")
+        id_col, "r.start", "r.end", "r.n_words", "r.n_chunks", F.col("r.first").alias("first_doc_id"), F.col("r.own").alias("kept")
     )
 
 
 def _regions(column: str):
-    """Neighbouring chunks of one document joined into regions, by one pass over its sorted chunks."""
-    schema = "array<struct<start:int,end:int,n_words:int,n_chunks:int,first:bigint,highest:bigint>>"
+    """Neighbouring chunks of one document, all kept or all repeated, joined into regions by one pass over them."""
+    schema = "array<struct<start:int,end:int,n_words:int,n_chunks:int,first:bigint,own:boolean>>"
 
     @F.pandas_udf(schema)
     def join(lists):
@@ -109,13 +109,13 @@ def _regions(column: str):
         def one(chunks) -> list[tuple]:
             out: list[list] = []
             for c in chunks:
-                at, size, words, first = c["at"], c["size"], c["words"], c["first"]
-                if out and out[-1][1] == at:
+                at, size, words, first, own = c["at"], c["size"], c["words"], c["first"], c["own"]
+                if out and out[-1][1] == at and out[-1][5] == own:
                     r = out[-1]
-                    r[1], r[2], r[3], r[4], r[5] = at + size, r[2] + words, r[3] + 1, min(r[4], first), max(r[5], first)
+                    r[1], r[2], r[3], r[4] = at + size, r[2] + words, r[3] + 1, min(r[4], first)
                 else:
-                    out.append([at, at + size, words, 1, first, first])
-            return [dict(zip(("start", "end", "n_words", "n_chunks", "first", "highest"), r, strict=True)) for r in out]
+                    out.append([at, at + size, words, 1, first, own])
+            return [dict(zip(("start", "end", "n_words", "n_chunks", "first", "own"), r, strict=True)) for r in out]
 
         return pd.Series([one(x) for x in lists])
 

@@ -1,0 +1,112 @@
+"""Personal data, secrets, languages and benchmark overlaps against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+from soundings.llm import decontam, langid, pii, secrets
+
+
+def _plain_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and sum(d[::2] + [v * 2 - 9 * (v > 4) for v in d[1::2]]) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
+def test_pii_spans():
+    rng = random.Random(1)
+    pool = ["a", "@", ".", "1", "25", "4111111111111111", " ", "-", "+4", "é", "b.c", "(", ")", "0", "9"]
+    for _ in range(5000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))
+        assert [s[:3] for s in pii.scan(t) if s[0] in pii.BASE] == _plain_pii(t), t
+    assert [s[0] for s in pii.scan("IBAN GB82 WEST 1234 5698 7654 32 here")] == ["iban"]
+    assert not pii.scan("GB82 WEST 1234 5698 7654 33")
+    assert [s[0] for s in pii.scan("social security 123-45-6789")] == ["ssn"] and not pii.scan("part 123-45-6789")
+    assert pii.scan(None) == pii.scan("") == []
+    assert not pii.scan("a" * 200000) and not pii.scan("1" * 200000)
+
+
+def test_pii_table(spark, documents):
+    rows = {r.doc_id: r for r in pii.pii_digest(documents).collect()}
+    assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[1].spans == ""
+    df = spark.createDataFrame([(1, "write to x.y@ex.org or +49 30 1234567", "a"), (2, None, "b")], "doc_id long, text string, spans string")
+    got = pii.mask_pii(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "write to [EMAIL] or [PHONE]", 2: None}
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    parts = ["password", "PassWord", "token", "api_key", "ApiKey", "secret", "=", ":", '"', "'", " ", "abcdef0123", "é", "AKIA", "ABCDEF12345678", "0123456789abcdef", "ghp_" + "a" * 36, "x", "-----BEGIN RSA PRIVATE KEY-----", "xoxb-", "eyJab.eyJcd.ef", "\n", "𝒳"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(800)] + [(800, None), (801, ""), (802, "a" * 50000), (5, "token=abcdefghijkl")]
+
+    def plain(t):
+        return sorted((m.start(), k, m.end(), r.kind) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.regex, t or "", re.A) if len(m[r.group]) >= r.least)
+
+    got = sorted((r.doc_id, r.spans, r.base_sha256, r.n_hex) for r in secrets.secrets_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    join = lambda s: ",".join(f"{k}:{a}:{b}" for a, _, b, k in s)
+    want = sorted((i, join(s), hashlib.sha256(join([x for x in s if x[1] < 3]).encode()).hexdigest(), sum(x[1] == 2 for x in s)) for i, t in rows for s in [plain(t)])
+    assert got == want
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query(r"[0-9a-f]+") is None
+    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert frozenset({"tok", "oke", "ken"}) in secrets.trigram_query(secrets.RULES[0].regex)
+
+
+def test_language(spark):
+    rng = random.Random(3)
+    alphabets = {"aa": ["the", "and", "ing", "tion", "was"], "bb": ["der", "und", "sch", "keit", "ung"], "cc": ["que", "ción", "los", "ado", "ñas"]}
+    rows = [(i, " ".join("".join(rng.choice(alphabets[k]) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(5, 60))), k) for i, k in enumerate(rng.choice(list(alphabets)) for _ in range(400))]
+    rows += [(400, None, "aa"), (401, "", "aa"), (402, "123 ½ !!", "aa"), (403, "word " * 20000, None), (None, "the was", "aa")]
+    got = {r.doc_id: r for r in langid.language_digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    tests = [(i, k) for i, t, k in rows[:400] if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i].held_out for i, _ in tests) and sum(got[i].lang_pred == k for i, k in tests) >= 0.97 * len(tests)
+    assert [got[i].lang_pred for i in (400, 401, 402)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
+    empty = langid.language_digest(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
+    assert empty[0].lang_pred == "und"
+
+
+def test_forward_backward_in_blocks():
+    import numpy as np
+
+    model = langid.fit([("the and was ing tion the", "aa"), ("der und sch keit ung der", "bb")], rounds=2, sequences=32)
+    words = langid.words_of("the und was der tion " * 90)
+    first = np.zeros(len(words), bool)
+    first[[0, 7, 200]] = True
+    post = model.posteriors(words, first)
+    for a, b in ((0, 7), (7, 200), (200, len(words))):
+        plain, _ = langid._expectations(model.emissions(words[a:b])[None].astype(float), model.move, model.start)
+        assert np.abs(plain[0] - post[a:b]).max() < 1e-9
+
+
+def test_decontamination(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "bdfgkl" for b in ("ar", "en", "ip", "os", "ut")]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate((30, 60, 16, 8, 3, 45))}
+    rows = []
+    for i, item in items.items():
+        for subs in (0, 1, 3):
+            body = list(item)
+            for k in rng.sample(range(len(body)), min(subs, len(body) // 8)):
+                body[k] = "zzz"
+            rows.append((len(rows), " ".join(text(40) + body + text(40)), i if len(item) >= 6 else None))
+    n = len(rows)
+    rows += [(n + k, " ".join(text(120)), None) for k in range(20)] + [(n + 20, None, None), (n + 21, "", None), (n + 22, " ".join(items[1]).upper(), 1)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(90, None), (91, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs.select("doc_id", "text"), bench).collect()}
+    assert got == {(i, k) for i, _, k in rows if k is not None}
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, k in rows if k is None}
+    plan = decontam.contaminated(docs.select("doc_id", "text"), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
