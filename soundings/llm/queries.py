@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, counts, decontam, embed, html, langid, minhash, pii, secrets
+from . import bpe, chunks, counts, decontam, embed, html, langid, minhash, oracles, pii, secrets
 from .frames import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
