@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ from .frames import by_batch, tokenizer_path
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -162,27 +162,36 @@ class Codec:
         self.vocabulary = v = Vocabulary(path)
         self.words = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
-        self.uneven = re.compile(r"\s |\s\Z|\A\s| \s").search
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.names = {i: str(i) for i in v.bytes}
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
-    def _learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, bytes]]:
+        """For each given word its token ids, listed with commas, and the bytes that these decode to."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
         new = {w: w.encode("utf-8", "surrogatepass") for w in words if w not in known}
         codes = self.vocabulary.encode_words(set(new.values()))
+        name, raw = self.names.__getitem__, self.vocabulary.bytes.__getitem__
         extra = {}
         for w, b in new.items():
-            (known if len(w) <= CACHE_LENGTH else extra)[w] = codes[b]
+            ids = codes[b]
+            (known if len(w) <= CACHE_LENGTH else extra)[w] = (",".join(map(name, ids)), b"".join(map(raw, ids)))
         return {**known, **extra} if extra else known
 
+    def sizes(self, words: Iterable[str]) -> dict[str, int]:
+        """Numbers of tokens of the given words."""
+        words = set(words)
+        known = self.learn(words)
+        return {w: known[w][0].count(",") + 1 for w in words}
+
     def _split(self, text: str) -> list[str]:
         """Parts of a text that encode independently. A part stands for itself behind a space, or, if it starts with
         NUL, for the rest of it alone: a special token, a text's first piece, or a pre-token."""
         if self.special is not None and any(s in text for s in self.vocabulary.special):
             return ["\0" + p for part in self.special.split(text) if part for p in ([part] if part in self.vocabulary.special else self.words(part))]
-        if "\0" in text or self.uneven(text):
+        if "\0" in text or text.replace("\n", " ").split(" ") != text.split():  # some white space touches another
             return ["\0" + p for p in self.words(text)]
         parts = text.split(" ")
         parts[0] = "\0" + parts[0]
@@ -198,26 +207,31 @@ class Codec:
             return [" " + part[:-1], part[-1]]
         return self.words(" " + part)
 
-    def codes(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
-        """The parts of each text, and the tokens of each distinct part."""
+    def codes(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[str, bytes]]]:
+        """The parts of each text; the listed token ids and the decoded bytes of each distinct part."""
         split = [self._split(t) if t else [] for t in texts]
         pieces = self.pieces
         if len(pieces) > CACHE_WORDS:
             pieces.clear()
         distinct = set().union(*split)
-        special = {"\0" + t: (i,) for t, i in self.vocabulary.special.items()}
+        special = {"\0" + t: (str(i), t.encode()) for t, i in self.vocabulary.special.items()}
         new = {p: self._words(p) for p in distinct if p not in pieces and p not in special}
-        known = self._learn({w for words in new.values() for w in words})
+        known = self.learn({w for words in new.values() for w in words})
         out = {p: pieces[p] if p in pieces else special[p] for p in distinct if p not in new}
         for p, words in new.items():
-            out[p] = code = known[words[0]] if len(words) == 1 else tuple([i for w in words for i in known[w]])
+            if len(words) == 1:
+                code = known[words[0]]
+            else:
+                found = [known[w] for w in words]
+                code = (",".join([c for c, _ in found]), b"".join([r for _, r in found]))
+            out[p] = code
             if len(p) <= CACHE_LENGTH:
                 pieces[p] = code
         return split, out
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         split, codes = self.codes(texts)
-        return [[i for p in parts for i in codes[p]] for parts in split]
+        return [list(map(int, ",".join([codes[p][0] for p in parts]).split(","))) if parts else [] for parts in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -255,28 +269,36 @@ def decode(df: DataFrame, name: str = VOCABULARY, ids_col: str = "ids") -> DataF
     return by_batch(df.drop("decoded"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "decoded") + ", decoded string", run)
 
 
-def round_trip(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: encode, decode and digest in one pass."""
+def _digested(df: DataFrame, name: str, carried: list[str], with_ids: bool) -> DataFrame:
+    """Encode, decode and digest in one pass: the carried columns, counts, digests and, if asked for, the ids."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carried).schema)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(name)
         split, codes = c.codes(b["text"].to_pylist())
-        shown = {p: ",".join(map(str, i)) for p, i in codes.items()}
-        raw = {p: bytes().join(map(c.vocabulary.bytes.__getitem__, i)) for p, i in codes.items()}
-        count, ids, texts = [], [], []
-        for words in split:
-            listed = ",".join(map(shown.__getitem__, words))
-            count.append(listed.count(",") + 1 if words else 0)
-            ids.append(hashlib.sha256(listed.encode()).hexdigest())
-            texts.append(hashlib.sha256(bytes().join(map(raw.__getitem__, words)).decode("utf-8", "replace").encode()).hexdigest())
-        return pa.record_batch([b["doc_id"], pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        count, digests, texts, ids = [], [], [], []
+        for parts in split:
+            found = [codes[p] for p in parts]
+            listed = ",".join([shown for shown, _ in found])
+            count.append(listed.count(",") + 1 if parts else 0)
+            digests.append(hashlib.sha256(listed.encode()).hexdigest())
+            texts.append(hashlib.sha256(b"".join([raw for _, raw in found]).decode("utf-8", "replace").encode()).hexdigest())
+            if with_ids:
+                ids.append(np.array(listed.split(",") if parts else [], np.int32))
+        columns = [*(b[x] for x in carried), pa.array(count, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+        if with_ids:
+            columns.append(pa.array(ids, pa.list_(pa.int32())))
+        return pa.record_batch(columns, names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return by_batch(df.select(*carried, F.col("text").cast("string").alias("text")), schema, run)
 
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return by_batch(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+
+def round_trip(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
+    return _digested(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), name, ["doc_id"], False)
 
 
 def encoded_corpus(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids`` of each document."""
-    full = decode(encode(df.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), name), name)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return full.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return _digested(df, name, ["doc_id", "lang", "source"], True)

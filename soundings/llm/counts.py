@@ -115,8 +115,8 @@ def count_batch(c: Codec, texts: list[str | None], edits: list) -> list[tuple[in
     split = [_pieces(c, t) if t else [] for t in texts]
     distinct = set().union(*split)
     words = {p: c.words(p) for p in distinct}
-    known = c._learn({w for ws in words.values() for w in ws})
-    size = {p: sum([len(known[w]) for w in ws]) for p, ws in words.items()}
+    known = c.sizes({w for ws in words.values() for w in ws})
+    size = {p: sum([known[w] for w in ws]) for p, ws in words.items()}
     out = []
     for text, parts, wanted in zip(texts, split, edits, strict=True):
         text = text or ""
@@ -126,7 +126,8 @@ def count_batch(c: Codec, texts: list[str | None], edits: list) -> list[tuple[in
         own = usable_edits(wanted, len(text))
         if not text and own:
             fresh = c.words(own[0][2])
-            out.append((0, sum(len(i) for w in fresh for i in [c._learn([w])[w]]), 1, len(fresh)))
+            sizes = c.sizes(fresh)
+            out.append((0, sum([sizes[w] for w in fresh]), 1, len(fresh)))
             continue
         done = -1
         for first, last in tree.regions([(s, e) for s, e, _ in own]):
@@ -147,8 +148,8 @@ def count_batch(c: Codec, texts: list[str | None], edits: list) -> list[tuple[in
                     break
                 last += 1
             fresh = fresh[:ends]
-            codes = c._learn(set(fresh))
-            tree.put(first, sum([len(codes[w]) for w in fresh]))
+            sizes = c.sizes(fresh)
+            tree.put(first, sum([sizes[w] for w in fresh]))
             for leaf in range(first + 1, last + 1):
                 tree.put(leaf, 0)
             again += len(fresh)
