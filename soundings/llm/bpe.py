@@ -30,7 +30,7 @@ from .frames import by_batch, tokenizer_path
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 220_000, 300_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -75,7 +75,7 @@ class Vocabulary:
     def fits(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' joined bytes gives just these two tokens."""
         if (known := self._fits.get((left, right))) is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > CACHE_PAIRS:
                 self._fits.clear()
             known = self._fits[left, right] = self._stays(left, right)
         return known
@@ -165,6 +165,12 @@ class Codec:
         self.names = {i: str(i) for i in v.bytes}
         self.known: dict[str, tuple[str, bytes]] = {}
         self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.counted: dict[str, int] = {}
+
+    def forget(self) -> None:
+        """Let go of everything but the vocabulary."""
+        for cache in (self.known, self.pieces, self.counted, self.vocabulary._fits, self.vocabulary.moves):
+            cache.clear()
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[str, bytes]]:
         """For each given word its token ids, listed with commas, and the bytes that these decode to."""
@@ -186,7 +192,21 @@ class Codec:
         known = self.learn(words)
         return {w: known[w][0].count(",") + 1 for w in words}
 
-    def _split(self, text: str) -> list[str]:
+    def part_sizes(self, parts: set[str]) -> dict[str, int]:
+        """Numbers of tokens of distinct parts."""
+        if len(self.counted) > CACHE_WORDS:
+            self.counted.clear()
+        counted = self.counted
+        new = {p: self._words(p) for p in parts if p not in counted}
+        known = self.sizes({w for words in new.values() for w in words})
+        out = {p: counted[p] for p in parts if p not in new}
+        for p, words in new.items():
+            out[p] = n = sum([known[w] for w in words])
+            if len(p) <= CACHE_LENGTH:
+                counted[p] = n
+        return out
+
+    def split(self, text: str) -> list[str]:
         """Parts of a text that encode independently. A part stands for itself behind a space, or, if it starts with
         NUL, for the rest of it alone: a special token, a text's first piece, or a pre-token."""
         if self.special is not None and any(s in text for s in self.vocabulary.special):
@@ -209,7 +229,7 @@ class Codec:
 
     def codes(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[str, bytes]]]:
         """The parts of each text; the listed token ids and the decoded bytes of each distinct part."""
-        split = [self._split(t) if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         pieces = self.pieces
         if len(pieces) > CACHE_WORDS:
             pieces.clear()
@@ -248,6 +268,11 @@ def codec(name: str = VOCABULARY) -> Codec:
     return _codecs[path]
 
 
+def forget(name: str = VOCABULARY) -> None:
+    """At the end of a task: let go of this process's caches."""
+    codec(name).forget()
+
+
 def encode(df: DataFrame, name: str = VOCABULARY, text_col: str = "text") -> DataFrame:
     """The rows with a column ``ids array<int>`` added."""
 
@@ -255,7 +280,7 @@ def encode(df: DataFrame, name: str = VOCABULARY, text_col: str = "text") -> Dat
         ids = codec(name).encode_batch(b.column(b.schema.names.index(text_col)).to_pylist())
         return pa.record_batch([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
-    return by_batch(df.drop("ids"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "ids") + ", ids array<int>", run)
+    return by_batch(df.drop("ids"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "ids") + ", ids array<int>", run, lambda: forget(name))
 
 
 def decode(df: DataFrame, name: str = VOCABULARY, ids_col: str = "ids") -> DataFrame:
@@ -291,7 +316,7 @@ def _digested(df: DataFrame, name: str, carried: list[str], with_ids: bool) -> D
         return pa.record_batch(columns, names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return by_batch(df.select(*carried, F.col("text").cast("string").alias("text")), schema, run)
+    return by_batch(df.select(*carried, F.col("text").cast("string").alias("text")), schema, run, lambda: forget(name))
 
 
 def round_trip(df: DataFrame, name: str = VOCABULARY) -> DataFrame:

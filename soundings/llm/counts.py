@@ -15,13 +15,14 @@ text. Repeated rows are counted each on their own.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, Codec, codec
+from .bpe import VOCABULARY, Codec, codec, forget
 from .frames import by_batch
 
 LEAF = 64
@@ -84,44 +85,37 @@ def edited(text: str, edits: list[tuple[int, int, str]], offset: int = 0) -> str
     return "".join([*out, text[at:]])
 
 
-def _with_edits(tree: CountTree, edits: list[tuple[int, int, str]], last: int) -> int:
-    """The last leaf of a region that ends at ``last`` or later and whose border and one leaf before it no edit touches."""
-    final = len(tree.levels[0]) - 1
-    while last < final:
-        high, before = tree.starts[last + 1], tree.starts[last]
-        if not any(s <= high and e >= before for s, e, _ in edits if s <= high):
-            break
-        touching = max(e for s, e, _ in edits if s <= high)
-        last = max(last + 1, min(final, int(np.searchsorted(tree.starts, touching, "right"))))
-        if not any(s <= tree.starts[min(last + 1, final + 1)] and e >= tree.starts[last] for s, e, _ in edits):
-            break
-    return min(last, final)
+class _Edits:
+    """The edits of one document in order, found by place."""
 
+    def __init__(self, edits: list[tuple[int, int, str]]):
+        self.edits, self.starts, self.ends = edits, [e[0] for e in edits], [e[1] for e in edits]
 
-def _even(text: str) -> bool:
-    return text.replace("\n", " ").split(" ") == text.split()
+    def touch(self, low: int, high: int) -> bool:
+        at = bisect_left(self.ends, low)
+        return at < len(self.edits) and self.starts[at] <= high
+
+    def within(self, low: int, high: int) -> list[tuple[int, int, str]]:
+        return self.edits[bisect_left(self.starts, low) : bisect_right(self.ends, high)]
 
 
 def _pieces(c: Codec, text: str) -> list[str]:
-    """Parts of a text that are counted independently: words led by their space, or else pre-tokens."""
-    if not _even(text) or "\0" in text:
-        return c.words(text)
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
+    """Parts of a text that are counted independently, in the codec's notation."""
+    if any(t in text for t in c.vocabulary.special):
+        return ["\0" + w for w in c.words(text)]
+    return c.split(text)
 
 
 def count_batch(c: Codec, texts: list[str | None], edits: list) -> list[tuple[int, int, int, int]]:
     """(tokens before, tokens after, edits, pre-tokens counted again) of each text."""
     split = [_pieces(c, t) if t else [] for t in texts]
-    distinct = set().union(*split)
-    words = {p: c.words(p) for p in distinct}
-    known = c.sizes({w for ws in words.values() for w in ws})
-    size = {p: sum([known[w] for w in ws]) for p, ws in words.items()}
+    size = c.part_sizes(set().union(*split))
+    length = {p: len(p) - 1 if p[0] == "\0" else len(p) + 1 for p in size}  # a part stands for itself behind a space
     out = []
     for text, parts, wanted in zip(texts, split, edits, strict=True):
         text = text or ""
         n = len(parts)
-        tree = CountTree(np.fromiter(map(size.__getitem__, parts), np.int64, n), np.fromiter(map(len, parts), np.int64, n))
+        tree = CountTree(np.fromiter(map(size.__getitem__, parts), np.int64, n), np.fromiter(map(length.__getitem__, parts), np.int64, n))
         before, again = tree.total, 0
         own = usable_edits(wanted, len(text))
         if not text and own:
@@ -129,17 +123,18 @@ def count_batch(c: Codec, texts: list[str | None], edits: list) -> list[tuple[in
             sizes = c.sizes(fresh)
             out.append((0, sum([sizes[w] for w in fresh]), 1, len(fresh)))
             continue
-        done = -1
+        found, done, final = _Edits(own), -1, len(tree.starts) - 2
         for first, last in tree.regions([(s, e) for s, e, _ in own]):
             if last <= done:
                 continue
             first = max(first, done + 1)
             low = int(tree.starts[first])
             while True:  # one leaf more, until the new pre-tokens meet an old border again
-                last = _with_edits(tree, own, last)
+                while last < final and found.touch(tree.starts[last], tree.starts[last + 1]):
+                    last += 1  # the last leaf is context, which no edit touches
                 high = int(tree.starts[last + 1])
-                ahead = text[high : int(tree.starts[min(last + 2, len(tree.starts) - 1)])]
-                new = edited(text[low:high], [e for e in own if e[0] >= low and e[1] <= high], low)
+                ahead = text[high : int(tree.starts[min(last + 2, final + 1)])]
+                new = edited(text[low:high], found.within(low, high), low)
                 fresh, ends, at = c.words(new + ahead), 0, 0
                 while at < len(new):
                     at += len(fresh[ends])
@@ -166,7 +161,7 @@ def edit_counts(df: DataFrame, edits_col: str = "edits", id_col: str = "doc_id",
         return pa.record_batch([b["id"], *(pa.array([f[k] for f in found], pa.int64()) for k in range(4))], names=["id", "n_tokens", "n_tokens_after", "n_edits", "n_recounted"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    return by_batch(rows, "id long, n_tokens long, n_tokens_after long, n_edits long, n_recounted long", run).withColumnRenamed("id", id_col)
+    return by_batch(rows, "id long, n_tokens long, n_tokens_after long, n_edits long, n_recounted long", run, lambda: forget(name)).withColumnRenamed("id", id_col)
 
 
 #: What the cleaning edits replace: addresses, long numbers, and runs of blanks.

@@ -47,14 +47,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply a function of one Arrow batch to a frame; it keeps no state between batches but caches."""
+def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply a function of one Arrow batch to a frame; it keeps no state between batches but caches.
+
+    ``done`` runs at the end of each task and lets go of caches, since Spark keeps its Python workers for later stages.
+    """
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
-                yield out
+        try:
+            for b in batches:
+                if b.num_rows and (out := fn(b)) is not None:
+                    yield out
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, schema)
 
