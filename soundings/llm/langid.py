@@ -31,7 +31,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1600, 20_000
 _BUCKETS, _WIDTH = 1 << 15, 27
 _WORD = re.compile(r"[^\W\d_]+")
 _BLOCK, _RESCALE = 128, 16
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -43,6 +43,11 @@ _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, SYMBOLS, dtype=np.uint6
 _hasher = WordHasher()
 
 
+def _forget() -> None:
+    """At the end of a task: let go of this process's remembered words."""
+    _hasher.known.clear()
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The 16-bit symbols of a set of 64-bit fingerprints."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
@@ -77,7 +82,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return pa.record_batch([b["doc"], *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(sig, pa.binary())], names=["doc", "n", "h1", "h2", "sig"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return by_batch(rows, "doc long, n long, h1 long, h2 long, sig binary", run)
+    return by_batch(rows, "doc long, n long, h1 long, h2 long, sig binary", run, _forget)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
