@@ -7,8 +7,10 @@
    token and task.
 3. A class is valid if it has at least ``TOKENS`` tokens and lies in nearly all of the host's pages; valid classes nest by
    their tokens' paths into the host's template. Its texts are boilerplate; what lies between its tokens are slots.
-4. The slots of navigation, advertising and the like (by tag and by class or id words) are dropped; of the rest the
-   article's or main element's slots are taken, or else the slot with the most unlinked text and the heading before it.
+4. Template blocks and those of navigation, advertising and the like (by tag and by class or id words) are dropped from
+   every page, and the rest lies in slots. If the slot with the most unlinked text lies in an article or main element, that
+   element's blocks are taken; else every slot that is not mostly links, and those of links between two such slots of one
+   parent. A page with nothing but template blocks keeps them: nothing tells its text from its host's.
 
 Templates are joined to the pages by host and salt, so that the pages of a hot host go to many tasks; Spark broadcasts the
 templates instead while they are small.
@@ -55,12 +57,12 @@ _IN_TAGS = frozenset(("article", "main"))
 
 
 class Block:
-    """A text block: its text, whether its place is excluded or in an article, its linked characters and tokens."""
+    """A text block: its text, whether its place is excluded or in an article, its linked characters, tokens and parent."""
 
-    __slots__ = ("heading", "linked", "main", "out", "slot", "text", "token")
+    __slots__ = ("linked", "main", "out", "parent", "slot", "text", "token")
 
-    def __init__(self, text: str, out: bool, main: bool, linked: int, slot: int, token: int, heading: bool):
-        self.text, self.out, self.main, self.linked, self.slot, self.token, self.heading = text, out, main, linked, slot, token, heading
+    def __init__(self, text: str, out: bool, main: bool, linked: int, slot: int, token: int, parent: int):
+        self.text, self.out, self.main, self.linked, self.slot, self.token, self.parent = text, out, main, linked, slot, token, parent
 
 
 def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
@@ -80,7 +82,7 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
             if text:
                 token = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), path & 0xFFFFFFFF) >> 1 | 1 << 40
                 counts[token] = counts.get(token, 0) + 1
-                blocks.append(Block(text, out > 0, main > 0, linked, slot, token, bool(stack) and stack[-1][0][:1] == "h" and stack[-1][0][1:].isdigit()))
+                blocks.append(Block(text, out > 0, main > 0, linked, slot, token, stack[-2][1] if len(stack) > 1 else 0))
             parts.clear()
         linked = 0
 
@@ -133,26 +135,30 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text of one page, given the tokens of its host's template."""
     blocks = [b for b in parse(html)[0] if not b.out]
-    if any(b.main for b in blocks):
-        return "\n\n".join(b.text for b in blocks if b.main)
-    blocks = [b for b in blocks if b.token not in template]
+    blocks = [b for b in blocks if b.token not in template] or blocks
+    if not blocks:
+        return ""
     slots: list[list[Block]] = []
     current = None
     for b in blocks:
         place = b.slot if b.slot in template else current
-        if not slots or place != current:
+        if not slots or place != current or not template:
             slots.append([])
             current = place
         slots[-1].append(b)
-    if not slots:
-        return ""
-    if not template:
-        return "\n\n".join(b.text for b in blocks if 2 * b.linked <= len(b.text))
-    best = max(range(len(slots)), key=lambda k: (sum(len(b.text) - b.linked for b in slots[k]), -k))
-    first = best
-    while first and all(b.heading for b in slots[first - 1]):
-        first -= 1
-    return "\n\n".join(b.text for s in slots[first : best + 1] for b in s)
+    plain = [sum(len(b.text) - b.linked for b in s) for s in slots]
+    if any(b.main for b in slots[plain.index(max(plain))]):
+        return "\n\n".join(b.text for b in blocks if b.main)
+    dense = [2 * n >= sum(len(b.text) for b in s) for s, n in zip(slots, plain, strict=True)]
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k, s in enumerate(slots):
+        if dense[k]:
+            for b in s:
+                first.setdefault(b.parent, k)
+                last[b.parent] = k
+    between = lambda k, b: first.get(b.parent, k) < k < last.get(b.parent, k)
+    return "\n\n".join(b.text for k, s in enumerate(slots) for b in s if dense[k] or between(k, b))
 
 
 def host(url):

@@ -99,3 +99,15 @@ def test_main_text(spark):
     texts = {r.page_id: r.text for r in got}
     assert texts[3] == "Title 3\n\nBody 3 text long enough here.\n\nMore 3." and texts[8] == "" and texts[9] == "alone"
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_templates_inside_articles(spark):
+    """Boilerplate without class words goes from a main element too, and standing blocks do not split a text."""
+    body = '<body><div class=top>Welcome</div><main><h1>Title {0}</h1><p>Body {0} is long enough to be text.</p><p>Licensed to all.</p><p>After {0} more.</p><p>By the staff</p></main></body>'
+    split = '<body><div class=top>Welcome</div><div id=text><p>The first half {0} is the longer one of both.</p><h2 class=q>Summary</h2><p>Second half {0}.</p></div><div class=links><a href=x>Next of page {0}</a></div></body>'
+    rows = [(i, f"http://a.example/{i}", body.format(i)) for i in range(8)] + [(i, f"http://b.example/{i}", split.format(i)) for i in range(8, 16)]
+    rows += [(i, "http://c.example/", "<body><main><h1>Same</h1><p>on every page</p></main>") for i in range(16, 24)]
+    texts = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts[3] == "Title 3\n\nBody 3 is long enough to be text.\n\nAfter 3 more."
+    assert texts[9] == "The first half 9 is the longer one of both.\n\nSecond half 9."
+    assert texts[17] == "Same\n\non every page"
