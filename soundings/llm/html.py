@@ -12,12 +12,15 @@
    element's blocks are taken; else every slot that is not mostly links, and those of links between two such slots of one
    parent. A page with nothing but template blocks keeps them: nothing tells its text from its host's.
 
+A class or id counts if it is a listed word; one with a listed word among its parts ('share-line', but not 'no-sidebar')
+counts unless its element wraps content: a first heading, an article, or half of the page's unlinked text.
+
 Templates are joined to the pages by host and salt, so that the pages of a hot host go to many tasks; Spark broadcasts the
 templates instead while they are small.
 A host with fewer than ``PAGES`` pages has no template and only step 4 applies.
 
 A null or empty page has an empty text and no part in its host's vectors. Character references are decoded, white space inside a block becomes one space,
-blocks are joined by two line feeds in page order. Unclosed tags end with their parents. Repeated rows are pages of
+blocks are joined by two line feeds in page order. Unclosed tags end with their parents, an unclosed head with the first content. Repeated rows are pages of
 their own in the result; for the vectors, pages are told apart by id.
 """
 
@@ -36,18 +39,21 @@ from .frames import by_batch
 
 PAGES, TOKENS, SHARE, SALTS = 5, 3, 0.95, 16
 
-_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_CLOSED = re.compile(r"<(noscript|template|svg|object|select|button)\b[^>]*>(?:(?!<\1\b).)*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"""(</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>)""")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_STATE = re.compile(r"(?:no|non|not|has|have|with|without|is|hide|hidden)(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
-_OUT_TAGS = frozenset("nav footer header aside form menu dialog title".split())
+_OUT_TAGS = frozenset("nav footer header aside form menu dialog title head".split())
+_HEAD = frozenset("head title base link meta script style noscript template html".split())
 _OUT_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu"
     " modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted related reply replies respond"
@@ -65,15 +71,35 @@ class Block:
         self.text, self.out, self.main, self.linked, self.slot, self.token, self.parent = text, out, main, linked, slot, token, parent
 
 
+def _visible(html: str) -> str:
+    """The page without comments, scripts and controls; of a control that is never closed only the tag goes."""
+    html = _SILENT.sub(" ", html)
+    while (shorter := _CLOSED.sub(" ", html)) != html:  # innermost first
+        html = shorter
+    return html
+
+
+def _excluded(marks: str) -> int:
+    """2 if a class or id is a listed word, 1 if only a part of one is, else 0."""
+    if _OUT_WORDS.isdisjoint(_WORD.findall(marks)):
+        return 0
+    names = marks.split()
+    if not _OUT_WORDS.isdisjoint(names):
+        return 2
+    return int(any(not _STATE.match(x) and not _OUT_WORDS.isdisjoint(_WORD.findall(x)) for x in names))
+
+
 def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
     """Text blocks in page order, and how often each structural or text token occurs."""
     blocks: list[Block] = []
     counts: dict[int, int] = {}
     if not html:
         return blocks, counts
-    stack: list[tuple[str, int, int, int]] = []  # tag, path hash, excluded depth, article depth
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, path hash, excluded depth, article depth, doubtful element
     path = out = main = linked = links = 0
     slot, parts = 0, []
+    doubt: list[list] = [[0, True, 0]]  # elements excluded by a part of a name: parent, holds content, unlinked characters
+    inside: list[int] = []  # doubtful element of each block
 
     def flush() -> None:
         nonlocal linked
@@ -83,19 +109,29 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
                 token = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), path & 0xFFFFFFFF) >> 1 | 1 << 40
                 counts[token] = counts.get(token, 0) + 1
                 blocks.append(Block(text, out > 0, main > 0, linked, slot, token, stack[-2][1] if len(stack) > 1 else 0))
+                inside.append(stack[-1][4] if stack else 0)
             parts.clear()
         linked = 0
 
-    for piece in _TAG.split(_SILENT.sub(" ", html)):
+    for piece in _TAG.split(_visible(html)):
         if not piece:
             continue
         if piece[0] != "<" or not (m := _NAME.match(piece)):
             if piece[:2] not in ("<!", "<?"):
+                if stack and stack[-1][0] == "head" and not piece.isspace():
+                    stack.pop()
+                    path, out, main = stack[-1][1:4] if stack else (0, 0, 0)
                 parts.append(piece)
                 if links:
                     linked += len(piece.strip())
             continue
         name = m[1].lower()
+        if piece[1] != "/" and name not in _HEAD:
+            depth = next((k for k in range(min(3, len(stack))) if stack[k][0] == "head"), None)
+            if depth is not None:
+                flush()
+                del stack[depth:]
+                path, out, main = stack[-1][1:4] if stack else (0, 0, 0)
         if name == "br":
             parts.append(" ")
             continue
@@ -117,18 +153,34 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
                     if stack[k][0] in _BLOCK and stack[k][0] not in ("p", "li"):
                         break
             marks = " ".join(filter(None, (x for g in _MARKS.findall(piece) for x in g))).lower() if "=" in piece else ""
-            above = stack[-1] if stack else ("", 0, 0, 0)
+            above = stack[-1] if stack else ("", 0, 0, 0, 0)
             path = crc32(f"/{name}.{marks}".encode(), above[1])
-            excluded = above[2] + (name in _OUT_TAGS or bool(marks) and not _OUT_WORDS.isdisjoint(_WORD.findall(marks)) and name not in ("html", "body"))
+            sort = _excluded(marks) if marks and name not in ("html", "body") else 0
+            excluded, within = above[2] + (name in _OUT_TAGS or sort == 2), above[4]
+            if sort == 1 and not excluded:
+                doubt.append([within, False, 0])
+                within = len(doubt) - 1
+            if within and not excluded and (name in _IN_TAGS or name == "h1"):
+                k = within
+                while k:
+                    doubt[k][1], k = True, doubt[k][0]
             if not piece.endswith("/>"):
-                stack.append((name, path, excluded, above[3] + (name in _IN_TAGS and not excluded)))
+                stack.append((name, path, excluded, above[3] + (name in _IN_TAGS and not excluded), within))
             if name in _BLOCK:
                 counts[path] = counts.get(path, 0) + 1
                 slot = path
-        top = stack[-1] if stack else ("", 0, 0, 0)
+        top = stack[-1] if stack else ("", 0, 0, 0, 0)
         path, out, main = top[1], top[2], top[3]
         links = sum(s[0] == "a" for s in stack) if name == "a" or not stack else links if any(s[0] == "a" for s in stack[-3:]) else 0
     flush()
+    if len(doubt) > 1:
+        for b, k in zip(blocks, inside, strict=True):
+            while k and not b.out:
+                doubt[k][2], k = doubt[k][2] + len(b.text) - b.linked, doubt[k][0]
+        total = sum(len(b.text) - b.linked for b in blocks if not b.out)
+        for b, k in zip(blocks, inside, strict=True):
+            while k and not b.out:
+                b.out, k = not doubt[k][1] and 2 * doubt[k][2] < total, doubt[k][0]
     return blocks, counts
 
 

@@ -111,3 +111,20 @@ def test_templates_inside_articles(spark):
     assert texts[3] == "Title 3\n\nBody 3 is long enough to be text.\n\nAfter 3 more."
     assert texts[9] == "The first half 9 is the longer one of both.\n\nSecond half 9."
     assert texts[17] == "Same\n\non every page"
+
+
+def test_unclosed_and_wrappers():
+    text = "<h1>A title</h1><p>The text of the page.</p>"
+    want = "A title\n\nThe text of the page."
+    for page in (
+        f"<html><head><meta charset=x><title>t</title>{text}",
+        f"<html><head><title>t</title><body>{text}",
+        f"<button>{text}",
+        f"<object data=x>{text}<button>b</button>",
+        f'<div class="content no-sidebar">{text}</div>',
+        f'<div class="post has-comments">{text}<div class="share-line">Share</div></div>',
+        f'<div class="site-navigation-top">{text}</div>',
+    ):
+        assert html.main_text(page) == want, page
+    assert html.main_text("<head><title>t</title>plain text") == "plain text"
+    assert html.main_text(f'{text}<div class="related-posts"><p>Other</p></div><object>a<object>b</object></object>') == want
