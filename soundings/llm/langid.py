@@ -1,6 +1,7 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Each word has hashed affix and character n-gram features and lexicon features; a learned transition matrix joins
+Each word has hashed affix and character n-gram features and lexicon features, the n-grams at every offset; a run of more
+than ``PIECE`` letters, as in text without spaces, is cut into pieces of that many, each a word of its own; a learned transition matrix joins
 neighbouring words, so a code-switched text gets a label per word by forward-backward. A document's language is the
 label with the largest mean posterior over all of its words, and that mean is its score.
 
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 from .frames import by_batch
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1600, 20_000
-_BUCKETS, _WIDTH = 1 << 15, 27
-_WORD = re.compile(r"[^\W\d_]+")
+PIECE = 24
+_BUCKETS, _WIDTH = 1 << 15, 9 + PIECE - 1 + PIECE - 2
+_WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 _BLOCK, _RESCALE = 128, 16
-_CACHE_WORDS = 150_000
+_CACHE_WORDS, _AT_ONCE = 150_000, 20_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; none if the text has no letter."""
+    """Runs of letters, lower-cased, in pieces of at most ``PIECE``; none if the text has no letter."""
     found = _WORD.findall(text.lower()) if text else []
     return found if any(c.isalpha() for w in found for c in w) else []
 
@@ -43,7 +45,7 @@ def words_of(text: str | None) -> list[str]:
 def _features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Feature numbers of distinct words: the bias, lexicon language, hashed affixes, n-grams and the word itself."""
     n, base, none = len(words), 1 + 64, 1 + 64 + _BUCKETS
-    chars = np.array(words, "<U24").view(np.uint32).reshape(n, 24).astype(np.uint64)
+    chars = np.array(words, f"<U{PIECE}").view(np.uint32).reshape(n, PIECE).astype(np.uint64)
     size = np.count_nonzero(chars, axis=1)
     every = np.arange(n)
     out = np.full((n, _WIDTH), none, np.int64)
@@ -61,10 +63,11 @@ def _features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     for k in (1, 2, 3):
         out[:, 1 + k] = hashed(10 + k, *(chars[:, i] for i in range(k)))
         out[:, 4 + k] = hashed(20 + k, *ends[:k])
-    out[:, 8] = hashed(30, *(chars[:, i] for i in range(24)))
-    for i in range(9):
+    out[:, 8] = hashed(30, *(chars[:, i] for i in range(PIECE)))
+    for i in range(min(PIECE, int(size.max(initial=0))) - 1):
         out[:, 9 + i] = np.where(size >= i + 2, hashed(40, chars[:, i], chars[:, i + 1]), none)
-        out[:, 18 + i] = np.where(size >= i + 3, hashed(50, chars[:, i], chars[:, i + 1], chars[:, i + 2]), none)
+        if i < PIECE - 2:
+            out[:, 8 + PIECE + i] = np.where(size >= i + 3, hashed(50, chars[:, i], chars[:, i + 1], chars[:, i + 2]), none)
     return out
 
 
@@ -90,7 +93,8 @@ class Model:
         new = [w for w in dict.fromkeys(words) if w not in rows]
         if new:
             rows.update(zip(new, range(len(self._table), len(self._table) + len(new)), strict=True))
-            self._table = np.concatenate([self._table, self.emit[_features(new, self.lexicon)].sum(1, dtype=np.float32)])
+            parts = (new[i : i + _AT_ONCE] for i in range(0, len(new), _AT_ONCE))
+            self._table = np.concatenate([self._table, *(self.emit[_features(part, self.lexicon)].sum(1, dtype=np.float32) for part in parts)])
         return self._table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
     def posteriors(self, words: list[str], first: np.ndarray) -> np.ndarray:

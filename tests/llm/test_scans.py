@@ -88,6 +88,21 @@ def test_forward_backward_in_blocks():
         assert np.abs(plain[0] - post[a:b]).max() < 1e-9
 
 
+def test_language_of_long_runs():
+    """Every letter counts: runs of two languages that begin alike, and differ only after 30 letters."""
+    rng = random.Random(4)
+    head = "xyz" * 10
+    tails = {"aa": "abcdefg", "bb": "hijklmn"}
+    run = lambda k: head + "".join(rng.choice(tails[k]) for _ in range(60))
+    model = langid.fit([(run(k), k) for k in tails for _ in range(60)])
+    want = [k for k in tails for _ in range(20)]
+    assert model.predict([run(k) for k in want])[0] == want
+    middle = lambda k: "qrstuvqrstuv" + "".join(rng.choice(tails[k]) for _ in range(6)) + "qrst"
+    model = langid.fit([(middle(k), k) for k in tails for _ in range(60)])
+    assert model.predict([middle(k) for k in want])[0] == want
+    assert "".join(langid.words_of("ab" * 5000)) == "ab" * 5000
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "bdfgkl" for b in ("ar", "en", "ip", "os", "ut")]
