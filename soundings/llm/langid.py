@@ -5,8 +5,9 @@ than ``PIECE`` letters, as in text without spaces, is cut into pieces of that ma
 neighbouring words, so a code-switched text gets a label per word by forward-backward. A document's language is the
 label with the largest mean posterior over all of its words, and that mean is its score.
 
-The model is fitted on the driver from a bounded sample of labelled documents (``SAMPLE_DOCS`` documents of at most
-``SAMPLE_CHARS`` characters, about equally many per language, chosen by a hash of their id); nothing else is bounded.
+The model is fitted on the driver from a bounded sample of labelled documents (``SAMPLE_DOCS`` documents
+in equal parts per language, at least one of each, chosen by a hash of their id; of a text of more than ``SAMPLE_CHARS``
+characters a run of words of that size); nothing else is bounded.
 Training sequences join runs of words from different documents, so that the transitions see language changes.
 
 Prediction runs batch by batch without a shuffle. The words of a batch are one long chain whose links between documents
@@ -23,7 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import by_batch
@@ -32,7 +33,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1600, 20_000
 PIECE = 24
 _BUCKETS, _WIDTH = 1 << 15, 9 + PIECE - 1 + PIECE - 2
 _WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
-_BLOCK, _RESCALE = 128, 16
+_BLOCK, _RESCALE, _CHAIN = 128, 16, 4_000_000
 _CACHE_WORDS, _AT_ONCE = 150_000, 20_000
 
 
@@ -44,13 +45,13 @@ def words_of(text: str | None) -> list[str]:
 
 def _features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Feature numbers of distinct words: the bias, lexicon language, hashed affixes, n-grams and the word itself."""
-    n, base, none = len(words), 1 + 64, 1 + 64 + _BUCKETS
+    n, base, none = len(words), 1, 1 + _BUCKETS
     chars = np.array(words, f"<U{PIECE}").view(np.uint32).reshape(n, PIECE).astype(np.uint64)
     size = np.count_nonzero(chars, axis=1)
     every = np.arange(n)
     out = np.full((n, _WIDTH), none, np.int64)
     out[:, 0] = 0
-    out[:, 1] = [none if (k := lexicon.get(w)) is None else 1 + k for w in words]
+    out[:, 1] = [none if (k := lexicon.get(w)) is None else none + 1 + k for w in words]
 
     def hashed(salt: int, *columns: np.ndarray) -> np.ndarray:
         h = np.full(n, salt, np.uint64)
@@ -145,6 +146,21 @@ class Model:
         return post / post.sum(1, keepdims=True)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text; texts share a chain up to a number of words that falls with the labels."""
+        most = max(1, _CHAIN // (len(self.labels) + len(self.labels) ** 2 // _BLOCK + 1))
+        preds, scores, some, size = [], [], [], 0
+        for t in texts:
+            if some and size + len(t or "") > 4 * most:
+                for held, new in zip((preds, scores), self._predict(some), strict=True):
+                    held += new
+                some, size = [], 0
+            some.append(t)
+            size += len(t or "")
+        for held, new in zip((preds, scores), self._predict(some), strict=True):
+            held += new
+        return preds, scores
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words, starts, sizes = [], [], []
         for t in texts:
             w = words_of(t)
@@ -167,10 +183,11 @@ class Model:
 
 def fit(samples: list[tuple[str, str]], seed: int = 0, rounds: int = 8, sequences: int = 512) -> Model:
     """Fit by AdaGrad on the conditional log-likelihood of sequences made of runs of words from labelled texts."""
-    labels = sorted({lang for _, lang in samples})[:64]
+    labels = sorted({lang for _, lang in samples})
     number = {lang: k for k, lang in enumerate(labels)}
     docs = [(w, number[lang]) for t, lang in samples if lang in number and (w := words_of(t))]
-    size = 1 + 64 + _BUCKETS + 1  # the last row pads and stays zero
+    none = 1 + _BUCKETS  # this row pads and stays zero; those of the lexicon lie behind it
+    size = none + 1 + len(labels)
     emit, move, start = np.zeros((size, len(labels)), np.float32), np.zeros((len(labels),) * 2), np.zeros(len(labels))
     if not docs:
         return Model([], {}, emit, move, start)
@@ -210,7 +227,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 0, rounds: int = 8, sequence
             d_start = d[:, 0].sum(0)
             grad = np.zeros((size, len(labels)))
             np.add.at(grad, f.reshape(-1, _WIDTH), d.reshape(-1, 1, len(labels)))
-            grad[-1] = 0
+            grad[none] = 0
             n = len(half)
             g_emit += (grad / n) ** 2 @ np.ones(len(labels)) / len(labels)
             emit += (0.3 * (grad / n) / np.sqrt(g_emit)[:, None]).astype(np.float32)
@@ -247,17 +264,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_sample(df: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``docs`` labelled training texts of at most ``chars`` characters, about as many for each language."""
-    usable = df.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    if not counts:
+    """About ``docs`` labelled training texts, equally many for each language that has them; of longer texts ``chars`` characters."""
+    usable = df.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull())
+    counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+    labels = counts.count()
+    if not labels:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(1.3 * docs / len(counts) / n)).otherwise(share)
+    each = max(1, docs // labels)
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    picked = usable.where(place < share).select("text", "lang", place.alias("place")).orderBy("place").limit(docs)
-    return [(r["text"], r["lang"]) for r in picked.select("text", "lang").collect()]
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), F.length("text") - chars + 1)
+    run = F.regexp_replace(F.regexp_replace(F.substring("text", start, F.lit(chars)), r"^\S+\s", ""), r"\s\S+$", "")
+    # Twice as many and some more than needed, so that the ranked rows are few and no language falls short by chance.
+    near = usable.join(F.broadcast(counts), "lang").select("lang", "text", "doc_id", place.alias("_place"), "_n").where(F.col("_place") < (2.0 * each + 20) / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "text"))
+    picked = near.withColumn("_rank", rank).where(F.col("_rank") <= each).withColumn("text", F.when(F.length("text") > chars, run).otherwise(F.col("text")))
+    return [(r["text"], r["lang"]) for r in sorted(picked.select("text", "lang", "_rank").collect(), key=lambda r: (r["_rank"], r["lang"]))]
 
 
 def predict_language(df: DataFrame, model: Model) -> DataFrame:

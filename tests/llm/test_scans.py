@@ -103,6 +103,21 @@ def test_language_of_long_runs():
     assert "".join(langid.words_of("ab" * 5000)) == "ab" * 5000
 
 
+def test_sample_holds_rare_languages(spark):
+    sizes = [(k, 1500) for k in ("aa", "bb", "cc", "dd")] + [("ee", 120)] + [("long", 30)]
+    rows = [(k, f"{k} text") for k, n in sizes for _ in range(n)]
+    df = spark.createDataFrame([(i, t if k != "long" else "word " * 9000 + "end", k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    picked = langid.training_sample(df, docs=360)
+    count = {k: sum(x == k for _, x in picked) for k, _ in sizes}
+    assert all(count[k] == 60 for k in ("aa", "bb", "cc", "dd", "ee")) and 10 <= count["long"] <= 30
+    assert all(set(t.split()) <= {"word", "end"} and 19_000 < len(t) <= 20_000 for t, k in picked if k == "long")
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 90:02}") for i in range(900)], "doc_id long, text string, lang string")
+    sample = langid.training_sample(many, docs=180)
+    assert len({k for _, k in sample}) == 90
+    model = langid.fit(sample, rounds=1, sequences=64)
+    assert len(model.labels) == 90 and len(model.predict([t for t, _ in sample])[0]) == len(sample)
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "bdfgkl" for b in ("ar", "en", "ip", "os", "ut")]
