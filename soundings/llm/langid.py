@@ -3,7 +3,8 @@
 Each word has hashed affix and character n-gram features and lexicon features, the n-grams at every offset; a run of more
 than ``PIECE`` letters, as in text without spaces, is cut into pieces of that many, each a word of its own; a learned transition matrix joins
 neighbouring words, so a code-switched text gets a label per word by forward-backward. A document's language is the
-label with the largest mean posterior over all of its words, and that mean is its score.
+label with the largest mean posterior over all of its words, and that mean is its score. Whether its language is recognised
+at all is told by the mean of each word's own largest posterior, which is high for a text in several languages too.
 
 The model is fitted on the driver from a bounded sample of labelled documents (``SAMPLE_DOCS`` documents
 in equal parts per language, at least one of each, chosen by a hash of their id; of a text of more than ``SAMPLE_CHARS``
@@ -146,39 +147,44 @@ class Model:
         return post / post.sum(1, keepdims=True)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text; texts share a chain up to a number of words that falls with the labels."""
+        """Language and score of each text."""
+        return self.scan(texts)[:2]
+
+    def scan(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and mean of the words' largest posteriors of each text; texts share a chain up to a number of words that falls with the labels."""
         most = max(1, _CHAIN // (len(self.labels) + len(self.labels) ** 2 // _BLOCK + 1))
-        preds, scores, some, size = [], [], [], 0
+        found, some, size = ([], [], []), [], 0
         for t in texts:
             if some and size + len(t or "") > 4 * most:
-                for held, new in zip((preds, scores), self._predict(some), strict=True):
-                    held += new
+                for held, new in zip(found, self._scan(some), strict=True):
+                    held.extend(new)
                 some, size = [], 0
             some.append(t)
             size += len(t or "")
-        for held, new in zip((preds, scores), self._predict(some), strict=True):
-            held += new
-        return preds, scores
+        for held, new in zip(found, self._scan(some), strict=True):
+            held.extend(new)
+        return found
 
-    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def _scan(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         words, starts, sizes = [], [], []
         for t in texts:
             w = words_of(t)
             starts.append(len(words))
             sizes.append(len(w))
             words += w
-        preds, scores = ["und"] * len(texts), [0.0] * len(texts)
+        preds, scores, certain = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not words or not self.labels:
-            return preds, scores
+            return preds, scores, certain
         full = np.flatnonzero(sizes)
         at = np.array(starts)[full]
         first = np.zeros(len(words), bool)
         first[at] = True
-        mean = np.add.reduceat(self.posteriors(words, first), at) / np.array(sizes)[full][:, None]
-        for i, row in zip(full, mean, strict=True):
+        post, n = self.posteriors(words, first), np.array(sizes)[full]
+        mean, top = np.add.reduceat(post, at) / n[:, None], np.add.reduceat(post.max(1), at) / n
+        for i, row, c in zip(full, mean, top, strict=True):
             k = int(row.argmax())
-            preds[i], scores[i] = self.labels[k], float(min(1.0, max(0.0, row[k])))
-        return preds, scores
+            preds[i], scores[i], certain[i] = self.labels[k], float(min(1.0, max(0.0, row[k]))), float(c)
+        return preds, scores, certain
 
 
 def fit(samples: list[tuple[str, str]], seed: int = 0, rounds: int = 8, sequences: int = 512) -> Model:
@@ -299,12 +305,16 @@ def language_digest(df: DataFrame) -> DataFrame:
 
 
 def keep_known(df: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows whose language is recognised: some label with a mean posterior of at least ``least``."""
+    """The rows whose words are recognised: the mean of each word's largest posterior is at least ``least``.
+
+    With more than five languages twice an even share is enough, since close languages share their words' posteriors.
+    """
     model = fit(training_sample(df))
+    least = min(least, 2 / max(1, len(model.labels)))
     schema = df.schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        preds, scores = model.predict(b.column(schema.names.index("text")).to_pylist())
-        return b.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+        preds, _, certain = model.scan(b.column(schema.names.index("text")).to_pylist())
+        return b.filter(pa.array([p != "und" and c >= least for p, c in zip(preds, certain, strict=True)], pa.bool_()))
 
     return by_batch(df, schema, run)

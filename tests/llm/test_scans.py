@@ -118,6 +118,16 @@ def test_sample_holds_rare_languages(spark):
     assert len(model.labels) == 90 and len(model.predict([t for t, _ in sample])[0]) == len(sample)
 
 
+def test_keeps_texts_in_three_languages(spark):
+    rng = random.Random(9)
+    parts = {"aa": ["the", "and", "ing", "tion", "was"], "bb": ["der", "und", "sch", "keit", "ung"], "cc": ["que", "ción", "los", "ado", "ñas"]}
+    text = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(2)) for _ in range(n))
+    rows = [(i, text(k, 40), k) for i, k in enumerate(list(parts) * 60)]
+    rows += [(1000 + i, " ".join(text(k, 20) for k in parts), None) for i in range(10)] + [(2000, "123", None), (2001, None, None)]
+    kept = {r.doc_id for r in langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {i for i, _, _ in rows if i < 2000}
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "bdfgkl" for b in ("ar", "en", "ip", "os", "ut")]
