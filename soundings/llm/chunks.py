@@ -5,9 +5,11 @@ least ``LEAST`` bytes behind the previous such byte; stretches without a border
 depend on nearby bytes alone, so an insertion moves only the chunks around it.
 
 Chunks are known by a 64-bit digest. A digest that occurs in two or more documents is repeated; neighbouring repeated
-chunks of a document merge into regions, and a region of ``WORDS`` words or more is a repeated passage (of a
+chunks of a document merge into regions, and a region of ``WORDS`` words or more is repeated (of a
 passage of more than 50 words, the chunks at its ends are lost; about one in a hundred falls below that). Of each digest the occurrence in the document with
-the smallest id is the one kept.
+the smallest id is the one kept; only after the threshold a region is divided into its kept and its other parts, each a
+passage of its own, of any length. Kept parts of fewer than ``WORDS`` words together are no passage that is first met here
+(a chance word at the end of an older one) and have no row; nothing is cut from them.
 
 Scale: chunk rows are (digest, document, offsets), about as large as the text; digests are counted with map-side
 partial aggregates, so a chunk that every third document holds is one row per task, and the join back to the chunks is
@@ -89,17 +91,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, start, end, n_words, n_chunks, first_doc_id, kept``: each passage of a document that another one holds too.
 
     ``first_doc_id`` is the smallest document that holds one of the passage's chunks; ``kept`` passages are met here first.
+    ``least_words`` counts for a whole region: a passage may be shorter where a region is partly kept.
     """
     chunks = chunk_rows(df, id_col, text_col)
     seen = chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
     rows = chunks.join(seen, "digest").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size", "words", "first", (F.col("first") == F.col("doc")).alias("own")))).alias("held"))
-    return rows.select(F.col("doc").alias(id_col), F.explode(_regions("held")).alias("r")).where(F.col("r.n_words") >= least_words).select(
+    return rows.select(F.col("doc").alias(id_col), F.explode(_regions("held", least_words)).alias("r")).select(
         id_col, "r.start", "r.end", "r.n_words", "r.n_chunks", F.col("r.first").alias("first_doc_id"), F.col("r.own").alias("kept")
     )
 
 
-def _regions(column: str):
-    """Neighbouring chunks of one document, all kept or all repeated, joined into regions by one pass over them."""
+def _regions(column: str, least_words: int):
+    """Parts, each all kept or all not, of the regions of neighbouring chunks that have enough words, by one pass over them."""
     schema = "array<struct<start:int,end:int,n_words:int,n_chunks:int,first:bigint,own:boolean>>"
 
     @F.pandas_udf(schema)
@@ -107,15 +110,24 @@ def _regions(column: str):
         import pandas as pd
 
         def one(chunks) -> list[tuple]:
-            out: list[list] = []
+            regions: list[list[list]] = []
             for c in chunks:
                 at, size, words, first, own = c["at"], c["size"], c["words"], c["first"], c["own"]
-                if out and out[-1][1] == at and out[-1][5] == own:
-                    r = out[-1]
+                if not regions or regions[-1][-1][1] != at:
+                    regions.append([])
+                parts = regions[-1]
+                if parts and parts[-1][5] == own:
+                    r = parts[-1]
                     r[1], r[2], r[3], r[4] = at + size, r[2] + words, r[3] + 1, min(r[4], first)
                 else:
-                    out.append([at, at + size, words, 1, first, own])
-            return [dict(zip(("start", "end", "n_words", "n_chunks", "first", "own"), r, strict=True)) for r in out]
+                    parts.append([at, at + size, words, 1, first, own])
+            names = ("start", "end", "n_words", "n_chunks", "first", "own")
+            held = []
+            for parts in regions:
+                own_words = sum(r[2] for r in parts if r[5])
+                if own_words + sum(r[2] for r in parts if not r[5]) >= least_words:
+                    held += [dict(zip(names, r, strict=True)) for r in parts if not r[5] or own_words >= least_words]
+            return held
 
         return pd.Series([one(x) for x in lists])
 

@@ -84,6 +84,21 @@ def test_repeated_passages(spark):
     assert left[0] == by[0] and left[1] == by[1] and len(left[4]) < len(by[4])
 
 
+def test_passages_around_a_phrase_of_a_smaller_document(spark):
+    """Document 1 holds words 20 to 33 of a passage of 52 that documents 5 and 9 hold whole."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    for _ in range(3):
+        passage = text(52)
+        rows = [(1, " ".join(text(60) + passage[20:34] + text(60)))] + [(k, " ".join(text(50) + passage + text(50))) for k in (5, 9)]
+        got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.n_words for r in got if r.doc_id == 5) == sum(r.n_words for r in got if r.doc_id == 9) >= 25
+        own = [r for r in got if r.doc_id == 5]
+        assert {r.kept for r in own} == {True, False} and not any(r.kept for r in got if r.doc_id == 9)
+        assert {r.doc_id for r in got} == {5, 9}
+
+
 PAGE = """<html><head><title>T &amp; x</title></head><body class="home"><header><h1>Site</h1></header><nav><ul><li><a href=x>a</a></ul></nav>
 <div class="cookie-notice">we use</div><aside>side</aside><main><article class="post"><h2>Head &eacute;</h2><p>One <b>two<br>three<p>Four &lt;x&gt; <i>five</i></p><div class="ad">buy</div><form>sub<input></form><ul><li>l1<li>l2</ul>
 <section id="comments"><article><p>comment</p></article></section></article></main><footer>f</footer><script>var a="</p>";</script></body></html>"""
