@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, with built-in DataFrame functions only.
 
 A seed is a fixed mask over a run of words; words at its zeros are ignored, so a substituted word there does not
-matter. Every position of every training text and benchmark item is hashed under each mask, equal hashes are joined,
-and a hit fixes how the item would lie on the text. The overlap is then verified word by word along the whole item:
+matter. Every position of every training text and every third of a benchmark item is hashed under each mask, equal hashes
+are joined, and a hit fixes how the item would lie on the text. No overlap that would be accepted is without a hit: an item
+of n words, or a run of 24 of them, has more disjoint seeds of three words than the quarter of them that may be
+substituted; items of 8 words get all positions and a second mask. The overlap is then verified word by word along the whole item:
 substitutions are tolerated, and the overlap must match ``MATCHED`` of the item's words, or of ``LONGEST`` words of it.
 
 Scale: word hashes are computed once per text and the masks combine them. Hashes of the texts are joined to the
@@ -10,9 +12,8 @@ benchmark's, which is split into slices of at most ``SLICE`` hashes; each slice
 construction, and a larger benchmark only means more slices. Nothing of the corpus is shuffled for the join; only
 documents with a hit have their texts fetched again for verification.
 
-A null or empty text has no words and no overlap. For items shorter than the shortest
-mask (``LEAST_WORDS`` words at least; those below hold too little to tell) two masks of their length are added, one for
-each half, so one substitution is tolerated. Repeated rows share their result. Ties: each pair of document and item is reported once, with
+A null or empty text has no words and no overlap. Items under ``EXACT_WORDS`` words must match in full; those under
+``LEAST_WORDS`` hold too little to tell. Repeated rows share their result. Ties: each pair of document and item is reported once, with
 its best overlap, the smallest offset first.
 """
 
@@ -21,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the word counts, 0: it is ignored. Weight 7 of 11 and 10; any two substitutions 6 or more apart leave a hit.
-MASKS = ("11101001011", "1101100111")
-MATCHED, LONGEST, LEAST_WORDS = 0.75, 24, 6
+#: 1: the word counts, 0: it is ignored. The second one is for items of ``EIGHT`` words, whose three runs may be of two words.
+MASKS, EIGHT = ("111", "1101"), 8
+MATCHED, LONGEST, LEAST_WORDS, EXACT_WORDS = 0.75, 24, 4, 6
 SLICE = 200_000
 
 
@@ -47,6 +48,15 @@ def seed_hashes(df: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...
     return hashed.select("id", F.inline(every))
 
 
+def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, mask, seed, at``: the seeds of benchmark items; each third position, or every one where that is too few."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), F.size(words(F.col(text_col))).alias("_n")).where(F.col("_n") >= LEAST_WORDS)
+    every = seed_hashes(rows, "id", "_t", MASKS[:1]).withColumn("mask", F.lit(MASKS[0])).join(rows.select("id", "_n").distinct(), "id")
+    thirds = every.where((F.col("at") % 3 == 0) | (F.col("_n") <= EIGHT))
+    eight = seed_hashes(rows.where(F.col("_n") == EIGHT), "id", "_t", MASKS[1:]).withColumn("mask", F.lit(MASKS[1]))
+    return thirds.select("id", "mask", "seed", "at").unionByName(eight.select("id", "mask", "seed", "at"))
+
+
 def _overlap(doc: Column, item: Column, shift: Column) -> Column:
     """For an item laid on a text at a shift: 1 or 0 for each of its words that lies within the text."""
     places = F.sequence(F.lit(0), F.size(item) - 1)
@@ -57,9 +67,8 @@ def _overlap(doc: Column, item: Column, shift: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``id_col, item_col, start_word, n_matched, n_item_words``: each pair of a document and an item that it holds."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= LEAST_WORDS)
-    shorter = sorted({r[0] for r in items.where(F.size("item_words") < min(map(len, MASKS))).select(F.size("item_words")).distinct().collect()})
-    masks = MASKS + tuple(m for n in shorter for m in ("1" * (n // 2) + "0" * (n - n // 2), "0" * (n // 2) + "1" * (n - n // 2)))
-    theirs = seed_hashes(benchmark, item_col, "text", masks).select(F.col("id").alias("item"), "seed", F.col("at").alias("item_at")).distinct()
+    masks = MASKS if items.where(F.size("item_words") == EIGHT).limit(1).count() else MASKS[:1]
+    theirs = item_seeds(benchmark, item_col, "text").select(F.col("id").alias("item"), "seed", F.col("at").alias("item_at")).distinct()
     slices = max(1, -(-theirs.count() // SLICE))
     ours = seed_hashes(docs, id_col, text_col, masks)
     hits = None
@@ -75,7 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window = lambda p: F.aggregate(F.slice("same", p, span), F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - span + 1), window))
     scored = same.select("doc", "item", "shift", "n", total.alias("matched"), best.alias("best"), span.alias("span"))
-    held = scored.where((F.col("matched") >= MATCHED * F.col("n")) | (F.col("best") >= MATCHED * F.col("span")))
+    enough = F.when(F.col("n") < EXACT_WORDS, F.col("n")).otherwise(MATCHED * F.col("n"))
+    held = scored.where((F.col("matched") >= enough) | (F.col("n") >= EXACT_WORDS) & (F.col("best") >= MATCHED * F.col("span")))
     top = held.groupBy("doc", "item").agg(F.min(F.struct((-F.col("matched")).alias("less"), "shift", "n")).alias("top"))
     return top.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("top.shift").cast("long").alias("start_word"), (-F.col("top.less")).cast("long").alias("n_matched"), F.col("top.n").cast("long").alias("n_item_words"))
 

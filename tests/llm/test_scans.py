@@ -150,3 +150,39 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, k in rows if k is None}
     plan = decontam.contaminated(docs.select("doc_id", "text"), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_accepted_overlap_has_a_seed(spark):
+    """By enumeration: no pattern of substitutions within the threshold hits all of an item's seeds."""
+    from itertools import combinations
+
+    sizes = range(decontam.EXACT_WORDS, 61)
+    items = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in sizes], "item_id long, text string")
+    seeds = {n: [] for n in sizes}
+    for r in decontam.item_seeds(items, "item_id", "text").collect():
+        seeds[r.id].append({r.at + i for i, c in enumerate(r.mask) if c == "1"})
+    bits = lambda places: sum(1 << i for i in places)
+    for n in range(decontam.EXACT_WORDS, 25):
+        held = [bits(s) for s in seeds[n]]
+        assert all(any(not gone & s for s in held) for gone in map(bits, combinations(range(n), n // 4))), n
+    for start in range(36):  # any 24 words of a longer item, of which 6 may differ
+        held = [bits(i - start for i in s) for s in seeds[60] if min(s) >= start and max(s) < start + 24]
+        disjoint = {k: sum(1 for s in seeds[60] if min(s) >= start and max(s) < start + 24 and min(s) % 3 == k) for k in range(3)}
+        assert held and max(disjoint.values()) > 6, start
+    assert all(sum(min(s) % 3 == 0 for s in seeds[n]) > n // 4 for n in range(25, 61))
+
+
+def test_substitutions_of_short_items(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in range(4, 31)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for gone in ([], [n // 2], list(range(3, n, 4))[: n // 4], list(range(2, n, 3))[: n // 4], rng.sample(range(n), n // 4)):
+            body = [word() if i in gone else w for i, w in enumerate(item)]
+            if n >= 6 or not gone:
+                want.add((len(rows), n))
+            rows.append((len(rows), " ".join([word() for _ in range(30)] + body + [word() for _ in range(30)])))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want
