@@ -11,17 +11,22 @@ wrong if some border pair would have been merged before one of the undone merges
 Encoding equals the ``tokenizers`` library's with ``add_special_tokens=False``; strings of special tokens in a text
 become those tokens. Decoding joins the tokens' bytes. A null text is an empty one: no tokens, empty decoded text.
 Very long words are walked with an explicit stack of nodes, linear in their length. Work is per batch of rows and needs
-no shuffle; each worker remembers the encodings of at most ``CACHE_WORDS`` words.
+no shuffle; each worker remembers the encodings of at most ``CACHE_WORDS`` words, from one task to the next.
+
+Texts are cut into words by Arrow, a batch at once, and each distinct word of a batch is met once in Python; ids, listed
+ids and decoded bytes of the texts are gathered from their words' by index.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +35,8 @@ from .frames import by_batch, tokenizer_path
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 220_000, 300_000, 64
+#: Bounds of what a worker remembers: words, their ids, and pairs of tokens.
+CACHE_WORDS, CACHE_IDS, CACHE_PAIRS = 500_000, 4_000_000, 300_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -151,107 +157,119 @@ class Vocabulary:
         return out
 
 
+#: Stands before a special token: no pre-token has white space between other characters.
+SPECIAL = "\0 "
+#: Characters that every Unicode version since 11 sorts into the same classes; texts of these alone are cut by Arrow.
+_STABLE = r"\x{0001}-\x{052F}\x{2010}-\x{2027}\x{20AC}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FEF}"
+#: Other characters, white space other than blanks and line feeds, or white space that touches another.
+_ODD = rf"[^{_STABLE}]|[\t\x0b\f\r\x1c-\x1f\x85\x{{A0}}]|[ \n][ \n]"
+#: The same pattern for texts that are not odd, in whose single white space no look-ahead is needed.
+_PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^ \n\p{L}\p{N}]+|[ \n]"
+
+
+class Words:
+    """The pre-tokens of a batch of texts: the distinct ones, and for each place the number of the one that stands there."""
+
+    def __init__(self, distinct: list[str], at: np.ndarray, sizes: np.ndarray):
+        self.distinct, self.at, self.sizes = distinct, at, sizes  # sizes: pre-tokens of each text
+
+
 class Codec:
     """Encodes and decodes whole texts; made once per worker.
 
-    A text whose spaces all stand singly between other characters falls into pieces at its spaces, and no pre-token
-    crosses such a border, so pieces can be remembered as wholes; any other text is split by the pattern at once.
+    Words, once encoded, are remembered up to ``CACHE_WORDS``: their ids lie in one array, found by a word's number.
     """
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
         self.words = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
-        self.names = {i: str(i) for i in v.bytes}
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.pieces: dict[str, tuple[str, bytes]] = {}
-        self.counted: dict[str, int] = {}
+        self.marks = "|".join(map(re.escape, v.special)) or None
+        table = [b""] * (max(v.bytes) + 1)
+        for i, b in v.bytes.items():
+            table[i] = b
+        self.table = pa.array(table, pa.large_binary())
+        self.forget()
 
     def forget(self) -> None:
         """Let go of everything but the vocabulary."""
-        for cache in (self.known, self.pieces, self.counted, self.vocabulary._fits, self.vocabulary.moves):
-            cache.clear()
-
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, bytes]]:
-        """For each given word its token ids, listed with commas, and the bytes that these decode to."""
+        self.known: dict[str, int] = {}
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
+        self.vocabulary._fits.clear()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode the given distinct words, which are new, and remember them."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        marked = len(SPECIAL)
+        codes = self.vocabulary.encode_words(set(raw))
+        found = [(self.vocabulary.special[w[marked:]],) if w.startswith(SPECIAL) else codes[b] for w, b in zip(words, raw, strict=True)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
+        self.known.update(zip(words, range(len(self.counts), len(self.counts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+        self.counts, self.pool = np.concatenate([self.counts, counts]), np.concatenate([self.pool, flat])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words, which say where their ids lie."""
+        if len(self.known) + len(words) > CACHE_WORDS or len(self.pool) > CACHE_IDS:
+            self.forget()
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = {w: w.encode("utf-8", "surrogatepass") for w in words if w not in known}
-        codes = self.vocabulary.encode_words(set(new.values()))
-        name, raw = self.names.__getitem__, self.vocabulary.bytes.__getitem__
-        extra = {}
-        for w, b in new.items():
-            ids = codes[b]
-            (known if len(w) <= CACHE_LENGTH else extra)[w] = (",".join(map(name, ids)), b"".join(map(raw, ids)))
-        return {**known, **extra} if extra else known
-
-    def sizes(self, words: Iterable[str]) -> dict[str, int]:
-        """Numbers of tokens of the given words."""
-        words = set(words)
-        known = self.learn(words)
-        return {w: known[w][0].count(",") + 1 for w in words}
-
-    def part_sizes(self, parts: set[str]) -> dict[str, int]:
-        """Numbers of tokens of distinct parts."""
-        if len(self.counted) > CACHE_WORDS:
-            self.counted.clear()
-        counted = self.counted
-        new = {p: self._words(p) for p in parts if p not in counted}
-        known = self.sizes({w for words in new.values() for w in words})
-        out = {p: counted[p] for p in parts if p not in new}
-        for p, words in new.items():
-            out[p] = n = sum([known[w] for w in words])
-            if len(p) <= CACHE_LENGTH:
-                counted[p] = n
-        return out
-
-    def split(self, text: str) -> list[str]:
-        """Parts of a text that encode independently. A part stands for itself behind a space, or, if it starts with
-        NUL, for the rest of it alone: a special token, a text's first piece, or a pre-token."""
-        if self.special is not None and any(s in text for s in self.vocabulary.special):
-            return ["\0" + p for part in self.special.split(text) if part for p in ([part] if part in self.vocabulary.special else self.words(part))]
-        if "\0" in text or text.replace("\n", " ").split(" ") != text.split():  # some white space touches another
-            return ["\0" + p for p in self.words(text)]
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
-
-    def _words(self, part: str) -> list[str]:
-        """The pre-tokens of a part; words of letters, alone or before a full stop or comma, need no pattern."""
-        if part[0] == "\0":
-            return self.words(part[1:])
-        if part.isalpha():
-            return [" " + part]
-        if part[-1] in ".," and part[:-1].isalpha():
-            return [" " + part[:-1], part[-1]]
-        return self.words(" " + part)
-
-    def codes(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[str, bytes]]]:
-        """The parts of each text; the listed token ids and the decoded bytes of each distinct part."""
-        split = [self.split(t) if t else [] for t in texts]
-        pieces = self.pieces
-        if len(pieces) > CACHE_WORDS:
-            pieces.clear()
-        distinct = set().union(*split)
-        special = {"\0" + t: (str(i), t.encode()) for t, i in self.vocabulary.special.items()}
-        new = {p: self._words(p) for p in distinct if p not in pieces and p not in special}
-        known = self.learn({w for words in new.values() for w in words})
-        out = {p: pieces[p] if p in pieces else special[p] for p in distinct if p not in new}
-        for p, words in new.items():
-            if len(words) == 1:
-                code = known[words[0]]
-            else:
-                found = [known[w] for w in words]
-                code = (",".join([c for c, _ in found]), b"".join([r for _, r in found]))
-            out[p] = code
-            if len(p) <= CACHE_LENGTH:
-                pieces[p] = code
-        return split, out
+        if new := [w for w in words if w not in known]:
+            self._learn(new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def split(self, text: str, special: bool = True) -> list[str]:
+        """The pre-tokens of a text and, if asked for, its special tokens."""
+        if special and self.special is not None and any(s in text for s in self.vocabulary.special):
+            return [p for part in self.special.split(text) if part for p in ([SPECIAL + part] if part in self.vocabulary.special else self.words(part))]
+        return self.words(text)
+
+    def cut(self, texts: pa.Array, special: bool = True) -> Words:
+        """The pre-tokens of a batch of texts. Odd texts are cut one by one by the pattern, all others at once by Arrow."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        if special and self.marks:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.marks))
+        parted = pc.replace_substring_regex(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), _PLAIN, "\\0\0")
+        lists = pc.split_pattern(parted, "\0")
+        flat = lists.flatten().dictionary_encode()
+        distinct, at = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(sizes) - 1  # behind the last mark of each text lies an empty piece
+        at = np.delete(at, ends)
+        sizes = sizes - 1
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(where):
+            return Words(distinct, at, sizes)
+        number = {w: i for i, w in enumerate(distinct)}
+        inserted, before = [], np.concatenate([[0], np.cumsum(sizes)])
+        done = 0
+        for i in where.tolist():
+            own = self.split(texts[i].as_py(), special)
+            inserted += [at[done : before[i]], np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own))]
+            done, sizes[i] = before[i], len(own)
+        return Words(list(number), np.concatenate([*inserted, at[done:]]), sizes)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, and how many each text has."""
+        words = self.cut(texts)
+        numbers = self.numbers(words.distinct)[words.at]
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        ids = self.pool[np.repeat(self.starts[numbers] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words.sizes)])]
+        return ids, np.diff(bounds)
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        split, codes = self.codes(texts)
-        return [list(map(int, ",".join([codes[p][0] for p in parts]).split(","))) if parts else [] for parts in split]
+        ids, counts = self.encode_texts(pa.array(texts, pa.string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+
+    def sizes(self, words: Iterable[str]) -> dict[str, int]:
+        """Numbers of tokens of the given words; special tokens count as ordinary text."""
+        words = list(dict.fromkeys(words))
+        numbers = self.numbers(words)
+        return dict(zip(words, self.counts[numbers].tolist(), strict=True))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -268,55 +286,62 @@ def codec(name: str = VOCABULARY) -> Codec:
     return _codecs[path]
 
 
-def forget(name: str = VOCABULARY) -> None:
-    """At the end of a task: let go of this process's caches."""
-    codec(name).forget()
+def _shown(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def encode(df: DataFrame, name: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """The rows with a column ``ids array<int>`` added."""
+def encode(df: DataFrame, name: str = VOCABULARY, text_col: str = "text", into: str = "ids") -> DataFrame:
+    """The rows with a column ``into array<int>`` added, whose name must be free."""
+    if into in df.columns:
+        raise ValueError(f"there is a column {into} already")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = codec(name).encode_batch(b.column(b.schema.names.index(text_col)).to_pylist())
-        return pa.record_batch([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
+        ids, counts = codec(name).encode_texts(b[text_col])
+        return pa.record_batch([*b.columns, _lists(ids, counts)], names=[*b.schema.names, into])
 
-    return by_batch(df.drop("ids"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "ids") + ", ids array<int>", run, lambda: forget(name))
+    return by_batch(df, f"{_shown(df)}, `{into}` array<int>", run)
 
 
-def decode(df: DataFrame, name: str = VOCABULARY, ids_col: str = "ids") -> DataFrame:
-    """The rows with a column ``decoded string`` added."""
+def decode(df: DataFrame, name: str = VOCABULARY, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
+    """The rows with a column ``into string`` added, whose name must be free."""
+    if into in df.columns:
+        raise ValueError(f"there is a column {into} already")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(name)
-        texts = [c.decode(i or ()) for i in b.column(b.schema.names.index(ids_col)).to_pylist()]
-        return pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+        texts = [c.decode(i or ()) for i in b[ids_col].to_pylist()]
+        return pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, into])
+
+    return by_batch(df, f"{_shown(df)}, `{into}` string", run)
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
+
 
-    return by_batch(df.drop("decoded"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "decoded") + ", decoded string", run)
+def _joined(values: pa.Array, counts: np.ndarray, by) -> list:
+    """Buffers of the values of each list, joined."""
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), values)
+    return [x.as_buffer() for x in pc.binary_join(lists, by)]
 
 
 def _digested(df: DataFrame, name: str, carried: list[str], with_ids: bool) -> DataFrame:
     """Encode, decode and digest in one pass: the carried columns, counts, digests and, if asked for, the ids."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carried).schema)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(name)
-        split, codes = c.codes(b["text"].to_pylist())
-        count, digests, texts, ids = [], [], [], []
-        for parts in split:
-            found = [codes[p] for p in parts]
-            listed = ",".join([shown for shown, _ in found])
-            count.append(listed.count(",") + 1 if parts else 0)
-            digests.append(hashlib.sha256(listed.encode()).hexdigest())
-            texts.append(hashlib.sha256(b"".join([raw for _, raw in found]).decode("utf-8", "replace").encode()).hexdigest())
-            if with_ids:
-                ids.append(np.array(listed.split(",") if parts else [], np.int32))
-        columns = [*(b[x] for x in carried), pa.array(count, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+        ids, counts = c.encode_texts(b["text"])
+        listed = _joined(pa.array(ids).cast(pa.large_string()), counts, pa.scalar(",", pa.large_string()))
+        decoded = _joined(c.table.take(pa.array(ids)), counts, pa.scalar(b"", pa.large_binary()))
+        digests = [hashlib.sha256(x).hexdigest() for x in listed]
+        texts = [hashlib.sha256(bytes(x).decode("utf-8", "replace").encode()).hexdigest() for x in decoded]
+        columns = [*(b[x] for x in carried), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
         if with_ids:
-            columns.append(pa.array(ids, pa.list_(pa.int32())))
+            columns.append(_lists(ids, counts))
         return pa.record_batch(columns, names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return by_batch(df.select(*carried, F.col("text").cast("string").alias("text")), schema, run, lambda: forget(name))
+    schema = f"{_shown(df.select(*carried))}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return by_batch(df.select(*carried, F.col("text").cast("string").alias("text")), schema, run)
 
 
 def round_trip(df: DataFrame, name: str = VOCABULARY) -> DataFrame:

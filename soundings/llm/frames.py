@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch: bounds what a Python worker holds, whatever the table's size.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch: they bound what a Python worker holds, whatever the table's size and its texts' lengths
+#: (a text longer than that is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,29 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches of whole texts small: the session's settings stay so, as Spark reads them when a plan runs."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the session's ``spark.checkpoint.dir``; one of its own only where all runs on one machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and go on from there."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared checkpoint folder and read it again: smaller than a checkpoint for texts."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut(df.sparkSession.range(1))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
