@@ -1,51 +1,60 @@
-"""Token counts that follow edits: a segment tree of pre-tokens per document, re-encoded only where edits touch it.
-
-A document's pre-tokens are dealt into leaves of ``LEAF`` pieces; the tree above holds sums of token counts. An edit
-touches the leaves that its span meets. Those and one leaf of context on either side are pre-tokenized and counted
-again (a pre-token depends on two characters beyond it at most; should the new pre-tokens not meet the old ones again at
-the context's end, the region grows by a leaf until they do), and
-the sums on the way to the root are updated. Everything else keeps its count.
-
-Edits of a document are spans of its original text, ``array<struct<start,end,text>>`` in code points. They are applied in
+"""Token counts that follow edits: a segment tree of pre-tokens per document, kept beside its text and re-encoded only
+where edits touch it.
+
+``build_trees`` deals a document's pre-tokens into leaves of ``LEAF``; the tree above holds sums of token counts. It is a
+table like any other (text, leaf offsets, sums by level), to be written and read again. ``apply_edits`` takes kept trees
+and edits: an edit touches the leaves that its span meets; those and one leaf of context on either side are pre-tokenized and
+counted again (a pre-token depends on two characters beyond it at most; should the new pre-tokens not meet the old ones again
+at the context's end, the region grows by a leaf until they do), and the sums on the way to the root are updated. Everything
+else keeps its count unread. A leaf that outgrows ``MOST`` pre-tokens is divided, by which only sums are added up anew. The
+edited text with its new tree takes the next edits.
+
+Edits of a document are spans of its text, ``array<struct<start,end,text>>`` in code points. They are applied in
 order of start; of overlapping ones the first stays, spans are clipped to the text, and null or empty lists change
 nothing. A null text is an empty one, to which only insertions at 0 apply. Strings of special tokens count as ordinary
-text. Repeated rows are counted each on their own.
+text. Repeated rows, and those without an id, are counted each on their own; an empty table gives an empty one. Work is by
+row, without a shuffle. Extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, Codec, codec, forget
+from .bpe import VOCABULARY, Codec, codec
 from .frames import by_batch
 
-LEAF = 64
+LEAF, MOST = 64, 256
 EDITS = "array<struct<start:int,end:int,text:string>>"
+TREE = "text string, leaf_starts array<int>, sums array<array<int>>"
 
 
 class CountTree:
-    """Sums of token counts over the leaves of one document."""
+    """Sums of token counts over the leaves of one document, and the code points where the leaves start."""
+
+    def __init__(self, starts: np.ndarray, levels: list[np.ndarray]):
+        self.starts, self.levels = starts, levels
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        at = np.arange(0, len(counts), LEAF)
-        leaves = np.add.reduceat(counts, at) if len(counts) else np.zeros(0, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes, at) if len(counts) else sizes)]).astype(np.int64)
-        self.levels = [leaves]
-        while len(self.levels[-1]) > 1:
-            low = self.levels[-1]
-            self.levels.append(np.add.reduceat(low, np.arange(0, len(low), 2)))
+    @classmethod
+    def over(cls, starts: np.ndarray, leaves: np.ndarray) -> CountTree:
+        """The tree above given leaves; ``starts`` has one more element, the text's length."""
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), 2)))
+        return cls(starts, levels)
 
     @property
     def total(self) -> int:
         return int(self.levels[-1][0]) if len(self.levels[0]) else 0
 
     def put(self, leaf: int, count: int) -> None:
+        """A leaf's new count: one sum changes on each level."""
         change = count - self.levels[0][leaf]
         for level in self.levels:
             level[leaf] += change
@@ -64,6 +73,25 @@ class CountTree:
                 out.append([a, b])
         return [(a, b) for a, b in out]
 
+    def replaced(self, parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> CountTree:
+        """The tree with runs of leaves (first, last) made anew from the lengths and counts of pre-tokens, in order."""
+        widths = np.diff(self.starts)
+        if all(first <= last and len(n) <= MOST * (last - first + 1) for first, last, n, _ in parts):  # as many leaves as before
+            for first, last, lengths, counts in parts:
+                cuts = len(lengths) * np.arange(last - first + 2) // (last - first + 1)
+                for k in range(last - first + 1):
+                    own = slice(cuts[k], cuts[k + 1])
+                    widths[first + k] = lengths[own].sum()
+                    self.put(first + k, int(counts[own].sum()))
+            return CountTree(np.concatenate([[0], np.cumsum(widths)]), self.levels)
+        size, leaves, at = [], [], 0
+        for first, last, lengths, counts in parts:
+            dealt = np.arange(0, len(lengths), LEAF)
+            size += [widths[at:first], np.add.reduceat(lengths, dealt)] if len(dealt) else [widths[at:first]]
+            leaves += [self.levels[0][at:first], np.add.reduceat(counts, dealt)] if len(dealt) else [self.levels[0][at:first]]
+            at = last + 1
+        return CountTree.over(np.concatenate([[0], np.cumsum(np.concatenate([*size, widths[at:]]))]), np.concatenate([*leaves, self.levels[0][at:]]))
+
 
 def usable_edits(edits, size: int) -> list[tuple[int, int, str]]:
     """Edits within a text of a size, in order, without overlaps."""
@@ -99,69 +127,117 @@ class _Edits:
         return self.edits[bisect_left(self.starts, low) : bisect_right(self.ends, high)]
 
 
-def _pieces(c: Codec, text: str) -> list[str]:
-    """Parts of a text that are counted independently, in the codec's notation."""
-    if any(t in text for t in c.vocabulary.special):
-        return ["\0" + w for w in c.words(text)]
-    return c.split(text)
+def trees_of(c: Codec, texts: pa.Array) -> list[CountTree]:
+    """The trees of a batch of texts: all of their words are encoded."""
+    words = c.cut(texts, False)
+    numbers = c.numbers(words.distinct)
+    counts = c.counts[numbers][words.at]
+    lengths = np.fromiter(map(len, words.distinct), np.int64, len(words.distinct))[words.at]
+    out, at = [], 0
+    for n in words.sizes.tolist():
+        dealt = np.arange(at, at + n, LEAF)
+        if n:
+            sizes, leaves = (np.add.reduceat(x[: at + n], dealt) for x in (lengths, counts))
+        else:
+            sizes = leaves = np.zeros(0, np.int64)
+        out.append(CountTree.over(np.concatenate([[0], np.cumsum(sizes)]), leaves))
+        at += n
+    return out
+
+
+def _touched(c: Codec, text: str, tree: CountTree, own: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
+    """The runs of leaves that edits touch, each with its new pre-tokens."""
+    if not len(tree.levels[0]):
+        return [(0, -1, c.words(own[0][2]))]
+    found, done, final, out = _Edits(own), -1, len(tree.starts) - 2, []
+    for first, last in tree.regions([(s, e) for s, e, _ in own]):
+        if last <= done:
+            continue
+        first = max(first, done + 1)
+        low = int(tree.starts[first])
+        while True:  # one leaf more, until the new pre-tokens meet an old border again
+            while last < final and found.touch(tree.starts[last], tree.starts[last + 1]):
+                last += 1  # the last leaf is context, which no edit touches
+            high = int(tree.starts[last + 1])
+            ahead = text[high : int(tree.starts[min(last + 2, final + 1)])]
+            new = edited(text[low:high], found.within(low, high), low)
+            fresh, ends, at = c.words(new + ahead), 0, 0
+            while at < len(new):
+                at += len(fresh[ends])
+                ends += 1
+            if at == len(new):
+                break
+            last += 1
+        out.append((first, last, fresh[:ends]))
+        done = last
+    return out
 
 
-def count_batch(c: Codec, texts: list[str | None], edits: list) -> list[tuple[int, int, int, int]]:
-    """(tokens before, tokens after, edits, pre-tokens counted again) of each text."""
-    split = [_pieces(c, t) if t else [] for t in texts]
-    size = c.part_sizes(set().union(*split))
-    length = {p: len(p) - 1 if p[0] == "\0" else len(p) + 1 for p in size}  # a part stands for itself behind a space
+def edited_trees(c: Codec, texts: list[str], trees: list[CountTree], edits: list) -> list[tuple[str, CountTree, int, int]]:
+    """(text, tree, edits, pre-tokens counted again) of each text after its edits; the given trees are used up."""
+    used = [usable_edits(e, len(t)) for t, e in zip(texts, edits, strict=True)]
+    parts = [_touched(c, t, tree, own) if own else [] for t, tree, own in zip(texts, trees, used, strict=True)]
+    size = c.sizes(w for own in parts for _, _, fresh in own for w in fresh)
     out = []
-    for text, parts, wanted in zip(texts, split, edits, strict=True):
-        text = text or ""
-        n = len(parts)
-        tree = CountTree(np.fromiter(map(size.__getitem__, parts), np.int64, n), np.fromiter(map(length.__getitem__, parts), np.int64, n))
-        before, again = tree.total, 0
-        own = usable_edits(wanted, len(text))
-        if not text and own:
-            fresh = c.words(own[0][2])
-            sizes = c.sizes(fresh)
-            out.append((0, sum([sizes[w] for w in fresh]), 1, len(fresh)))
-            continue
-        found, done, final = _Edits(own), -1, len(tree.starts) - 2
-        for first, last in tree.regions([(s, e) for s, e, _ in own]):
-            if last <= done:
-                continue
-            first = max(first, done + 1)
-            low = int(tree.starts[first])
-            while True:  # one leaf more, until the new pre-tokens meet an old border again
-                while last < final and found.touch(tree.starts[last], tree.starts[last + 1]):
-                    last += 1  # the last leaf is context, which no edit touches
-                high = int(tree.starts[last + 1])
-                ahead = text[high : int(tree.starts[min(last + 2, final + 1)])]
-                new = edited(text[low:high], found.within(low, high), low)
-                fresh, ends, at = c.words(new + ahead), 0, 0
-                while at < len(new):
-                    at += len(fresh[ends])
-                    ends += 1
-                if at == len(new):
-                    break
-                last += 1
-            fresh = fresh[:ends]
-            sizes = c.sizes(fresh)
-            tree.put(first, sum([sizes[w] for w in fresh]))
-            for leaf in range(first + 1, last + 1):
-                tree.put(leaf, 0)
-            again += len(fresh)
-            done = last
-        out.append((before, tree.total, len(own), again))
+    for text, tree, own, runs in zip(texts, trees, used, parts, strict=True):
+        if own:
+            lengths = [(first, last, np.fromiter(map(len, fresh), np.int64, len(fresh)), np.fromiter(map(size.__getitem__, fresh), np.int64, len(fresh))) for first, last, fresh in runs]
+            text, tree = edited(text, own), tree.replaced(lengths)
+        out.append((text, tree, len(own), sum(len(fresh) for _, _, fresh in runs)))
     return out
 
 
-def edit_counts(df: DataFrame, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY) -> DataFrame:
-    """``id_col, n_tokens, n_tokens_after, n_edits, n_recounted``, one row per input row."""
+def _columns(trees: list[CountTree]) -> list[pa.Array]:
+    """Leaf starts and sums as Arrow columns."""
+    join = lambda arrays: (np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int32), np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32))
+    starts, bounds = join([t.starts for t in trees])
+    sums, inner = join([x for t in trees for x in t.levels])
+    outer = np.concatenate([[0], np.cumsum([len(t.levels) for t in trees], dtype=np.int64)]).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(starts)), pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(sums)))]
+
+
+def _kept(b: pa.RecordBatch) -> list[CountTree]:
+    """The trees of a batch of kept rows."""
+    starts, levels = b["leaf_starts"], b["sums"]
+    flat, bounds = starts.flatten().to_numpy().astype(np.int64), starts.offsets.to_numpy() - starts.offsets[0].as_py()
+    inner, outer = levels.flatten(), levels.offsets.to_numpy() - levels.offsets[0].as_py()
+    sums, cuts = inner.flatten().to_numpy().astype(np.int64), inner.offsets.to_numpy() - inner.offsets[0].as_py()
+    level = lambda k: sums[cuts[k] : cuts[k + 1]]
+    return [CountTree(flat[bounds[i] : bounds[i + 1]], [level(k) for k in range(outer[i], outer[i + 1])]) for i in range(b.num_rows)]
+
+
+def build_trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY) -> DataFrame:
+    """``id_col, text, leaf_starts, sums``: each text (null: empty) with its tree, all of its words encoded."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = count_batch(codec(name), b["text"].to_pylist(), b["edits"].to_pylist())
-        return pa.record_batch([b["id"], *(pa.array([f[k] for f in found], pa.int64()) for k in range(4))], names=["id", "n_tokens", "n_tokens_after", "n_edits", "n_recounted"])
+        return pa.record_batch([b["id"], b["text"], *_columns(trees_of(codec(name), b["text"]))], names=["id", "text", "leaf_starts", "sums"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    return by_batch(rows, "id long, n_tokens long, n_tokens_after long, n_edits long, n_recounted long", run, lambda: forget(name)).withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return by_batch(rows, f"id long, {TREE}", run).withColumnRenamed("id", id_col)
+
+
+def apply_edits(trees: DataFrame, edits: str | Callable[[str], list] = "edits", id_col: str = "doc_id", name: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
+    """``id_col, n_tokens, n_tokens_after, n_edits, n_recounted`` and, unless ``counts_only``, the edited ``text`` with its
+    ``leaf_starts`` and ``sums``, one row per row of kept trees.
+
+    ``edits`` is a column of ``trees`` or a function of a text that gives its edits.
+    """
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, kept = b["text"].to_pylist(), _kept(b)
+        wanted = [edits(t) for t in texts] if callable(edits) else b["edits"].to_pylist()
+        before = [t.total for t in kept]
+        found = edited_trees(codec(name), texts, kept, wanted)
+        numbers = [before, [t.total for _, t, _, _ in found], [n for _, _, n, _ in found], [n for _, _, _, n in found]]
+        columns = [b["id"], *(pa.array(x, pa.int64()) for x in numbers)]
+        if not counts_only:
+            columns += [pa.array([t for t, *_ in found], pa.string()), *_columns([t for _, t, _, _ in found])]
+        return pa.record_batch(columns, names=["id", "n_tokens", "n_tokens_after", "n_edits", "n_recounted", *([] if counts_only else ["text", "leaf_starts", "sums"])])
+
+    own = [] if callable(edits) else [F.col(edits).cast(EDITS).alias("edits")]
+    rows = trees.select(F.col(id_col).cast("long").alias("id"), "text", "leaf_starts", "sums", *own)
+    schema = "id long, n_tokens long, n_tokens_after long, n_edits long, n_recounted long" + ("" if counts_only else f", {TREE}")
+    return by_batch(rows, schema, run).withColumnRenamed("id", id_col)
 
 
 #: What the cleaning edits replace: addresses, long numbers, and runs of blanks.
@@ -169,13 +245,6 @@ _CLEAN = re.compile(r"(?P<address>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+)|(?P<num
 _NEW = {"address": "[ADDRESS]", "number": "[NUMBER]", "blank": " "}
 
 
-def with_cleaning_edits(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id, text, edits``: the edits that a cleaning pass would make to each text."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        edits = [[{"start": m.start(), "end": m.end(), "text": _NEW[m.lastgroup]} for m in _CLEAN.finditer(t or "")] for t in b["text"].to_pylist()]
-        return pa.record_batch([b["doc_id"], b["text"], pa.array(edits, kind)], names=["doc_id", "text", "edits"])
-
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return by_batch(rows, f"doc_id long, text string, edits {EDITS}", run)
+def cleaning_edits(text: str) -> list[dict]:
+    """The edits that a cleaning pass would make to a text."""
+    return [{"start": m.start(), "end": m.end(), "text": _NEW[m.lastgroup]} for m in _CLEAN.finditer(text)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chunks, counts, decontam, embed, html, langid, minhash, oracles, pii, secrets
-from .frames import table
+from .frames import stored, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.edit_counts(counts.with_cleaning_edits(table(spark, sf_dir, "documents")))
+    return counts.apply_edits(stored(counts.build_trees(table(spark, sf_dir, "documents"))), counts.cleaning_edits, counts_only=True)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

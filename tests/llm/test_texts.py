@@ -33,28 +33,69 @@ def test_bpe_equals_the_library(spark, library):
     assert all(r.decoded == (r.text or "") for r in back)
 
 
-def test_counts_follow_edits(monkeypatch):
-    monkeypatch.setattr(counts, "LEAF", 6)
-    rng, c = random.Random(3), bpe.codec()
-    texts = ["".join(rng.choice(POOL) for _ in range(rng.randint(0, 60))) for _ in range(600)] + [" ".join(rng.choice(["alpha", "be,ta", "x"]) for _ in range(rng.randint(1, 90))) for _ in range(600)] + [None, ""]
+def _some_edits(rng, texts):
     edits = []
     for t in texts:
         own = []
         for _ in range(rng.randint(0, 4)):
             s = rng.randint(-1, len(t or "") + 1)
-            own.append({"start": s, "end": s + rng.choice([0, 0, 1, 5, 40]), "text": rng.choice(["", " ", "x", "\n", "new words ", None])})
+            own.append({"start": s, "end": s + rng.choice([0, 0, 1, 5, 40]), "text": rng.choice(["", " ", "x", "\n", "new words ", "many more of them, " * 9, None])})
         edits.append(rng.choice([own, own, None]))
-    size = lambda t: sum(c.sizes([w])[w] for w in c.words(t))
-    for t, e, got in zip(texts, edits, counts.count_batch(c, texts, edits), strict=True):
-        used = counts.usable_edits(e, len(t or ""))
-        assert got[:3] == (size(t or ""), size(counts.edited(t or "", used)), len(used)), (t, used)
+    return edits
+
+
+def test_counts_follow_edits(monkeypatch):
+    """Three rounds of edits on kept trees against a full recount of the edited texts."""
+    monkeypatch.setattr(counts, "LEAF", 6)
+    monkeypatch.setattr(counts, "MOST", 12)
+    rng, c = random.Random(3), bpe.codec()
+    texts = ["".join(rng.choice(POOL) for _ in range(rng.randint(0, 60))) for _ in range(600)] + [" ".join(rng.choice(["alpha", "be,ta", "x"]) for _ in range(rng.randint(1, 90))) for _ in range(600)] + [""]
+    size = lambda t: sum(map(c.sizes(c.words(t)).__getitem__, c.words(t)))
+    trees = counts.trees_of(c, frames.pa.array(texts))
+    assert [t.total for t in trees] == [size(t) for t in texts]
+    for _ in range(3):
+        edits = _some_edits(rng, texts)
+        found = counts.edited_trees(c, texts, trees, edits)
+        for t, e, (text, tree, n, _) in zip(texts, edits, found, strict=True):
+            used = counts.usable_edits(e, len(t))
+            assert (text, n, tree.total, tree.starts[-1]) == (counts.edited(t, used), len(used), size(text), len(text)), (t, used)
+            assert all((np.add.reduceat(low, np.arange(0, len(low), 2)) == high).all() for low, high in zip(tree.levels, tree.levels[1:], strict=False))
+        texts, trees = [f[0] for f in found], [f[1] for f in found]
+
+
+def test_kept_trees_in_spark(spark, tmp_path):
+    """Trees are written, read, edited, written, read and edited again; each time the counts are those of new trees."""
+    rng, c = random.Random(5), bpe.codec()
+    texts = [" ".join(rng.choice(["alpha", "be,ta", "x", "mail a@b.org", "1234567"]) for _ in range(rng.randint(1, 400))) for _ in range(60)] + ["", None, "word " * 40000]
+    rows = [(i if i % 9 else None, t, "own", 1) for i, t in enumerate(texts)] + [(1, texts[1], "own", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sums string, n_tokens int").repartition(3)
+    counts.build_trees(df).write.parquet(f"{tmp_path}/trees")
+    count = lambda t: sum(map(c.sizes(c.words(t)).__getitem__, c.words(t)))
+    now = sorted(t or "" for _, t, _, _ in rows)
+    for k in range(2):
+        kept = spark.read.parquet(f"{tmp_path}/trees" if not k else f"{tmp_path}/edited{k - 1}")
+        counts.apply_edits(kept, counts.cleaning_edits if not k else (lambda t: [{"start": 3, "end": 5, "text": "new"}])).write.parquet(f"{tmp_path}/edited{k}")
+        got = spark.read.parquet(f"{tmp_path}/edited{k}").collect()
+        change = counts.cleaning_edits if not k else (lambda t: [{"start": 3, "end": 5, "text": "new"}])
+        after = sorted(counts.edited(t, counts.usable_edits(change(t), len(t))) for t in now)
+        assert len(got) == len(rows) and sorted(r.text for r in got) == after
+        assert all(r.n_tokens_after == count(r.text) == (r.sums[-1][0] if r.sums[0] else 0) for r in got)
+        assert sum(r.n_tokens for r in got) == sum(map(count, now))
+        now = after
+    assert {r.doc_id for r in got} == {i for i, *_ in rows}
+    edits = spark.read.parquet(f"{tmp_path}/trees").selectExpr("*", "array(named_struct('start', 0, 'end', 1, 'text', 'Z')) AS edits")
+    for r in counts.apply_edits(edits, counts_only=True).collect():
+        assert r.n_edits == 1 and r.n_recounted <= 4 * counts.LEAF
+    assert counts.apply_edits(counts.build_trees(df.limit(0)), counts.cleaning_edits).count() == 0
 
 
 def test_edits_touch_little():
     c = bpe.codec()
     text = " ".join(["word"] * 50000)
-    before, after, n, again = counts.count_batch(c, [text], [[{"start": 1000, "end": 1004, "text": "other"}]])[0]
-    assert n == 1 and again < 4 * counts.LEAF and before == after
+    trees = counts.trees_of(c, frames.pa.array([text]))
+    before = trees[0].total
+    _, tree, n, again = counts.edited_trees(c, [text], trees, [[{"start": 1000, "end": 1004, "text": "other"}]])[0]
+    assert n == 1 and again < 4 * counts.LEAF and before == tree.total
 
 
 def test_chunk_borders():
