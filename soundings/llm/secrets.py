@@ -2,16 +2,17 @@
 
 1. Each rule's regex is turned into a Boolean query: an OR of alternatives, each an AND of trigrams that every match
    must contain. A rule without mandatory trigrams (a bare character class) has none and scans every document.
-2. The index holds a posting (trigram, document) for each trigram that some rule asks for.
+2. The index holds a posting (trigram, document) for each trigram that some rule asks for. ``trigram_postings`` gives it as a
+   table for use over and over; for one pass, a row carries its own postings as an array.
 3. Postings of one document are intersected and tested against the queries, which gives each rule its candidates.
 4. Candidates are verified by the regex itself, over the whole text, and their offsets computed.
 
-All of it is built-in DataFrame functions. Postings are a fixed number per document at most, so no group grows with
-the data; the only large shuffle is the one that brings candidates to their texts, by document id.
+All of it is built-in DataFrame functions. Some rule scans every text anyway, so index, test and verification work row by row
+and nothing is shuffled; postings are a fixed number per document at most.
 
-A null or empty text has no spans. Repeated rows each get their own result (rows with one id share their postings,
-which only makes candidates that verification rejects). Spans of one rule never overlap; those of different rules are
-all kept and ordered by start, then by the rules' order.
+A null or empty text has no spans. Repeated rows, those without an id and those of one id with other texts each get their own
+result; an empty table gives an empty one. Spans of one rule never overlap; those of different rules are all kept and ordered
+by start, then by the rules' order.
 """
 
 from __future__ import annotations
@@ -94,24 +95,39 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(o < c for o in clauses)), key=sorted)
 
 
-def trigram_postings(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(trigram, ``id_col``) for each trigram of the rules' queries that a text holds, whatever its case."""
+def _once(column: Column) -> Column:
+    """A value that is computed once per row, however often it is used later: a projection would be copied to each use."""
+    return F.explode(F.array(column))
+
+
+def _postings(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """The trigrams of the rules' queries that a lower-cased text holds."""
     asked = sorted({g for r in rules for c in trigram_query(r.regex) or () for g in c})
-    held = F.filter(F.array(*map(F.lit, asked)), lambda g: F.contains(F.col("_low"), g))
-    return df.select(F.col(id_col), F.lower(text_col).alias("_low")).select(id_col, F.explode(held).alias("trigram"))
+    return F.filter(F.array(*map(F.lit, asked)), lambda g: F.contains(low, g))
 
 
-def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
-    """(``id_col``, rules array<string>): the documents whose postings satisfy each rule's query."""
-    held = postings.groupBy(id_col).agg(F.collect_set("trigram").alias("_held"))
+def _satisfied(held: Column, rules: tuple[Rule, ...]) -> Column:
+    """The kinds of the rules whose queries the postings of a document satisfy."""
     tests = []
     for r in rules:
         if (query := trigram_query(r.regex)) is not None:
             hit = F.lit(False)
             for clause in query:
-                hit |= F.size(F.array_except(F.array(*map(F.lit, sorted(clause))), "_held")) == 0
+                hit |= F.size(F.array_except(F.array(*map(F.lit, sorted(clause))), held)) == 0
             tests.append(F.when(hit, F.lit(r.kind)))
-    return held.select(id_col, F.array_compact(F.array(*tests)).alias("rules")).where(F.size("rules") > 0)
+    return F.array_compact(F.array(*tests))
+
+
+def trigram_postings(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(trigram, ``id_col``) for each trigram of the rules' queries that a text holds, whatever its case: the index as a table."""
+    low = df.select(F.col(id_col), _once(F.lower(F.col(text_col).cast("string"))).alias("_low"))
+    return low.select(id_col, F.explode(_postings(F.col("_low"), rules)).alias("trigram"))
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, rules array<string>): the documents whose postings satisfy each rule's query."""
+    held = postings.groupBy(id_col).agg(F.collect_set("trigram").alias("_held"))
+    return held.select(id_col, _satisfied(F.col("_held"), rules).alias("rules")).where(F.size("rules") > 0)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -141,8 +157,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``spans array<struct<start,rank,end,kind>>`` ordered by start and rule, one row per input row."""
-    docs = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    found = candidates(trigram_postings(docs, rules, id_col), rules, id_col)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    low = docs.select("id", "text", _once(F.lower("text")).alias("low"))
+    held = low.select("id", "text", _once(_postings(F.col("low"), rules)).alias("held"))
+    found = held.select("id", "text", _once(_satisfied(F.col("held"), rules)).alias("rules"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for i, r in enumerate(rules):
@@ -150,7 +168,7 @@ def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
         if trigram_query(r.regex) is not None:
             spans = F.when(F.array_contains("rules", r.kind), spans)
         parts.append(F.coalesce(spans, none))
-    return docs.join(found, id_col, "left").select(id_col, F.array_sort(F.concat(*parts)).alias("spans"))
+    return found.select(F.col("id").alias(id_col), _once(F.array_sort(F.concat(*parts))).alias("spans"))
 
 
 def secrets_digest(df: DataFrame) -> DataFrame:
