@@ -52,6 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast: about 50 MB in a task's memory.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table of rows of a few numbers, marked for broadcast if it is counted small; else Spark plans its joins."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], done: Callable[[], None] | None = None) -> DataFrame:
     """Apply a function of one Arrow batch to a frame; it keeps no state between batches but caches.
 

@@ -16,8 +16,9 @@ under the signature distance that could still join two components. Keys are coun
 are met by joins whose skewed partitions Spark splits and by block pairs of ``BLOCK`` rows a side.
 
 Results: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own component;
-fewer than five words form one shingle. Rows that repeat a document id are each placed by their own text. A null id
-gives a row with null component and ``kept`` false unless its copies have ids. Ties go to the smallest id.
+fewer than five words form one shingle. A row is known by its id and its text: rows that repeat an id are each placed by
+their own text. A row without an id links with nothing but texts equal to its own, whose component it shows; ``kept`` is false
+for it, and dropping leaves it alone. Ties go to the smallest id; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import by_batch, cut, prepare, stored
+from .frames import by_batch, cut, prepare, sized, stored
 from .graph import components, forest
 from .shingles import WIDTH, WordHasher, mix, shingle_set
 
@@ -38,7 +39,7 @@ SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
 DISTANCE = 2 * CHUNKS - 1
 SIMILAR = (75, 100)  # 100 * intersection >= 75 * union
-BLOCK, TILE = 512, 256
+BLOCK, TILE, SALTS = 512, 256, 64
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _hasher = WordHasher()
 
@@ -68,7 +69,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``doc, n, h1, h2, sig`` of each row: set size, 128-bit digest of the set, signature (null for an empty set)."""
+    """``doc, th, n, h1, h2, sig`` of each row: its text's hash, set size, 128-bit digest of the set, signature (null for an empty set)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, high, low, sig = [], [], [], []
@@ -79,10 +80,31 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             high.append((d >> 64) - (1 << 63))
             low.append((d & ((1 << 64) - 1)) - (1 << 63))
             sig.append(signature(s).tobytes() if len(s) else None)
-        return pa.record_batch([b["doc"], *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(sig, pa.binary())], names=["doc", "n", "h1", "h2", "sig"])
+        return pa.record_batch([b["doc"], b["th"], *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(sig, pa.binary())], names=["doc", "th", "n", "h1", "h2", "sig"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return by_batch(rows, "doc long, n long, h1 long, h2 long, sig binary", run, _forget)
+    return by_batch(_rows(df, id_col, text_col), "doc long, th long, n long, h1 long, h2 long, sig binary", run, _forget)
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """``doc, own, th, h1, h2, sig, n``: a row per distinct set, with its smallest document ``own`` and that one's text's hash.
+
+    ``doc`` names the class: its smallest document; where several classes have the same one, since an id repeats with other
+    texts, all but the first are named by a hash of their digest.
+    """
+    full = sets.where("n > 0 AND doc IS NOT NULL")
+    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th")).alias("own"), F.min("sig").alias("sig"), F.min("n").alias("n"))
+    classes = cut(classes.select(F.col("own.doc").alias("doc"), F.col("own.doc").alias("own"), F.col("own.th").alias("th"), "h1", "h2", "sig", "n"))
+    twice = cut(classes.groupBy("own").agg(F.count("*").alias("classes"), F.min(F.struct("h1", "h2")).alias("first")).where("classes > 1").drop("classes"))
+    if twice.isEmpty():
+        return classes
+    other = F.col("first").isNotNull() & (F.struct("h1", "h2") != F.col("first"))
+    named = classes.join(twice, "own", "left").withColumn("doc", F.when(other, F.xxhash64("h1", "h2", "own")).otherwise(F.col("own")))
+    return cut(named.select(*classes.columns))
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -147,9 +169,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFr
     """
     prepare(pairs.sparkSession)
     tiles = lambda side: F.ceil(F.approx_count_distinct(side) * F.greatest(F.lit(1.0), F.avg(f"n_{side}") / 2000) / TILE).alias(f"tiles_{side}")
-    sized = pairs.groupBy("g").agg(tiles("a"), tiles("b"))
-    place = lambda side: F.pmod(F.xxhash64(side), F.col(f"tiles_{side}")).alias(f"t{side}")
-    laid = pairs.join(sized, "g").select("g", place("a"), place("b"), "a", "b")
+    # Groups of more than one tile are few, and salted, so that the pairs of a hot group are dealt out.
+    sized = pairs.groupBy("g").agg(tiles("a"), tiles("b")).where("tiles_a > 1 OR tiles_b > 1")
+    sized = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    place = lambda side: F.pmod(F.xxhash64(side), F.coalesce(F.col(f"tiles_{side}"), F.lit(1))).alias(f"t{side}")
+    salted = pairs.withColumn("salt", F.pmod(F.hash("a", "b"), F.lit(SALTS)))
+    laid = salted.join(sized, ["g", "salt"], "left").select("g", place("a"), place("b"), "a", "b")
     wanted = laid.select(F.col("g").alias("h"), F.col("ta").alias("ua"), F.col("tb").alias("ub"), F.explode(F.array("a", "b")).alias("doc")).distinct()
     held = wanted.join(texts, "doc").select("h", "ua", "ub", "doc", "text")
 
@@ -232,19 +257,20 @@ def _confirmed_blocks(near: DataFrame, texts: DataFrame, width: int = WIDTH) ->
     return near.join(texts, "doc").groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept``, one row per input row."""
+def _placed(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``doc, th, n, component``, one row per input row."""
     sets = cut(signatures(df, id_col, text_col, width))
-    classes = cut(sets.where("n > 0 AND doc IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min("sig").alias("sig"), F.min("n").alias("n")))
+    classes = _classes(sets)
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(shared, "key"))
     first = cut(_near(members.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct(), classes))
     wide = members.where("size > 2")
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    asked = first.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(wide.select("doc")).distinct()
-    texts = stored(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]))
+    asked = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(wide.select(F.col("doc").alias("node"))).distinct()
+    asked = classes.select(F.col("doc").alias("node"), F.col("own").alias("doc"), "th").join(asked, "node")
+    texts = _rows(df, id_col, text_col).join(asked, ["doc", "th"]).dropDuplicates(["doc", "th", "node"])
+    texts = stored(texts.select(F.col("node").alias("doc"), "text"))
     links = cut(_confirmed(first, texts, width))
     joined = components(links)
     placed = wide.join(joined.withColumnRenamed("node", "doc"), "doc", "left").join(classes.select("doc", "n"), "doc")
@@ -258,13 +284,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not more.isEmpty():
         links = links.unionByName(cut(_confirmed_blocks(more, texts, width)))
         joined = components(links)
-    named = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id"))
-    full = sets.where("n > 0").join(named, ["h1", "h2"], "left").select("doc", "n", "component_id")
-    out = full.unionByName(sets.where("n = 0").select("doc", "n", F.col("doc").alias("component_id")))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"))
+    named = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    smallest = named.groupBy("component").agg(F.min("own").alias("least"))  # of components whose classes are not named by documents
+    named = named.select("h1", "h2", "component").join(smallest, "component").select("h1", "h2", F.col("least").alias("component"))
+    full = sets.where("n > 0").select("doc", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc", "th", "n", "component")
+    return full.unionByName(sets.where("n = 0").select("doc", "th", "n", F.col("doc").alias("component")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``id_col, n_shingles, component_id, kept``, one row per input row."""
+    out = _placed(df, id_col, text_col, width)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that of its smallest document; all columns stay."""
-    gone = near_duplicates(df, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    """One row of each group of near-duplicates: that of its smallest document; all columns stay.
+
+    Of a document's rows in one group, the one with the smallest hash of its text stays, and of rows with equal id and text
+    any one. Rows without an id all stay.
+    """
+    placed = stored(_placed(df, id_col, text_col, WIDTH).where("doc IS NOT NULL").select("doc", "th", "component"))
+    gone = placed.where("doc <> component").select("doc", "th")
+    rows = lambda keys, how: df.join(keys, (df[id_col].cast("long") == keys["doc"]) & (F.xxhash64(df[text_col].cast("string")) == keys["th"]), how)
+    repeated = stored(placed.where("doc = component").groupBy("doc").agg(F.count("*").alias("rows"), F.min("th").alias("least")).where("rows > 1"))
+    if repeated.isEmpty():
+        return rows(sized(stored(gone.distinct())), "left_anti")
+    held = placed.where("doc = component").join(repeated, "doc")
+    less = stored(gone.unionByName(held.where("th <> least").select("doc", "th")).distinct())
+    same = stored(held.where("th = least").select("doc", "th").distinct())
+    apart = rows(sized(stored(less.unionByName(same))), "left_anti")
+    return apart.unionByName(rows(same, "left_semi").dropDuplicates([id_col, text_col]))
