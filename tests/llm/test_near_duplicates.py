@@ -32,7 +32,24 @@ def test_documents_match_all_pairs(spark, documents):
         assert r.kept == (r.doc_id == r.component_id)
     kept = minhash.drop_near_duplicates(documents)
     assert kept.columns == documents.columns
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.doc_id for r in got if r.kept})
+
+
+def test_repeated_and_missing_ids(spark):
+    """Ids that repeat with equal and with other texts, and rows without an id; no text that is kept is lost."""
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghijkl") + rng.choice("mnopqrst") for _ in range(60)) for _ in range(5))
+    near = b.rsplit(" ", 3)[0]
+    rows = [(1, b), (2, a), (2, b), (3, c), (3, c), (4, d), (4, near), (5, e), (5, e.rsplit(" ", 3)[0]), (None, a), (None, "lone"), (None, None), (6, None), (6, None), (7, "")]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, th string, component int").repartition(3)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect() if r.doc_id is not None)
+    assert got == sorted([(1, 1, True), (2, 2, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 4, True), (4, 1, False), (5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True), (7, 7, True)])
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(found) == len(set(found)) and {x for x in found if x[0] != 5} == {(1, b), (2, a), (3, c), (4, d), (None, a), (None, "lone"), (None, None), (6, None), (7, "")}
+    assert sum(i == 5 for i, _ in found) == 1
+    assert minhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_hot_group_in_blocks(spark, monkeypatch):
@@ -87,6 +104,38 @@ def test_vectors_match_all_pairs(spark, monkeypatch):
                     edges.append((a, b))
     component = graph.forest(iter(edges))
     links = np.bincount([i for e in edges for i in e], minlength=len(rows))
-    for r in embed.near_duplicates(table).collect():
-        assert (r.n_links, r.component_id) == (links[r.vec_id], component.get(r.vec_id, r.vec_id)), r
-        assert r.kept == (r.vec_id == r.component_id)
+    table = table.withColumnsRenamed({"label": "group"}).selectExpr("*", "1 AS v", "'x' AS component", "vec_id AS copies")
+    for plan in (None, embed.Plan(3, 6, 4)):
+        got = embed.near_duplicates(table, label_col="group", plan=plan).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_links, r.component_id) == (links[r.vec_id], component.get(r.vec_id, r.vec_id)), r
+            assert r.kept == (r.vec_id == r.component_id)
+
+
+def test_vectors_that_share_an_id(spark):
+    """Two groups whose vectors have an id in common stay apart."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 64))
+    rows = [(1, a), (1, b), (2, a + 0.01 * rng.normal(size=64)), (3, b + 0.01 * rng.normal(size=64)), (4, a), (None, b)]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed.near_duplicates(df).collect() if r.vec_id is not None)
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
+    kept = embed.near_duplicates(df.where("vec_id <> 1 OR vec_id IS NULL"))
+    assert sorted((r.vec_id, r.component_id) for r in kept.collect() if r.vec_id is not None) == [(2, 2), (3, 3), (4, 2)]
+
+
+def test_recall_of_each_plan():
+    """Of pairs at a cosine of 0.98 nearly all meet in some bucket, of unrelated ones nearly none."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for dims in (64, 300):
+        x = unit(rng.normal(size=(1000, dims)))
+        side = rng.normal(size=(1000, dims))
+        side = unit(side - (side * x).sum(1, keepdims=True) * x)
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * side
+        for _, plan in embed.PLANS:
+            p, q, other = (embed.buckets(v, plan) for v in (x, y, side))
+            meet = lambda a, b: (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean()
+            assert meet(p, q) >= 0.998 and meet(p, other) <= 0.003, (dims, plan)
+    assert [embed.plan_for(n).hashes for n in (0, 10**6, 10**7, 10**9)] == [2, 2, 3, 4]
