@@ -7,14 +7,15 @@ of n words, or a run of 24 of them, has more disjoint seeds of three words than
 substituted; items of 8 words get all positions and a second mask. The overlap is then verified word by word along the whole item:
 substitutions are tolerated, and the overlap must match ``MATCHED`` of the item's words, or of ``LONGEST`` words of it.
 
-Scale: word hashes are computed once per text and the masks combine them. Hashes of the texts are joined to the
-benchmark's, which is split into slices of at most ``SLICE`` hashes; each slice is small enough to broadcast by
-construction, and a larger benchmark only means more slices. Nothing of the corpus is shuffled for the join; only
-documents with a hit have their texts fetched again for verification.
+Scale: a text is split and hashed once. A benchmark of up to ``SLICE`` seed hashes is broadcast with its items' words, so that
+hits are found and verified where the text lies and nothing of the corpus is shuffled. The seeds of a larger one are joined by a
+shuffle on the hash, whose skewed partitions Spark splits; hits (row, item, shift) are written to a table, and the texts that
+have any are fetched for verification.
 
 A null or empty text has no words and no overlap. Items under ``EXACT_WORDS`` words must match in full; those under
-``LEAST_WORDS`` hold too little to tell. Repeated rows share their result. Ties: each pair of document and item is reported once, with
-its best overlap, the smallest offset first.
+``LEAST_WORDS`` hold too little to tell. A row is known by its id and its text: repeated rows share their result, rows of one
+id with other texts have their own, and rows without an id are judged like all others. Ties: each pair of a row and an item is
+reported once, with its best overlap, the smallest offset first. An empty table or benchmark gives no overlap.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import sized, stored
+
 #: 1: the word counts, 0: it is ignored. The second one is for items of ``EIGHT`` words, whose three runs may be of two words.
 MASKS, EIGHT = ("111", "1101"), 8
 MATCHED, LONGEST, LEAST_WORDS, EXACT_WORDS = 0.75, 24, 4, 6
-SLICE = 200_000
+SLICE = 400_000
 
 
 def words(text: Column) -> Column:
@@ -41,19 +44,28 @@ def _seeds(hashed: Column, mask: str) -> Column:
     return F.when(F.size(hashed) >= len(mask), F.transform(places, one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def seed_hashes(df: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """``id, seed, at``: each seed hash of each text with the word offset where it lies."""
-    hashed = df.select(F.col(id_col).alias("id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
+def _once(column: Column) -> Column:
+    """A value that is computed once per row, however often it is used later: a projection would be copied to each use."""
+    return F.explode(F.array(column))
+
+
+def _hashes(text: Column) -> Column:
+    return _once(F.transform(words(text), lambda w: F.xxhash64(w)))
+
+
+def seed_hashes(df: DataFrame, ids: tuple[str, ...], text_col: str, masks: tuple[str, ...] = MASKS, words_as: str | None = None) -> DataFrame:
+    """``*ids, seed, at``: each seed hash of each text with the word offset where it lies and, if named, its words' hashes."""
+    hashed = df.select(*ids, _hashes(F.col(text_col)).alias("_h"))
     every = F.concat(*(F.transform(_seeds(F.col("_h"), m), lambda s, i: F.struct(s.alias("seed"), i.alias("at"))) for m in masks))
-    return hashed.select("id", F.inline(every))
+    return hashed.select(*ids, *([F.col("_h").alias(words_as)] if words_as else []), F.inline(every))
 
 
 def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, mask, seed, at``: the seeds of benchmark items; each third position, or every one where that is too few."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), F.size(words(F.col(text_col))).alias("_n")).where(F.col("_n") >= LEAST_WORDS)
-    every = seed_hashes(rows, "id", "_t", MASKS[:1]).withColumn("mask", F.lit(MASKS[0])).join(rows.select("id", "_n").distinct(), "id")
-    thirds = every.where((F.col("at") % 3 == 0) | (F.col("_n") <= EIGHT))
-    eight = seed_hashes(rows.where(F.col("_n") == EIGHT), "id", "_t", MASKS[1:]).withColumn("mask", F.lit(MASKS[1]))
+    every = seed_hashes(rows, ("id",), "_t", MASKS[:1]).withColumn("mask", F.lit(MASKS[0])).join(rows.groupBy("id").agg(F.max("_n").alias("_n"), F.min("_n").alias("_least")), "id")
+    thirds = every.where((F.col("at") % 3 == 0) | (F.col("_least") <= EIGHT))
+    eight = seed_hashes(rows.where(F.col("_n") == EIGHT), ("id",), "_t", MASKS[1:]).withColumn("mask", F.lit(MASKS[1]))
     return thirds.select("id", "mask", "seed", "at").unionByName(eight.select("id", "mask", "seed", "at"))
 
 
@@ -64,32 +76,46 @@ def _overlap(doc: Column, item: Column, shift: Column) -> Column:
     return F.transform(places, same)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``id_col, item_col, start_word, n_matched, n_item_words``: each pair of a document and an item that it holds."""
-    items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= LEAST_WORDS)
-    masks = MASKS if items.where(F.size("item_words") == EIGHT).limit(1).count() else MASKS[:1]
+def _key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    return df[id_col], F.xxhash64(df[text_col].cast("string"))
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, text_col: str) -> DataFrame:
+    """``doc, th, item, top``: the best overlap of each row, known by its id and its text's hash, with each item."""
+    doc, th = _key(docs, id_col, text_col)
+    rows = docs.select(doc.alias("doc"), th.alias("th"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col("text")).where(F.size(words(F.col("text"))) >= LEAST_WORDS)
+    masks = MASKS if items.where(F.size(words(F.col("text"))) == EIGHT).limit(1).count() else MASKS[:1]
     theirs = item_seeds(benchmark, item_col, "text").select(F.col("id").alias("item"), "seed", F.col("at").alias("item_at")).distinct()
-    slices = max(1, -(-theirs.count() // SLICE))
-    ours = seed_hashes(docs, id_col, text_col, masks)
-    hits = None
-    for k in range(slices):
-        part = theirs if slices == 1 else theirs.where(F.pmod(F.hash("seed"), F.lit(slices)) == k)
-        found = ours.join(F.broadcast(part), "seed").select(F.col("id").alias("doc"), "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        hits = found if hits is None else hits.unionByName(found)
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
-    laid = hits.distinct().join(items, "item").join(texts, "doc")
-    same = laid.select("doc", "item", "shift", F.size("item_words").alias("n"), _overlap(words(F.col("_text")), F.col("item_words"), F.col("shift")).alias("same"))
+    wanted = items.select("item", _hashes(F.col("text")).alias("item_words"))
+    if theirs.count() <= SLICE:
+        found = seed_hashes(rows, ("doc", "th"), "text", masks, "words").join(F.broadcast(theirs), "seed")
+        laid = found.select("doc", "th", "item", (F.col("at") - F.col("item_at")).alias("shift"), "words")
+        wanted = F.broadcast(wanted)  # as bounded as its seeds: no item has more than three times as many words as seeds
+    else:
+        found = seed_hashes(rows, ("doc", "th"), "text", masks).join(theirs, "seed")
+        hits = stored(found.select("doc", "th", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+        same_row = lambda a, b: (a["th"] == b["th"]) & a["doc"].eqNullSafe(b["doc"])
+        held = rows.join(hits, same_row(rows, hits), "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", _hashes(F.col("text")).alias("words"))
+        laid = held.join(hits, same_row(held, hits)).select(held["doc"], held["th"], "item", "shift", "words")
+    same = laid.join(wanted, "item").select("doc", "th", "item", "shift", F.size("item_words").alias("n"), _once(_overlap(F.col("words"), F.col("item_words"), F.col("shift"))).alias("same"))
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     span = F.least(F.col("n"), F.lit(LONGEST))
     window = lambda p: F.aggregate(F.slice("same", p, span), F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - span + 1), window))
-    scored = same.select("doc", "item", "shift", "n", total.alias("matched"), best.alias("best"), span.alias("span"))
     enough = F.when(F.col("n") < EXACT_WORDS, F.col("n")).otherwise(MATCHED * F.col("n"))
-    held = scored.where((F.col("matched") >= enough) | (F.col("n") >= EXACT_WORDS) & (F.col("best") >= MATCHED * F.col("span")))
-    top = held.groupBy("doc", "item").agg(F.min(F.struct((-F.col("matched")).alias("less"), "shift", "n")).alias("top"))
+    scored = same.select("doc", "th", "item", "shift", "n", total.alias("matched"), F.when(total >= enough, True).otherwise((F.col("n") >= EXACT_WORDS) & (best >= MATCHED * span)).alias("held"))
+    return scored.where("held").groupBy("doc", "th", "item").agg(F.min(F.struct((-F.col("matched")).alias("less"), "shift", "n")).alias("top"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``id_col, item_col, start_word, n_matched, n_item_words``: each pair of a document and an item that it holds."""
+    top = _overlaps(docs, benchmark, id_col, item_col, text_col)
     return top.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("top.shift").cast("long").alias("start_word"), (-F.col("top.less")).cast("long").alias("n_matched"), F.col("top.n").cast("long").alias("n_item_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item."""
-    return docs.join(contaminated(docs, benchmark, id_col, text_col=text_col).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows whose text holds no benchmark item; all columns stay."""
+    gone = sized(stored(_overlaps(docs, benchmark, id_col, item_col, text_col).select("doc", "th").distinct()))
+    doc, th = _key(docs, id_col, text_col)
+    return docs.join(gone, (th == gone["th"]) & doc.eqNullSafe(gone["doc"]), "left_anti")
