@@ -7,8 +7,9 @@ Base kinds are always reported when they match and their check passes: ``email``
 ``card`` (13 to 19 digits that pass Luhn), ``phone`` (9 to 15 digits). The method adds ``iban`` (mod 97) and ``ssn``,
 which has no checksum and is reported only where a context word near it lifts its score to the threshold.
 
-A null or empty text has no spans. Repeated rows are scanned each on their own. Ties do not arise: spans of one kind
-never overlap, and spans of different kinds are all reported.
+A null or empty text has no spans. Repeated rows, and those without an id, are scanned each on their own; an empty table gives
+an empty one; masking carries extra columns as they are. Ties do not arise: spans of one kind never overlap, and spans of
+different kinds are all reported.
 """
 
 from __future__ import annotations
@@ -121,14 +122,15 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def masked(text: str | None) -> str | None:
-    """The text with each span replaced by its kind in brackets; of overlapping spans, the first and longest wins."""
+    """The text with personal data replaced by its kind in brackets; spans that overlap are replaced as one, by the kind of the
+    first (of those that start together, the longest)."""
     if not text or not (spans := scan(text)):
         return text
-    out, at = [], 0
+    out, at, covered = [], 0, 0
     for kind, start, end, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if start >= at:
+        if start >= covered:
             out += [text[at:start], f"[{kind.upper()}]"]
-            at = end
+        at = covered = max(covered, end)
     return "".join([*out, text[at:]])
 
 
