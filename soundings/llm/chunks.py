@@ -6,16 +6,20 @@ depend on nearby bytes alone, so an insertion moves only the chunks around it.
 
 Chunks are known by a 64-bit digest. A digest that occurs in two or more documents is repeated; neighbouring repeated
 chunks of a document merge into regions, and a region of ``WORDS`` words or more is repeated (of a
-passage of more than 50 words, the chunks at its ends are lost; about one in a hundred falls below that). Of each digest the occurrence in the document with
+passage of more than 50 words, the chunks at its ends are lost; about one in a hundred falls below that). Equal digests of
+other chunks, which come up by chance among 1e10 chunks or more, are chunks apart from each other: a region of 25 usual words
+takes several in a row. Of each digest the occurrence in the document with
 the smallest id is the one kept; only after the threshold a region is divided into its kept and its other parts, each a
 passage of its own, of any length. Kept parts of fewer than ``WORDS`` words together are no passage that is first met here
 (a chance word at the end of an older one) and have no row; nothing is cut from them.
 
-Scale: chunk rows are (digest, document, offsets), about as large as the text; digests are counted with map-side
+Scale: chunk rows are (digest, row, place), about as large as the text; digests are counted with map-side
 partial aggregates, so a chunk that every third document holds is one row per task, and the join back to the chunks is
-an ordinary skew-splittable join. Chunk lists of one document are bounded by its length.
+an ordinary skew-splittable join. Regions come from windows over the repeated chunks of one row, bounded by its length.
 
-A null or empty text has no chunks. Repeated rows (the same id) count as one document. Offsets count code points.
+A null or empty text has no chunks, and neither has a row without an id; dropping leaves them alone. A row is known by its id
+and its text: equal rows share their passages, and rows of one id with other texts have their own, but copies under one id are
+one document's. An empty table gives an empty one. Offsets count code points.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import by_batch
@@ -52,91 +56,70 @@ def borders(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int =
 
 
 def chunk_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, digest, at, size, words``: one row per chunk; offset and size in code points, and words begun in it."""
-    schema = "doc long, digest long, at int, size int, words int"
+    """``doc, th, digest, place``: a row per chunk, with the hash of the row's text; ``place`` holds the chunk's offset (from
+    bit 16 on) and size (8 bits) in code points, and the words begun in it (8 bits)."""
     digest = xxhash.xxh3_64_intdigest
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        docs, texts = b["doc"].to_pylist(), b["text"].to_pylist()
-        ids, digests, at, size, words = [], [], [], [], []
-        for doc, text in zip(docs, texts, strict=True):
-            if not text:
-                continue
+        ids, hashes, digests, places = ([np.zeros(0, np.int64)] for _ in range(4))
+        for doc, th, text in zip(*(b[c].to_pylist() for c in ("doc", "th", "text")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             data = np.frombuffer(raw, np.uint8)
             ends = borders(data)
             starts = np.concatenate([[0], ends[:-1]])
-            digests.append(np.fromiter((digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends)))
+            digests.append(np.fromiter((digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends)).view(np.int64))
             shown = (data & 0xC0) != 0x80
             chars = np.concatenate([[0], np.cumsum(shown)])
             blank = (data == 32) | ((data >= 9) & (data <= 13))
             begun = np.concatenate([[0], np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))])
             ids.append(np.full(len(ends), doc, np.int64))
-            at.append(chars[starts])
-            size.append(chars[ends] - chars[starts])
-            words.append(begun[ends] - begun[starts])
-        if not ids:
-            return None
-        cat = np.concatenate
-        return pa.record_batch(
-            [pa.array(cat(ids)), pa.array(cat(digests).view(np.int64)), *(pa.array(cat(x).astype(np.int32)) for x in (at, size, words))],
-            names=["doc", "digest", "at", "size", "words"],
-        )
+            hashes.append(np.full(len(ends), th, np.int64))
+            places.append(chars[starts] << 16 | chars[ends] - chars[starts] << 8 | begun[ends] - begun[starts])
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, hashes, digests, places)], names=["doc", "th", "digest", "place"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
-    return by_batch(rows, schema, run)
+    rows = _named(df, id_col, text_col).where("doc IS NOT NULL AND text <> ''")
+    return by_batch(rows, "doc long, th long, digest long, place long", run)
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:
-    """``doc_id, start, end, n_words, n_chunks, first_doc_id, kept``: each passage of a document that another one holds too.
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    ``first_doc_id`` is the smallest document that holds one of the passage's chunks; ``kept`` passages are met here first.
-    ``least_words`` counts for a whole region: a passage may be shorter where a region is partly kept.
-    """
+
+def _passages(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """``doc, th, start, end, n_words, n_chunks, first, own``: the parts of the regions that have enough words."""
     chunks = chunk_rows(df, id_col, text_col)
     seen = chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
-    rows = chunks.join(seen, "digest").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size", "words", "first", (F.col("first") == F.col("doc")).alias("own")))).alias("held"))
-    return rows.select(F.col("doc").alias(id_col), F.explode(_regions("held", least_words)).alias("r")).select(
-        id_col, "r.start", "r.end", "r.n_words", "r.n_chunks", F.col("r.first").alias("first_doc_id"), F.col("r.own").alias("kept")
+    held = chunks.join(seen, "digest").groupBy("doc", "th", "place").agg(F.min("first").alias("first"))  # equal rows once
+    at, size, words = F.shiftright("place", 16).alias("at"), F.shiftright("place", 8).bitwiseAND(255).alias("size"), F.col("place").bitwiseAND(255).alias("words")
+    rows = held.select("doc", "th", at, size, words, "first", (F.col("first") == F.col("doc")).alias("own"))
+    w = Window.partitionBy("doc", "th").orderBy("at")
+    apart = F.coalesce(F.lag(F.col("at") + F.col("size")).over(w) != F.col("at"), F.lit(True))
+    turned = F.coalesce(F.lag("own").over(w) != F.col("own"), F.lit(True))
+    marked = rows.withColumn("apart", apart.cast("int")).withColumn("turned", (apart | turned).cast("int"))
+    numbered = marked.withColumn("region", F.sum("apart").over(w)).withColumn("part", F.sum("turned").over(w))
+    parts = numbered.groupBy("doc", "th", "region", "part").agg(
+        F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("first").alias("first"), F.first("own").alias("own")
     )
+    whole = Window.partitionBy("doc", "th", "region")
+    all_words, own_words = F.sum("n_words").over(whole), F.sum(F.when(F.col("own"), F.col("n_words")).otherwise(0)).over(whole)
+    scored = parts.withColumn("all_words", all_words).withColumn("own_words", own_words)
+    return scored.where((F.col("all_words") >= least_words) & (~F.col("own") | (F.col("own_words") >= least_words)))
 
 
-def _regions(column: str, least_words: int):
-    """Parts, each all kept or all not, of the regions of neighbouring chunks that have enough words, by one pass over them."""
-    schema = "array<struct<start:int,end:int,n_words:int,n_chunks:int,first:bigint,own:boolean>>"
-
-    @F.pandas_udf(schema)
-    def join(lists):
-        import pandas as pd
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:
+    """``id_col, start, end, n_words, n_chunks, first_doc_id, kept``: each passage of a document that another one holds too.
 
-        def one(chunks) -> list[tuple]:
-            regions: list[list[list]] = []
-            for c in chunks:
-                at, size, words, first, own = c["at"], c["size"], c["words"], c["first"], c["own"]
-                if not regions or regions[-1][-1][1] != at:
-                    regions.append([])
-                parts = regions[-1]
-                if parts and parts[-1][5] == own:
-                    r = parts[-1]
-                    r[1], r[2], r[3], r[4] = at + size, r[2] + words, r[3] + 1, min(r[4], first)
-                else:
-                    parts.append([at, at + size, words, 1, first, own])
-            names = ("start", "end", "n_words", "n_chunks", "first", "own")
-            held = []
-            for parts in regions:
-                own_words = sum(r[2] for r in parts if r[5])
-                if own_words + sum(r[2] for r in parts if not r[5]) >= least_words:
-                    held += [dict(zip(names, r, strict=True)) for r in parts if not r[5] or own_words >= least_words]
-            return held
-
-        return pd.Series([one(x) for x in lists])
-
-    return join(F.col(column))
+    ``first_doc_id`` is the smallest document that holds one of the passage's chunks; ``kept`` passages are met here first.
+    ``least_words`` counts for a whole region: a passage may be shorter where a region is partly kept.
+    """
+    found = _passages(df, id_col, text_col, least_words)
+    return found.select(F.col("doc").alias(id_col), *(F.col(c).cast("int").alias(c) for c in ("start", "end", "n_words", "n_chunks")), F.col("first").alias("first_doc_id"), F.col("own").alias("kept"))
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those repeated passages of which another document's copy is kept."""
-    cuts = repeated_passages(df, id_col, text_col).where(~F.col("kept")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    """The documents without those repeated passages of which another document's copy is kept; all columns stay."""
+    cuts = _passages(df, id_col, text_col, WORDS).where(~F.col("own")).groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
     @F.pandas_udf("string")
     def without(texts, lists):
@@ -149,5 +132,6 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = df.join(cuts, id_col, "left")
-    return joined.withColumn(text_col, without(F.col(text_col).cast("string"), "_cuts")).select(*df.columns)
+    text = df[text_col].cast("string")
+    joined = df.join(cuts, (df[id_col].cast("long") == cuts["doc"]) & (F.xxhash64(text) == cuts["th"]), "left")
+    return joined.select(*(without(text, cuts["cuts"]).alias(c) if c == text_col else df[c] for c in df.columns))
