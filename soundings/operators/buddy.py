@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..schema import one_header
+from . import gridded, local, rules, sequential
 from .gridded import gross_error, posterior_error
 
 REACH_M, BAND = 400_000.0, 5.0
@@ -19,16 +22,34 @@ def standard_levels(levels: DataFrame, depths: Sequence[float]) -> DataFrame:
     return levels.where("diff IS NOT NULL AND z IS NOT NULL").withColumn("k", nearest).groupBy("uid", "k").agg(F.avg("diff").alias("diff"), F.count("*").alias("n"))
 
 
+def _cells_around() -> Column:
+    """By latitude band (5 degrees, numbered from the equator): how many longitude cells there are, each at least as wide as
+    the reach on that band and those beside it; one around the poles."""
+    counts = {}
+    for band in range(-20, 20):
+        far = min(90.0, max(abs(BAND * (band - 1)), abs(BAND * (band + 2))))
+        side = math.sin(REACH_M / (2 * geo.RADIUS)) / max(math.cos(math.radians(far)), 1e-9)
+        counts[band] = max(1, int(360 / math.degrees(2 * math.asin(side)))) if side < 1 else 1
+    return F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
+
+
 def buddies(profiles: DataFrame) -> DataFrame:
     """``uid, buddy, metres``: the nearest other profile of the same year and month within 400 km.
 
-    Candidates have another cruise and lie within 5 degrees of latitude; they meet through latitude bands (a profile
-    seeks in its own band and those beside it), so the join is an equi join on year, month and band.
+    Candidates have another cruise and lie within 5 degrees of latitude; they meet through cells of latitude bands and, within
+    a band, of longitudes (a profile seeks in its own cell and those beside it), so the join is an equi join on year, month and cell.
     """
+    profiles = one_header(profiles)
+    number, around = _cells_around(), F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cells = lambda band: F.coalesce(F.try_element_at(number, band), F.lit(1))
+    cell = lambda lon, band: F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * cells(band)).cast("int")
     band = F.floor(F.col("lat") / BAND).cast("int")
     left = profiles.select("uid", "year", "month", "cruise", "lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    reach = F.array_distinct(F.transform(around, lambda a: F.pmod(cell(F.col("lon"), F.col("band")) + a, cells(F.col("band")))))
+    left = left.select("*", F.explode(reach).alias("cell"))
     right = profiles.select(F.col("uid").alias("buddy"), "year", "month", F.col("cruise").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("band"))
-    met = left.join(right, ["year", "month", "band"]).where((F.col("uid") != F.col("buddy")) & (F.col("cruise") != F.col("other")) & (F.abs(F.col("lat") - F.col("lat2")) <= BAND))
+    right = right.withColumn("cell", F.pmod(cell(F.col("lon2"), F.col("band")), cells(F.col("band"))))
+    met = left.join(right, ["year", "month", "band", "cell"]).where((F.col("uid") != F.col("buddy")) & (F.col("cruise") != F.col("other")) & (F.abs(F.col("lat") - F.col("lat2")) <= BAND))
     away = geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), geo.nearest_turn(F.col("lon2"), F.col("lon")))
     best = met.withColumn("metres", away).groupBy("uid").agg(F.min(F.struct("metres", "buddy")).alias("m"))
     return best.select("uid", F.col("m.buddy").alias("buddy"), F.col("m.metres").alias("metres")).where(F.col("metres") <= REACH_M)
@@ -41,6 +62,30 @@ def covariance(metres: Column, seconds: Column, a: Column, b: Column) -> Column:
     return part(100.0) + part(400.0)
 
 
+def prior_flags(levels: DataFrame, profiles: DataFrame, background: DataFrame, found: DataFrame) -> DataFrame:
+    """``uid, lev, flag``: the union of the six checks that a level must pass before it counts at a standard level.
+
+    ``background`` is the result of e07 and ``found`` that of the sequential checks; the others (constant values, range,
+    stability) are run here.
+    """
+    disorder = found.select("uid", "lev", (F.col("reject") | F.col("disorder")).alias("flag"))
+    return rules.any_flag([background, disorder, *(local.run(n, levels, profiles) for n in ("e01_range", "e02_constant_value", "e06_stability"))])
+
+
+def standard_level_check(levels: DataFrame, profiles: DataFrame, grid: DataFrame, depths: Sequence[float], axes=gridded.BACKGROUND_AXES) -> DataFrame:
+    """``uid, lev, flag`` (e09): differences from the background of the levels that pass the six checks, at standard depths,
+    compared with the buddy's."""
+    found = sequential.sequential_flags(levels, profiles)
+    near = gridded.background(levels, profiles, grid, found, axes)
+    prior = prior_flags(levels, profiles, near, found)
+    diff = near.select("uid", "lev", (F.col("theta") - F.col("clim")).alias("diff")).join(prior.where("NOT flag").select("uid", "lev"), ["uid", "lev"])
+    on = levels.select("uid", "lev", "z").join(diff, ["uid", "lev"], "left")
+    cells = gridded.columns_of(grid, ("ilat", "ilon"), ("clim", "bgev", "obev"))
+    at = gridded.nearest_cells(one_header(profiles), *axes).join(cells, ["ilat", "ilon"]).select("uid", "col", F.posexplode(F.array(*(F.lit(float(d)) for d in depths))).alias("k", "depth"))
+    errors = at.select("uid", "k", *(gridded.at_depth(F.col("col"), F.col("depth"), f).alias(f) for f in ("clim", "bgev", "obev"))).where("clim IS NOT NULL")
+    return buddy_check(on, profiles, errors, depths)
+
+
 def buddy_check(levels: DataFrame, profiles: DataFrame, errors: DataFrame, depths: Sequence[float]) -> DataFrame:
     """``uid, lev, flag``: levels of standard depths whose error stays probable after the buddy is heard.
 
@@ -49,6 +94,7 @@ def buddy_check(levels: DataFrame, profiles: DataFrame, errors: DataFrame, depth
     computed from the profile's own differences with the buddy's variance, as specified. A rejected level between
     accepted ones is reinstated if it lies within their values and a tolerance; accepted is meant before reinstating.
     """
+    profiles = one_header(profiles)
     std = standard_levels(levels, depths)
     own = std.join(errors, ["uid", "k"]).join(profiles.select("uid", "lat", "probe", "year", "month", "day", "time"), "uid")
     wide = F.when(F.abs("lat") < 10, 2.25).otherwise(1.0)

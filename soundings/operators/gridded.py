@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, seawater
 from ..functions.geo import in_region
+from ..schema import one_header
 
 
 def columns_of(grid: DataFrame, cell: Sequence[str], fields: Sequence[str], depth: str = "depth") -> DataFrame:
@@ -35,18 +36,19 @@ def nearest_cells(profiles: DataFrame, lat: tuple[float, float, int], lon: tuple
     return profiles.withColumn("ilat", geo.grid_index(geo.normal_latitude(F.col("lat")), *lat)).withColumn("ilon", geo.grid_index(F.col("lon"), *lon, cyclic=True))
 
 
-_BACK = ((-90.0, 10.0, 19), (0.0, 10.0, 36))
+BACKGROUND_AXES = ((-90.0, 10.0, 19), (0.0, 10.0, 36))
 
 
-def _on_background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, axes=_BACK) -> DataFrame:
+def on_background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, axes=BACKGROUND_AXES) -> DataFrame:
+    """Levels with the background column ``col`` of their profile's cell, and the header's latitude and probe."""
     cells = columns_of(grid, ("ilat", "ilon"), ("clim", "bgev", "obev"))
-    headers = nearest_cells(profiles, *axes).join(cells, ["ilat", "ilon"], "left").select("uid", "lat", "probe", "col")
-    return levels.join(headers, "uid")
+    headers = nearest_cells(one_header(profiles), *axes).join(cells, ["ilat", "ilon"], "left").select("uid", "lat", "probe", "col")
+    return levels.join(headers, "uid", "left")
 
 
-def background_available(levels: DataFrame, profiles: DataFrame, grid: DataFrame, axes=_BACK) -> DataFrame:
+def background_available(levels: DataFrame, profiles: DataFrame, grid: DataFrame, axes=BACKGROUND_AXES) -> DataFrame:
     """``uid, lev, flag`` (e08): a level with data where the background column does not reach; all, if there is no column."""
-    on = _on_background(levels, profiles, grid, axes)
+    on = on_background(levels, profiles, grid, axes)
     deep = F.col("t").isNotNull() & F.col("z").isNotNull() & at_depth(F.col("col"), F.col("z"), "clim").isNull()
     return on.select("uid", "lev", F.coalesce(F.col("col").isNull() | deep, F.lit(False)).alias("flag"))
 
@@ -60,12 +62,12 @@ def gross_error(probe: Column, suspect: Column) -> Column:
 def posterior_error(difference: Column, variance: Column, guess: Column) -> Column:
     """Probability of a gross error given a difference from the background and its variance."""
     good = F.exp(-0.5 * F.least(difference * difference / variance, F.lit(160.0))) / F.sqrt(F.lit(6.283185307179586) * variance)
-    return 0.1 * guess / (0.1 * guess + good * (1 - guess))
+    return F.when(difference.isNotNull() & variance.isNotNull(), 0.1 * guess / (0.1 * guess + good * (1 - guess)))
 
 
-def background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, suspects: DataFrame, axes=_BACK) -> DataFrame:
+def background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, suspects: DataFrame, axes=BACKGROUND_AXES) -> DataFrame:
     """``uid, lev, flag, pge, theta, clim`` (e07): Bayesian comparison of potential temperature with the background."""
-    on = _on_background(levels, profiles, grid, axes).join(suspects.select("uid", "lev", "suspect"), ["uid", "lev"])
+    on = on_background(levels, profiles, grid, axes).join(suspects.select("uid", "lev", "suspect"), ["uid", "lev"])
     pressure = seawater.depth_to_pressure(F.col("z"), F.col("lat"))
     at = lambda f: at_depth(F.col("col"), F.col("z"), f)
     seen = on.where("t IS NOT NULL AND z IS NOT NULL AND col IS NOT NULL").select("uid", "lev", "lat", "probe", "suspect", "t", F.coalesce("s", F.lit(35.0)).alias("s"), pressure.alias("pr"), at("clim").alias("clim"), at("bgev").alias("bgev"), at("obev").alias("obev"))
@@ -78,6 +80,7 @@ def background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, suspects
 def near_cells(profiles: DataFrame, cells: DataFrame, step: float = 0.25) -> DataFrame:
     """Profiles with the nearest grid point within one step (in degrees, across the date line), or nothing."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    profiles = one_header(profiles)
     row, col, turns = F.floor(F.col("lat") / step).cast("int"), F.floor(F.col("lon") / step).cast("int"), int(360 / step)
     seek = profiles.select("uid", "lat", "lon", F.explode(around).alias("a")).select("*", F.explode(around).alias("b"))
     seek = seek.select("uid", "lat", "lon", (F.floor(F.col("lat") / step) + F.col("a")).cast("int").alias("row"), F.pmod(F.floor(F.col("lon") / step) + F.col("b"), F.lit(turns)).cast("int").alias("column"))
@@ -111,7 +114,7 @@ def local_climatology(levels: DataFrame, profiles: DataFrame, monthly: DataFrame
     bins, unknown months, and monthly values that are missing (a negative deviation or a median below -2.3).
     """
     closed = (F.col("lat").between(35, 45) & F.col("lon").between(45, 60)) | (F.col("lat").between(40, 50) & F.col("lon").between(-95, -75))
-    at = profiles.where(~closed).select("uid", "month", F.floor((F.col("lon") + 180) / 0.5).cast("int").alias("ix"), F.floor((90 - F.col("lat")) / 0.5).cast("int").alias("iy"))
+    at = one_header(profiles).where(~closed).select("uid", "month", F.floor((F.col("lon") + 180) / 0.5).cast("int").alias("ix"), F.floor((90 - F.col("lat")) / 0.5).cast("int").alias("iy"))
     rows = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", "t", _bin(F.col("z"), edges).alias("k")).where("k IS NOT NULL").join(at, "uid")
     named = lambda g, p: g.withColumnRenamed("med", f"{p}_med").withColumnRenamed("amd", f"{p}_amd")
     got = rows.join(named(monthly, "m"), ["ix", "iy", "k", "month"], "left").join(named(annual, "y"), ["ix", "iy", "k"], "left")
@@ -132,7 +135,7 @@ def two_bin_climatology(levels: DataFrame, profiles: DataFrame, monthly: DataFra
     the global range -2 to 33 holds.
     """
     lon = F.when((F.col("lon") >= 180) & (F.col("lon") < 360), F.col("lon") - 360).otherwise(F.col("lon"))
-    at = profiles.select("uid", "month", F.bround((lon + 180) / 0.5).cast("int").alias("i"), F.bround((90 - F.col("lat")) / 0.5).cast("int").alias("j")).where("i BETWEEN 0 AND 720 AND j BETWEEN 0 AND 360")
+    at = one_header(profiles).select("uid", "month", F.bround((lon + 180) / 0.5).cast("int").alias("i"), F.bround((90 - F.col("lat")) / 0.5).cast("int").alias("j")).where("i BETWEEN 0 AND 720 AND j BETWEEN 0 AND 360")
     rows = levels.where("z IS NOT NULL AND t IS NOT NULL").select("uid", "lev", "t", _bin(F.col("z"), edges).alias("k")).where("k IS NOT NULL").join(at, "uid")
     shifted = lambda g, p, by: g.select(*(c for c in ("i", "j", "month") if c in g.columns), (F.col("k") - by).alias("k"), F.col("tmin").alias(f"{p}_lo"), F.col("tmax").alias(f"{p}_hi"))
     for p, by in (("m0", 0), ("m1", 1)):
@@ -152,7 +155,7 @@ def region_range(levels: DataFrame, profiles: DataFrame, cells: DataFrame, range
     belongs to the first depth that is not above it, and passes below the deepest one.
     """
     wrap = lambda c, half: F.pmod(F.bround(c - 0.5) + 0.5 + half, F.lit(2.0 * half)) - half
-    at = profiles.select("uid", wrap(F.col("lat"), 90).alias("glat"), wrap(F.col("lon"), 180).alias("glon")).join(cells, ["glat", "glon"]).select("uid", "region")
+    at = one_header(profiles).select("uid", wrap(F.col("lat"), 90).alias("glat"), wrap(F.col("lon"), 180).alias("glon")).join(cells, ["glat", "glon"]).select("uid", "region")
     table = columns_of(ranges, ("region",), ("tmin", "tmax"))
     place = F.row_number().over(Window.partitionBy("uid").orderBy("lev"))
     on = levels.withColumn("_i", place).join(at, "uid", "left").join(table, "region", "left")
@@ -177,15 +180,15 @@ def at_sea(levels: DataFrame, profiles: DataFrame, relief: DataFrame, lat: tuple
     """``uid, lev, flag`` (o05; t14 with a reach of 0): impossible positions, or land all around."""
     land = all_land(relief, lat[2], lon[2], reach)
     wrong = ~F.col("lon").between(-180, 359.999999) | ~F.col("lat").between(-90, 90)
-    cells = nearest_cells(profiles, lat, lon).join(land, ["ilat", "ilon"], "left")
+    cells = nearest_cells(one_header(profiles), lat, lon).join(land, ["ilat", "ilon"], "left")
     flag = F.when(F.col("lat").isNull() | F.col("lon").isNull(), False).otherwise(F.coalesce(wrong | F.col("land"), F.lit(False)))
-    return levels.select("uid", "lev").join(cells.select("uid", flag.alias("flag")), "uid")
+    return levels.select("uid", "lev").join(cells.select("uid", flag.alias("flag")), "uid", "left").select("uid", "lev", F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
 def below_bottom(levels: DataFrame, profiles: DataFrame, relief: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int]) -> DataFrame:
     """``uid, lev, flag`` (o01): deeper than the bottom at the nearest relief point."""
-    floor = nearest_cells(profiles, lat, lon).join(relief, ["ilat", "ilon"], "left").select("uid", (-F.col("height")).alias("floor"))
-    return levels.join(floor, "uid").select("uid", "lev", F.coalesce(F.col("z") > F.col("floor"), F.lit(False)).alias("flag"))
+    floor = nearest_cells(one_header(profiles), lat, lon).join(relief, ["ilat", "ilon"], "left").select("uid", (-F.col("height")).alias("floor"))
+    return levels.join(floor, "uid", "left").select("uid", "lev", F.coalesce(F.col("z") > F.col("floor"), F.lit(False)).alias("flag"))
 
 
 #: Corners of two seas with their own temperature ranges.
@@ -195,9 +198,9 @@ MEDITERRANEAN = ((30.0, 30.0, 40.0, 42.0, 50.0, 40.0, 30.0), (6.0, 40.0, 35.0, 2
 
 def regional_range(levels: DataFrame, profiles: DataFrame) -> DataFrame:
     """``uid, lev, flag`` (r05): outside of the range of the Red Sea or the Mediterranean."""
-    seas = profiles.select("uid", in_region(F.col("lat"), F.col("lon"), *RED_SEA).alias("red"), in_region(F.col("lat"), F.col("lon"), *MEDITERRANEAN).alias("med"))
+    seas = one_header(profiles).select("uid", in_region(F.col("lat"), F.col("lon"), *RED_SEA).alias("red"), in_region(F.col("lat"), F.col("lon"), *MEDITERRANEAN).alias("med"))
     bad = (F.col("red") & ~F.col("t").between(21.7, 40)) | (F.col("med") & ~F.col("t").between(10, 40))
-    return levels.join(seas, "uid").select("uid", "lev", F.coalesce(bad, F.lit(False)).alias("flag"))
+    return levels.join(seas, "uid", "left").select("uid", "lev", F.coalesce(bad, F.lit(False)).alias("flag"))
 
 
 def envelope(levels: DataFrame, bounds: Sequence[tuple[float, float, float, float]]) -> DataFrame:
@@ -239,6 +242,7 @@ def hex_cells(profiles: DataFrame, cells: DataFrame) -> DataFrame:
 
 def min_max(levels: DataFrame, profiles: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """``uid, lev, flag`` (o06): outside of the (tmin, tmax) of a cell's pressure bin; ``bounds`` is ``cell, lo, hi, tmin, tmax``."""
+    profiles = one_header(profiles)
     at = hex_cells(profiles, cells).join(profiles.select("uid", "lat"), "uid")
     bins = bounds.groupBy("cell").agg(F.collect_list(F.struct("lo", "hi", "tmin", "tmax")).alias("bins"))
     on = levels.join(at, "uid", "left").join(bins, "cell", "left").withColumn("pr", seawater.depth_to_pressure(F.col("z"), F.col("lat")))
@@ -246,18 +250,71 @@ def min_max(levels: DataFrame, profiles: DataFrame, cells: DataFrame, bounds: Da
     return on.select("uid", "lev", F.coalesce((F.col("t") < hit["tmin"]) | (F.col("t") > hit["tmax"]), F.lit(False)).alias("flag"))
 
 
-def fuzzy(levels: DataFrame, features: dict[str, Column], memberships: dict[str, tuple[tuple[float, float], tuple[float, float]]], most: float = 0.5) -> DataFrame:
-    """``uid, lev, flag`` (t16, t17): mean fuzzy membership of *high*, each feature ramping up between two bounds less its ramp of *low*.
+def features(levels: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Levels with the features that the combined checks judge: gradient, spike and rate of change, from one window pass."""
+    w = Window.partitionBy("uid").orderBy("lev")
+    a, b = F.lag("t").over(w), F.lead("t").over(w)
+    off = F.abs(F.col("t") - (a + b) / 2)
+    rows = levels.select("uid", "lev", off.alias("gradient"), F.abs(off - F.abs((b - a) / 2)).alias("spike"), F.abs(F.col("t") - a).alias("rate"))
+    return rows, {n: F.col(n) for n in ("gradient", "spike", "rate")}
+
+
+def _ramp(x: Column, a: float, b: float) -> Column:
+    """0 up to ``a``, 1 from ``b`` on, linear between; downwards if ``b`` is less; NULL for NULL."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - a) / (b - a))))
+
+
+def _over(x: Column, corners: Sequence[float]) -> Column:
+    """Membership of a trapezoid ``(a, b, c, d)``; two corners are a ramp."""
+    if len(corners) == 2:
+        return _ramp(x, *corners)
+    a, b, c, d = corners
+    return F.least(_ramp(x, a, b), _ramp(x, d, c))
 
-    A membership is ((low from, low to), (high from, high to)); missing features are left out.
-    """
-    ramp = lambda x, a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - a) / (b - a)))
-    scores = [(1 - (1 - ramp(features[n], *low))) * ramp(features[n], *high) for n, (low, high) in memberships.items()]
-    total, count = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0)), sum((s.isNotNull().cast("int") for s in scores), F.lit(0))
-    return levels.select("uid", "lev", F.coalesce(F.try_divide(total, count) > most, F.lit(False)).alias("flag"))
 
+#: What *low*, *medium* and *high* mean for the uncertainty of a level, which lies between 0 and 1.
+UNCERTAINTY = {"low": (0.0, 0.225, 0.225, 0.45), "medium": (0.275, 0.5, 0.5, 0.725), "high": (0.55, 0.775)}
+_STEPS = 50
 
-def anomaly(levels: DataFrame, features: dict[str, Column], scales: dict[str, float], least: float = -18.0) -> DataFrame:
-    """``uid, lev, flag`` (t15): sum over features of the log survival of an exponential law with a given scale below ``least``."""
-    total = sum((F.coalesce(-F.abs(features[n]) / s, F.lit(0.0)) for n, s in scales.items()), F.lit(0.0))
+
+def _once(column: Column) -> Column:
+    """A value computed once per row, however often it is used later: a projection would be copied to each use."""
+    return F.explode(F.array(column))
+
+
+def uncertainty(rows: DataFrame, features: dict[str, Column], memberships: dict[str, dict[str, Sequence[float]]]) -> DataFrame:
+    """``uid, lev, uncertainty``: the defuzzified uncertainty of each level. Rule strengths are the mean membership of the
+    features in *low* and in *medium*, and the largest in *high*; these cut the output sets, and their union is halved by area.
+
+    A membership is a ramp (two corners, downwards for *low*) or a trapezoid (four). Missing features are left out; NULL
+    without any.
+    """
+    own = {level: F.array_compact(F.array(*(_over(features[n].cast("double"), m[level]) for n, m in memberships.items()))) for level in UNCERTAINTY}
+    held = rows.select("uid", "lev", _once(F.struct(*(a.alias(level) for level, a in own.items()))).alias("own"))
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), F.size(a))
+    strength = held.select("uid", "lev", _once(F.struct(*((F.array_max if level == "high" else mean)(F.col(f"own.{level}")).alias(level) for level in UNCERTAINTY))).alias("s"))
+    known = F.col("s.low").isNotNull()
+    height = lambda k: F.greatest(*(F.least(F.col(f"s.{n}"), _over(k / float(_STEPS), corners)) for n, corners in UNCERTAINTY.items()))
+    area = strength.select("uid", "lev", _once(F.when(known, F.transform(F.sequence(F.lit(0), F.lit(_STEPS)), height))).alias("area"))
+    whole = area.select("uid", "lev", "area", _once(F.aggregate("area", F.lit(0.0), lambda acc, x: acc + x)).alias("whole"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("k"))
+    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.when((acc["at"] < 0) & (acc["sum"] + x >= F.col("whole") / 2 - 1e-9), acc["k"]).otherwise(acc["at"]).alias("at"), (acc["k"] + 1).alias("k"))
+    return whole.select("uid", "lev", F.when(F.col("whole") > 0, F.aggregate("area", start, step)["at"] / float(_STEPS)).alias("uncertainty"))
+
+
+def fuzzy(levels: DataFrame, features: dict[str, Column], memberships: dict[str, dict[str, Sequence[float]]], most: float = 0.34) -> DataFrame:
+    """``uid, lev, flag`` (t16, t17): levels whose uncertainty is above ``most``."""
+    return uncertainty(levels, features, memberships).select("uid", "lev", F.coalesce(F.col("uncertainty") > most, F.lit(False)).alias("flag"))
+
+
+def log_survival(x: Column, shape: float, power: float, place: float, scale: float) -> Column:
+    """Log of the survival function of an exponentiated Weibull law; with shape and power 1, of an exponential one."""
+    y = F.greatest((x - place) / scale, F.lit(0.0))
+    below = 1.0 - F.exp(-F.pow(y, F.lit(power)))
+    return F.log(F.greatest(1.0 - F.pow(below, F.lit(shape)), F.lit(1e-300)))
+
+
+def anomaly(levels: DataFrame, features: dict[str, Column], laws: dict[str, tuple[float, float, float, float]], least: float = -18.0) -> DataFrame:
+    """``uid, lev, flag`` (t15): sum over features of the log survival under laws ``(shape, power, place, scale)`` below ``least``."""
+    total = sum((F.coalesce(log_survival(F.abs(features[n].cast("double")), *law), F.lit(0.0)) for n, law in laws.items()), F.lit(0.0))
     return levels.select("uid", "lev", (total < least).alias("flag"))

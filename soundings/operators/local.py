@@ -1,4 +1,5 @@
 """Checks of one profile: each is SQL over ``levels`` and ``profiles``, giving ``uid, lev, flag`` for every level.
+A level without a header is judged without one; of headers that repeat a uid one counts.
 
 Most checks are predicates over a level and its neighbours. ``run_local`` evaluates any number of those in one select, so
 they share one exchange by ``uid`` and one sort by ``lev``; tables bucketed by ``uid`` save the exchange as well. Checks
@@ -13,23 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seawater
+from ..schema import HEADERS
 
 PRESSURE = "((1 - c1) - sqrt((1 - c1) * (1 - c1) - 8.84e-6 * z)) / 4.42e-6"
 
 #: A level with its neighbours; ``i`` counts levels from 0, ``pr`` is the pressure at the level's depth.
 NEIGHBOURS = f"""
 SELECT *, {PRESSURE} AS pr FROM (
-SELECT l.uid, l.lev, l.z, l.t, l.s, l.p, p.lat, p.lon, p.probe, p.country,
+SELECT l.uid, l.lev, l.z, l.t, l.s, l.p, p.lat, p.lon, p.probe, p.country{{carried}},
   5.92e-3 + 5.25e-3 * sin(radians(p.lat)) * sin(radians(p.lat)) AS c1,
   row_number() OVER w - 1 AS i, count(*) OVER u AS n, count(l.t) OVER u AS n_t, min(l.t) OVER u AS min_t, max(l.t) OVER u AS max_t,
   lag(l.t, 1) OVER w AS t_p1, lag(l.t, 2) OVER w AS t_p2, lead(l.t, 1) OVER w AS t_n1, lead(l.t, 2) OVER w AS t_n2,
   lag(l.z, 1) OVER w AS z_p1, lag(l.z, 2) OVER w AS z_p2, lead(l.z, 1) OVER w AS z_n1,
   lag(l.s, 1) OVER w AS s_p1, count(l.p) OVER u AS n_p
-FROM {{levels}} l JOIN {{profiles}} p ON l.uid = p.uid
+FROM {{levels}} l LEFT JOIN {HEADERS} p ON l.uid = p.uid
 WINDOW w AS (PARTITION BY l.uid ORDER BY l.lev), u AS (PARTITION BY l.uid)) x
 """
 
 
+def neighbours(*carried: str) -> str:
+    """The query above, with columns of the levels carried along."""
+    return NEIGHBOURS.replace("{carried}", "".join(f", l.{c}" for c in carried))
+
+
 def _both(pair: str) -> str:
     """A condition on a level (``a``) and the next (``b``) that flags both: as the first of one pair or the second of another."""
     return f"coalesce({pair.format(ta='t', tb='t_n1', za='z', zb='z_n1')}, FALSE) OR coalesce({pair.format(ta='t_p1', tb='t', za='z_p1', zb='z')}, FALSE)"
@@ -95,7 +102,7 @@ LOCAL = {
 _LEVELS_ALL = "(SELECT *, row_number() OVER (PARTITION BY uid ORDER BY lev) - 1 AS i, count(*) OVER (PARTITION BY uid) AS n FROM {levels})"
 #: Rows with depth and temperature at or below the surface, in order of depth; ties keep the level order.
 _ORDERED = """(SELECT l.uid, l.lev, l.z, l.t, p.probe, p.country, row_number() OVER (PARTITION BY l.uid ORDER BY l.z, l.lev) - 1 AS j, count(*) OVER (PARTITION BY l.uid) AS m
-  FROM {levels} l JOIN {profiles} p ON l.uid = p.uid WHERE l.z >= 0 AND l.t IS NOT NULL)"""
+  FROM {levels} l LEFT JOIN """ + HEADERS + """ p ON l.uid = p.uid WHERE l.z >= 0 AND l.t IS NOT NULL)"""
 _BACK = "SELECT l.uid, l.lev, coalesce(q.flag, FALSE) AS flag FROM {{levels}} l LEFT JOIN ({0}) q ON l.uid = q.uid AND l.lev = q.lev"
 
 # Temperature boxes, each with the least depth from which its temperatures are rejected (down to 9000 m).
@@ -119,17 +126,17 @@ f AS (SELECT e.uid, s.lev FROM d e JOIN d s ON s.uid = e.uid AND s.i = e.start W
 SELECT l.uid, l.lev, f.uid IS NOT NULL AS flag FROM {{levels}} l LEFT JOIN f ON l.uid = f.uid AND l.lev = f.lev""",
     "s05_surface_spikes": f"""
 WITH a AS (SELECT x.uid, x.lev, x.i, x.n, x.z, p.probe, coalesce(lead(x.z) OVER (PARTITION BY x.uid ORDER BY x.i), 0) AS z_n,
-  max(CASE WHEN x.z >= 4 OR (x.z IS NOT NULL AND x.i = x.n - 1) THEN 1 ELSE 0 END) OVER (PARTITION BY x.uid ORDER BY x.i) AS over FROM {_LEVELS_ALL} x JOIN {{profiles}} p ON x.uid = p.uid)
+  max(CASE WHEN x.z >= 4 OR (x.z IS NOT NULL AND x.i = x.n - 1) THEN 1 ELSE 0 END) OVER (PARTITION BY x.uid ORDER BY x.i) AS over FROM {_LEVELS_ALL} x LEFT JOIN {HEADERS} p ON x.uid = p.uid)
 SELECT uid, lev, coalesce(probe = 2 AND over = 0 AND z IS NOT NULL AND z_n < 8, FALSE) AS flag FROM a""",
     "s06_wire_break": f"""
-WITH a AS (SELECT uid, lev, probe, i, max(CASE WHEN {_GOOD} THEN i END) OVER (PARTITION BY uid) AS last FROM ({NEIGHBOURS}) v)
+WITH a AS (SELECT uid, lev, probe, i, max(CASE WHEN {_GOOD} THEN i END) OVER (PARTITION BY uid) AS last FROM ({neighbours()}) v)
 SELECT uid, lev, coalesce(probe = 2 AND i > last, FALSE) AS flag FROM a""",
     "e02_constant_value": """
 WITH a AS (SELECT uid, t, count(*) AS c, max_by(z, lev) FILTER (WHERE z IS NOT NULL) - min_by(z, lev) FILTER (WHERE z IS NOT NULL) AS span FROM {levels} WHERE t IS NOT NULL GROUP BY uid, t),
 b AS (SELECT a.uid FROM a JOIN (SELECT uid, count(*) AS n FROM {levels} GROUP BY uid) m ON a.uid = m.uid WHERE a.c >= 0.9 * m.n AND a.span >= 100 GROUP BY a.uid)
 SELECT l.uid, l.lev, b.uid IS NOT NULL AS flag FROM {levels} l LEFT JOIN b ON l.uid = b.uid""",
     "e06_stability": f"""
-WITH a AS (SELECT uid, lev, i, n, s, t, CASE WHEN n_p = 0 THEN pr ELSE p END AS q FROM ({NEIGHBOURS}) v),
+WITH a AS (SELECT uid, lev, i, n, s, t, CASE WHEN n_p = 0 THEN pr ELSE p END AS q FROM ({neighbours()}) v),
 b AS (SELECT *, {_theta("s", "t", "q")} AS th, s IS NOT NULL AND t IS NOT NULL AND q IS NOT NULL AS ok FROM a),
 c AS (SELECT uid, lev, i, n, ok, s, th, q, lag(s) OVER w AS s_p, lag(th) OVER w AS th_p, coalesce(lag(ok) OVER w, FALSE) AS ok_p, coalesce(lag(ok, 2) OVER w, FALSE) AS ok_pp, coalesce(lead(ok) OVER w, FALSE) AS ok_n FROM b WINDOW w AS (PARTITION BY uid ORDER BY i)),
 d AS (SELECT *, {_density("s", "th", "q")} - {_density("s_p", "th_p", "q")} AS d FROM c),
@@ -139,13 +146,13 @@ g AS (SELECT *, bad AND NOT before AND ok_n AS own, bad AND (before OR (ok_n AND
 h AS (SELECT uid, lev, n, own OR coalesce(lead(above) OVER (PARTITION BY uid ORDER BY i), FALSE) OR (i = n - 1 AND ok AND ok_p AND coalesce(d < -0.03, FALSE)) AS flag FROM g)
 SELECT uid, lev, flag OR sum(CASE WHEN flag THEN 1 ELSE 0 END) OVER (PARTITION BY uid) >= greatest(2, n / 4.0) AS flag FROM h""",
     "t09_smooth_residual": f"""
-WITH a AS (SELECT uid, lev, i, t, CASE WHEN t_p2 IS NOT NULL AND t_p1 IS NOT NULL AND t IS NOT NULL AND t_n1 IS NOT NULL AND t_n2 IS NOT NULL THEN {_M5} END AS u FROM ({NEIGHBOURS}) v),
+WITH a AS (SELECT uid, lev, i, t, CASE WHEN t_p2 IS NOT NULL AND t_p1 IS NOT NULL AND t IS NOT NULL AND t_n1 IS NOT NULL AND t_n2 IS NOT NULL THEN {_M5} END AS u FROM ({neighbours()}) v),
 b AS (SELECT *, lag(u) OVER w AS u_p, lead(u) OVER w AS u_n FROM a WINDOW w AS (PARTITION BY uid ORDER BY i)),
 c AS (SELECT uid, lev, i, t, CASE WHEN u_p IS NOT NULL AND u IS NOT NULL AND u_n IS NOT NULL THEN {median3("u_p", "u", "u_n")} END AS v FROM b),
 d AS (SELECT *, (lag(v) OVER w + 2 * v + lead(v) OVER w) / 4 AS x FROM c WINDOW w AS (PARTITION BY uid ORDER BY i))
 SELECT uid, lev, coalesce(abs(t - x) > 6, FALSE) AS flag FROM d""",
     "t10_scaled_residual": f"""
-WITH a AS (SELECT uid, lev, i, t, CASE WHEN t_p2 IS NOT NULL AND t_p1 IS NOT NULL AND t IS NOT NULL AND t_n1 IS NOT NULL AND t_n2 IS NOT NULL THEN {_M5} END AS u FROM ({NEIGHBOURS}) v),
+WITH a AS (SELECT uid, lev, i, t, CASE WHEN t_p2 IS NOT NULL AND t_p1 IS NOT NULL AND t IS NOT NULL AND t_n1 IS NOT NULL AND t_n2 IS NOT NULL THEN {_M5} END AS u FROM ({neighbours()}) v),
 b AS (SELECT *, lag(u) OVER w AS u_p, lead(u) OVER w AS u_n FROM a WINDOW w AS (PARTITION BY uid ORDER BY i)),
 c AS (SELECT uid, lev, i, t, CASE WHEN u_p IS NOT NULL AND u IS NOT NULL AND u_n IS NOT NULL THEN {median3("u_p", "u", "u_n")} END AS v FROM b),
 d AS (SELECT *, (lag(v) OVER w + 2 * v + lead(v) OVER w) / 4 AS x, stddev_pop(t) OVER (PARTITION BY uid) AS sd FROM c WINDOW w AS (PARTITION BY uid ORDER BY i))
@@ -185,9 +192,9 @@ SPARK, DUCK = Dialect("bround"), Dialect("round_even")
 def check_sql(name: str, dialect: Dialect) -> str:
     """A check as a query with ``{levels}`` and ``{profiles}`` in it."""
     if name in LOCAL:
-        return f"SELECT uid, lev, coalesce({LOCAL[name].replace('{bround}', dialect.bround)}, FALSE) AS flag FROM ({NEIGHBOURS}) v"
+        return f"SELECT uid, lev, coalesce({LOCAL[name].replace('{bround}', dialect.bround)}, FALSE) AS flag FROM ({neighbours()}) v"
     if name in HEADER:
-        return f"SELECT l.uid, l.lev, coalesce({HEADER[name]}, FALSE) AS flag FROM {{levels}} l JOIN {{profiles}} p ON l.uid = p.uid"
+        return f"SELECT l.uid, l.lev, coalesce(p.uid IS NOT NULL AND {HEADER[name]}, FALSE) AS flag FROM {{levels}} l LEFT JOIN {HEADERS} p ON l.uid = p.uid"
     return STEPS[name]
 
 
@@ -200,7 +207,8 @@ def run(name: str, levels: DataFrame, profiles: DataFrame) -> DataFrame:
     return levels.sparkSession.sql(sql, **{k: v for k, v in (("levels", levels), ("profiles", profiles)) if f"{{{k}}}" in sql})
 
 
-def run_local(levels: DataFrame, profiles: DataFrame, names: tuple[str, ...] = tuple(LOCAL)) -> DataFrame:
-    """``uid, lev`` and a flag column per named neighbour check: one exchange and one sort for all of them."""
-    seen = levels.sparkSession.sql(NEIGHBOURS, levels=levels, profiles=profiles)
-    return seen.select("uid", "lev", *(F.expr(f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)").alias(n) for n in names))
+def run_local(levels: DataFrame, profiles: DataFrame, names: tuple[str, ...] = tuple(LOCAL), carried: tuple[str, ...] = (), headers: tuple[str, ...] = ()) -> DataFrame:
+    """``uid, lev``, carried columns of the levels and headers (probe, lat, lon, country), and a flag column per named
+    neighbour check: one exchange and one sort for all of them."""
+    seen = levels.sparkSession.sql(neighbours(*carried), levels=levels, profiles=profiles)
+    return seen.select("uid", "lev", *carried, *headers, *(F.expr(f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)").alias(n) for n in names))

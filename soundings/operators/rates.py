@@ -36,11 +36,11 @@ def best(table: DataFrame, size: str | None = None) -> DataFrame:
         ("highest_tpr", F.col("fpr") < 100, [-F.col("tpr")]),
         ("nearest", F.lit(True), [F.pow("fpr", F.lit(2)) + F.pow(100 - F.col("tpr"), F.lit(2))]),
     )
-    parts = None
-    for name, ok, order in criteria:
-        part = table.where(ok).orderBy(*order, *tie).limit(1).select(F.lit(name).alias("criterion"), "check", "tpr", "fpr")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    row = F.struct("check", "tpr", "fpr")
+    first = lambda ok, order: F.min_by(row, F.when(ok, F.struct(*(c.alias(f"k{k}") for k, c in enumerate([*order, *tie])))))
+    found = table.agg(*(first(ok, order).alias(name) for name, ok, order in criteria))
+    named = found.select(F.explode(F.array(*(F.struct(F.lit(name).alias("criterion"), F.col(name).alias("row")) for name, _, _ in criteria))).alias("x"))
+    return named.where("x.row IS NOT NULL").select("x.criterion", "x.row.check", "x.row.tpr", "x.row.fpr")
 
 
 def effective(table: DataFrame, least: float = 2.0) -> DataFrame:

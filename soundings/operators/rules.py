@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +22,26 @@ def removal(rule: Column | str, flag: Column, place: Column, uid: str = "uid", p
     return hit if not pad else F.max(hit).over(Window.partitionBy(uid).orderBy(place).rowsBetween(-pad, pad))
 
 
-def apply_rules(levels: DataFrame, steps: list[tuple[str, str]], pad: int = 0, xbt_below: bool = False) -> DataFrame:
+def any_flag(flags: Sequence[DataFrame]) -> DataFrame:
+    """``uid, lev, flag``: the OR of flag tables, by one aggregate."""
+    return reduce(DataFrame.unionByName, (f.select("uid", "lev", "flag") for f in flags)).groupBy("uid", "lev").agg(F.bool_or("flag").alias("flag"))
+
+
+def passed(levels: DataFrame, flags: DataFrame) -> DataFrame:
+    """The levels that a flag table does not flag."""
+    return levels.join(flags.where("flag").select("uid", "lev"), ["uid", "lev"], "left_anti")
+
+
+def apply_rules(levels: DataFrame, steps: list[tuple[str, str]], pad: int = 0, xbt_below: bool = False, wire_break: str | None = None) -> DataFrame:
     """Levels that survive a list of (check column, rule), each applied to what the ones before have left.
 
     A check's levels are renumbered after every step, so padding counts surviving levels. A step that would leave a
     profile without levels drops the profile at the end and leaves its levels to the later steps. Check columns that
     were used are removed. With ``xbt_below``, *levels* means *below* for expendable probes (probe 2). All windows
-    share one partitioning by ``uid``: one exchange for the whole list.
+    share one partitioning by ``uid``: one exchange for the whole list. ``wire_break`` names a check whose levels below go too.
     """
+    if wire_break and (wire_break, "below") not in steps:
+        steps = [*steps, (wire_break, "below")]
     whole = Window.partitionBy("uid")
     df = levels.withColumn("_dead", F.lit(False))
     for check, rule in steps:

@@ -14,6 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import rules
+
+
+#: Of how many checks all sets may be rated.
+MOST_CHECKS = 16
+
 
 def patterns(decisions: DataFrame, checks: Sequence[str], truth: str = "truth") -> DataFrame:
     """``truth, mask, n``: bit k of the mask is the decision of check k (63 checks at most)."""
@@ -45,6 +51,12 @@ def inverted(decisions: DataFrame, checks: Sequence[str]) -> DataFrame:
     return decisions.select("*", *((~F.col(c)).alias(f"r{c}") for c in checks))
 
 
+def search_table(decisions: DataFrame, checks: Sequence[str], with_inverted: bool = False) -> tuple[DataFrame, list[str]]:
+    """The pattern table of a search and the names of its checks, if asked for with their inverted copies."""
+    names = [*checks, *(f"r{c}" for c in checks if with_inverted)]
+    return patterns(inverted(decisions, checks) if with_inverted else decisions, names), names
+
+
 def subsets(spark, n: int, size: int | None = None) -> DataFrame:
     """``subset``: all non-empty sets of n checks as masks, or those of one size."""
     found = spark.range(1, 1 << n).withColumnRenamed("id", "subset")
@@ -52,8 +64,12 @@ def subsets(spark, n: int, size: int | None = None) -> DataFrame:
 
 
 def subset_rates(table: DataFrame, n: int, size: int | None = None) -> DataFrame:
-    """``subset, size, tpr, fpr`` of the AND of each set of checks; the pattern table is the broadcast side."""
-    pairs = subsets(table.sparkSession, n, size).join(F.broadcast(table))
+    """``subset, size, tpr, fpr`` of the AND of each set of ``n`` checks, at most ``MOST_CHECKS``: so both the sets and the
+    patterns, of which there are at most twice as many, are bounded, and each set meets each pattern as a stated query."""
+    if n > MOST_CHECKS:
+        raise ValueError(f"the sets of more than {MOST_CHECKS} checks are too many; search them by grow_roc")
+    patterns_ = table.groupBy("truth", F.col("mask").bitwiseAND(F.lit((1 << n) - 1)).alias("mask")).agg(F.sum("n").alias("n"))
+    pairs = subsets(table.sparkSession, n, size).join(F.broadcast(patterns_))
     hit = F.col("mask").bitwiseAND(F.col("subset")) == F.col("subset")
     rate = lambda bad: F.try_divide(100.0 * F.sum(F.when(hit & (F.col("truth") == bad), F.col("n")).otherwise(0)), F.sum(F.when(F.col("truth") == bad, F.col("n")).otherwise(0)))
     return pairs.groupBy("subset").agg(rate(True).alias("tpr"), rate(False).alias("fpr")).select("subset", F.bit_count("subset").alias("size"), "tpr", "fpr")
@@ -154,6 +170,35 @@ def grow_roc(table: DataFrame, candidates: list[Candidate], ratio=(2.5, 1.0), ga
     return out
 
 
+def grow_by_levels(levels: DataFrame, checks: Sequence[str], groups: dict[str, list[str]] | None = None, steps: Sequence[tuple[str, str]] = (), ratio=(2.5, 1.0), gain: float = 0.0, pad: int = 2) -> list[dict]:
+    """Growth by levels: ``pos, check, tpr, fpr, enforced`` for each choice.
+
+    After each choice the levels that it flags are removed (for expendable probes all below, with ``pad`` levels around), and
+    the next check is rated on what is left. A check of each group comes first, in order; then any, as long as its cost is not above
+    that of doing nothing and its TPR is at least ``gain``. Checks that flag all or no profiles are left out. ``levels`` has a
+    column per check, ``uid``, ``lev``, ``truth`` and ``probe``; ``steps`` are rules that hold from the start.
+    """
+    chosen: list[str] = []
+    out: list[dict] = []
+    waiting = list((groups or {}).items())
+    while True:
+        group, pool = waiting.pop(0) if waiting else (None, list(checks))
+        left = rules.apply_rules(levels, [*steps, *((c, "levels") for c in chosen)], pad, xbt_below=True)
+        names = [c for c in checks if c not in chosen and c not in {c for c, _ in steps}]
+        scored = []
+        if names:
+            found = _evaluate(patterns(rules.decisions(left, names), names), [], [1 << k for k in range(len(names))])
+            scored = [(n, tpr, fpr) for n, (tpr, fpr) in zip(names, found, strict=True) if n in pool and (tpr, fpr) not in ((0.0, 0.0), (100.0, 100.0))]
+        best = min(scored, key=lambda x: cost(ratio, x[1], x[2]), default=None)
+        if best and group is None and (cost(ratio, 0.0, 0.0) < cost(ratio, best[1], best[2]) or best[1] < gain):
+            best = None
+        if best and cost(ratio, best[1], best[2]) < cost(ratio, 0.0, 100.0):
+            chosen.append(best[0])
+            out.append({"pos": len(out), "check": best[0], "tpr": best[1], "fpr": best[2], "enforced": group is not None})
+        elif group is None:
+            return out
+
+
 def roc_points(table: DataFrame, chosen: list[Candidate]) -> list[tuple[float, float]]:
     """(TPR, FPR) after each choice, from one aggregate with a prefix per point."""
     hit = lambda m: (F.col("mask").bitwiseAND(F.lit(m)) == m)

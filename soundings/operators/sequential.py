@@ -1,15 +1,20 @@
 """Checks whose steps depend on earlier ones: spikes and steps, increasing depth, stuck values.
 
-Each runs per profile in a grouped function; profiles that cannot fail are kept out of it where a cheap test exists.
+Each works on whole profiles, one after the other; profiles that cannot fail are kept out of it by window tests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import one_header
+
 _NAN = float("nan")
 
 
@@ -67,7 +72,10 @@ def spikes_and_steps(z: np.ndarray, t: np.ndarray, lat: float) -> tuple[np.ndarr
 
 
 def depths_out_of_order(z: np.ndarray, spikes: np.ndarray) -> np.ndarray:
-    """Levels that break the increase of depth: the level of most inversions goes first, the deepest of equals."""
+    """Levels that break the increase of depth: the level of most inversions goes first, the deepest of equals.
+
+    Inversions are counted once; each level that goes takes its own off the others' counts.
+    """
     n = len(z)
     qc = (z < 0) | (z > 11000)
     if n <= 1:
@@ -75,23 +83,33 @@ def depths_out_of_order(z: np.ndarray, spikes: np.ndarray) -> np.ndarray:
     whole = np.where(np.isfinite(z), z, 0.0)
     if (whole == whole[0]).all():
         return np.ones(n, bool)
-    index = np.arange(n)
-    bad = np.where(index[:, None] < index[None, :], z[:, None] >= z[None, :], z[:, None] <= z[None, :])
-    usable = np.isfinite(z) & ~qc
-    bad &= usable[:, None] & usable[None, :] & (index[:, None] != index[None, :])
-    while (count := bad.sum(0)).any():
-        most = count.max()
+    index = np.flatnonzero(np.isfinite(z) & ~qc)  # of the usable levels; those that go are marked in `left`
+    d, left = z[index], np.ones(len(index), bool)
+    places = np.arange(len(d))
+    count = np.zeros(len(d), np.int64)
+    for at in range(0, len(d), 512):  # rows of the comparison in blocks, which bounds its memory
+        rows = d[at : at + 512, None]
+        later = places[at : at + 512, None] < places[None, :]
+        count[at : at + 512] = np.where(later, rows >= d[None, :], (rows <= d[None, :]) & (places[at : at + 512, None] != places[None, :])).sum(1)
+    while len(count) and (most := count.max()) > 0:
         level = int(np.flatnonzero(count == most)[-1])
         gone = [level]
         if most == 1:
-            other = int(np.flatnonzero(bad[:, level])[-1])
-            gone = [k for k in (level, other) if spikes[k]] or [level, other]
-        qc[gone] = True
-        bad[gone] = False
-        bad[:, gone] = False
+            other = int(np.flatnonzero(_inverted(d, places, level) & left)[-1])
+            gone = [k for k in (level, other) if spikes[index[k]]] or [level, other]
+        for k in gone:
+            left[k] = False
+            count -= _inverted(d, places, k) & left
+            count[k] = 0
+        qc[index[gone]] = True
     return qc
 
 
+def _inverted(d: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """Which levels are out of order with level ``k``."""
+    return np.where(places < k, d >= d[k], (d <= d[k]) & (places != k))
+
+
 def stuck_run(z: np.ndarray, t: np.ndarray, least: int) -> tuple[int, int] | None:
     """First and last place of the longest run of one value in depth-ordered levels, if long and thick enough."""
     n = len(t)
@@ -107,56 +125,81 @@ def stuck_run(z: np.ndarray, t: np.ndarray, least: int) -> tuple[int, int] | Non
     return i, i + int(runs[i]) - 1
 
 
-_SPIKE_SCHEMA = "uid long, lev int, reject boolean, suspect boolean"
-
+def _tolerance(z: Column, lat: Column) -> Column:
+    base = F.when(lat < 20.0, 300.0).otherwise(200.0)
+    factor = F.when(z > 600, 0.3).when(z > 500, 0.4).when(z > base + 100, 0.5).when(z > base, 1.0 - 0.005 * (z - base)).otherwise(1.0)
+    return 5.0 * factor
 
-def _by_profile(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("lev")
 
+def _marked(levels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Levels with ``steep``: whether their profile may have a spike or a step; and ``tangled``: whether its depths may be out of order.
 
-def spike_and_step(levels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``uid, lev, reject, suspect`` of every level (checks e03 and e04)."""
+    A spike or a step takes a step of more than half the tolerance between levels near each other, a level too cold for the
+    tropics, or a zero at the bottom.
+    """
+    w, whole = Window.partitionBy("uid").orderBy("lev"), Window.partitionBy("uid")
+    on = levels.select("uid", "lev", F.col("z").cast("double").alias("z"), F.col("t").cast("double").alias("t")).join(one_header(profiles).select("uid", "lat"), "uid", "left")
+    z, t, lat = F.col("z"), F.col("t"), F.abs("lat")
+    above, gap = F.lag("z").over(w), z - F.lag("z").over(w)
+    near = (gap <= 50) | ((z >= 350) & (gap <= 100))
+    step = near & (F.abs(t - F.lag("t").over(w)) > 0.5 * F.least(_tolerance(above, lat), _tolerance(z, lat)))
+    cold = (lat < 20.0) & (z < 1000.0) & (t < 1.0)
+    last = (t == 0.0) & F.lead("lev").over(w).isNull()
+    steep = F.coalesce(step, F.lit(False)) | F.coalesce(cold, F.lit(False)) | F.coalesce(last, F.lit(False))
+    before = F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    odd = F.coalesce((z < 0) | (z > 11000) | (z <= before), F.lit(False))
+    alone = (F.count("z").over(whole) == 0) & (F.count("*").over(whole) > 1)
+    marked = on.withColumn("_steep", steep).withColumn("_odd", odd)
+    return marked.withColumn("steep", F.max("_steep").over(whole)).withColumn("tangled", F.max("_odd").over(whole) | alone).drop("_steep", "_odd")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _by_profile(pdf)
-        with np.errstate(all="ignore"):
-            reject, suspect = spikes_and_steps(pdf["z"].to_numpy(float), pdf["t"].to_numpy(float), float(pdf["lat"].iloc[0]))
-        return pd.DataFrame({"uid": pdf["uid"], "lev": pdf["lev"], "reject": reject, "suspect": suspect})
 
-    return levels.select("uid", "lev", "z", "t").join(profiles.select("uid", "lat"), "uid").groupBy("uid").applyInPandas(run, _SPIKE_SCHEMA)
+def sequential_flags(levels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``uid, lev, reject, suspect, disorder`` of every level (checks e03, e04 and e05), in one pass.
 
+    Profiles that pass the window tests have no flag; only the others are packed, a row of arrays per profile, for the state
+    machine. A profile without a header counts as one of unknown latitude.
+    """
+    marked = _marked(levels, profiles)
+    packed = marked.where("steep OR tangled").groupBy("uid", "lat", "steep", "tangled").agg(F.sort_array(F.collect_list(F.struct("lev", "z", "t"))).alias("at"))
+    rows = packed.select("uid", F.col("lat").cast("double").alias("lat"), "steep", "tangled", *(F.col(f"at.{c}").alias(c) for c in ("lev", "z", "t")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b["lev"].offsets.to_numpy()[1:] - b["lev"].offsets[0].as_py()
+            cut = lambda name: np.split(b[name].flatten().to_numpy(zero_copy_only=False).astype(float), ends[:-1])  # noqa: B023, E731
+            found = []
+            for z, t, lat, steep, tangled in zip(cut("z"), cut("t"), b["lat"].to_pylist(), b["steep"].to_pylist(), b["tangled"].to_pylist(), strict=True):
+                none = np.zeros(len(z), bool)
+                with np.errstate(all="ignore"):
+                    reject, suspect = spikes_and_steps(z, t, _NAN if lat is None else lat) if steep else (none, none)
+                    found.append((reject, suspect, depths_out_of_order(z, reject) if tangled else none))
+            flags = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, bool) for k in range(3)]
+            uid = np.repeat(b["uid"].to_numpy(), np.diff(b["lev"].offsets.to_numpy()))
+            yield pa.record_batch([pa.array(uid), b["lev"].flatten(), *map(pa.array, flags)], names=["uid", "lev", "reject", "suspect", "disorder"])
+
+    found = rows.mapInArrow(run, "uid long, lev int, reject boolean, suspect boolean, disorder boolean")
+    no = F.lit(False)
+    return found.unionByName(marked.where("NOT (steep OR tangled)").select("uid", "lev", no.alias("reject"), no.alias("suspect"), no.alias("disorder")))
 
-def increasing_depth(levels: DataFrame, profiles: DataFrame, spikes: DataFrame | None = None) -> DataFrame:
-    """``uid, lev, flag`` (check e05). Profiles of strictly increasing, possible depths never reach the function.
 
-    ``spikes`` (``uid, lev, reject``) settles lone inversions; it is computed for the open profiles if not given.
-    """
-    w, whole = Window.partitionBy("uid").orderBy("lev"), Window.partitionBy("uid")
-    before = F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    odd = F.coalesce((F.col("z") < 0) | (F.col("z") > 11000) | (F.col("z") <= before), F.lit(False))
-    alone = (F.count("z").over(whole) == 0) & (F.count("*").over(whole) > 1)
-    marked = levels.select("uid", "lev", "z", "t").withColumn("_odd", odd).withColumn("open", F.max("_odd").over(whole) | alone).drop("_odd")
-    open_rows = marked.where("open")
-    if spikes is None:
-        spikes = spike_and_step(open_rows, profiles)
+def spike_and_step(levels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``uid, lev, reject, suspect`` of every level (checks e03 and e04)."""
+    return sequential_flags(levels, profiles).select("uid", "lev", "reject", "suspect")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _by_profile(pdf)
-        flag = depths_out_of_order(pdf["z"].to_numpy(float), pdf["reject"].to_numpy(bool))
-        return pd.DataFrame({"uid": pdf["uid"], "lev": pdf["lev"], "flag": flag})
 
-    rows = open_rows.select("uid", "lev", "z").join(spikes.select("uid", "lev", "reject"), ["uid", "lev"])
-    found = rows.groupBy("uid").applyInPandas(run, "uid long, lev int, flag boolean")
-    return found.unionByName(marked.where(~F.col("open")).select("uid", "lev", F.lit(False).alias("flag")))
+def increasing_depth(levels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``uid, lev, flag`` (check e05): of two lone inverted levels, rejected spikes go first."""
+    return sequential_flags(levels, profiles).select("uid", "lev", F.col("disorder").alias("flag"))
 
 
 def _least_levels():
+    # Probe types and the levels that a run of one value must have.
     return F.create_map(*(F.lit(x) for p, n in ((1, 7), (2, 20), (3, 7), (4, 50), (5, 7), (6, 7), (7, 7), (9, 20), (13, 20), (14, 7), (16, 7)) for x in (p, n)))[F.col("probe")]
 
 
 def stuck_value(levels: DataFrame, profiles: DataFrame) -> DataFrame:
     """``uid, lev, flag`` (check i05), over levels in order of depth; how long a run must be depends on the probe."""
-    wide = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", "z", "t").join(profiles.select("uid", _least_levels().alias("least")).where("least IS NOT NULL"), "uid")
+    wide = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", "z", "t").join(one_header(profiles).select("uid", _least_levels().alias("least")).where("least IS NOT NULL"), "uid")
     enough = wide.withColumn("m", F.count("*").over(Window.partitionBy("uid"))).where("m > least").drop("m")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,10 +6,12 @@ two positions at a time until no segment is excessive. A track is bounded by one
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,10 @@ TURN = math.radians(45)
 
 
 def usable() -> Column:
-    """Whether a header row can take part in a track."""
+    """Whether a header row can take part in a track: it names a cruise, is complete and not an aircraft's."""
     known = F.col("cruise").isNotNull() & (F.col("cruise") != 0) & F.col("ocruise").isNotNull() & (F.col("ocruise") != "0")
     full = F.col("ts").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("probe").isNotNull()
-    return F.coalesce(known & full & (F.col("country") != "99"), F.lit(False))
+    return F.coalesce(known & full & (F.col("country") != "99") & ~is_aircraft(F.col("platform")), F.lit(False))
 
 
 def is_aircraft(platform: Column) -> Column:
@@ -35,13 +37,24 @@ def is_aircraft(platform: Column) -> Column:
 
 
 class Track:
-    """Times (s) and positions (degrees) of one cruise in order; the rules that pick a position to reject."""
+    """Times (s) and positions (degrees) of one cruise in order; the rules that pick a position to reject.
+
+    Positions are numbered for good and linked to their neighbours. Taking one out renews the speed and the angles of these
+    only, and the fastest segment comes from a heap, so the work is in proportion to the positions and those taken out.
+    """
 
     def __init__(self, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, limit: float):
-        self.s, self.lat, self.lon, self.limit = seconds, np.radians(lat), np.radians(lon), limit
-        n = len(seconds)
-        self.speed = [math.nan] + [self.pace(i - 1, i) for i in range(1, n)]
-        self.angle = [math.nan] + [abs(math.pi - self.corner(i - 1, i, i + 1)) for i in range(1, n - 1)] + [math.nan] * (n > 1)
+        self.s, self.lat, self.lon, self.limit = seconds.tolist(), np.radians(lat).tolist(), np.radians(lon).tolist(), limit
+        n = self.size = len(self.s)
+        self.prev, self.next = list(range(-1, n - 1)), [*range(1, n), -1]
+        self.speed, self.angle, self.heap = [math.nan] * n, [math.nan] * n, []
+        self.gone = [False] * n
+        for i in range(n):
+            self._renew(i)
+        for i in range(1, n):
+            self.speed[i] = self.pace(i - 1, i)
+        self.heap = [(-v, i) for i, v in enumerate(self.speed) if v == v]
+        heapq.heapify(self.heap)
 
     def metres(self, i: int, j: int) -> float:
         h = math.sin((self.lat[j] - self.lat[i]) / 2) ** 2 + math.cos(self.lat[i]) * math.cos(self.lat[j]) * math.sin((self.lon[j] - self.lon[i]) / 2) ** 2
@@ -56,96 +69,118 @@ class Track:
             return 0.0
         return math.acos(max(-1.0, min(1.0, (math.cos(c) - math.cos(a) * math.cos(b)) / (math.sin(a) * math.sin(b)))))
 
-    def excessive(self, i: int) -> bool:
-        v = self.speed[i]
-        return v > self.limit or (i > 0 and v > 0.8 * self.limit and (self.angle[i] > math.pi / 2 or self.angle[i - 1] > math.pi / 2))
+    def _turn(self, i: int, j: int, k: int) -> float:
+        return abs(math.pi - self.corner(i, j, k)) if min(i, j, k) >= 0 else math.nan
+
+    def _renew(self, i: int) -> None:
+        self.angle[i] = self._turn(self.prev[i], i, self.next[i])
+
+    def drop(self, k: int) -> None:
+        """Take a position out."""
+        p, q = self.prev[k], self.next[k]
+        self.gone[k] = True
+        self.size -= 1
+        if p >= 0:
+            self.next[p] = q
+            self._renew(p)
+        if q >= 0:
+            self.prev[q] = p
+            self._renew(q)
+            self.speed[q] = self.pace(p, q) if p >= 0 else math.nan
+            if p >= 0:
+                heapq.heappush(self.heap, (-self.speed[q], q))
 
     def fastest(self) -> int:
-        return max(range(len(self.speed)), key=lambda i: (-math.inf if math.isnan(self.speed[i]) else self.speed[i], -i))
+        """The position at the end of the fastest segment, the first of equals; -1 if there is none."""
+        while self.heap:
+            v, i = self.heap[0]
+            if not self.gone[i] and self.speed[i] == -v:
+                return i
+            heapq.heappop(self.heap)
+        return -1
 
-    def without(self, i: int) -> Track:
-        keep = [k for k in range(len(self.s)) if k != i]
-        return Track(self.s[keep], np.degrees(self.lat[keep]), np.degrees(self.lon[keep]), self.limit)
+    def _too_fast(self, v: float, here: float, before: float) -> bool:
+        return v > self.limit or (v > 0.8 * self.limit and (here > math.pi / 2 or before > math.pi / 2))
+
+    def excessive(self, i: int) -> bool:
+        return self.prev[i] >= 0 and self._too_fast(self.speed[i], self.angle[i], self.angle[self.prev[i]])
+
+    def excessive_without(self, k: int) -> bool:
+        """Whether the segment that takes the place of those at a position would be excessive."""
+        p, q = self.prev[k], self.next[k]
+        return p >= 0 and q >= 0 and self._too_fast(self.pace(p, q), self._turn(p, q, self.next[q]), self._turn(self.prev[p], p, q))
 
     def _mean_speed(self) -> float:
         """Of segments without a time gap (as specified), so it is nearly always 0."""
-        fit = [v for i, v in enumerate(self.speed) if i and self.s[i] == self.s[i - 1] and v <= self.limit]
+        fit = [v for i, v in enumerate(self.speed) if not self.gone[i] and self.prev[i] >= 0 and self.s[i] == self.s[self.prev[i]] and v <= self.limit]
         return sum(fit) / len(fit) if fit else 0.0
 
     def choice(self, i: int) -> tuple[int | None, str]:
-        """The end of segment ``i`` to reject, with the rule that decides; None if no rule does. NaN compares false."""
-        v, a, n, most = self.speed, self.angle, len(self.s), self.limit
-        if i == 1:
-            skip = n > 2 and self.pace(0, 2) < most and (v[2] > most or a[2] > TURN)
-            return (1 if skip else 0), "a"
-        if i == n - 1 and n > 3:
-            skip = self.pace(n - 3, n - 1) < most and (v[n - 2] > most or a[n - 3] > TURN)
-            return (i - 1 if skip else i), "a"
-        if v[i - 1] > most:
-            return i - 1, "b"
-        if i < n - 1 and v[i + 1] > most:
+        """The end of the segment before ``i`` to reject, with the rule that decides; None if no rule does. NaN compares false."""
+        v, a, n, most = self.speed, self.angle, self.size, self.limit
+        q, s = self.prev[i], self.next[i]
+        p = self.prev[q]
+        if p < 0:
+            skip = s >= 0 and self.pace(q, s) < most and (v[s] > most or a[s] > TURN)
+            return (i if skip else q), "a"
+        if s < 0 and n > 3:
+            skip = self.pace(p, i) < most and (v[q] > most or a[p] > TURN)
+            return (q if skip else i), "a"
+        if v[q] > most:
+            return q, "b"
+        if s >= 0 and v[s] > most:
             return i, "b"
-        if i < n - 1 and self.pace(i - 1, i + 1) > most:
-            return i - 1, "c"
-        if i > 1 and self.pace(i - 2, i) > most:
+        if s >= 0 and self.pace(q, s) > most:
+            return q, "c"
+        if self.pace(p, i) > most:
             return i, "c"
-        if a[i - 1] > TURN + a[i]:
-            return i - 1, "d"
-        if a[i] > TURN + a[i - 1]:
+        if a[q] > TURN + a[i]:
+            return q, "d"
+        if a[i] > TURN + a[q]:
             return i, "d"
-        if n > max(2, i + 1):
-            if a[i - 2] > TURN and a[i - 2] > a[i + 1]:
-                return i - 1, "e"
-            if a[i + 1] > TURN:
-                return i, "e"
-        if 0 < i < n - 1:
-            half = 0.5 * self._mean_speed()
-            if not math.isnan(v[i - 1]) and v[i - 1] < min(v[i + 1], half):
-                return i - 1, "f"
-            if not math.isnan(v[i - 1]) and v[i + 1] < min(v[i - 1], half):
-                return i, "f"
-        if 1 < i < n - 1:
-            p, q, r, s = i - 2, i - 1, i, i + 1
-            without_q = self.metres(p, r) + self.metres(r, s)
-            without_r = self.metres(p, q) + self.metres(q, s)
-            slack = max(SLACK_M, 0.1 * (self.metres(p, q) + self.metres(q, r) + self.metres(r, s)))
-            if without_q < without_r - slack:
-                return q, "g"
-            if without_r < without_q - slack:
-                return r, "g"
-            whole = self.s[s] - self.s[p]
-            if without_q and without_r and whole:
-                off_q = abs(self.metres(p, q) / without_r - (self.s[q] - self.s[p]) / whole)
-                off_r = abs(self.metres(p, r) / without_q - (self.s[r] - self.s[p]) / whole)
-                if off_q > 0.1 + off_r:
-                    return q, "h"
-                if off_r > 0.1 + off_q:
-                    return r, "h"
+        if s < 0:
+            return None, "i"
+        if a[p] > TURN and a[p] > a[s]:
+            return q, "e"
+        if a[s] > TURN:
+            return i, "e"
+        half = 0.5 * self._mean_speed()
+        if v[q] < min(v[s], half):
+            return q, "f"
+        if not math.isnan(v[q]) and v[s] < min(v[q], half):
+            return i, "f"
+        without_q = self.metres(p, i) + self.metres(i, s)
+        without_i = self.metres(p, q) + self.metres(q, s)
+        slack = max(SLACK_M, 0.1 * (self.metres(p, q) + self.metres(q, i) + self.metres(i, s)))
+        if without_q < without_i - slack:
+            return q, "g"
+        if without_i < without_q - slack:
+            return i, "g"
+        whole = self.s[s] - self.s[p]
+        if without_q and without_i and whole:
+            off_q = abs(self.metres(p, q) / without_i - (self.s[q] - self.s[p]) / whole)
+            off_i = abs(self.metres(p, i) / without_q - (self.s[i] - self.s[p]) / whole)
+            if off_q > 0.1 + off_i:
+                return q, "h"
+            if off_i > 0.1 + off_q:
+                return i, "h"
         return None, "i"
 
     def rejected(self, i: int) -> list[int]:
         """Positions to reject for an excessive segment: one end, or both if undecided or still excessive without it."""
         pick, _ = self.choice(i)
-        if pick is None:
-            return [i - 1, i]
-        if pick < len(self.s) - 1 and self.without(pick).excessive(pick):
-            return [i - 1, i]
+        if pick is None or (self.next[pick] >= 0 and self.excessive_without(pick)):
+            return [self.prev[i], i]
         return [pick]
 
 
 def bad_positions(seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, limit: float) -> np.ndarray:
     """Which positions of a track are rejected; all, if fewer than half survive."""
-    left = np.arange(len(seconds))
-    while len(left) > 1:
-        track = Track(seconds[left], lat[left], lon[left], limit)
-        i = track.fastest()
-        if i == 0 or not track.excessive(i):
-            break
-        left = np.delete(left, track.rejected(i))
-    out = np.ones(len(seconds), bool)
-    if 2 * len(left) >= len(seconds):
-        out[left] = False
-    return out
+    track = Track(seconds, lat, lon, limit)
+    while track.size > 1 and (i := track.fastest()) >= 0 and track.excessive(i):
+        for k in track.rejected(i):
+            track.drop(k)
+    return np.array(track.gone) if 2 * track.size >= len(seconds) else np.ones(len(seconds), bool)
 
 
 KEY = ("country", "cruise", "ocruise")
@@ -161,9 +196,16 @@ def segments(rows: DataFrame) -> DataFrame:
     return rows.withColumn("speed", speed).withColumn("angle", angle)
 
 
+def dated(profiles: DataFrame) -> DataFrame:
+    """Header rows with ``ts`` from their date and time."""
+    return profiles.withColumn("ts", geo.moment(F.col("year"), F.col("month"), F.col("day"), F.col("time")))
+
+
 def track_check(rows: DataFrame) -> DataFrame:
-    """``uid, flag`` of header rows (``uid, country, cruise, ocruise, ts, lat, lon, probe``); unusable rows pass."""
-    rows = rows.select("uid", *KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "lat", "lon", "probe")
+    """``uid, flag`` of header rows (``uid, country, cruise, ocruise, ts, lat, lon, probe`` and, if there, ``platform``);
+    unusable rows pass. Only tracks with some excessive segment reach the grouped function, a row of arrays each."""
+    platform = F.col("platform") if "platform" in rows.columns else F.lit(None).cast("int")
+    rows = rows.select("uid", *KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "lat", "lon", "probe", platform.alias("platform"))
     fit = rows.where(usable())
     marked = segments(fit)
     w = Window.partitionBy(*KEY).orderBy("ts", "uid")
@@ -171,12 +213,14 @@ def track_check(rows: DataFrame) -> DataFrame:
     turn = (F.col("angle") > math.pi / 2) | (F.lag("angle").over(w) > math.pi / 2)
     odd = F.coalesce((F.col("speed") > limit) | ((F.col("speed") > 0.8 * limit) & turn), F.lit(False))
     open_rows = marked.withColumn("_odd", odd).withColumn("_open", F.max("_odd").over(Window.partitionBy(*KEY))).where("_open")
+    second = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    tracks = open_rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("ts", "uid", second.alias("s"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "probe"))).alias("at"))
+    packed = tracks.select(*(F.col(f"at.{c}").alias(c) for c in ("uid", "s", "lat", "lon")), F.get("at", F.lit(0))["probe"].alias("probe"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "uid"])
-        seconds = pdf["ts"].to_numpy("datetime64[s]").astype(float)
-        most = BUOY_SPEED if pdf["probe"].iloc[0] in BUOYS else SHIP_SPEED
-        return pd.DataFrame({"uid": pdf["uid"], "hit": bad_positions(seconds, pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), most)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = [bad_positions(*(np.array(x.as_py(), float) for x in track), BUOY_SPEED if probe in BUOYS else SHIP_SPEED) for *track, probe in zip(b["s"], b["lat"], b["lon"], b["probe"].to_pylist(), strict=True)]
+            yield pa.record_batch([b["uid"].flatten(), pa.array(np.concatenate([np.zeros(0, bool), *bad]))], names=["uid", "hit"])
 
-    found = open_rows.select("uid", *KEY, "ts", "lat", "lon", "probe").groupBy(*KEY).applyInPandas(run, "uid long, hit boolean")
+    found = packed.mapInArrow(run, "uid long, hit boolean").where("hit")
     return rows.select("uid").join(found, "uid", "left").select("uid", F.coalesce("hit", F.lit(False)).alias("flag"))

@@ -3,47 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import local, sequential
+from ..operators import buddy, gridded, local, sequential, track
 
-Check = Callable[[DataFrame, DataFrame, Mapping[str, DataFrame]], DataFrame]
-_CHECKS: dict[str, Check] = {}
+#: What a check may ask for: reference tables, and parameters that go with them.
+Refs = Mapping[str, object]
+Check = Callable[[DataFrame, DataFrame, Refs], DataFrame]
+LEVELS = ("level", "profile", "track")
+_CHECKS: dict[str, tuple[Check, str]] = {}
+#: Outputs of the pass over whole profiles, by check.
+SEQUENTIAL = {"e03_spike_and_step": "reject", "e04_spike_and_step_suspect": "suspect", "e05_increasing_depth": "disorder"}
 
 
-def register_check(name: str, fn: Check) -> None:
-    """Add a check: ``fn(levels, profiles, refs)`` gives ``uid, lev, flag``; ``refs`` holds reference tables and results."""
+def register_check(name: str, fn: Check, level: str = "level") -> None:
+    """Add a check: ``fn(levels, profiles, refs)`` gives ``uid, lev, flag``, or ``uid, flag`` if it judges whole profiles
+    (``level`` is then "profile", or "track" if it compares the profiles of a cruise)."""
     if name in _CHECKS:
         raise ValueError(f"check {name} is registered already")
-    _CHECKS[name] = fn
+    if level not in LEVELS:
+        raise ValueError(f"a check judges one of {LEVELS}")
+    _CHECKS[name] = (fn, level)
 
 
-for _name in local.NAMES:
-    register_check(_name, lambda levels, profiles, refs, n=_name: local.run(n, levels, profiles))
-register_check("e03_spike_and_step", lambda lv, pr, refs: (refs.get("spikes") or sequential.spike_and_step(lv, pr)).select("uid", "lev", F.col("reject").alias("flag")))
-register_check("e04_spike_and_step_suspect", lambda lv, pr, refs: (refs.get("spikes") or sequential.spike_and_step(lv, pr)).select("uid", "lev", F.col("suspect").alias("flag")))
-register_check("e05_increasing_depth", lambda lv, pr, refs: sequential.increasing_depth(lv, pr, refs.get("spikes")))
-register_check("i05_stuck_value", lambda lv, pr, refs: sequential.stuck_value(lv, pr))
+def _refs(refs: Refs, *names: str) -> list:
+    if missing := [n for n in names if n not in refs]:
+        raise KeyError(f"missing reference data: {missing}")
+    return [refs[n] for n in names]
+
+
+def _built_in() -> None:
+    for name in local.NAMES:
+        register_check(name, lambda lv, pr, refs, n=name: local.run(n, lv, pr))
+    for name, column in SEQUENTIAL.items():
+        register_check(name, lambda lv, pr, refs, c=column: sequential.sequential_flags(lv, pr).select("uid", "lev", F.col(c).alias("flag")))
+    register_check("i05_stuck_value", lambda lv, pr, refs: sequential.stuck_value(lv, pr))
+    for name, most in (("a05_climatology", 5.0), ("t11_climatology_bias", 3.0), ("t12_climatology_bias_wide", 6.0)):
+        register_check(name, lambda lv, pr, refs, m=most: gridded.climatology(lv, pr, *_refs(refs, "climatology"), m))
+    register_check("r05_regional_range", lambda lv, pr, refs: gridded.regional_range(lv, pr))
+    register_check("t06_envelope", lambda lv, pr, refs: gridded.envelope(lv, *_refs(refs, "envelope")))
+    for name, reach in (("t14_land", 0), ("o05_land_around", 2)):
+        register_check(name, lambda lv, pr, refs, k=reach: gridded.at_sea(lv, pr, *_refs(refs, "relief"), *_refs(refs, "relief_axes")[0], reach=k))
+    register_check("o01_below_bottom", lambda lv, pr, refs: gridded.below_bottom(lv, pr, *_refs(refs, "relief"), *_refs(refs, "relief_axes")[0]))
+    register_check("t15_anomaly", lambda lv, pr, refs: gridded.anomaly(*gridded.features(lv), *_refs(refs, "laws")))
+    register_check("t16_fuzzy", lambda lv, pr, refs: gridded.fuzzy(*gridded.features(lv), *_refs(refs, "memberships")))
+    register_check("t17_fuzzy_narrow", lambda lv, pr, refs: gridded.fuzzy(*gridded.features(lv), *_refs(refs, "narrow_memberships")))
+    register_check("e07_background", lambda lv, pr, refs: gridded.background(lv, pr, *_refs(refs, "background"), sequential.sequential_flags(lv, pr)).select("uid", "lev", "flag"))
+    register_check("e08_background_available", lambda lv, pr, refs: gridded.background_available(lv, pr, *_refs(refs, "background")))
+    register_check("e09_standard_levels_and_buddies", lambda lv, pr, refs: buddy.standard_level_check(lv, pr, *_refs(refs, "background", "standard_depths")))
+    register_check("e10_track", lambda lv, pr, refs: track.track_check(track.dated(pr)), "track")
+    register_check("i09_local_climatology", lambda lv, pr, refs: gridded.local_climatology(lv, pr, *_refs(refs, "monthly", "annual", "depth_edges")))
+    register_check("i10_two_bin_climatology", lambda lv, pr, refs: gridded.two_bin_climatology(lv, pr, *_refs(refs, "monthly_ranges", "annual_ranges", "depth_edges")))
+    register_check("o04_region_range", lambda lv, pr, refs: gridded.region_range(lv, pr, *_refs(refs, "regions", "region_ranges")))
+    register_check("o06_min_max", lambda lv, pr, refs: gridded.min_max(lv, pr, *_refs(refs, "cells", "cell_ranges")))
+
+
+_built_in()
 
 
 def names() -> list[str]:
     return sorted(_CHECKS)
 
 
-def run_checks(levels: DataFrame, profiles: DataFrame, checks: Sequence[str], refs: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Long flags ``uid, lev, check, flag``. Neighbour checks share one window pass; the others run on their own."""
+def run_checks(levels: DataFrame, profiles: DataFrame, checks: Sequence[str], refs: Refs | None = None) -> DataFrame:
+    """Long flags ``uid, lev, check, flag``; none for an empty list of checks.
+
+    Neighbour checks share one window pass and the sequential ones one pass over whole profiles; the others run on their own.
+    """
     unknown = [c for c in checks if c not in _CHECKS]
     if unknown:
         raise KeyError(f"unknown checks: {unknown}")
-    near = tuple(c for c in checks if c in local.LOCAL)
-    parts = []
+    checks = list(dict.fromkeys(checks))
+    near, stepwise = tuple(c for c in checks if c in local.LOCAL), [c for c in checks if c in SEQUENTIAL]
+    parts = [levels.sparkSession.createDataFrame([], "uid long, lev int, check string, flag boolean")]
     if near:
-        wide = local.run_local(levels, profiles, near)
-        parts.append(wide.unpivot(["uid", "lev"], list(near), "check", "flag"))
-    parts += [_CHECKS[c](levels, profiles, refs or {}).select("uid", "lev", F.lit(c).alias("check"), "flag") for c in checks if c not in near]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(local.run_local(levels, profiles, near).unpivot(["uid", "lev"], list(near), "check", "flag"))
+    if stepwise:
+        found = sequential.sequential_flags(levels, profiles).select("uid", "lev", *(F.col(SEQUENTIAL[c]).alias(c) for c in stepwise))
+        parts.append(found.unpivot(["uid", "lev"], stepwise, "check", "flag"))
+    for name in checks:
+        if name in near or name in stepwise:
+            continue
+        fn, level = _CHECKS[name]
+        flags = fn(levels, profiles, refs or {})
+        if level != "level":
+            whole = flags.groupBy("uid").agg(F.bool_or("flag").alias("flag"))
+            flags = levels.select("uid", "lev").join(whole, "uid", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+        parts.append(flags.select("uid", "lev", F.lit(name).alias("check"), "flag"))
+    return reduce(DataFrame.unionByName, parts)

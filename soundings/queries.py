@@ -37,16 +37,14 @@ CHECKS = ("a01_gross_range", "a03_gradient", "a04_spike", "e01_range", "o03_grad
 
 def flagged_levels(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = CHECKS) -> DataFrame:
     """Levels with their truth, probe and a column per check, from one pass over the neighbour windows."""
-    levels, profiles = schema.levels(spark, sf_dir), schema.profiles(spark, sf_dir)
-    flags = local.run_local(levels, profiles, names)
-    return flags.join(levels.select("uid", "lev", "truth"), ["uid", "lev"]).join(profiles.select("uid", "probe"), "uid")
+    return local.run_local(schema.levels(spark, sf_dir), schema.profiles(spark, sf_dir), names, ("truth",), ("probe",))
 
 
 def _decisions(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = CHECKS) -> DataFrame:
     return rules.decisions(flagged_levels(spark, sf_dir, names), list(names))
 
 
-_FLAGGED = "SELECT v.uid, v.lev, l.truth, v.probe, " + ", ".join(f"coalesce({local.LOCAL[n].replace('{bround}', local.DUCK.bround)}, FALSE) AS {n}" for n in CHECKS) + f" FROM ({local.NEIGHBOURS}) v JOIN (SELECT uid AS own_uid, lev AS own_lev, truth FROM {{levels}}) l ON l.own_uid = v.uid AND l.own_lev = v.lev"
+_FLAGGED = "SELECT v.uid, v.lev, v.truth, v.probe, " + ", ".join(f"coalesce({local.LOCAL[n].replace('{bround}', local.DUCK.bround)}, FALSE) AS {n}" for n in CHECKS) + f" FROM ({local.neighbours('truth')}) v"
 _DECIDED = "SELECT uid, coalesce(bool_or(truth IN (3, 4)), FALSE) AS truth, " + ", ".join(f"bool_or({n}) AS {n}" for n in CHECKS) + f" FROM ({_FLAGGED}) f GROUP BY uid"
 
 
@@ -211,6 +209,36 @@ def _e07(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
 
 
 _add("check_e07_background", _with(_e07))
+
+
+def interpolated(levels: str, grid: str, keys: tuple[str, ...], fields: tuple[str, ...]) -> str:
+    """SQL of the values of a depth column at each level: linear between depths, the first value above, NULL below."""
+    on = " AND ".join(f"g.{k} = x.{k}" for k in keys)
+    full = " AND ".join(f"{f} IS NOT NULL" for f in ("depth", *fields))
+    ends = ", ".join(f"arg_max(g.{f}, g.depth) FILTER (g.depth <= x.z) AS {f}_lo, arg_min(g.{f}, g.depth) FILTER (g.depth >= x.z) AS {f}_hi" for f in fields)
+    value = lambda f: f"CASE WHEN hi IS NULL THEN NULL WHEN lo IS NULL THEN {f}_hi WHEN lo = hi THEN {f}_lo ELSE (z - lo) / (hi - lo) * ({f}_hi - {f}_lo) + {f}_lo END AS {f}"
+    return f"""SELECT uid, lev, z, t, {", ".join(map(value, fields))} FROM (SELECT x.uid, x.lev, x.z, x.t, max(g.depth) FILTER (g.depth <= x.z) AS lo, min(g.depth) FILTER (g.depth >= x.z) AS hi, {ends}
+FROM ({levels}) x LEFT JOIN (SELECT * FROM ({grid}) g0 WHERE {full}) g ON {on} GROUP BY x.uid, x.lev, x.z, x.t) y"""
+
+
+def _posterior(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    """The posterior of e07 with temperatures as they are for potential ones, and t07 for the suspects."""
+    suspects = local.run("t07_rate_of_change", lv, pr).withColumnRenamed("flag", "suspect")
+    at = lambda f: gridded.at_depth(F.col("col"), F.col("z"), f).alias(f)
+    on = gridded.on_background(lv, pr, _grid(s, BACKGROUND_SQL)).select("uid", "lev", "t", "probe", at("clim"), at("bgev"), at("obev")).join(suspects, ["uid", "lev"])
+    pge = gridded.posterior_error(F.col("t") - F.col("clim"), 4.0 * F.col("bgev") + F.col("obev"), gridded.gross_error(F.col("probe"), F.col("suspect")))
+    return _rounded(on.select("uid", "lev", "clim", "bgev", pge.alias("pge")))
+
+
+_GUESS = "(CASE WHEN probe IN (1, 2, 3, 13, 16) THEN 0.05 ELSE 0.01 END)::DOUBLE"
+_add(
+    "background_posterior",
+    _with(_posterior),
+    f"""WITH v AS ({interpolated(_ON_CELL, BACKGROUND_SQL, ("ilat", "ilon"), ("clim", "bgev", "obev"))}), f AS ({local.check_sql("t07_rate_of_change", local.DUCK)}),
+w AS (SELECT v.*, 4.0 * bgev + obev AS var, CASE WHEN f.flag THEN 0.5 + 0.5 * {_GUESS} ELSE {_GUESS} END AS guess FROM v JOIN f ON f.uid = v.uid AND f.lev = v.lev JOIN {{profiles}} p ON p.uid = v.uid),
+q AS (SELECT *, exp(-0.5 * least(pow(t - clim, 2) / var, 160.0)) / sqrt(6.283185307179586 * var) AS good FROM w)
+SELECT uid, lev, round(clim, 6) AS clim, round(bgev, 6) AS bgev, CASE WHEN t IS NOT NULL AND clim IS NOT NULL THEN round(0.1 * guess / (0.1 * guess + good * (1 - guess)), 6) END AS pge FROM q""",
+)
 _add(
     "check_o01_below_bottom",
     _with(lambda s, lv, pr: gridded.below_bottom(lv, pr, _grid(s, RELIEF_SQL), *_TENS)),
@@ -251,8 +279,41 @@ def _i10(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
     return gridded.two_bin_climatology(lv, pr, grid.where("month BETWEEN 1 AND 12"), annual, EDGES, 4)
 
 
-_add("check_i10_two_bin_climatology", _with(_i10))
-_add("check_r05_regional_range", _with(lambda s, lv, pr: gridded.regional_range(lv, pr)))
+_TURNED = "CASE WHEN lon >= 180 AND lon < 360 THEN lon - 360 ELSE lon END"
+_I10_CELL = f"CAST(round_even(({_TURNED} + 180) / 0.5, 0) AS INT) AS i, CAST(round_even((90 - lat) / 0.5, 0) AS INT) AS j"
+_LOWEST, _HIGHEST = ("CASE WHEN k < 4 AND m0.tmin IS NOT NULL AND m1.tmin IS NOT NULL AND m0.tmax IS NOT NULL AND m1.tmax IS NOT NULL THEN {0}(m0.{1}, m1.{1}) WHEN y0.i IS NOT NULL AND y1.i IS NOT NULL THEN {2} ELSE {3} END".format(*x) for x in (("least", "tmin", 10.0, -2.0), ("greatest", "tmax", 30.0, 33.0)))
+_add(
+    "check_i10_two_bin_climatology",
+    _with(_i10),
+    f"""WITH c AS (SELECT DISTINCT CAST(round_even((CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END + 180) / 0.5, 0) AS INT) AS i, CAST(round_even((90 - lat) / 0.5, 0) AS INT) AS j, month FROM {{profiles}}),
+g AS (SELECT i, j, month, d.k AS gk, CASE WHEN (i + d.k) % 9 <> 0 THEN 18 - 3 * d.k END::DOUBLE AS tmin, (29 - 2 * d.k)::DOUBLE AS tmax FROM c CROSS JOIN range(0, 7) AS d(k)),
+m AS (SELECT * FROM g WHERE month BETWEEN 1 AND 12), y AS (SELECT DISTINCT i, j, gk FROM g),
+l AS (SELECT l.uid, l.lev, l.t, CAST({_BINS} AS INT) AS k, p.i, p.j, p.month FROM {{levels}} l JOIN (SELECT uid, month, {_I10_CELL} FROM {{profiles}}) p ON p.uid = l.uid WHERE z IS NOT NULL AND t IS NOT NULL AND p.i BETWEEN 0 AND 720 AND p.j BETWEEN 0 AND 360),
+f AS (SELECT uid, lev, t < {_LOWEST} OR t > {_HIGHEST} AS flag FROM l LEFT JOIN m m0 ON m0.i = l.i AND m0.j = l.j AND m0.month = l.month AND m0.gk = l.k LEFT JOIN m m1 ON m1.i = l.i AND m1.j = l.j AND m1.month = l.month AND m1.gk = l.k + 1
+LEFT JOIN y y0 ON y0.i = l.i AND y0.j = l.j AND y0.gk = l.k LEFT JOIN y y1 ON y1.i = l.i AND y1.j = l.j AND y1.gk = l.k + 1 WHERE k IS NOT NULL)
+SELECT o.uid, o.lev, coalesce(f.flag, FALSE) AS flag FROM {{levels}} o LEFT JOIN f ON f.uid = o.uid AND f.lev = o.lev""",
+)
+
+
+def _on_map(lat: str, lon: str) -> tuple[str, str]:
+    r, a = f"(12734000.0 * sin(radians(90 - {lat}) / 2))", f"radians({lon} + 40)"
+    return f"({r} * sin({a}))", f"(-{r} * cos({a}))"
+
+
+def _inside_sql(lats: tuple[float, ...], lons: tuple[float, ...]) -> str:
+    """SQL of a point-in-polygon test by crossed edges on the polar map."""
+    x, y = _on_map("lat", "lon")
+    corners = [_on_map(str(a), str(o)) for a, o in zip(lats, lons, strict=True)]
+    edges = zip(corners, corners[1:] + corners[:1], strict=True)
+    return "(" + " + ".join(f"(({y1} > {y}) <> ({y2} > {y}) AND {x} < {x1} + ({y} - {y1}) / ({y2} - {y1}) * ({x2} - {x1}))::INT" for (x1, y1), (x2, y2) in edges) + ") % 2 = 1"
+
+
+_add(
+    "check_r05_regional_range",
+    _with(lambda s, lv, pr: gridded.regional_range(lv, pr)),
+    f"""WITH p AS (SELECT uid, {_inside_sql(*gridded.RED_SEA)} AS red, {_inside_sql(*gridded.MEDITERRANEAN)} AS med FROM {{profiles}})
+SELECT l.uid, l.lev, coalesce((red AND (t < 21.7 OR t > 40)) OR (med AND (t < 10 OR t > 40)), FALSE) AS flag FROM {{levels}} l LEFT JOIN p ON p.uid = l.uid""",
+)
 _ENVELOPE = ((-1.0, 100.0, 5.0, 28.0), (100.0, 400.0, 0.0, 26.0), (400.0, 2000.0, -2.0, 20.0))
 _add(
     "check_t06_envelope",
@@ -261,12 +322,24 @@ _add(
 )
 
 
+POINTS_SQL = "SELECT DISTINCT floor(lat / 0.25) * 0.25 AS lat, floor(lon / 0.25) * 0.25 AS lon, CAST(d.k * 200 AS DOUBLE) AS depth, CAST(24 - 3 * d.k AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS sd FROM {profiles} CROSS JOIN range(0, 8) AS d(k) WHERE uid % 3 <> 0"
+
+
 def _points(s: SparkSession, pr: DataFrame) -> DataFrame:
-    return _grid(s, "SELECT DISTINCT floor(lat / 0.25) * 0.25 AS lat, floor(lon / 0.25) * 0.25 AS lon, CAST(d.k * 200 AS DOUBLE) AS depth, CAST(24 - 3 * d.k AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS sd FROM {profiles} CROSS JOIN range(0, 8) AS d(k) WHERE uid % 3 <> 0", profiles=pr)
+    return _grid(s, POINTS_SQL, profiles=pr)
 
 
+_TURN = "g.lon + CASE WHEN g.lon - p.lon > 180 THEN -360.0 WHEN g.lon - p.lon < -180 THEN 360.0 ELSE 0.0 END"
+_NEAR_POINT = f"""SELECT uid, glat, glon FROM (SELECT uid, glat, glon, row_number() OVER (PARTITION BY uid ORDER BY away, glat, glon) AS r FROM
+(SELECT p.uid, g.lat AS glat, g.lon AS glon, sqrt(pow(g.lat - p.lat, 2) + pow({_TURN} - p.lon, 2)) AS away FROM {{profiles}} p JOIN (SELECT DISTINCT lat, lon FROM ({POINTS_SQL}) g0) g ON abs(g.lat - p.lat) <= 0.25) a WHERE away <= 0.25) b WHERE r = 1"""
+_AT_POINT = f"SELECT l.uid, l.lev, l.z, l.t, n.glat, n.glon FROM {{levels}} l LEFT JOIN ({_NEAR_POINT}) n ON n.uid = l.uid"
+_MEANS = interpolated(_AT_POINT, f"SELECT lat AS glat, lon AS glon, depth, mean, sd FROM ({POINTS_SQL}) g1", ("glat", "glon"), ("mean", "sd"))
 for _name, _most in (("a05_climatology", 5.0), ("t11_climatology_bias", 3.0), ("t12_climatology_bias_wide", 6.0)):
-    _add(f"check_{_name}", _with(lambda s, lv, pr, m=_most: gridded.climatology(lv, pr, _points(s, pr), m)))
+    _add(
+        f"check_{_name}",
+        _with(lambda s, lv, pr, m=_most: gridded.climatology(lv, pr, _points(s, pr), m)),
+        f"SELECT uid, lev, coalesce(sd > 0 AND abs(t - mean) / nullif(sd, 0) > {_most}, FALSE) AS flag FROM ({_MEANS}) v",
+    )
 
 
 def _o06(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
@@ -276,23 +349,57 @@ def _o06(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
     return gridded.min_max(lv, pr, cells.withColumn("corners", square), bounds)
 
 
-_add("check_o06_min_max", _with(_o06))
+_ANGLE = "2 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2))))"
+_add(
+    "check_o06_min_max",
+    _with(_o06),
+    f"""WITH c AS (SELECT id AS cell, floor(id / 36) * 10 - 85.0 AS lat, id % 36 * 10 - 175.0 AS lon FROM range(0, 648) AS r(id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY angle, cell) AS r FROM (SELECT p.uid, p.lat AS y, p.lon AS x, c.cell, c.lat, c.lon, {_ANGLE} AS angle FROM {{profiles}} p JOIN c ON TRUE) a),
+h AS (SELECT uid, y, cell, row_number() OVER (PARTITION BY uid ORDER BY r) AS one FROM n WHERE r <= 3 AND y >= lat - 5 AND y < lat + 5 AND CASE WHEN x < -180 THEN x + 360 WHEN x >= 180 THEN x - 360 ELSE x END >= lon - 5 AND CASE WHEN x < -180 THEN x + 360 WHEN x >= 180 THEN x - 360 ELSE x END < lon + 5),
+c1 AS (SELECT l.uid, l.lev, l.t, l.z, h.cell, 5.92e-3 + 5.25e-3 * sin(radians(h.y)) * sin(radians(h.y)) AS c1 FROM {{levels}} l LEFT JOIN h ON h.uid = l.uid AND h.one = 1),
+q AS (SELECT uid, lev, t, cell, {local.PRESSURE} AS pr FROM c1)
+SELECT q.uid, q.lev, coalesce(q.t < 20 - 4 * d.k OR q.t > 30 - 2 * d.k, FALSE) AS flag FROM q
+LEFT JOIN range(0, 8) AS d(k) ON q.cell IS NOT NULL AND d.k * 200 < q.pr AND q.pr <= d.k * 200 + 200""",
+)
+
+LAWS = {"gradient": (1.0, 1.0, 0.0, 0.6), "spike": (1.5, 0.8, 0.0, 0.5), "rate": (1.0, 1.0, 0.1, 0.8)}
+MEMBERSHIPS = {
+    "gradient": {"low": (1.5, 0.5), "medium": (0.5, 1.5, 3.0, 9.0), "high": (3.0, 9.0)},
+    "spike": {"low": (1.0, 0.2), "medium": (0.2, 1.0, 2.0, 6.0), "high": (2.0, 6.0)},
+    "rate": {"low": (2.0, 0.5), "medium": (0.5, 2.0, 3.0, 4.0), "high": (3.0, 4.0)},
+}
+NARROW = {
+    "gradient": {"low": (1.0, 0.5), "medium": (0.5, 1.0, 1.5, 4.0), "high": (1.5, 4.0)},
+    "spike": {"low": (0.6, 0.2), "medium": (0.2, 0.6, 1.0, 3.0), "high": (1.0, 3.0)},
+    "rate": {"low": (1.0, 0.5), "medium": (0.5, 1.0, 2.0, 4.0), "high": (2.0, 4.0)},
+}
+_FEATURES = """SELECT uid, lev, abs(t - (a + b) / 2) AS gradient, abs(abs(t - (a + b) / 2) - abs((b - a) / 2)) AS spike, abs(t - a) AS rate
+FROM (SELECT uid, lev, t, lag(t) OVER w AS a, lead(t) OVER w AS b FROM {levels} WINDOW w AS (PARTITION BY uid ORDER BY lev)) x"""
+
 
+def _law_sql(name: str, law: tuple[float, float, float, float]) -> str:
+    shape, power, place, scale = law
+    return f"coalesce(CASE WHEN {name} IS NOT NULL THEN ln(greatest(1 - pow(1 - exp(-pow(greatest(({name} - {place}) / {scale}, 0.0), {power})), {shape}), 1e-300)) END, 0)"
 
-def _features(lv: DataFrame) -> tuple[DataFrame, dict]:
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("uid").orderBy("lev")
-    a, b = F.lag("t").over(w), F.lead("t").over(w)
-    f = lv.select("uid", "lev", F.abs(F.col("t") - (a + b) / 2).alias("gradient"), F.abs(F.abs(F.col("t") - (a + b) / 2) - F.abs((b - a) / 2)).alias("spike"), F.abs(F.col("t") - a).alias("rate"))
-    return f, {n: F.col(n) for n in ("gradient", "spike", "rate")}
+def _over_sql(x: str, corners) -> str:
+    ramp = lambda a, b: f"greatest(0.0, least(1.0, ({x} - {a}) / ({b - a})))"
+    return ramp(*corners) if len(corners) == 2 else f"least({ramp(corners[0], corners[1])}, {ramp(corners[3], corners[2])})"
 
 
-_LOW = {"gradient": ((0.5, 1.5), (3.0, 9.0)), "spike": ((0.2, 1.0), (2.0, 6.0)), "rate": ((0.5, 2.0), (3.0, 4.0))}
-_NARROW = {"gradient": ((0.5, 1.0), (1.0, 4.0)), "spike": ((0.2, 1.0), (1.0, 3.0)), "rate": ((0.5, 1.0), (2.0, 4.0))}
-_add("check_t15_anomaly", _with(lambda s, lv, pr: gridded.anomaly(*_features(lv), {"gradient": 0.6, "spike": 0.5, "rate": 0.8})))
-_add("check_t16_fuzzy", _with(lambda s, lv, pr: gridded.fuzzy(*_features(lv), _LOW)))
-_add("check_t17_fuzzy_narrow", _with(lambda s, lv, pr: gridded.fuzzy(*_features(lv), _NARROW)))
+def _fuzzy_sql(memberships: dict) -> str:
+    """Rule strengths, the output sets on a grid, and where their union is halved."""
+    own = lambda level: "[" + ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {_over_sql(n, m[level])} END" for n, m in memberships.items()) + "]"
+    rows = f"SELECT uid, lev, list_avg({own('low')}) AS low, list_avg({own('medium')}) AS medium, list_max({own('high')}) AS high FROM ({_FEATURES}) f"
+    height = "greatest(" + ", ".join(f"least({n}, {_over_sql('(k / 50.0)', c)})" for n, c in gridded.UNCERTAINTY.items()) + ")"
+    run = f"SELECT uid, lev, k, sum(h) OVER (PARTITION BY uid, lev ORDER BY k) AS upto, sum(h) OVER (PARTITION BY uid, lev) AS whole FROM (SELECT uid, lev, k, {height} AS h FROM ({rows}) r CROSS JOIN range(0, 51) AS g(k) WHERE low IS NOT NULL) a"
+    return f"""WITH u AS (SELECT uid, lev, min(k) / 50.0 AS u FROM ({run}) b WHERE whole > 0 AND upto >= whole / 2 - 1e-9 GROUP BY uid, lev)
+SELECT l.uid, l.lev, coalesce(u.u > 0.34, FALSE) AS flag FROM {{levels}} l LEFT JOIN u ON u.uid = l.uid AND u.lev = l.lev"""
+
+
+_add("check_t15_anomaly", _with(lambda s, lv, pr: gridded.anomaly(*gridded.features(lv), LAWS)), f"SELECT uid, lev, {' + '.join(_law_sql(n, x) for n, x in LAWS.items())} < -18 AS flag FROM ({_FEATURES}) f")
+_add("check_t16_fuzzy", _with(lambda s, lv, pr: gridded.fuzzy(*gridded.features(lv), MEMBERSHIPS)), _fuzzy_sql(MEMBERSHIPS))
+_add("check_t17_fuzzy_narrow", _with(lambda s, lv, pr: gridded.fuzzy(*gridded.features(lv), NARROW)), _fuzzy_sql(NARROW))
 DEPTHS = tuple(float(d) for d in (5, 15, 25, 50, 75, 100, 150, 200, 300, 400, 500, 600, 800, 1000, 1200))
 _PAIR = "a.uid <> b.uid AND a.year = b.year AND a.month = b.month AND a.cruise <> b.cruise AND abs(a.lat - b.lat) <= 5"
 _GREAT = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -303,16 +410,24 @@ _add(
 )
 
 
-def _e09(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
-    bg = gridded.background(lv, pr, _grid(s, BACKGROUND_SQL), sequential.spike_and_step(lv, pr))
-    diff = lv.select("uid", "lev", "z").join(bg.select("uid", "lev", F.when(~F.col("flag"), F.col("theta") - F.col("clim")).alias("diff")), ["uid", "lev"])
-    cells = gridded.columns_of(_grid(s, BACKGROUND_SQL), ("ilat", "ilon"), ("clim", "bgev", "obev"))
-    at = gridded.nearest_cells(pr, *_TENS).join(cells, ["ilat", "ilon"]).select("uid", "col", F.posexplode(F.array(*map(F.lit, DEPTHS))).alias("k", "depth"))
-    errors = at.select("uid", "k", *(gridded.at_depth(F.col("col"), F.col("depth"), f).alias(f) for f in ("clim", "bgev", "obev"))).where("clim IS NOT NULL")
-    return buddy.buddy_check(diff, pr, errors, DEPTHS)
-
-
-_add("check_e09_standard_levels_and_buddies", _with(_e09))
+_add("check_e09_standard_levels_and_buddies", _with(lambda s, lv, pr: buddy.standard_level_check(lv, pr, _grid(s, BACKGROUND_SQL), DEPTHS)))
+_NEAREST = f"list_position(list_transform({list(DEPTHS)}, lambda d: abs(d - z)), list_min(list_transform({list(DEPTHS)}, lambda d: abs(d - z)))) - 1"
+_add(
+    "standard_levels",
+    _with(lambda s, lv, pr: _rounded(buddy.standard_levels(lv.withColumn("diff", F.col("t")), DEPTHS))),
+    f"SELECT uid, ({_NEAREST})::INT AS k, round(avg(t), 6) AS diff, count(*) AS n FROM {{levels}} WHERE t IS NOT NULL AND z IS NOT NULL GROUP BY ALL",
+)
+_SIX = ("e01_range", "e02_constant_value", "e06_stability")
+_add(
+    "union_of_flags",
+    _with(lambda s, lv, pr: rules.any_flag([local.run(n, lv, pr) for n in _SIX])),
+    "SELECT uid, lev, bool_or(flag) AS flag FROM (" + " UNION ALL ".join(f"SELECT * FROM ({local.check_sql(n, local.DUCK)}) q_{n}" for n in _SIX) + ") a GROUP BY uid, lev",
+)
+_add(
+    "levels_that_pass",
+    _with(lambda s, lv, pr: rules.passed(lv, rules.any_flag([local.run(n, lv, pr) for n in _SIX])).select("uid", "lev", "z")),
+    "SELECT uid, lev, z FROM {levels} SEMI JOIN (SELECT uid, lev FROM (" + " UNION ALL ".join(f"SELECT * FROM ({local.check_sql(n, local.DUCK)}) q_{n}" for n in _SIX) + ") a GROUP BY uid, lev HAVING NOT bool_or(flag)) b USING (uid, lev)",
+)
 
 
 _FULL = "SELECT *, CAST(uid % 9 AS INT) AS profile_type, CAST(uid % 17 AS INT) AS orig_flag_type FROM {profiles}"
@@ -325,20 +440,35 @@ def _screened(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
 
 
 _BREAK = local.check_sql("s06_wire_break", local.DUCK)
-_add(
-    "ingest",
-    _with(_screened),
-    f"""WITH a AS (SELECT uid, count(t) AS n_t, count(*) AS n, bool_and(coalesce(z < 0.1, FALSE)) AS shallow, bool_or(t IS NOT NULL AND coalesce(truth, 0) <= 0) AS unjudged FROM {{levels}} GROUP BY uid),
+_INGEST = f"""WITH a AS (SELECT uid, count(t) AS n_t, count(*) AS n, bool_and(coalesce(z < 0.1, FALSE)) AS shallow, bool_or(t IS NOT NULL AND coalesce(truth, 0) <= 0) AS unjudged FROM {{levels}} GROUP BY uid),
 k AS (SELECT p.uid FROM ({_FULL}) p JOIN a ON a.uid = p.uid WHERE p.profile_type <> 1 AND p.month BETWEEN 1 AND 12 AND p.orig_flag_type BETWEEN 1 AND 14 AND n_t > 0 AND NOT (n > 1 AND shallow) AND NOT unjudged),
 b AS (SELECT l.uid, l.truth, max(w.flag::INT) OVER (PARTITION BY l.uid ORDER BY l.lev) AS gone FROM {{levels}} l JOIN ({_BREAK}) w ON w.uid = l.uid AND w.lev = l.lev)
-SELECT k.uid, coalesce(bool_or(b.gone = 0 AND b.truth IN (3, 4)), FALSE)::INT AS flagged FROM k LEFT JOIN b ON b.uid = k.uid GROUP BY k.uid""",
+SELECT k.uid, coalesce(bool_or(b.gone = 0 AND b.truth IN (3, 4)), FALSE)::INT AS flagged FROM k LEFT JOIN b ON b.uid = k.uid GROUP BY k.uid"""
+_add("ingest", _with(_screened), _INGEST)
+_add("ingest_counts", _with(lambda s, lv, pr: ingest.ingest_counts(_screened(s, lv, pr))), f"SELECT count_if(flagged = 0)::BIGINT AS clean, count_if(flagged = 1)::BIGINT AS flagged, count(*) AS total FROM ({_INGEST}) i")
+_add(
+    "split_by_cruise",
+    _with(lambda s, lv, pr: ingest.split_by_cruise(pr.join(lv.groupBy("uid").agg(F.count("*").alias("size")), "uid"), 10).select("uid", "part")),
+    """WITH RECURSIVE c AS (SELECT p.cruise, count(*) AS s, row_number() OVER (ORDER BY p.cruise) AS i FROM {profiles} p JOIN {levels} l ON l.uid = p.uid GROUP BY p.cruise), share AS (SELECT ceil(sum(s) / 10.0) AS share FROM c),
+walk AS (SELECT cruise, i, 0 AS part, s AS filled FROM c WHERE i = 1 UNION ALL SELECT c.cruise, c.i, w.part + (w.filled > share)::INT, CASE WHEN w.filled > share THEN c.s ELSE w.filled + c.s END FROM walk w JOIN c ON c.i = w.i + 1 CROSS JOIN share)
+SELECT p.uid, walk.part FROM {profiles} p JOIN walk ON walk.cruise = p.cruise WHERE p.uid IN (SELECT uid FROM {levels})""",
+)
+_FLAGGED_UIDS = "SELECT uid, max((truth = 4)::INT) AS flagged FROM {levels} GROUP BY uid"
+_add(
+    "balanced_sample",
+    _with(lambda s, lv, pr: ingest.balanced_sample(lv.groupBy("uid").agg(F.max((F.col("truth") == 4).cast("int")).alias("flagged")), 100)),
+    f"SELECT uid, flagged FROM (SELECT uid, flagged, row_number() OVER (PARTITION BY flagged ORDER BY md5(uid || '-0'), uid) AS r FROM ({_FLAGGED_UIDS}) x WHERE flagged IN (0, 1)) y WHERE r <= 100",
+)
+_add(
+    "batch",
+    _with(lambda s, lv, pr: ingest.batch(pr, 2, 150).select("uid", "cruise")),
+    "SELECT uid, cruise FROM (SELECT uid, cruise, row_number() OVER (ORDER BY uid) AS r FROM {profiles}) x WHERE r > 300 AND r <= 450",
+)
+_add(
+    "held_out_profiles",
+    _with(lambda s, lv, pr: ingest.held_out(ingest.mark_training(pr, pr.where("uid % 4 = 1"))).select("uid", "training")),
+    "SELECT uid, 0 AS training FROM {profiles} WHERE uid % 4 <> 1",
 )
-_add("ingest_counts", _with(lambda s, lv, pr: ingest.ingest_counts(_screened(s, lv, pr))))
-_add("split_by_cruise", _with(lambda s, lv, pr: ingest.split_by_cruise(pr.join(lv.groupBy("uid").agg(F.count("*").alias("size")), "uid"), 10).select("uid", "part")),
-     """WITH c AS (SELECT p.cruise, count(*) AS s FROM {profiles} p JOIN {levels} l ON l.uid = p.uid GROUP BY p.cruise), d AS (SELECT cruise, coalesce(sum(s) OVER (ORDER BY cruise ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(s) OVER () AS total FROM c)
-SELECT p.uid, least(floor(before * 10 / total), 9)::INT AS part FROM {profiles} p JOIN d ON d.cruise = p.cruise WHERE p.uid IN (SELECT uid FROM {levels})""")
-_add("balanced_sample", _with(lambda s, lv, pr: ingest.balanced_sample(lv.groupBy("uid").agg(F.max((F.col("truth") == 4).cast("int")).alias("flagged")), 100).groupBy("flagged").count()),
-     "SELECT flagged, least(count(*), 100) AS count FROM (SELECT uid, max((truth = 4)::INT) AS flagged FROM {levels} GROUP BY uid) x GROUP BY flagged")
 _add("run_checks", _with(lambda s, lv, pr: registry.run_checks(lv, pr, ("a03_gradient", "e01_range", "s06_wire_break", "r06_impossible_date")).groupBy("check").agg(F.count_if("flag").alias("flagged"), F.count("*").alias("levels"))),
      " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count_if(flag)::BIGINT AS flagged, count(*) AS levels FROM ({local.check_sql(n, local.DUCK)}) q_{n}" for n in ("a03_gradient", "e01_range", "s06_wire_break", "r06_impossible_date")))
 _add("masked_sentinels", _with(lambda s, lv, pr: lv.select("uid", "lev", ingest.mask_sentinels(F.col("t") + 72).alias("t"), ingest.encode_truth(F.col("t") + 72, F.col("truth")).alias("truth"))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,14 +91,36 @@ def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def ranked(df: DataFrame, by: str, weight: Column | None = None, ranges: int = 200) -> DataFrame:
+    """The rows with ``before``: the weight (1 unless given) of all rows that come before by a numeric column.
+
+    Rows are dealt into ranges by quantiles of the column; weights are summed per range, so that only as many rows as there
+    are ranges meet in one task, and running sums stay within a range.
+    """
+    cuts = df.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
+    weighed = df.withColumn("_w", F.lit(1) if weight is None else weight)
+    edges = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))).cast("array<double>")
+    placed = weighed.withColumn("_range", F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col(by))), F.lit(-1)))
+    sums = placed.groupBy("_range").agg(F.sum("_w").alias("_sum"))
+    start = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("_w").over(Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on = placed.join(sums.select("_range", start.alias("_start")), "_range")
+    return on.withColumn("before", within + F.col("_start")).drop("_range", "_w", "_start")
+
+
 def batch(df: DataFrame, number: int, size: int) -> DataFrame:
     """Rows ``number*size`` up to the next batch, in order of uid."""
-    return df.orderBy("uid").offset(number * size).limit(size)
+    return ranked(df, "uid").where((F.col("before") >= number * size) & (F.col("before") < (number + 1) * size)).drop("before")
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    """Profiles that were not used for training."""
+    return df.where("training = 0")
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int = 0, kind: str = "flagged") -> DataFrame:
     """n rows of each kind in random order: a sampling operator, by a hash that does not depend on the partitioning."""
-    order = F.xxhash64("uid", F.lit(seed))
+    order = F.md5(F.concat_ws("-", F.col("uid").cast("string"), F.lit(str(seed))))
     parts = [df.where(F.col(kind) == k).orderBy(order, "uid").limit(n) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -124,14 +147,20 @@ def without(df: DataFrame, uids: DataFrame) -> DataFrame:
 
 
 def split_by_cruise(df: DataFrame, parts: int, size: str = "size") -> DataFrame:
-    """The rows with a part number: parts of about equal size, each cruise whole.
+    """The rows with a part number: in order of cruise, a part takes whole cruises until it is larger than an even share.
 
-    Sizes are summed per cruise first; the running sum is over one row per cruise.
+    Sizes are summed per cruise with their running sums; each border is then looked up in that table by one small aggregate,
+    of which there are as many as parts. Rows without a cruise come first and end no part.
     """
-    cruises = df.groupBy("cruise").agg(F.sum(size).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("cruise").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_s").over(Window.partitionBy())
-    placed = cruises.select(F.col("cruise").alias("_c"), F.least(F.floor(before * parts / total), F.lit(parts - 1)).cast("int").alias("part"))
+    cruises = ranked(df.groupBy("cruise").agg(F.sum(size).alias("_s")), "cruise", F.col("_s")).withColumn("_end", F.col("before") + F.col("_s")).cache()
+    share = math.ceil((cruises.agg(F.sum("_s")).first()[0] or 0) / parts)
+    borders, start = [], 0  # the running sums at which a part ends
+    known = cruises.where("cruise IS NOT NULL")
+    while (end := known.where(F.col("_end") > start + share).agg(F.min("_end")).first()[0]) is not None:
+        borders.append(end)
+        start = end
+    number = F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<bigint>"), lambda e: e <= F.col("before")))
+    placed = cruises.select(F.col("cruise").alias("_c"), number.alias("part"))
     return df.join(placed, df["cruise"].eqNullSafe(placed["_c"])).drop("_c")
 
 
