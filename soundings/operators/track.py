@@ -115,55 +115,82 @@ class Track:
         fit = [v for i, v in enumerate(self.speed) if not self.gone[i] and self.prev[i] >= 0 and self.s[i] == self.s[self.prev[i]] and v <= self.limit]
         return sum(fit) / len(fit) if fit else 0.0
 
-    def choice(self, i: int) -> tuple[int | None, str]:
-        """The end of the segment before ``i`` to reject, with the rule that decides; None if no rule does. NaN compares false."""
-        v, a, n, most = self.speed, self.angle, self.size, self.limit
-        q, s = self.prev[i], self.next[i]
-        p = self.prev[q]
+    def _around(self, i: int) -> tuple[int, int, int]:
+        """The positions two before, one before and one after; -1 where there is none."""
+        q = self.prev[i]
+        return self.prev[q] if q >= 0 else -1, q, self.next[i]
+
+    def at_an_end(self, i: int) -> int | None:
+        p, q, s = self._around(i)
+        v, a, most = self.speed, self.angle, self.limit
         if p < 0:
             skip = s >= 0 and self.pace(q, s) < most and (v[s] > most or a[s] > TURN)
-            return (i if skip else q), "a"
-        if s < 0 and n > 3:
+            return i if skip else q
+        if s < 0 and self.size > 3:
             skip = self.pace(p, i) < most and (v[q] > most or a[p] > TURN)
-            return (q if skip else i), "a"
-        if v[q] > most:
-            return q, "b"
-        if s >= 0 and v[s] > most:
-            return i, "b"
-        if s >= 0 and self.pace(q, s) > most:
-            return q, "c"
-        if self.pace(p, i) > most:
-            return i, "c"
-        if a[q] > TURN + a[i]:
-            return q, "d"
-        if a[i] > TURN + a[q]:
-            return i, "d"
-        if s < 0:
-            return None, "i"
-        if a[p] > TURN and a[p] > a[s]:
-            return q, "e"
-        if a[s] > TURN:
-            return i, "e"
+            return q if skip else i
+        return None
+
+    def next_segment(self, i: int) -> int | None:
+        _, q, s = self._around(i)
+        if self.speed[q] > self.limit:
+            return q
+        return i if s >= 0 and self.speed[s] > self.limit else None
+
+    def left_out(self, i: int) -> int | None:
+        p, q, s = self._around(i)
+        if s >= 0 and self.pace(q, s) > self.limit:
+            return q
+        return i if p >= 0 and self.pace(p, i) > self.limit else None
+
+    def sharper_turn(self, i: int) -> int | None:
+        q, a = self.prev[i], self.angle
+        return q if a[q] > TURN + a[i] else i if a[i] > TURN + a[q] else None
+
+    def turns_beyond(self, i: int) -> int | None:
+        p, q, s = self._around(i)
+        if min(p, s) < 0:
+            return None
+        a = self.angle
+        return q if a[p] > TURN and a[p] > a[s] else i if a[s] > TURN else None
+
+    def slow_neighbour(self, i: int) -> int | None:
+        p, q, s = self._around(i)
+        v = self.speed
+        if s < 0 or p < 0:
+            return None
         half = 0.5 * self._mean_speed()
-        if v[q] < min(v[s], half):
-            return q, "f"
-        if not math.isnan(v[q]) and v[s] < min(v[q], half):
-            return i, "f"
-        without_q = self.metres(p, i) + self.metres(i, s)
-        without_i = self.metres(p, q) + self.metres(q, s)
+        return q if v[q] < min(v[s], half) else i if not math.isnan(v[q]) and v[s] < min(v[q], half) else None
+
+    def shorter_way(self, i: int) -> int | None:
+        p, q, s = self._around(i)
+        if min(p, s) < 0:
+            return None
+        without_q, without_i = self.metres(p, i) + self.metres(i, s), self.metres(p, q) + self.metres(q, s)
         slack = max(SLACK_M, 0.1 * (self.metres(p, q) + self.metres(q, i) + self.metres(i, s)))
-        if without_q < without_i - slack:
-            return q, "g"
-        if without_i < without_q - slack:
-            return i, "g"
-        whole = self.s[s] - self.s[p]
-        if without_q and without_i and whole:
-            off_q = abs(self.metres(p, q) / without_i - (self.s[q] - self.s[p]) / whole)
-            off_i = abs(self.metres(p, i) / without_q - (self.s[i] - self.s[p]) / whole)
-            if off_q > 0.1 + off_i:
-                return q, "h"
-            if off_i > 0.1 + off_q:
-                return i, "h"
+        return q if without_q < without_i - slack else i if without_i < without_q - slack else None
+
+    def steadier_way(self, i: int) -> int | None:
+        p, q, s = self._around(i)
+        if min(p, s) < 0:
+            return None
+        without_q, without_i, whole = self.metres(p, i) + self.metres(i, s), self.metres(p, q) + self.metres(q, s), self.s[s] - self.s[p]
+        if not (without_q and without_i and whole):
+            return None
+        off_q = abs(self.metres(p, q) / without_i - (self.s[q] - self.s[p]) / whole)
+        off_i = abs(self.metres(p, i) / without_q - (self.s[i] - self.s[p]) / whole)
+        return q if off_q > 0.1 + off_i else i if off_i > 0.1 + off_q else None
+
+    #: The rules in turn, by letter; each gives the end of the segment before a position to reject, or None. NaN compares false.
+    RULES = {
+        "a": at_an_end, "b": next_segment, "c": left_out, "d": sharper_turn, "e": turns_beyond, "f": slow_neighbour, "g": shorter_way, "h": steadier_way,
+    }
+
+    def choice(self, i: int) -> tuple[int | None, str]:
+        """The end of the segment before ``i`` to reject, with the rule that decides; None if no rule does."""
+        for letter, rule in self.RULES.items():
+            if (pick := rule(self, i)) is not None:
+                return pick, letter
         return None, "i"
 
     def rejected(self, i: int) -> list[int]:

@@ -1,4 +1,4 @@
-"""Hand-made profiles whose flagged levels are known."""
+"""Profiles whose flagged levels are known: fixed values that the checks must give."""
 
 import pytest
 
@@ -8,7 +8,7 @@ from soundings.operators import gridded, local, sequential
 from soundings.plans import registry
 
 NINE = [float(z) for z in range(100, 1001, 100)]
-#: check, temperatures, depths, header, salinities, pressures, flagged levels.
+#: Check, temperatures, depths, header, salinities, pressures, flagged levels.
 CASES = [
     ("a01_gross_range", [40.0000001, 40, 30, 20, 10, 0, -2.5, -2.5000001], [0, 10, -10, 20, 3000, 40, 50, 60], {}, None, None, [0, 2, 4, 7]),
     ("a02_constant", [0, 0, 0], [0, 1, 2], {}, None, None, [0, 1, 2]),
