@@ -158,9 +158,38 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("cover", _covered)
 
 
-_add("check_e03_e04_spike_and_step", lambda s, d: sequential.spike_and_step(schema.levels(s, d), schema.profiles(s, d)))
+_TOLERANCE = "5.0 * CASE WHEN {0} > 600 THEN 0.3 WHEN {0} > 500 THEN 0.4 WHEN {0} > b + 100 THEN 0.5 WHEN {0} > b THEN 1.0 - 0.005 * ({0} - b) ELSE 1.0 END"
+#: The state machine of spikes and steps as a recursive query, a level of every profile at a time. ``a`` is the step before the
+#: level above, ``g`` the step to the level itself; a step of a spike that was found is NULL from then on.
+_SPIKES = f"""WITH RECURSIVE v AS (SELECT l.uid, l.lev, l.z, l.t, p.lat, CASE WHEN abs(p.lat) < 20 THEN 300.0 ELSE 200.0 END AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l.uid) AS n,
+lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(t, 1) OVER w AS t1, lag(t, 2) OVER w AS t2 FROM {{levels}} l LEFT JOIN {{profiles}} p ON p.uid = l.uid WINDOW w AS (PARTITION BY l.uid ORDER BY l.lev)),
+k AS (SELECT *, CASE WHEN z - z1 <= 50 OR (z >= 350 AND z - z1 <= 100) THEN t - t1 END AS step, CASE WHEN z - z1 <= 50 OR (z >= 350 AND z - z1 <= 100) THEN (t - t1) / greatest(10.0, z - z1) END AS slope,
+z IS NOT NULL AND t IS NOT NULL AND z1 IS NOT NULL AND t1 IS NOT NULL AND (i < 2 OR (z2 IS NOT NULL AND t2 IS NOT NULL)) AS held, CASE WHEN i >= 2 AND z - z2 >= 5 THEN (z1 - z2) / (z - z2) ELSE 0.5 END AS wt, {_TOLERANCE.format('z1')} AS most FROM v),
+x AS (SELECT *, lag(slope) OVER (PARTITION BY uid ORDER BY i) AS slope1 FROM k),
+m AS (SELECT uid, 0::BIGINT AS i, NULL::DOUBLE AS g, FALSE AS reject1, FALSE AS suspect1, FALSE AS suspect2 FROM x WHERE i = 0 UNION ALL
+SELECT uid, i, CASE WHEN NOT held THEN step WHEN cold OR large OR small THEN NULL ELSE step END, held AND NOT cold AND ((large AND spike) OR small),
+  held AND (cold OR (stepped AND i > 1)), held AND NOT cold AND stepped AND i > 1 FROM
+ (SELECT *, coalesce(NOT cold AND NOT large AND NOT small AND abs(a) > most AND NOT coalesce(z1 <= 250 AND a > -3 * most AND a < -most, FALSE)
+   AND NOT coalesce(i > 1 AND z - z2 > 0 AND abs(t1 - ((z1 - z2) / nullif(z - z2, 0) * (t - t2) + t2)) < 0.5 * most, FALSE), FALSE) AS stepped FROM
+  (SELECT *, coalesce(NOT cold AND NOT large AND greatest(abs(a), abs(step)) > 0.5 * most AND a IS NOT NULL AND step IS NOT NULL AND slope IS NOT NULL AND slope1 IS NOT NULL AND greatest(abs(slope), abs(slope1)) > 0.05 AND abs(a + step) < 0.25 * abs(step - a), FALSE) AS small FROM
+   (SELECT *, coalesce(NOT cold AND a IS NOT NULL AND step IS NOT NULL AND greatest(abs(a), abs(step)) > most AND (spike OR abs((1 - wt) * a - wt * step) < 0.5 * most), FALSE) AS large FROM
+    (SELECT x.*, m.g AS a, coalesce(abs(x.lat) < 20 AND x.z1 < 1000 AND x.t1 < 1, FALSE) AS cold, coalesce(abs(m.g + x.step) < 0.5 * x.most, FALSE) AS spike FROM m JOIN x ON x.uid = m.uid AND x.i = m.i + 1) q1) q2) q3) q4),
+f AS (SELECT x.uid, x.lev, x.n, coalesce(lead(m.reject1) OVER w, FALSE) AS reject, coalesce(lead(m.suspect1) OVER w, FALSE) OR coalesce(lead(m.suspect2, 2) OVER w, FALSE)
+  OR (x.i = x.n - 1 AND (coalesce(x.z IS NOT NULL AND x.t IS NOT NULL AND abs(m.g) > {_TOLERANCE.format('x.z')}, FALSE) OR coalesce(x.t = 0, FALSE))) AS suspect FROM x JOIN m ON m.uid = x.uid AND m.i = x.i WINDOW w AS (PARTITION BY x.uid ORDER BY x.i)),
+c AS (SELECT uid, count_if(reject) AS c FROM f GROUP BY uid)
+SELECT f.uid, f.lev, f.reject OR c.c >= 4 OR c.c > f.n / 2.0 AS reject, f.suspect FROM f JOIN c ON c.uid = f.uid"""
+_add("check_e03_e04_spike_and_step", lambda s, d: sequential.spike_and_step(schema.levels(s, d), schema.profiles(s, d)), _SPIKES)
 _add("check_e05_increasing_depth", lambda s, d: sequential.increasing_depth(schema.levels(s, d), schema.profiles(s, d)))
-_add("check_i05_stuck_value", lambda s, d: sequential.stuck_value(schema.levels(s, d), schema.profiles(s, d)))
+_LEAST = "CASE probe WHEN 1 THEN 7 WHEN 2 THEN 20 WHEN 3 THEN 7 WHEN 4 THEN 50 WHEN 5 THEN 7 WHEN 6 THEN 7 WHEN 7 THEN 7 WHEN 9 THEN 20 WHEN 13 THEN 20 WHEN 14 THEN 7 WHEN 16 THEN 7 END"
+_add(
+    "check_i05_stuck_value",
+    lambda s, d: sequential.stuck_value(schema.levels(s, d), schema.profiles(s, d)),
+    f"""WITH o AS (SELECT l.uid, l.lev, l.z, l.t, p.least, row_number() OVER (PARTITION BY l.uid ORDER BY l.z, l.lev) - 1 AS j, count(*) OVER (PARTITION BY l.uid) AS m FROM {{levels}} l JOIN (SELECT uid, {_LEAST} AS least FROM {{profiles}}) p ON p.uid = l.uid WHERE l.z >= 0 AND l.t IS NOT NULL AND p.least IS NOT NULL),
+r AS (SELECT a.uid, a.j, a.z, a.m, a.least, coalesce(min(b.j) FILTER (abs(b.t - a.t) > 1e-4), a.m) - a.j AS run FROM o a LEFT JOIN o b ON b.uid = a.uid AND b.j > a.j WHERE a.m > a.least GROUP BY a.uid, a.j, a.z, a.m, a.least),
+s AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY run DESC, j) AS place FROM (SELECT uid, j, z, least, CASE WHEN j < m - least THEN run ELSE 1 END AS run FROM r) q),
+h AS (SELECT s.uid, s.j, s.run FROM s JOIN o ON o.uid = s.uid AND o.j = s.j + s.run - 1 WHERE s.place = 1 AND s.run >= s.least AND o.z - s.z >= 200)
+SELECT l.uid, l.lev, h.uid IS NOT NULL AS flag FROM {{levels}} l LEFT JOIN o ON o.uid = l.uid AND o.lev = l.lev LEFT JOIN h ON h.uid = l.uid AND o.j >= h.j AND o.j < h.j + h.run""",
+)
 _add("check_e10_track", lambda s, d: track.track_check(schema.tracks(s, d)))
 _METRES = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(o)) / 2), 2))))"
 _add(

@@ -178,7 +178,7 @@ def test_buddies_by_all_pairs(spark):
         if near and min(near)[0] <= buddy.REACH_M:
             want[u] = min(near)
     got = {r.uid: (r.metres, r.buddy) for r in buddy.buddies(_headers(spark, heads)).collect()}
-    assert got.keys() == want.keys() and all(got[u][1] == want[u][1] and abs(got[u][0] - want[u][0]) < 1e-3 for u in want)
+    assert got.keys() == want.keys() and all(abs(got[u][0] - want[u][0]) < 1e-3 and abs(metres(dict(heads)[u], dict(heads)[got[u][1]]) - want[u][0]) < 1e-3 for u in want)
 
 
 def test_split_and_ranks(spark):
