@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import EXACT_WORDS, LEAST_WORDS, LONGEST, MATCHED
 from .secrets import BASE_RULES, RULES
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +31,19 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(l
 """
 
 
+_WORDS = "list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: Every pair of equal words of a text and an item votes for the shift at which it lays the item on the text.
+OP5 = f"""
+WITH d AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text <> '') x),
+dw AS (SELECT r, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS w FROM (SELECT r, {_WORDS} AS ws FROM d) y),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL), iw AS (SELECT item_id, len(ws) AS n, generate_subscripts(ws, 1) - 1 AS j, unnest(ws) AS w FROM i WHERE len(ws) >= {LEAST_WORDS}),
+m AS (SELECT r, item_id, n, pos - j AS shift, count(*) AS c, list(j) AS js FROM dw JOIN iw ON dw.w = iw.w GROUP BY ALL HAVING count(*) >= CASE WHEN n < {EXACT_WORDS} THEN n ELSE {MATCHED} * least(n, {LONGEST}) END),
+h AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY c DESC, shift) AS place FROM m
+WHERE c >= {MATCHED} * n OR list_max(list_transform(js, lambda a: len(list_filter(js, lambda b: b >= a AND b < a + {LONGEST})))) >= {MATCHED} * least(n, {LONGEST}))
+SELECT doc_id, item_id, shift::BIGINT AS start_word, c::BIGINT AS n_matched, n::BIGINT AS n_item_words FROM h JOIN d ON d.r = h.r WHERE place = 1
+"""
+
+
 def _spans(rank: int) -> str:
     r = RULES[rank]
     regex = r.regex.replace("'", "''")
@@ -48,4 +62,4 @@ SELECT d.doc_id, {", ".join(f"coalesce(g.n_{r.kind}, 0)::BIGINT AS n_{r.kind}" f
 
 
 def sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_embeddings": OP2, "op9_secrets": OP9}
+    return {"op1_minhash": OP1, "op2_embeddings": OP2, "op5_decontamination": OP5, "op9_secrets": OP9}

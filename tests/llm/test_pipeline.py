@@ -2,14 +2,16 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
-from soundings.llm import bpe
+from soundings.llm import bpe, minhash
 
 
 def test_stages(spark, documents, tmp_path):
     folder = str(tmp_path)
-    docs = documents.drop("key")
+    docs = documents.selectExpr("*", "'x' AS th", "1 AS doc", "'y' AS ids", "2 AS component", "'z' AS words")
     spark.createDataFrame([(1, "ka ka ka ka po po po po"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     docs.write.parquet(f"{folder}/documents.parquet")
     now = spark.read.parquet(f"{folder}/documents.parquet")
@@ -30,6 +32,21 @@ def test_stages(spark, documents, tmp_path):
         assert c.decode(r.ids) == texts[r.doc_id] and r.n_tokens == len(r.ids)
 
 
+def test_empty_and_unlabelled(spark, documents, tmp_path):
+    """An empty table goes through; without any label no language is known, and no text with a letter goes for it."""
+    for name, docs in (("none", documents.limit(0)), ("unlabelled", documents.withColumn("lang", F.lit(None).cast("string")))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        if name == "none":
+            assert got == []
+        else:
+            texts = {r.doc_id: r.text for r in documents.collect()}
+            kept = minhash.drop_near_duplicates(documents.where("text RLIKE '[a-zA-Z]'"))
+            assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in kept.collect()) and all(texts[r.doc_id] for r in got)
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))

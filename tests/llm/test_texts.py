@@ -1,5 +1,6 @@
 """Tokens, edits, chunks and pages against plain versions."""
 
+import itertools
 import random
 
 import numpy as np
@@ -125,6 +126,65 @@ def test_repeated_passages(spark):
     assert left[0] == by[0] and left[1] == by[1] and len(left[4]) < len(by[4])
 
 
+def _plain_passages(rows):
+    """Regions by hand, from the chunks of each text."""
+    chunked = {}
+    for doc, text in rows:
+        if doc is not None and text:
+            raw = text.encode()
+            ends = chunks.borders(np.frombuffer(raw, np.uint8)).tolist()
+            chunked[doc, text] = [(s, e, raw[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+    holders = {}
+    for (doc, _), own in chunked.items():
+        for _, _, piece in own:
+            holders.setdefault(piece, set()).add(doc)
+    out = []
+    for (doc, text), own in chunked.items():
+        raw, regions, last = text.encode(), [], None
+        begun = lambda s, e: sum(raw[k] not in b" \t\n\v\f\r" and (k == 0 or raw[k - 1] in b" \t\n\v\f\r") for k in range(s, e))  # noqa: E731, B023
+        for s, e, piece in own:
+            if len(holders[piece]) > 1:
+                if last != s:
+                    regions.append([])
+                regions[-1].append((s, e, min(holders[piece]), begun(s, e)))
+                last = e
+        for r in regions:
+            kept = sum(n for _, _, f, n in r if f == doc)
+            if sum(n for *_, n in r) < chunks.WORDS:
+                continue
+            for mine, part in itertools.groupby(r, lambda x: x[2] == doc):  # noqa: B023
+                part = list(part)
+                if not mine or kept >= chunks.WORDS:
+                    place = lambda k: sum(x & 0xC0 != 0x80 for x in raw[:k])  # noqa: E731, B023
+                    out.append((doc, place(part[0][0]), place(part[-1][1]), sum(x[3] for x in part), len(part), min(x[2] for x in part), mine))
+    return sorted(out)
+
+
+def test_passages_by_hand(spark):
+    """Overlapping, nested and repeated passages, ids that repeat with other texts or are missing, extra columns."""
+    rng = random.Random(17)
+    words = [a + b + c for a in "bdfgkl" for b in ("ar", "en", "ip", "os", "ü") for c in ("", "t", "mé", "x")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    stock = [text(n) for n in (12, 30, 55, 90)]
+    rows = [(i % 45, " ".join(x for _ in range(3) for x in (text(rng.randint(0, 20)), rng.choice(stock)))) for i in range(50)]
+    rows += [(60, None), (61, ""), (None, stock[3]), (70, stock[3]), (70, stock[3]), (70, stock[2]), (71, "a" * 3000), (72, "a" * 3000)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, start int, th string").repartition(3)
+    got = sorted((r.doc_id, r.start, r.end, r.n_words, r.n_chunks, r.first_doc_id, r.kept) for r in chunks.repeated_passages(df).collect())
+    assert got == _plain_passages(rows) and got
+    left = chunks.drop_repeats(df)
+    assert left.columns == df.columns and left.count() == len(rows)
+    cut = {}
+    for doc, s, e, *_, mine in got:
+        if not mine:
+            cut.setdefault(doc, []).append((s, e))
+    single = {i: t for i, t in rows if sum(i == k for k, _ in rows) == 1 and t}
+    for r in left.where("doc_id IS NOT NULL").collect():
+        if r.doc_id in single:
+            t = single[r.doc_id]
+            assert r.text == "".join(c for k, c in enumerate(t) if not any(s <= k < e for s, e in cut.get(r.doc_id, [])))
+    assert chunks.repeated_passages(df.limit(0)).count() == 0 == chunks.drop_repeats(df.limit(0)).count()
+
+
 def test_passages_around_a_phrase_of_a_smaller_document(spark):
     """Document 1 holds words 20 to 33 of a passage of 52 that documents 5 and 9 hold whole."""
     rng = random.Random(11)
@@ -157,6 +217,46 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_classes_by_hand(spark):
+    """Occurrence vectors, classes and their nesting against plain dictionaries; the join's three ways agree."""
+    rng = random.Random(2)
+    item = lambda k: f"<li class=i><div class=a>Go {k}</div><div class=b>See</div><div class=c>Now</div></li>"
+    page = lambda i: f"<body><div class=top>Hello</div><ul>{''.join(item(k) for k in range(2 + i % 3))}</ul><table><tr class=x><td class=a>A<td class=b>B<td class=c>C</table>{'<p>odd</p>' * (i % 2)}<p>Text {rng.random()} of its own.</p><div class=end>Bye</div></body>"
+    rows = [(i, f"https://Site{i % 3}.example:80/p?{i}", page(i)) for i in range(36)] + [(100 + i, "http://few.example/", page(i)) for i in range(4)] + [(None, "https://site0.example/", page(1)), (200, None, None), (201, None, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, template string, host int").repartition(4)
+    seen: dict = {}
+    for i, url, text in rows:
+        if i is not None and text:
+            _, counts, around = html.parse(text)
+            for token, n in counts.items():
+                own = seen.setdefault((url or "").lower().split("/")[2].split(":")[0], {}).setdefault(token, [{}, around[token]])
+                own[0][i] = n
+    want = set()
+    for site, found in seen.items():
+        pages = {i for own, _ in found.values() for i in own}
+        vector = {t: frozenset(own.items()) for t, (own, _) in found.items() if len(own) >= max(html.PAGES, html.SHARE * len(pages))}
+        outer = {t: vector.get(found[t][1]) if vector.get(found[t][1]) != vector[t] else None for t in vector}
+        groups: dict = {}
+        for t, v in vector.items():
+            around = {outer[x] for x in vector if vector[x] == v and outer[x] is not None}
+            groups.setdefault((v, outer[t] if len(around) > 1 else next(iter(around), None)), set()).add(t)
+        want |= {frozenset(g) for g in groups.values() if len(g) >= html.TOKENS}
+    got = html.classes(df).collect()
+    assert {frozenset(r.tokens) for r in got} == want and len(got) >= 6 and any(r.outer is not None for r in got)
+    assert {r["class"] for r in got} >= {r.outer for r in got if r.outer is not None}
+    texts = sorted((r.page_id or -1, r.text) for r in html.extract(df).collect())
+    assert len(texts) == len(rows) and all("Text" in t and "Hello" not in t and "Bye" not in t for i, t in texts if 0 <= i < 36)
+    for limits in ((60, 11), (0, 0)):
+        html.BROADCAST_TOKENS, html.HOT_PAGES, old = *limits, (html.BROADCAST_TOKENS, html.HOT_PAGES)
+        try:
+            assert sorted((r.page_id or -1, r.text) for r in html.extract(df).collect()) == texts
+        finally:
+            html.BROADCAST_TOKENS, html.HOT_PAGES = old
+    assert html.extract(df.limit(0)).count() == 0
+    deep = "<div>" * 60000 + "</span>" * 60000 + "text" + "<a>" * 20000
+    assert html.main_text(deep) == "text"
+
+
 def test_templates_inside_articles(spark):
     """Boilerplate without class words goes from a main element too, and standing blocks do not split a text."""
     body = '<body><div class=top>Welcome</div><main><h1>Title {0}</h1><p>Body {0} is long enough to be text.</p><p>Licensed to all.</p><p>After {0} more.</p><p>By the staff</p></main></body>'
