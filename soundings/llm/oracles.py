@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .decontam import EXACT_WORDS, LEAST_WORDS, LONGEST, MATCHED
 from .secrets import BASE_RULES, RULES
 
@@ -47,10 +49,12 @@ SELECT doc_id, item_id, shift::BIGINT AS start_word, c::BIGINT AS n_matched, n::
 def _spans(rank: int) -> str:
     r = RULES[rank]
     regex = r.regex.replace("'", "''")
+    if one := re.fullmatch(r"([A-Za-z]*)(\[[^]]*\])\+", regex):  # one greedy run: its least length can be asked of the regex
+        regex = f"{one[1]}{one[2]}{{{r.least - len(one[1])},}}"
     counted = f"regexp_extract_all(text, '{regex}', {r.group})"
     return f"""SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: struct_pack(s := list_sum(gaps[1:i])::BIGINT + coalesce(list_sum(sizes[1:i - 1]), 0)::BIGINT, e := list_sum(gaps[1:i])::BIGINT + list_sum(sizes[1:i])::BIGINT, c := len(counted[i])))) AS x, {rank} AS rank, '{r.kind}' AS kind
 FROM (SELECT doc_id, hits, counted, list_transform(hits, lambda h: length(h)) AS sizes, list_transform(string_split_regex(text, '{regex}'), lambda h: length(h)) AS gaps
-FROM (SELECT doc_id, text, regexp_extract_all(text, '{regex}', 0) AS hits, {counted} AS counted FROM documents WHERE text IS NOT NULL) t WHERE len(hits) > 0) u"""
+FROM (SELECT doc_id, text, regexp_extract_all(text, '{regex}', 0) AS hits, {counted} AS counted FROM documents WHERE regexp_matches(text, '{regex}')) t WHERE len(hits) > 0) u"""
 
 
 _KEPT = " UNION ALL ".join(f"SELECT doc_id, x.s AS s, x.e AS e, rank, kind FROM ({_spans(k)}) y WHERE x.c >= {r.least}" for k, r in enumerate(RULES))
