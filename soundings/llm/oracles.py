@@ -15,8 +15,11 @@ least AS (SELECT node, min(seen) AS low FROM reach GROUP BY node)"""
 
 OP1 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, '{_CAPITALS}', '{_SMALL}'), ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
-n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s), x AS (SELECT doc_id, unnest(g) AS g FROM s),
+t AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, len(ws) AS m, unnest(ws) AS w FROM w),
+s AS (SELECT doc_id, i, m, CASE WHEN m < 5 THEN string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+ELSE concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+x AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM s WHERE i <= greatest(m - 4, 1)),
+n AS (SELECT d.doc_id, count(x.g) AS n FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id),
 c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY ALL),
 links AS (SELECT c.a, c.b FROM c JOIN n p ON p.doc_id = c.a JOIN n q ON q.doc_id = c.b WHERE 100 * c.c >= 75 * (p.n + q.n - c.c)),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), {_COMPONENTS}
