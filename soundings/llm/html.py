@@ -5,8 +5,10 @@
    vectors form an equivalence class. Vectors are never gathered: a class is known by the number of pages and a sum of
    64-bit hashes of (page, count), which is built with partial aggregates, so a host of any size is one small row per
    token and task.
-3. A class is valid if it has at least ``TOKENS`` tokens and lies in nearly all of the host's pages; valid classes nest by
-   their tokens' paths into the host's template. Its texts are boilerplate; what lies between its tokens are slots.
+3. Classes nest: each token knows the block around it, and a class lies within the class of the blocks around its tokens. One
+   whose tokens lie in several other classes is divided by these. A class is valid if it then has at least ``TOKENS`` tokens
+   and lies in nearly all of the host's pages. The nested valid classes are the host's template: its texts are boilerplate,
+   and what lies between its tokens are slots.
 4. Template blocks and those of navigation, advertising and the like (by tag and by class or id words) are dropped from
    every page, and the rest lies in slots. If the slot with the most unlinked text lies in an article or main element, that
    element's blocks are taken; else every slot that is not mostly links, and those of links between two such slots of one
@@ -15,13 +17,15 @@
 A class or id counts if it is a listed word; one with a listed word among its parts ('share-line', but not 'no-sidebar')
 counts unless its element wraps content: a first heading, an article, or half of the page's unlinked text.
 
-Templates are joined to the pages by host and salt, so that the pages of a hot host go to many tasks; Spark broadcasts the
-templates instead while they are small.
+Templates are a row per host. Up to ``BROADCAST_TOKENS`` tokens they are broadcast to the pages, which then are not shuffled.
+Beyond that, those of hosts of more than ``HOT_PAGES`` pages still are, as long as they are that small, and the pages of all
+other hosts are joined by host, so that no host's pages fill a task.
 A host with fewer than ``PAGES`` pages has no template and only step 4 applies.
 
 A null or empty page has an empty text and no part in its host's vectors. Character references are decoded, white space inside a block becomes one space,
 blocks are joined by two line feeds in page order. Unclosed tags end with their parents, an unclosed head with the first content. Repeated rows are pages of
-their own in the result; for the vectors, pages are told apart by id.
+their own in the result; for the vectors, pages are told apart by id, and pages without an id have no part. An empty table
+gives an empty one; extra columns are not carried. Very deep or unclosed pages cost in proportion to their length.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_batch
+from .frames import by_batch, stored
 
-PAGES, TOKENS, SHARE, SALTS = 5, 3, 0.95, 16
+PAGES, TOKENS, SHARE = 5, 3, 0.95
+BROADCAST_TOKENS, HOT_PAGES = 2_000_000, 50_000
 
 _SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _CLOSED = re.compile(r"<(noscript|template|svg|object|select|button)\b[^>]*>(?:(?!<\1\b).)*?</\1\s*>", re.S | re.I)
@@ -89,18 +94,25 @@ def _excluded(marks: str) -> int:
     return int(any(not _STATE.match(x) and not _OUT_WORDS.isdisjoint(_WORD.findall(x)) for x in names))
 
 
-def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
-    """Text blocks in page order, and how often each structural or text token occurs."""
+def parse(html: str | None) -> tuple[list[Block], dict[int, int], dict[int, int]]:
+    """Text blocks in page order, how often each structural or text token occurs, and the token of the block around it (0: none)."""
     blocks: list[Block] = []
     counts: dict[int, int] = {}
+    around: dict[int, int] = {}
     if not html:
-        return blocks, counts
-    stack: list[tuple[str, int, int, int, int]] = []  # tag, path hash, excluded depth, article depth, doubtful element
-    path = out = main = linked = links = 0
+        return blocks, counts, around
+    stack: list[tuple[str, int, int, int, int, int]] = []  # tag, path hash, excluded depth, article depth, doubtful element, block path
+    opened: dict[str, int] = {}  # elements of each tag on the stack
+    path = out = main = linked = 0
     slot, parts = 0, []
     doubt: list[list] = [[0, True, 0]]  # elements excluded by a part of a name: parent, holds content, unlinked characters
     inside: list[int] = []  # doubtful element of each block
 
+    def close(depth: int) -> None:
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        del stack[depth:]
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -108,6 +120,7 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
             if text:
                 token = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), path & 0xFFFFFFFF) >> 1 | 1 << 40
                 counts[token] = counts.get(token, 0) + 1
+                around[token] = stack[-1][5] if stack else 0
                 blocks.append(Block(text, out > 0, main > 0, linked, slot, token, stack[-2][1] if len(stack) > 1 else 0))
                 inside.append(stack[-1][4] if stack else 0)
             parts.clear()
@@ -119,18 +132,18 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
         if piece[0] != "<" or not (m := _NAME.match(piece)):
             if piece[:2] not in ("<!", "<?"):
                 if stack and stack[-1][0] == "head" and not piece.isspace():
-                    stack.pop()
+                    close(len(stack) - 1)
                     path, out, main = stack[-1][1:4] if stack else (0, 0, 0)
                 parts.append(piece)
-                if links:
+                if opened.get("a"):
                     linked += len(piece.strip())
             continue
         name = m[1].lower()
         if piece[1] != "/" and name not in _HEAD:
-            depth = next((k for k in range(min(3, len(stack))) if stack[k][0] == "head"), None)
+            depth = next((k for k in range(min(3, len(stack))) if stack[k][0] == "head"), None) if opened.get("head") else None
             if depth is not None:
                 flush()
-                del stack[depth:]
+                close(depth)
                 path, out, main = stack[-1][1:4] if stack else (0, 0, 0)
         if name == "br":
             parts.append(" ")
@@ -140,20 +153,19 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
         if name in _VOID:
             continue
         if piece[1] == "/":
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None:
+            if not opened.get(name):
                 continue
-            del stack[depth:]
+            close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         else:
-            if closes := _CLOSES.get(name):
+            if (closes := _CLOSES.get(name)) and any(map(opened.get, closes)):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in closes:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in _BLOCK and stack[k][0] not in ("p", "li"):
                         break
             marks = " ".join(filter(None, (x for g in _MARKS.findall(piece) for x in g))).lower() if "=" in piece else ""
-            above = stack[-1] if stack else ("", 0, 0, 0, 0)
+            above = stack[-1] if stack else ("", 0, 0, 0, 0, 0)
             path = crc32(f"/{name}.{marks}".encode(), above[1])
             sort = _excluded(marks) if marks and name not in ("html", "body") else 0
             excluded, within = above[2] + (name in _OUT_TAGS or sort == 2), above[4]
@@ -165,13 +177,14 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
                 while k:
                     doubt[k][1], k = True, doubt[k][0]
             if not piece.endswith("/>"):
-                stack.append((name, path, excluded, above[3] + (name in _IN_TAGS and not excluded), within))
+                stack.append((name, path, excluded, above[3] + (name in _IN_TAGS and not excluded), within, path if name in _BLOCK else above[5]))
+                opened[name] = opened.get(name, 0) + 1
             if name in _BLOCK:
                 counts[path] = counts.get(path, 0) + 1
+                around[path] = above[5]
                 slot = path
-        top = stack[-1] if stack else ("", 0, 0, 0, 0)
+        top = stack[-1] if stack else ("", 0, 0, 0, 0, 0)
         path, out, main = top[1], top[2], top[3]
-        links = sum(s[0] == "a" for s in stack) if name == "a" or not stack else links if any(s[0] == "a" for s in stack[-3:]) else 0
     flush()
     if len(doubt) > 1:
         for b, k in zip(blocks, inside, strict=True):
@@ -181,7 +194,7 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, int]]:
         for b, k in zip(blocks, inside, strict=True):
             while k and not b.out:
                 b.out, k = not doubt[k][1] and 2 * doubt[k][2] < total, doubt[k][0]
-    return blocks, counts
+    return blocks, counts, around
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -218,44 +231,68 @@ def host(url):
     return F.xxhash64(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``host, template array<long>``: the tokens of the valid equivalence classes of each host."""
+def tokens(pages: DataFrame) -> DataFrame:
+    """``page_id, host, token, around, n``: how often each token occurs in each page; token 0 stands for the page itself."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows: tuple[list, list, list, list] = ([], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [])
         for page, site, html in zip(*(b[c].to_pylist() for c in ("page_id", "host", "html")), strict=True):
-            counts = parse(html)[1]
-            counts[0] = 1  # every page counts
+            _, counts, around = parse(html)
+            counts[0], around[0] = 1, -1
             rows[0].extend([page] * len(counts))
             rows[1].extend([site] * len(counts))
             rows[2].extend(counts)
-            rows[3].extend(counts.values())
-        return pa.record_batch([pa.array(r, pa.int64()) for r in rows], names=["page_id", "host", "token", "n"])
+            rows[3].extend(map(around.__getitem__, counts))
+            rows[4].extend(counts.values())
+        return pa.record_batch([pa.array(r, pa.int64()) for r in rows], names=["page_id", "host", "token", "around", "n"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    rows = rows.where("page_id IS NOT NULL AND html <> ''")
-    tokens = by_batch(rows, "page_id long, host long, token long, n long", run)
+    return by_batch(rows.where("page_id IS NOT NULL AND html <> ''"), "page_id long, host long, token long, around long, n long", run)
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """``host, all, class, outer, tokens``: the valid equivalence classes of each host of so many pages, each with the class
+    that it lies in (null: none)."""
     vector = F.sum(F.xxhash64("page_id", "n").cast("decimal(20,0)")).alias("vector")
-    seen = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), vector).where(F.col("pages") >= PAGES)
+    seen = tokens(pages).groupBy("host", "token").agg(F.count("*").alias("pages"), vector, F.min("around").alias("around")).where(F.col("pages") >= PAGES)
+    seen = stored(seen.withColumn("class", F.xxhash64("pages", "vector")))
     everywhere = seen.where("token = 0").select("host", F.col("pages").alias("all"))
-    usual = seen.where("token <> 0").join(everywhere, "host").where(F.col("pages") >= SHARE * F.col("all"))
-    classes = usual.groupBy("host", "pages", "vector").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= TOKENS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    usual = seen.where("token <> 0").join(everywhere, "host").where(F.col("pages") >= SHARE * F.col("all")).select("host", "all", "token", "around", "class")
+    enclosing = usual.select("host", F.col("token").alias("around"), F.col("class").alias("outer"))
+    placed = usual.join(enclosing, ["host", "around"], "left").withColumn("outer", F.when(F.col("outer") != F.col("class"), F.col("outer")))
+    several = Window.partitionBy("host", "class")
+    placed = placed.withColumn("apart", F.min("outer").over(several) != F.max("outer").over(several))
+    divided = placed.withColumn("outer", F.when(F.col("apart"), F.col("outer")).otherwise(F.max("outer").over(several)))
+    return divided.groupBy("host", "all", "class", "outer").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= TOKENS)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``host, all, template array<long>``: the tokens of the nested valid classes of each host."""
+    return classes(pages).groupBy("host", "all").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    salted = own.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS)))
-    dealt = templates(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = salted.join(dealt, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    known = stored(templates(pages))
+    small = lambda t: (t.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS
+    hot = known.where(F.col("all") > HOT_PAGES)
+    if small(known):
+        rows = own.join(F.broadcast(known), "host", "left")
+    elif small(hot):
+        served = own.join(F.broadcast(hot), "host", "left")
+        cool = served.where("template IS NULL").drop("all", "template").join(known.where(F.col("all") <= HOT_PAGES), "host", "left")
+        rows = served.where("template IS NOT NULL").unionByName(cool)
+    else:
+        rows = own.join(known, "host", "left")
+    rows = rows.select("page_id", "url", "html", "template")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[tuple, frozenset[int]] = {}
+        sets: dict[tuple, frozenset[int]] = {}
         texts = []
         for html, template in zip(b["html"].to_pylist(), b["template"].to_pylist(), strict=True):
             key = tuple(template or ())
-            texts.append(main_text(html, known.get(key) or known.setdefault(key, frozenset(key))))
+            texts.append(main_text(html, sets.get(key) or sets.setdefault(key, frozenset(key))))
         return pa.record_batch([b["page_id"], b["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return by_batch(rows, "page_id long, url string, text string", run).withColumn("n_chars", F.length("text").cast("long"))
