@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seawater
-from ..schema import HEADERS
+from ..schema import one_header
 
 PRESSURE = "((1 - c1) - sqrt((1 - c1) * (1 - c1) - 8.84e-6 * z)) / 4.42e-6"
 
@@ -27,7 +27,7 @@ SELECT l.uid, l.lev, l.z, l.t, l.s, l.p, p.lat, p.lon, p.probe, p.country{{carri
   lag(l.t, 1) OVER w AS t_p1, lag(l.t, 2) OVER w AS t_p2, lead(l.t, 1) OVER w AS t_n1, lead(l.t, 2) OVER w AS t_n2,
   lag(l.z, 1) OVER w AS z_p1, lag(l.z, 2) OVER w AS z_p2, lead(l.z, 1) OVER w AS z_n1,
   lag(l.s, 1) OVER w AS s_p1, count(l.p) OVER u AS n_p
-FROM {{levels}} l LEFT JOIN {HEADERS} p ON l.uid = p.uid
+FROM {{levels}} l LEFT JOIN {{profiles}} p ON l.uid = p.uid
 WINDOW w AS (PARTITION BY l.uid ORDER BY l.lev), u AS (PARTITION BY l.uid)) x
 """
 
@@ -102,7 +102,7 @@ LOCAL = {
 _LEVELS_ALL = "(SELECT *, row_number() OVER (PARTITION BY uid ORDER BY lev) - 1 AS i, count(*) OVER (PARTITION BY uid) AS n FROM {levels})"
 #: Rows with depth and temperature at or below the surface, in order of depth; ties keep the level order.
 _ORDERED = """(SELECT l.uid, l.lev, l.z, l.t, p.probe, p.country, row_number() OVER (PARTITION BY l.uid ORDER BY l.z, l.lev) - 1 AS j, count(*) OVER (PARTITION BY l.uid) AS m
-  FROM {levels} l LEFT JOIN """ + HEADERS + """ p ON l.uid = p.uid WHERE l.z >= 0 AND l.t IS NOT NULL)"""
+  FROM {levels} l LEFT JOIN {profiles} p ON l.uid = p.uid WHERE l.z >= 0 AND l.t IS NOT NULL)"""
 _BACK = "SELECT l.uid, l.lev, coalesce(q.flag, FALSE) AS flag FROM {{levels}} l LEFT JOIN ({0}) q ON l.uid = q.uid AND l.lev = q.lev"
 
 # Temperature boxes, each with the least depth from which its temperatures are rejected (down to 9000 m).
@@ -126,7 +126,7 @@ f AS (SELECT e.uid, s.lev FROM d e JOIN d s ON s.uid = e.uid AND s.i = e.start W
 SELECT l.uid, l.lev, f.uid IS NOT NULL AS flag FROM {{levels}} l LEFT JOIN f ON l.uid = f.uid AND l.lev = f.lev""",
     "s05_surface_spikes": f"""
 WITH a AS (SELECT x.uid, x.lev, x.i, x.n, x.z, p.probe, coalesce(lead(x.z) OVER (PARTITION BY x.uid ORDER BY x.i), 0) AS z_n,
-  max(CASE WHEN x.z >= 4 OR (x.z IS NOT NULL AND x.i = x.n - 1) THEN 1 ELSE 0 END) OVER (PARTITION BY x.uid ORDER BY x.i) AS over FROM {_LEVELS_ALL} x LEFT JOIN {HEADERS} p ON x.uid = p.uid)
+  max(CASE WHEN x.z >= 4 OR (x.z IS NOT NULL AND x.i = x.n - 1) THEN 1 ELSE 0 END) OVER (PARTITION BY x.uid ORDER BY x.i) AS over FROM {_LEVELS_ALL} x LEFT JOIN {{profiles}} p ON x.uid = p.uid)
 SELECT uid, lev, coalesce(probe = 2 AND over = 0 AND z IS NOT NULL AND z_n < 8, FALSE) AS flag FROM a""",
     "s06_wire_break": f"""
 WITH a AS (SELECT uid, lev, probe, i, max(CASE WHEN {_GOOD} THEN i END) OVER (PARTITION BY uid) AS last FROM ({neighbours()}) v)
@@ -194,7 +194,7 @@ def check_sql(name: str, dialect: Dialect) -> str:
     if name in LOCAL:
         return f"SELECT uid, lev, coalesce({LOCAL[name].replace('{bround}', dialect.bround)}, FALSE) AS flag FROM ({neighbours()}) v"
     if name in HEADER:
-        return f"SELECT l.uid, l.lev, coalesce(p.uid IS NOT NULL AND {HEADER[name]}, FALSE) AS flag FROM {{levels}} l LEFT JOIN {HEADERS} p ON l.uid = p.uid"
+        return f"SELECT l.uid, l.lev, coalesce(p.uid IS NOT NULL AND {HEADER[name]}, FALSE) AS flag FROM {{levels}} l LEFT JOIN {{profiles}} p ON l.uid = p.uid"
     return STEPS[name]
 
 
@@ -204,11 +204,11 @@ NAMES = (*LOCAL, *STEPS, *HEADER)
 def run(name: str, levels: DataFrame, profiles: DataFrame) -> DataFrame:
     """``uid, lev, flag`` of one check."""
     sql = check_sql(name, SPARK)
-    return levels.sparkSession.sql(sql, **{k: v for k, v in (("levels", levels), ("profiles", profiles)) if f"{{{k}}}" in sql})
+    return levels.sparkSession.sql(sql, **{k: v for k, v in (("levels", levels), ("profiles", one_header(profiles))) if f"{{{k}}}" in sql})
 
 
 def run_local(levels: DataFrame, profiles: DataFrame, names: tuple[str, ...] = tuple(LOCAL), carried: tuple[str, ...] = (), headers: tuple[str, ...] = ()) -> DataFrame:
     """``uid, lev``, carried columns of the levels and headers (probe, lat, lon, country), and a flag column per named
     neighbour check: one exchange and one sort for all of them."""
-    seen = levels.sparkSession.sql(neighbours(*carried), levels=levels, profiles=profiles)
+    seen = levels.sparkSession.sql(neighbours(*carried), levels=levels, profiles=one_header(profiles))
     return seen.select("uid", "lev", *carried, *headers, *(F.expr(f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)").alias(n) for n in names))

@@ -5,7 +5,7 @@ A profile is a cast: a header row and its levels in order. Missing values are NU
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROFILES = (
@@ -42,15 +42,11 @@ FROM events
 """
 
 
-#: The header of each profile: of rows that repeat a uid, one stays. ``{profiles}`` is the table.
-HEADERS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY coalesce(lat, 999), coalesce(lon, 999), coalesce(probe, 999)) AS one FROM {profiles}) numbered WHERE one = 1)"
-
-
 def one_header(profiles: DataFrame) -> DataFrame:
-    """The same as a frame."""
-    least = lambda c: F.coalesce(c, F.lit(999))
-    w = Window.partitionBy("uid").orderBy(*(least(c) for c in ("lat", "lon", "probe") if c in profiles.columns))
-    return profiles.withColumn("one", F.row_number().over(w)).where("one = 1").drop("one")
+    """A header for each uid: of rows that repeat one, the least by their columns in turn."""
+    rest = [c for c in profiles.columns if c != "uid"]
+    least = profiles.groupBy("uid").agg(F.min(F.struct(*rest)).alias("least"))
+    return least.select("uid", *(F.col(f"least.`{c}`").alias(c) for c in rest))
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
