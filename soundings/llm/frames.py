@@ -64,7 +64,8 @@ def sized(df: DataFrame) -> DataFrame:
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], done: Callable[[], None] | None = None) -> DataFrame:
     """Apply a function of one Arrow batch to a frame; it keeps no state between batches but caches.
 
-    ``done`` runs at the end of each task and lets go of caches, since Spark keeps its Python workers for later stages.
+    ``done`` runs at the end of each task and lets go of caches, since Spark keeps its Python workers for later stages; so
+    does Arrow of freed memory.
     """
     prepare(df.sparkSession)
 
@@ -76,6 +77,7 @@ def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Recor
         finally:
             if done is not None:
                 done()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

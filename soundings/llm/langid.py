@@ -34,7 +34,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1600, 20_000
 PIECE = 24
 _BUCKETS, _WIDTH = 1 << 15, 9 + PIECE - 1 + PIECE - 2
 _WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
-_BLOCK, _RESCALE, _CHAIN = 128, 16, 4_000_000
+_BLOCK, _RESCALE, _CHAIN = 128, 16, 1_500_000
 _CACHE_WORDS, _AT_ONCE = 150_000, 20_000
 
 
@@ -304,13 +304,23 @@ def language_digest(df: DataFrame) -> DataFrame:
     return predict_language(df, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_known(df: DataFrame, least: float = 0.65) -> DataFrame:
     """The rows whose words are recognised: the mean of each word's largest posterior is at least ``least``.
 
-    With more than five languages twice an even share is enough, since close languages share their words' posteriors.
+    With more than four languages ``least`` falls in proportion, since close languages share their words' posteriors. Texts
+    that are null or without a letter are in no language and go. Without any labelled document no language is known and none
+    can be told from another: then every text with a letter stays. Rows without an id and repeated ones are judged each by
+    their own text; an empty table gives an empty one.
+
+    Figures, with four languages (fitted on 1,600 documents of sf0.1): of 1,500 held-out documents the least mean is 0.81, the
+    first percentile 0.92; of 200 mixtures of three languages the least is 0.96; 100 texts of random letters lie between 0.52
+    and 0.62, so these go. A script that no labelled text has (random Han characters: 0.50 to 0.79) is not told reliably.
     """
     model = fit(training_sample(df))
-    least = min(least, 2 / max(1, len(model.labels)))
+    if not model.labels:
+        letter = F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\p{L}"))
+        return df.where(letter)
+    least *= min(1.0, 4 / len(model.labels))
     schema = df.schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -90,8 +90,9 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _classes(sets: DataFrame) -> DataFrame:
-    """``doc, own, th, h1, h2, sig, n``: a row per distinct set, with its smallest document ``own`` and that one's text's hash.
+def _classes(sets: DataFrame) -> tuple[DataFrame, bool]:
+    """``doc, own, th, h1, h2, sig, n``: a row per distinct set, with its smallest document ``own`` and that one's text's hash;
+    and whether some ``doc`` is not the class's document.
 
     ``doc`` names the class: its smallest document; where several classes have the same one, since an id repeats with other
     texts, all but the first are named by a hash of their digest.
@@ -101,10 +102,10 @@ def _classes(sets: DataFrame) -> DataFrame:
     classes = cut(classes.select(F.col("own.doc").alias("doc"), F.col("own.doc").alias("own"), F.col("own.th").alias("th"), "h1", "h2", "sig", "n"))
     twice = cut(classes.groupBy("own").agg(F.count("*").alias("classes"), F.min(F.struct("h1", "h2")).alias("first")).where("classes > 1").drop("classes"))
     if twice.isEmpty():
-        return classes
+        return classes, False
     other = F.col("first").isNotNull() & (F.struct("h1", "h2") != F.col("first"))
     named = classes.join(twice, "own", "left").withColumn("doc", F.when(other, F.xxhash64("h1", "h2", "own")).otherwise(F.col("own")))
-    return cut(named.select(*classes.columns))
+    return cut(named.select(*classes.columns)), True
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -260,7 +261,7 @@ def _confirmed_blocks(near: DataFrame, texts: DataFrame, width: int = WIDTH) ->
 def _placed(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``doc, th, n, component``, one row per input row."""
     sets = cut(signatures(df, id_col, text_col, width))
-    classes = _classes(sets)
+    classes, renamed = _classes(sets)
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(shared, "key"))
@@ -285,8 +286,10 @@ def _placed(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
         links = links.unionByName(cut(_confirmed_blocks(more, texts, width)))
         joined = components(links)
     named = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    smallest = named.groupBy("component").agg(F.min("own").alias("least"))  # of components whose classes are not named by documents
-    named = named.select("h1", "h2", "component").join(smallest, "component").select("h1", "h2", F.col("least").alias("component"))
+    if renamed:  # some components are not named by a document
+        smallest = named.groupBy("component").agg(F.min("own").alias("least"))
+        named = named.join(smallest, "component").select("h1", "h2", F.col("least").alias("component"))
+    named = named.select("h1", "h2", "component")
     full = sets.where("n > 0").select("doc", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc", "th", "n", "component")
     return full.unionByName(sets.where("n = 0").select("doc", "th", "n", F.col("doc").alias("component")))
 

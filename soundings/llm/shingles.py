@@ -13,7 +13,7 @@ WIDTH = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 120_000
 
 
 def words_of(text: str | None) -> list[bytes]:
