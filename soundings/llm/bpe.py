@@ -36,7 +36,7 @@ from .frames import by_batch, tokenizer_path
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bounds of what a worker remembers: words, their ids, and pairs of tokens.
-CACHE_WORDS, CACHE_IDS, CACHE_PAIRS = 500_000, 4_000_000, 300_000
+CACHE_WORDS, CACHE_IDS, CACHE_PAIRS = 300_000, 3_000_000, 200_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
