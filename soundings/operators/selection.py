@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from . import rules
 
 
-#: Of how many checks all sets may be rated.
-MOST_CHECKS = 16
+#: Of how many checks all sets may be rated: there are two to that power.
+MOST_CHECKS = 24
+#: How many checks one round of the sums over supersets deals with.
+BITS_A_ROUND = 4
+#: Of how many checks all partitions may be listed: 1.4 billion, spread over tasks by their numbers.
+MOST_PARTED = 15
 
 
 def patterns(decisions: DataFrame, checks: Sequence[str], truth: str = "truth") -> DataFrame:
@@ -63,16 +67,95 @@ def subsets(spark, n: int, size: int | None = None) -> DataFrame:
     return found if size is None else found.where(F.bit_count("subset") == size)
 
 
+def superset_sums(table: DataFrame, n: int, bits: int = BITS_A_ROUND) -> DataFrame:
+    """``mask, bad, good``: for each set of ``n`` checks the profiles that all of its checks flag; sets of none are left out.
+
+    A zeta transform over supersets: a round deals with a few checks, each row adding its counts to the sets that lack some of
+    these. So all sets are summed by ``n / bits`` aggregates of at most two to the ``n`` rows, instead of every set meeting every pattern.
+    """
+    count = lambda bad: F.sum(F.when(F.col("truth") == bad, F.col("n")).otherwise(0))
+    now = table.groupBy(F.col("mask").bitwiseAND(F.lit((1 << n) - 1)).alias("mask")).agg(count(True).alias("bad"), count(False).alias("good"))
+    for low in range(0, n, bits):
+        width = min(bits, n - low)
+        taken = F.sequence(F.lit(0), F.lit((1 << width) - 1))
+        own = F.shiftright("mask", low).bitwiseAND(F.lit((1 << width) - 1))
+        lacking = F.transform(F.filter(taken, lambda x: x.bitwiseAND(own) == x), lambda x: F.col("mask") - x.cast("long") * F.lit(1 << low))
+        now = now.select(F.explode(lacking).alias("mask"), "bad", "good").groupBy("mask").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return now
+
+
+def _totals(table: DataFrame) -> list[Column]:
+    """The numbers of bad and of good profiles, as scalar subqueries."""
+    count = lambda bad: F.sum(F.when(F.col("truth") == bad, F.col("n")).otherwise(0)).alias("n")
+    return [table.agg(count(bad)).scalar() for bad in (True, False)]
+
+
 def subset_rates(table: DataFrame, n: int, size: int | None = None) -> DataFrame:
-    """``subset, size, tpr, fpr`` of the AND of each set of ``n`` checks, at most ``MOST_CHECKS``: so both the sets and the
-    patterns, of which there are at most twice as many, are bounded, and each set meets each pattern as a stated query."""
+    """``subset, size, tpr, fpr`` of the AND of each set of ``n`` checks, at most ``MOST_CHECKS``, from one sum over supersets."""
     if n > MOST_CHECKS:
         raise ValueError(f"the sets of more than {MOST_CHECKS} checks are too many; search them by grow_roc")
-    patterns_ = table.groupBy("truth", F.col("mask").bitwiseAND(F.lit((1 << n) - 1)).alias("mask")).agg(F.sum("n").alias("n"))
-    pairs = subsets(table.sparkSession, n, size).join(F.broadcast(patterns_))
-    hit = F.col("mask").bitwiseAND(F.col("subset")) == F.col("subset")
-    rate = lambda bad: F.try_divide(100.0 * F.sum(F.when(hit & (F.col("truth") == bad), F.col("n")).otherwise(0)), F.sum(F.when(F.col("truth") == bad, F.col("n")).otherwise(0)))
-    return pairs.groupBy("subset").agg(rate(True).alias("tpr"), rate(False).alias("fpr")).select("subset", F.bit_count("subset").alias("size"), "tpr", "fpr")
+    sums = superset_sums(table, n).withColumnRenamed("mask", "subset")
+    bad, good = _totals(table)
+    rate = lambda c, of: F.try_divide(100.0 * F.coalesce(F.col(c), F.lit(0)), of)
+    rated = subsets(table.sparkSession, n, size).join(sums, "subset", "left")
+    return rated.select("subset", F.bit_count("subset").alias("size"), rate("bad", bad).alias("tpr"), rate("good", good).alias("fpr"))
+
+
+def _completions(n: int) -> list[list[int]]:
+    """How many ways ``r`` more checks can be dealt when there are ``m`` groups: rows r, columns m (a Bell triangle)."""
+    rows = [[1] * (n + 1)]
+    for _ in range(n):
+        last = rows[-1]
+        rows.append([m * last[m] + last[m + 1] for m in range(len(last) - 1)])
+    return rows
+
+
+def partitions(spark, n: int, sizes: Sequence[int] | None = None) -> DataFrame:
+    """``id, groups``: every way to part ``n`` checks into groups, each group as a mask, in order of its first check.
+
+    A partition is the string of its checks' group numbers, in which a new number is one above the largest so far; the ``id``-th
+    such string is made from the number alone, so the rows need no search and spread over tasks. With ``sizes`` only those whose
+    groups have these sizes, in any order.
+    """
+    if not 1 <= n <= MOST_PARTED:
+        raise ValueError(f"partitions of 1 to {MOST_PARTED} checks only")
+    ways = _completions(n)
+    table = F.array(*(F.array(*(F.lit(x).cast("long") for x in [*row, *[0] * (n + 2 - len(row))])) for row in ways))
+
+    def deal(held: Column, check: Column) -> Column:
+        used, rest = F.size(held["groups"]), F.lit(n - 1) - check
+        each = F.get(F.get(table, rest), used)
+        group = F.least(F.floor(held["left"] / each), used.cast("long")).cast("int")
+        own = F.call_function("shiftleft", F.lit(1).cast("long"), check)
+        groups = F.when(group < used, F.transform(held["groups"], lambda g, k: F.when(k == group, g + own).otherwise(g))).otherwise(F.concat(held["groups"], F.array(own)))
+        return F.struct((held["left"] - group * each).alias("left"), groups.alias("groups"))
+
+    start = F.struct(F.col("id").alias("left"), F.array(F.lit(1).cast("long")).alias("groups"))
+    checks = F.sequence(F.lit(1), F.lit(n - 1)) if n > 1 else F.array().cast("array<int>")
+    dealt = F.aggregate(checks, start, deal, lambda x: x["groups"])
+    found = spark.range(ways[n - 1][1]).select("id", dealt.alias("groups"))
+    if sizes is None:
+        return found
+    return found.where(F.sort_array(F.transform("groups", lambda g: F.bit_count(g))) == F.array(*(F.lit(x) for x in sorted(sizes))))
+
+
+def partition_rates(table: DataFrame, n: int, sizes: Sequence[int] | None = None) -> DataFrame:
+    """``partition, groups, tpr, fpr``: rates of the OR over groups of the AND of their checks, for every partition of ``n`` checks.
+
+    Patterns meet partitions by equal masks of groups: a pattern has the groups that are sets of its checks, so nothing is paired
+    that does not hit. A partition that a pattern hits by several groups counts it once.
+    """
+    base = table.groupBy("truth", F.col("mask").bitwiseAND(F.lit((1 << n) - 1)).alias("mask")).agg(F.sum("n").alias("n"))
+    held = partitions(table.sparkSession, n, sizes)
+    inside = F.filter(F.sequence(F.lit(1).cast("long"), F.lit((1 << n) - 1).cast("long")), lambda x: x.bitwiseAND(F.col("mask")) == x)
+    by_group = base.where("mask <> 0").select("truth", "mask", "n", F.explode(inside).alias("group"))
+    hits = held.select("id", F.explode("groups").alias("group")).join(by_group, "group").groupBy("id", "truth", "mask").agg(F.first("n").alias("n"))
+    count = lambda bad: F.sum(F.when(F.col("truth") == bad, F.col("n")).otherwise(0))
+    sums = hits.groupBy("id").agg(count(True).alias("bad"), count(False).alias("good"))
+    bad, good = _totals(table)
+    rate = lambda c, of: F.try_divide(100.0 * F.coalesce(F.col(c), F.lit(0)), of)
+    members = lambda g: F.array_join(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.getbit(g, k) == 1), "&")
+    return held.join(sums, "id", "left").select(F.array_join(F.transform("groups", members), "|").alias("partition"), F.size("groups").alias("groups"), rate("bad", bad).alias("tpr"), rate("good", good).alias("fpr"))
 
 
 def cost(ratio: tuple[float, float], tpr: float, fpr: float) -> float:

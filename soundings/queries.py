@@ -128,6 +128,25 @@ _add(
 SELECT subset, bit_count(subset)::INT AS size, round(100.0 * sum(CASE WHEN truth AND (mask & subset) = subset THEN n ELSE 0 END) / nullif(sum(CASE WHEN truth THEN n ELSE 0 END), 0), 6) AS tpr,
 round(100.0 * sum(CASE WHEN NOT truth AND (mask & subset) = subset THEN n ELSE 0 END) / nullif(sum(CASE WHEN NOT truth THEN n ELSE 0 END), 0), 6) AS fpr FROM p CROSS JOIN m GROUP BY subset""",
 )
+#: Checks whose sets are rated all.
+MANY = tuple(n for n in local.NAMES if n in local.LOCAL)[:14]
+_MANY = "SELECT uid, coalesce(bool_or(truth IN (3, 4)), FALSE) AS truth, " + " + ".join(f"CASE WHEN bool_or({n}) THEN {1 << k} ELSE 0 END" for k, n in enumerate(MANY)) + " AS mask FROM (SELECT v.uid, v.truth, " + ", ".join(f"coalesce({local.LOCAL[n].replace('{bround}', local.DUCK.bround)}, FALSE) AS {n}" for n in MANY) + f" FROM ({local.neighbours('truth')}) v) f GROUP BY uid"
+_add(
+    "subset_rates_of_many_checks",
+    lambda s, d: _rounded(selection.subset_rates(selection.patterns(_decisions(s, d, MANY), MANY), len(MANY))),
+    f"""WITH p AS MATERIALIZED (SELECT truth, mask, count(*) AS n FROM ({_MANY}) d GROUP BY ALL), m AS (SELECT range AS subset FROM range(1, {1 << len(MANY)}))
+SELECT subset, bit_count(subset)::INT AS size, round(100.0 * sum(CASE WHEN truth AND (mask & subset) = subset THEN n ELSE 0 END) / nullif(sum(CASE WHEN truth THEN n ELSE 0 END), 0), 6) AS tpr,
+round(100.0 * sum(CASE WHEN NOT truth AND (mask & subset) = subset THEN n ELSE 0 END) / nullif(sum(CASE WHEN NOT truth THEN n ELSE 0 END), 0), 6) AS fpr FROM p CROSS JOIN m GROUP BY subset""",
+)
+_PARTED = f"""g AS (SELECT 1 AS i, [1::BIGINT] AS groups UNION ALL SELECT i + 1, CASE WHEN k.k <= len(groups) THEN list_transform(groups, lambda x, j: CASE WHEN j = k.k THEN x + (1 << i) ELSE x END) ELSE list_append(groups, (1 << i)::BIGINT) END
+FROM g JOIN range(1, {len(CHECKS) + 1}) AS k(k) ON k.k <= len(groups) + 1 WHERE i < {len(CHECKS)})"""
+_add(
+    "partition_rates",
+    lambda s, d: _rounded(selection.partition_rates(selection.patterns(_decisions(s, d), CHECKS), len(CHECKS))),
+    f"""WITH RECURSIVE p AS MATERIALIZED ({_PATTERNS}), {_PARTED}, h AS (SELECT groups, truth, n, len(list_filter(groups, lambda x: (mask & x) = x)) > 0 AS hit FROM g CROSS JOIN p WHERE i = {len(CHECKS)})
+SELECT array_to_string(list_transform(groups, lambda x: array_to_string(list_filter(range({len(CHECKS)}), lambda k: (x >> k) & 1 = 1), '&')), '|') AS "partition", len(groups)::INT AS groups,
+round(100.0 * sum(CASE WHEN truth AND hit THEN n ELSE 0 END) / nullif(sum(CASE WHEN truth THEN n ELSE 0 END), 0), 6) AS tpr, round(100.0 * sum(CASE WHEN NOT truth AND hit THEN n ELSE 0 END) / nullif(sum(CASE WHEN NOT truth THEN n ELSE 0 END), 0), 6) AS fpr FROM h GROUP BY groups""",
+)
 _add("effective_checks", lambda s, d: _rounded(rates.effective(rates.rates(_decisions(s, d), list(CHECKS)), 0.8)), f"SELECT * FROM ({_rate_sql(CHECKS)}) r WHERE tpr > 0 AND (fpr <= 0 OR tpr >= 0.8 * fpr)")
 _add(
     "best_checks",
