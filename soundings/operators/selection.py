@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rules
+from . import levelmaps
 
 
 #: Of how many checks all sets may be rated: there are two to that power.
@@ -253,33 +253,44 @@ def grow_roc(table: DataFrame, candidates: list[Candidate], ratio=(2.5, 1.0), ga
     return out
 
 
-def grow_by_levels(levels: DataFrame, checks: Sequence[str], groups: dict[str, list[str]] | None = None, steps: Sequence[tuple[str, str]] = (), ratio=(2.5, 1.0), gain: float = 0.0, pad: int = 2) -> list[dict]:
-    """Growth by levels: ``pos, check, tpr, fpr, enforced`` for each choice.
+def grow_by_levels(levels: DataFrame, checks: Sequence[str], groups: dict[str, list[str]] | None = None, steps: Sequence[tuple[str, str]] = (), ratio=(2.5, 1.0), gain: float = 0.0, pad: int = 2, most: int | None = None) -> list[dict]:
+    """Growth by levels: ``pos, check, tpr, fpr, enforced`` for each choice, ``most`` of them if given.
 
     After each choice the levels that it flags are removed (for expendable probes all below, with ``pad`` levels around), and
     the next check is rated on what is left. A check of each group comes first, in order; then any, as long as its cost is not above
     that of doing nothing and its TPR is at least ``gain``. Checks that flag all or no profiles are left out. ``levels`` has a
     column per check, ``uid``, ``lev``, ``truth`` and ``probe``; ``steps`` are rules that hold from the start.
+
+    Levels are packed once, a bit set per level; a round is a scan of the packed profiles that makes a small table of patterns.
     """
-    chosen: list[str] = []
+    number = {c: k for k, c in enumerate(dict.fromkeys([*checks, *(c for c, _ in steps)]))}
+    packed = levelmaps.pack(levels, list(number)).cache()
+    state = packed
+    for check, rule in steps:
+        state = levelmaps.remove(state, number[check], rule, pad, xbt_below=True)
+    names = [c for c in checks if c not in {c for c, _ in steps}]
     out: list[dict] = []
     waiting = list((groups or {}).items())
-    while True:
-        group, pool = waiting.pop(0) if waiting else (None, list(checks))
-        left = rules.apply_rules(levels, [*steps, *((c, "levels") for c in chosen)], pad, xbt_below=True)
-        names = [c for c in checks if c not in chosen and c not in {c for c, _ in steps}]
-        scored = []
-        if names:
-            found = _evaluate(patterns(rules.decisions(left, names), names), [], [1 << k for k in range(len(names))])
-            scored = [(n, tpr, fpr) for n, (tpr, fpr) in zip(names, found, strict=True) if n in pool and (tpr, fpr) not in ((0.0, 0.0), (100.0, 100.0))]
-        best = min(scored, key=lambda x: cost(ratio, x[1], x[2]), default=None)
-        if best and group is None and (cost(ratio, 0.0, 0.0) < cost(ratio, best[1], best[2]) or best[1] < gain):
-            best = None
-        if best and cost(ratio, best[1], best[2]) < cost(ratio, 0.0, 100.0):
-            chosen.append(best[0])
-            out.append({"pos": len(out), "check": best[0], "tpr": best[1], "fpr": best[2], "enforced": group is not None})
-        elif group is None:
-            return out
+    try:
+        while most is None or len(out) < most:
+            group, pool = waiting.pop(0) if waiting else (None, list(checks))
+            scored = []
+            if names:
+                bits = [1 << number[n] for n in names]
+                found = _evaluate(levelmaps.patterns(state, sum(bits)), [], bits)
+                scored = [(n, tpr, fpr) for n, (tpr, fpr) in zip(names, found, strict=True) if n in pool and (tpr, fpr) not in ((0.0, 0.0), (100.0, 100.0))]
+            best = min(scored, key=lambda x: cost(ratio, x[1], x[2]), default=None)
+            if best and group is None and (cost(ratio, 0.0, 0.0) < cost(ratio, best[1], best[2]) or best[1] < gain):
+                best = None
+            if best and cost(ratio, best[1], best[2]) < cost(ratio, 0.0, 100.0):
+                names.remove(best[0])
+                state = levelmaps.remove(state, number[best[0]], "levels", pad, xbt_below=True)
+                out.append({"pos": len(out), "check": best[0], "tpr": best[1], "fpr": best[2], "enforced": group is not None})
+            elif group is None:
+                break
+    finally:
+        packed.unpersist()
+    return out
 
 
 def roc_points(table: DataFrame, chosen: list[Candidate]) -> list[tuple[float, float]]:

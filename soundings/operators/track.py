@@ -1,14 +1,22 @@
 """Ship-track check: positions of one cruise that imply impossible speeds.
 
-A window pass finds the tracks with some excessive segment; only those go to the grouped function, which removes one or
-two positions at a time until no segment is excessive. A track is bounded by one cruise.
+The rule takes the fastest segment of a track again and again; if it is excessive, one or both of its ends go, else all is done.
+What goes depends on a few positions around the segment, so a track falls into cells: positions around its excessive segments, found
+by windows, with a margin on both sides. Cells are solved apart by different tasks. A cell whose removals come near its edge
+is not trusted; its track is solved again with a wider margin.
+
+Only two things bind the cells of a track. The first is the order: the whole ends with the fastest segment that is not excessive. A cell
+goes through its own fastest segments, and a removal happens in the whole track if the slowest of these up to it is faster
+than where the whole ends. That is the largest, over cells, of the slowest segment on the way to the cell's own end, or the fastest segment
+outside the cells: one aggregate. The second is the share of positions that survive: another aggregate.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +31,11 @@ BUOYS = (4, 7, 9, 10, 11, 12, 13, 15)
 SHIP_SPEED, BUOY_SPEED = 15.0, 2.0
 SLACK_M, SLACK_S = 20_000.0, 600.0
 TURN = math.radians(45)
+#: Positions on each side of an excessive segment that its cell takes in, at first, then for tracks whose removals came near an edge;
+#: None takes in the whole track.
+MARGINS: tuple[int | None, ...] = (16, 128, 1024, None)
+#: A track of so many positions is one cell.
+SMALL = 64
 
 
 def usable() -> Column:
@@ -43,7 +56,9 @@ class Track:
     only, and the fastest segment comes from a heap, so the work is in proportion to the positions and those taken out.
     """
 
-    def __init__(self, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, limit: float):
+    def __init__(self, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, limit: float, others: int = 0):
+        """``others`` is the number of positions of the track that are not in this cell."""
+        self.others, self.asked = others, False
         self.s, self.lat, self.lon, self.limit = seconds.tolist(), np.radians(lat).tolist(), np.radians(lon).tolist(), limit
         n = self.size = len(self.s)
         self.prev, self.next = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -126,7 +141,7 @@ class Track:
         if p < 0:
             skip = s >= 0 and self.pace(q, s) < most and (v[s] > most or a[s] > TURN)
             return i if skip else q
-        if s < 0 and self.size > 3:
+        if s < 0 and self.size + self.others > 3:
             skip = self.pace(p, i) < most and (v[q] > most or a[p] > TURN)
             return q if skip else i
         return None
@@ -159,6 +174,7 @@ class Track:
         v = self.speed
         if s < 0 or p < 0:
             return None
+        self.asked = True  # the mean is that of the whole track
         half = 0.5 * self._mean_speed()
         return q if v[q] < min(v[s], half) else i if not math.isnan(v[q]) and v[s] < min(v[q], half) else None
 
@@ -210,6 +226,51 @@ def bad_positions(seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, limit:
     return np.array(track.gone) if 2 * track.size >= len(seconds) else np.ones(len(seconds), bool)
 
 
+class Cell(NamedTuple):
+    """What a run over a cell has found."""
+
+    removed: list[int]
+    #: For each of them the slowest of the fastest segments up to its removal: speed and place of its end.
+    slowest: list[tuple[float, int]]
+    #: The same up to the first fastest segment that is not excessive; None if none is left.
+    end: tuple[float, int] | None
+    #: Whether nothing outside the cell can have mattered.
+    trusted: bool
+
+
+def solve_cell(seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, limit: float, place: int, count: int, tied: bool) -> Cell:
+    """Run over a cell that begins at ``place`` (from 0) of a track of ``count`` positions.
+
+    ``tied`` tells whether the track has positions of one time: only then is its mean speed, which one of the rules asks for, not 0.
+    """
+    n = len(seconds)
+    track = Track(seconds, lat, lon, limit, count - n)
+    removed, slowest, low = [], [], (math.inf, 0)
+    open_start, open_end = place > 0, place + n < count
+    trusted = True
+
+    def inside(k: int, links: list[int], is_open: bool) -> bool:
+        for _ in range(5 if is_open else 0):
+            k = links[k]
+            if k < 0:
+                return False
+        return True
+
+    while track.size > 1 and (i := track.fastest()) >= 0:
+        low = min(low, (track.speed[i], -(place + i)))
+        if not track.excessive(i):
+            return Cell(removed, slowest, (low[0], -low[1]), trusted)
+        trusted &= inside(i, track.prev, open_start) and inside(i, track.next, open_end)
+        for k in track.rejected(i):
+            removed.append(k)
+            slowest.append((low[0], -low[1]))
+            track.drop(k)
+        trusted &= not (track.asked and tied and count > n)
+        if not trusted:
+            break
+    return Cell(removed, slowest, None, trusted)
+
+
 KEY = ("country", "cruise", "ocruise")
 
 
@@ -228,26 +289,86 @@ def dated(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("ts", geo.moment(F.col("year"), F.col("month"), F.col("day"), F.col("time")))
 
 
-def track_check(rows: DataFrame) -> DataFrame:
+_EVENT = "array<struct<uid:long,v:double,i:long>>"
+_CELL = f"country string, cruise long, ocruise string, cell long, events {_EVENT}, end struct<v:double,i:long>, trusted boolean"
+
+
+def _cells(marked: DataFrame, margin: int | None) -> DataFrame:
+    """Positions of tracks with ``cell``: NULL for those that are not near an excessive segment."""
+    w = Window.partitionBy(*KEY).orderBy("i")
+    if margin is None:
+        return marked.withColumn("cell", F.lit(0).cast("long"))
+    near = F.max(F.col("odd").cast("int")).over(w.rowsBetween(-margin, margin + 1)) == 1
+    inside = marked.withColumn("_in", near | (F.col("n") <= SMALL))
+    fresh = F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False))
+    return inside.withColumn("cell", F.when(F.col("_in"), F.sum(fresh.cast("long")).over(w) - 1)).drop("_in")
+
+
+def _solved(cells: DataFrame) -> DataFrame:
+    """A row per cell: its removals in order, where it ends, and whether it is trusted."""
+    position = F.struct("i", "uid", "s", "lat", "lon")
+    packed = cells.where("cell IS NOT NULL").groupBy(*KEY, "cell").agg(F.sort_array(F.collect_list(position)).alias("at"), F.first("limit").alias("limit"), F.first("n").alias("n"), F.first("tied").alias("tied"))
+    rows = packed.select(*KEY, "cell", "limit", "n", "tied", *(F.col(f"at.{c}").alias(c) for c in ("i", "uid", "s", "lat", "lon")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("uid", pa.int64()), ("v", pa.float64()), ("i", pa.int64())]))
+        for b in batches:
+            events, ends, trusted = [], [], []
+            for limit, n, tied, i, uid, s, lat, lon in zip(*(b[c].to_pylist() for c in ("limit", "n", "tied", "i", "uid", "s", "lat", "lon")), strict=True):
+                found = solve_cell(np.array(s, float), np.array(lat, float), np.array(lon, float), limit, i[0], n, tied)
+                events.append([{"uid": uid[k], "v": v, "i": at} for k, (v, at) in zip(found.removed, found.slowest, strict=True)])
+                ends.append(None if found.end is None else {"v": found.end[0], "i": found.end[1]})
+                trusted.append(found.trusted)
+            yield pa.record_batch([*(b[c] for c in (*KEY, "cell")), pa.array(events, kind), pa.array(ends, pa.struct([("v", pa.float64()), ("i", pa.int64())])), pa.array(trusted, pa.bool_())], names=[*KEY, "cell", "events", "end", "trusted"])
+
+    return rows.mapInArrow(run, _CELL)
+
+
+def removals(marked: DataFrame, margins: Sequence[int | None] = MARGINS) -> DataFrame:
+    """``uid`` of the positions that go, without the rule of the surviving share, from ``marked`` positions of tracks with some excessive segment:
+    ``uid``, the key, ``i, n`` (place and number of positions), ``s, lat, lon, speed, odd, limit, tied``."""
+    out: DataFrame | None = None
+    left = marked
+    for margin in margins:
+        cells = _cells(left, margin)
+        solved = _solved(cells).cache()
+        bad = solved.where("NOT trusted").select(*KEY).distinct()
+        w = Window.partitionBy(*KEY).orderBy("i")
+        outside = cells.withColumn("_of", F.lag("cell").over(w)).where(F.col("speed").isNotNull() & ~F.coalesce(F.col("cell") == F.col("_of"), F.lit(False)))
+        # Where the whole ends: speed, then the first place; the cell it belongs to goes all its way.
+        key = lambda v, i, cell: F.struct(v.alias("v"), (-i).alias("i"), cell.alias("cell"))
+        ends = solved.where("end IS NOT NULL").select(*KEY, key(F.col("end.v"), F.col("end.i"), F.col("cell")).alias("k"))
+        calm = outside.select(*KEY, key(F.col("speed"), F.col("i"), F.lit(-1).cast("long")).alias("k"))
+        whole = ends.unionByName(calm).groupBy(*KEY).agg(F.max("k").alias("stop"))
+        events = solved.select(*KEY, "cell", F.explode("events").alias("e"))
+        met = events.join(bad, [*KEY], "left_anti").join(whole, [*KEY], "left")
+        before = F.struct(F.col("e.v").alias("v"), (-F.col("e.i")).alias("i")) > F.struct(F.col("stop.v").alias("v"), F.col("stop.i").alias("i"))
+        found = met.where(F.col("stop").isNull() | before | (F.col("cell") == F.col("stop.cell"))).select(F.col("e.uid").alias("uid"), *KEY)
+        out = found if out is None else out.unionByName(found)
+        if margin is None or bad.isEmpty():
+            return out
+        left = left.join(bad, [*KEY], "left_semi")
+    raise ValueError("the last margin must be None")
+
+
+def track_check(rows: DataFrame, margins: Sequence[int | None] = MARGINS) -> DataFrame:
     """``uid, flag`` of header rows (``uid, country, cruise, ocruise, ts, lat, lon, probe`` and, if there, ``platform``);
-    unusable rows pass. Only tracks with some excessive segment reach the grouped function, a row of arrays each."""
+    unusable rows pass. Only tracks with some excessive segment are solved, a cell of positions a row; if fewer than half of a track's
+    positions survive, all are flagged."""
     platform = F.col("platform") if "platform" in rows.columns else F.lit(None).cast("int")
-    rows = rows.select("uid", *KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "lat", "lon", "probe", platform.alias("platform"))
+    rows = rows.select("uid", *(F.col(c).cast(t).alias(c) for c, t in zip(KEY, ("string", "long", "string"), strict=True)), F.col("ts").cast("timestamp_ntz").alias("ts"), "lat", "lon", "probe", platform.alias("platform"))
     fit = rows.where(usable())
     marked = segments(fit)
     w = Window.partitionBy(*KEY).orderBy("ts", "uid")
+    track = Window.partitionBy(*KEY)
     limit = F.when(F.first("probe").over(w).isin(*BUOYS), BUOY_SPEED).otherwise(SHIP_SPEED)
     turn = (F.col("angle") > math.pi / 2) | (F.lag("angle").over(w) > math.pi / 2)
     odd = F.coalesce((F.col("speed") > limit) | ((F.col("speed") > 0.8 * limit) & turn), F.lit(False))
-    open_rows = marked.withColumn("_odd", odd).withColumn("_open", F.max("_odd").over(Window.partitionBy(*KEY))).where("_open")
     second = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
-    tracks = open_rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("ts", "uid", second.alias("s"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "probe"))).alias("at"))
-    packed = tracks.select(*(F.col(f"at.{c}").alias(c) for c in ("uid", "s", "lat", "lon")), F.get("at", F.lit(0))["probe"].alias("probe"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bad = [bad_positions(*(np.array(x.as_py(), float) for x in track), BUOY_SPEED if probe in BUOYS else SHIP_SPEED) for *track, probe in zip(b["s"], b["lat"], b["lon"], b["probe"].to_pylist(), strict=True)]
-            yield pa.record_batch([b["uid"].flatten(), pa.array(np.concatenate([np.zeros(0, bool), *bad]))], names=["uid", "hit"])
-
-    found = packed.mapInArrow(run, "uid long, hit boolean").where("hit")
-    return rows.select("uid").join(found, "uid", "left").select("uid", F.coalesce("hit", F.lit(False)).alias("flag"))
+    placed = marked.select("uid", *KEY, second.alias("s"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "speed", odd.alias("odd"), limit.alias("limit"), (F.row_number().over(w) - 1).cast("long").alias("i"), (second == F.lag(second).over(w)).alias("_tie"))
+    open_rows = placed.select("*", F.max("odd").over(track).alias("_open"), F.count("*").over(track).alias("n"), F.coalesce(F.max("_tie").over(track), F.lit(False)).alias("tied")).where("_open").drop("_open", "_tie").cache()
+    gone = removals(open_rows, margins)
+    lost = gone.groupBy(*KEY).agg(F.count("*").alias("lost")).join(open_rows.groupBy(*KEY).agg(F.count("*").alias("n")), [*KEY]).where(2 * (F.col("n") - F.col("lost")) < F.col("n"))
+    every = open_rows.join(lost.select(*KEY), [*KEY], "left_semi").select("uid")
+    hit = gone.select("uid").unionByName(every).distinct().withColumn("hit", F.lit(True))
+    return rows.select("uid").join(hit, "uid", "left").select("uid", F.coalesce("hit", F.lit(False)).alias("flag"))

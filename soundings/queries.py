@@ -177,6 +177,34 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("cover", _covered)
 
 
+_RATIO = (0.9, 0.5)
+
+
+def _grown_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = selection.grow_by_levels(flagged_levels(spark, sf_dir), CHECKS, ratio=_RATIO, most=2)
+    return spark.createDataFrame([(p["pos"], p["check"], round(p["tpr"], 6), round(p["fpr"], 6)) for p in points], "pos int, check string, tpr double, fpr double")
+
+
+def _choice_sql(levels: str, pos: int, without: str = "") -> str:
+    """SQL of one round: rates of the checks on the levels that are left, and the cheapest of them."""
+    parts = " + ".join(f"{w} * ((100 - tpr) * cos(atan({r})) + fpr * sin(atan({r})))" for w, r in zip(("(100 - tpr) / 100", "tpr / 100"), _RATIO, strict=True))
+    anew = " UNION ALL ".join(f"SELECT {k} AS k, '{n}' AS c, truth, bool_or({n}) AS hit FROM b GROUP BY uid, truth" for k, n in enumerate(CHECKS))
+    rated = f"SELECT k, c, 100.0 * count_if(hit AND truth) / greatest(count_if(truth), 1) AS tpr, 100.0 * count_if(hit AND NOT truth) / greatest(count_if(NOT truth), 1) AS fpr FROM ({anew}) r GROUP BY k, c"
+    return f"""SELECT {pos} AS pos, c AS "check", tpr, fpr FROM (WITH b AS (SELECT *, bool_or(coalesce(truth IN (3, 4), FALSE)) OVER (PARTITION BY uid) AS bad FROM ({levels}) l0), x AS (SELECT * REPLACE (bad AS truth) FROM b)
+SELECT k, c, tpr, fpr, {parts} AS cost FROM ({rated.replace("FROM b", "FROM x").replace("(" + anew, "(" + anew.replace("FROM b", "FROM x"))}) y) z
+WHERE NOT (tpr = 0 AND fpr = 0) AND NOT (tpr = 100 AND fpr = 100) AND cost <= 100 * cos(atan({_RATIO[0]})) {without} ORDER BY cost, k LIMIT 1"""
+
+
+_LEFT = f"""SELECT * FROM (SELECT *, bool_and(gone) OVER (PARTITION BY uid) AS lost FROM (SELECT *, max(hit::INT) OVER (PARTITION BY uid ORDER BY lev ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS gone FROM
+(SELECT *, CASE WHEN probe = 2 THEN coalesce(lev >= min(CASE WHEN own THEN lev END) OVER (PARTITION BY uid), FALSE) ELSE own END AS hit FROM (SELECT f.*, CASE one."check" {" ".join(f"WHEN '{n}' THEN {n}" for n in CHECKS)} END AS own FROM f CROSS JOIN one) l1) l2) l3) l4 WHERE NOT gone AND NOT lost"""
+_add(
+    "grow_by_levels",
+    _grown_by_levels,
+    f"""WITH f AS MATERIALIZED ({_FLAGGED}), one AS MATERIALIZED ({_choice_sql("SELECT * FROM f", 0)}), two AS ({_choice_sql(_LEFT, 1, 'AND c <> (SELECT "check" FROM one)')})
+SELECT pos, "check", round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM (SELECT * FROM one UNION ALL SELECT * FROM two) a""",
+)
+
+
 _TOLERANCE = "5.0 * CASE WHEN {0} > 600 THEN 0.3 WHEN {0} > 500 THEN 0.4 WHEN {0} > b + 100 THEN 0.5 WHEN {0} > b THEN 1.0 - 0.005 * ({0} - b) ELSE 1.0 END"
 #: The state machine of spikes and steps as a recursive query, a level of every profile at a time. ``a`` is the step before the
 #: level above, ``g`` the step to the level itself; a step of a spike that was found is NULL from then on.

@@ -72,3 +72,42 @@ def test_whole_tracks():
     assert bad_positions(hours, lat, still, 15.0).tolist() == [False] * 4 + [True] + [False] * 3
     wild = np.array([0, 40, -40, 60, -60, 80, -80, 10.0])
     assert bad_positions(hours, wild, still, 15.0).all()
+
+
+def _random_tracks(rng, many):
+    """Ship-like walks with clusters of bad positions, near-limit speeds, turns and repeated times."""
+    rows, uid = [], 0
+    for cruise in range(1, many + 1):
+        n = int(rng.integers(2, 160))
+        gaps = np.where(rng.random(n) < (0.05 if cruise % 4 == 0 else 0.0), 0, rng.integers(1, 4, n)) * 3600
+        scale = rng.choice([0.2, 0.45, 0.5])
+        lat, lon = np.cumsum(rng.choice([-1, 1, 1, 1], n) * scale * (gaps / 3600)), np.cumsum(rng.normal(0, 0.05, n))
+        for _ in range(int(rng.integers(0, 6))):
+            at, wide = int(rng.integers(n)), int(rng.integers(1, 4))
+            lat[at : at + wide] += rng.normal(0, 3)
+        probe = int(rng.choice([1, 1, 1, 4]))
+        for s, a, o in zip(np.cumsum(gaps), lat, lon, strict=True):
+            rows.append((uid, "C", cruise, "x", int(s), float(a), float(o), probe))
+            uid += 1
+    return rows
+
+
+@pytest.mark.parametrize("margins,small", [((2, 6, None), 0), ((5, None), 0), (None, None)])
+def test_cells_equal_whole_tracks(spark, monkeypatch, margins, small):
+    from pyspark.sql import functions as F
+
+    from soundings.operators import track as T
+
+    if small is not None:
+        monkeypatch.setattr(T, "SMALL", small)
+    rows = _random_tracks(np.random.default_rng(11), 150)
+    want = {}
+    for cruise in {r[2] for r in rows}:
+        own = sorted((r for r in rows if r[2] == cruise), key=lambda r: (r[4], r[0]))
+        bad = bad_positions(*(np.array([r[k] for r in own], float) for k in (4, 5, 6)), T.BUOY_SPEED if own[0][7] in T.BUOYS else T.SHIP_SPEED)
+        want |= {r[0]: bool(b) for r, b in zip(own, bad, strict=True)}
+    df = spark.createDataFrame(rows, "uid long, country string, cruise long, ocruise string, s long, lat double, lon double, probe int").repartition(4)
+    dated = df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = {r.uid: r.flag for r in (track_check(dated) if margins is None else track_check(dated, margins)).collect()}
+    assert 0 < sum(want.values()) < len(want)
+    assert got == want
