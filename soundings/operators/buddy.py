@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..lineage import cut
 from ..schema import one_header
 from . import gridded, local, rules, sequential
 from .gridded import gross_error, posterior_error
@@ -33,25 +34,110 @@ def _cells_around() -> Column:
     return F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
 
 
-def buddies(profiles: DataFrame) -> DataFrame:
-    """``uid, buddy, metres``: the nearest other profile of the same year and month within 400 km.
+#: Places of a cell that are compared one by one; cells of more are divided in four by four, at most so many halvings deep.
+LEAF, DEEPEST, STEP = 32, 30, 2
+_MONTH = ("year", "month")
+_NODE = (*_MONTH, "band", "cell", "depth", "ix", "iy")
 
-    Candidates have another cruise and lie within 5 degrees of latitude; they meet through cells of latitude bands and, within
-    a band, of longitudes (a profile seeks in its own cell and those beside it), so the join is an equi join on year, month and cell.
+
+def _positions(profiles: DataFrame) -> DataFrame:
+    """Places where a buddy may be: of the profiles of a month at one place the first uid, and the first of another cruise.
+
+    Whatever the cruise that seeks, the first buddy at that place is one of these two.
+    """
+    rows = profiles.where("cruise IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    firsts = rows.groupBy(*_MONTH, "lat", "lon", "cruise").agg(F.min("uid").alias("uid"))
+    place = Window.partitionBy(*_MONTH, "lat", "lon").orderBy("uid")
+    return firsts.withColumn("_r", F.row_number().over(place)).where("_r <= 2").drop("_r")
+
+
+def _at(points: DataFrame, depth: int) -> DataFrame:
+    side = float(1 << depth)
+    return points.withColumn("depth", F.lit(depth)).withColumn("ix", F.floor(F.col("x") * side).cast("long")).withColumn("iy", F.floor(F.col("y") * side).cast("long"))
+
+
+def _tree(points: DataFrame, leaf: int) -> list[tuple[int, DataFrame, DataFrame]]:
+    """By depth, cells and the places they are made of; cells have ``n``, the bounds of their places, and a profile of the first and of
+    the last cruise.
+
+    Only cells of more than ``leaf`` places have cells below them; the places (``x, y`` from 0 to 1 in their outermost cell) of no
+    others are looked at again.
+    """
+    out, left = [], points
+    for depth in range(0, DEEPEST + 1, STEP):
+        at = _at(left, depth)
+        one = F.struct("cruise", "uid", "lat", "lon")
+        bounds = [f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        cells = at.groupBy(*_NODE).agg(F.count("*").alias("n"), *bounds, F.min(one).alias("first"), F.max(one).alias("last"))
+        cells = cut(cells) if depth else cells.cache()
+        out.append((depth, cells, at))
+        full = cells.where(F.col("n") > leaf)
+        if depth == DEEPEST or full.isEmpty():
+            return out
+        left = cut(at.join(full.select(*_NODE), [*_NODE], "left_semi").drop("depth", "ix", "iy"))
+    return out
+
+
+def _away_from(cell_lat: tuple[str, str], cell_lon: tuple[str, str]) -> Column:
+    """No place between these bounds is nearer than so many metres: by latitude, and by the distance to the nearest meridian.
+
+    Latitudes beyond a pole, which lie on its other side, bound nothing.
+    """
+    lat, lon = F.col("lat"), F.col("lon")
+    beside = lambda x, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - x, x - F.col(hi))
+    turned = F.least(*(beside(lon + k, *cell_lon) for k in (-360.0, 0.0, 360.0)))
+    across = F.asin(F.least(F.lit(1.0), F.abs(F.cos(F.radians(lat))) * F.sin(F.radians(F.least(turned, F.lit(90.0))))))
+    least = geo.RADIUS * F.greatest(F.radians(beside(lat, *cell_lat)), across) - 0.01  # a centimetre for rounding
+    return F.when((F.abs(lat) > 90) | (F.col(cell_lat[0]) < -90) | (F.col(cell_lat[1]) > 90), 0.0).otherwise(least)
+
+
+def buddies(profiles: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``uid, buddy, metres``: the nearest profile of another cruise in the same year and month within 400 km (so within 5
+    degrees of latitude), the first uid of equally near ones.
+
+    Places meet through cells of latitude bands and, within a band, of longitudes; a profile seeks in its own cell and those beside
+    it. Cells of many places are divided until few are left in each. A search goes down all cells at once, a level a round: it keeps
+    those that can hold something as near as the nearest place known so far, of which every cell names two of different cruises. So
+    a month's places that crowd into one cell cost each profile a few cells a level, and all pairs meet only within the smallest cells.
     """
     profiles = one_header(profiles)
     number, around = _cells_around(), F.array(F.lit(-1), F.lit(0), F.lit(1))
     cells = lambda band: F.coalesce(F.try_element_at(number, band), F.lit(1))
-    cell = lambda lon, band: F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * cells(band)).cast("int")
+    across = lambda lon, band: F.pmod(lon, F.lit(360.0)) / 360.0 * cells(band)
+    cell = lambda lon, band: F.floor(across(lon, band)).cast("int")
     band = F.floor(F.col("lat") / BAND).cast("int")
-    left = profiles.select("uid", "year", "month", "cruise", "lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    here = F.pmod(cell(F.col("lon"), F.col("band")), cells(F.col("band")))
+    points = _positions(profiles).withColumn("band", band).withColumn("cell", here)
+    points = points.withColumn("x", across(F.col("lon"), F.col("band")) - F.floor(across(F.col("lon"), F.col("band")))).withColumn("y", F.col("lat") / BAND - F.floor(F.col("lat") / BAND))
+    levels = _tree(points, leaf)
+
+    seekers = profiles.where("cruise IS NOT NULL").select("uid", "cruise", "lat", "lon", *_MONTH)
     reach = F.array_distinct(F.transform(around, lambda a: F.pmod(cell(F.col("lon"), F.col("band")) + a, cells(F.col("band")))))
-    left = left.select("*", F.explode(reach).alias("cell"))
-    right = profiles.select(F.col("uid").alias("buddy"), "year", "month", F.col("cruise").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("band"))
-    right = right.withColumn("cell", F.pmod(cell(F.col("lon2"), F.col("band")), cells(F.col("band"))))
-    met = left.join(right, ["year", "month", "band", "cell"]).where((F.col("uid") != F.col("buddy")) & (F.col("cruise") != F.col("other")) & (F.abs(F.col("lat") - F.col("lat2")) <= BAND))
+    front = seekers.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("cell", F.explode(reach))
+    front = front.withColumn("depth", F.lit(0)).withColumn("ix", F.lit(0).cast("long")).withColumn("iy", F.lit(0).cast("long")).withColumn("best", F.lit(REACH_M))
+    lone = lambda name: F.when(F.col(f"{name}.cruise") != F.col("cruise"), geo.distance(F.col("lat"), F.col("lon"), F.col(f"{name}.lat"), geo.nearest_turn(F.col(f"{name}.lon"), F.col("lon"))))
+    bounds = [c for c in levels[0][1].columns if c not in _NODE]
+    side = F.sequence(F.lit(0), F.lit((1 << STEP) - 1))
+    leaves: DataFrame | None = None
+    ends: DataFrame | None = None  # the places of the smallest cells
+    for depth, level, at in levels:
+        small = (F.col("n") <= leaf) | F.lit(depth == DEEPEST)
+        known = F.min(F.least(F.col("best"), lone("first"), lone("last"))).over(Window.partitionBy("uid"))
+        met = front.join(level, [*_NODE]).where((F.col("first.cruise") != F.col("cruise")) | (F.col("last.cruise") != F.col("cruise")))
+        kept = met.withColumn("best", known).withColumn("least", _away_from(("lat_lo", "lat_hi"), ("lon_lo", "lon_hi"))).where(F.col("least") <= F.col("best"))
+        if len(levels) > 1:
+            kept = cut(kept)
+            at = at.join(level.where(small).select(*_NODE), [*_NODE], "left_semi")
+        done = kept.where(small).select("uid", "cruise", "lat", "lon", *_NODE, "best", "least")
+        places = at.select(*_NODE, F.col("uid").alias("buddy"), F.col("cruise").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+        leaves, ends = (done, places) if leaves is None else (leaves.unionByName(done), ends.unionByName(places))
+        below = kept.where(~small).drop(*bounds, "least").withColumn("depth", F.lit(depth + STEP))
+        below = below.withColumn("_x", F.explode(side)).withColumn("_y", F.explode(side))
+        front = below.withColumn("ix", F.col("ix") * (1 << STEP) + F.col("_x")).withColumn("iy", F.col("iy") * (1 << STEP) + F.col("_y")).drop("_x", "_y")
+    fit = leaves.withColumn("best", F.min("best").over(Window.partitionBy("uid"))).where(F.col("least") <= F.col("best")) if len(levels) > 1 else leaves
+    pairs = fit.join(ends, [*_NODE]).where(F.col("cruise") != F.col("other"))
     away = geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), geo.nearest_turn(F.col("lon2"), F.col("lon")))
-    best = met.withColumn("metres", away).groupBy("uid").agg(F.min(F.struct("metres", "buddy")).alias("m"))
+    best = pairs.withColumn("metres", away).groupBy("uid").agg(F.min(F.struct("metres", "buddy")).alias("m"))
     return best.select("uid", F.col("m.buddy").alias("buddy"), F.col("m.metres").alias("metres")).where(F.col("metres") <= REACH_M)
 
 
