@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,10 +70,32 @@ def spikes_and_steps(z: np.ndarray, t: np.ndarray, lat: float) -> tuple[np.ndarr
     return reject, suspect
 
 
+def _inversions(d: np.ndarray) -> np.ndarray:
+    """For each level how many others are out of order with it: later ones that are not deeper, earlier ones that are not shallower.
+
+    Counted as a merge sort merges: of two neighbouring blocks, each sorted, every level of one finds its place in the other.
+    """
+    n = len(d)
+    count = np.zeros(n, np.int64)
+    rank = np.unique(d, return_inverse=True)[1].astype(np.int64)
+    place, width = np.arange(n), 1
+    while width < n:
+        block, right = place // (2 * width), place // width % 2 == 1
+        # Ranks that grow from pair of blocks to pair, so that one search serves all pairs.
+        key = block * n + rank
+        early, late = np.sort(key[~right]), np.sort(key[right])
+        upto = np.searchsorted(late, key[~right], "right") - np.searchsorted(late, block[~right] * n)
+        count[~right] += upto
+        count[right] += np.searchsorted(early, (block[right] + 1) * n) - np.searchsorted(early, key[right], "left")
+        width *= 2
+    return count
+
+
 def depths_out_of_order(z: np.ndarray, spikes: np.ndarray) -> np.ndarray:
     """Levels that break the increase of depth: the level of most inversions goes first, the deepest of equals.
 
-    Inversions are counted once; each level that goes takes its own off the others' counts.
+    Inversions are counted once, in n log n; each level that goes takes its own off the others' counts, by one comparison with
+    the levels that are left, which are moved together as they become fewer.
     """
     n = len(z)
     qc = (z < 0) | (z > 11000)
@@ -83,31 +104,55 @@ def depths_out_of_order(z: np.ndarray, spikes: np.ndarray) -> np.ndarray:
     whole = np.where(np.isfinite(z), z, 0.0)
     if (whole == whole[0]).all():
         return np.ones(n, bool)
-    index = np.flatnonzero(np.isfinite(z) & ~qc)  # of the usable levels; those that go are marked in `left`
-    d, left = z[index], np.ones(len(index), bool)
-    places = np.arange(len(d))
-    count = np.zeros(len(d), np.int64)
-    for at in range(0, len(d), 512):  # rows of the comparison in blocks, which bounds its memory
-        rows = d[at : at + 512, None]
-        later = places[at : at + 512, None] < places[None, :]
-        count[at : at + 512] = np.where(later, rows >= d[None, :], (rows <= d[None, :]) & (places[at : at + 512, None] != places[None, :])).sum(1)
+    index = np.flatnonzero(np.isfinite(z) & ~qc)
+    d = z[index]
+    count, gone = _inversions(d), 0
     while len(count) and (most := count.max()) > 0:
-        level = int(np.flatnonzero(count == most)[-1])
-        gone = [level]
+        level = len(count) - 1 - int(count[::-1].argmax())
+        taken = [level]
         if most == 1:
-            other = int(np.flatnonzero(_inverted(d, places, level) & left)[-1])
-            gone = [k for k in (level, other) if spikes[index[k]]] or [level, other]
-        for k in gone:
-            left[k] = False
-            count -= _inverted(d, places, k) & left
-            count[k] = 0
-        qc[index[gone]] = True
+            other = int(np.flatnonzero(_inverted(d, level) & (count > 0))[-1])
+            taken = [k for k in (level, other) if spikes[index[k]]] or [level, other]
+        for k in taken:
+            count[:k] -= d[:k] >= d[k]
+            count[k + 1 :] -= d[k + 1 :] <= d[k]
+            count[k] = -n - 1  # never counts again
+        qc[index[taken]] = True
+        gone += len(taken)
+        if 4 * gone > len(count):
+            left = count >= 0
+            index, d, count, gone = index[left], d[left], count[left], 0
     return qc
 
 
-def _inverted(d: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+def _inverted(d: np.ndarray, k: int) -> np.ndarray:
     """Which levels are out of order with level ``k``."""
-    return np.where(places < k, d >= d[k], (d <= d[k]) & (places != k))
+    return np.concatenate([d[:k] >= d[k], [False], d[k + 1 :] <= d[k]])
+
+
+#: Values that differ by more than this are not the same.
+STUCK, THICK = 1e-4, 200.0
+
+
+def _first_beyond(t: list[float], sign: float) -> list[int]:
+    """For each place the first later one whose value is higher (``sign`` 1) or lower (-1) by more than ``STUCK``; the length if none.
+
+    From the end on, a stack keeps the places that nothing before them surpasses; their values rise towards its bottom, so the
+    first that is far enough is found by halving.
+    """
+    n = len(t)
+    out, stack = [n] * n, []
+    for i in range(n - 1, -1, -1):
+        low, high = -1, len(stack) - 1  # the topmost place of the stack that is far enough
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sign * (t[stack[middle]] - t[i]) > STUCK else (low, middle - 1)
+        if low >= 0:
+            out[i] = stack[low]
+        while stack and sign * t[stack[-1]] <= sign * t[i]:
+            stack.pop()
+        stack.append(i)
+    return out
 
 
 def stuck_run(z: np.ndarray, t: np.ndarray, least: int) -> tuple[int, int] | None:
@@ -115,12 +160,11 @@ def stuck_run(z: np.ndarray, t: np.ndarray, least: int) -> tuple[int, int] | Non
     n = len(t)
     if n <= least:
         return None
-    runs = np.ones(n, int)
-    for i in range(n - least):
-        far = np.flatnonzero(np.abs(t[i + 1 :] - t[i]) > 1e-4)
-        runs[i] += far[0] if len(far) else n - i - 1
+    values = t.tolist()
+    ends = np.minimum(_first_beyond(values, 1.0), _first_beyond(values, -1.0))
+    runs = np.where(np.arange(n) < n - least, ends - np.arange(n), 1)
     i = int(runs.argmax())
-    if runs[i] < least or z[i + runs[i] - 1] - z[i] < 200.0:
+    if runs[i] < least or z[i + runs[i] - 1] - z[i] < THICK:
         return None
     return i, i + int(runs[i]) - 1
 
@@ -198,15 +242,30 @@ def _least_levels():
 
 
 def stuck_value(levels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``uid, lev, flag`` (check i05), over levels in order of depth; how long a run must be depends on the probe."""
-    wide = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", "z", "t").join(one_header(profiles).select("uid", _least_levels().alias("least")).where("least IS NOT NULL"), "uid")
-    enough = wide.withColumn("m", F.count("*").over(Window.partitionBy("uid"))).where("m > least").drop("m")
+    """``uid, lev, flag`` (check i05), over levels in order of depth; how long a run must be depends on the probe.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["z", "lev"])
-        found = stuck_run(pdf["z"].to_numpy(float), pdf["t"].to_numpy(float), int(pdf["least"].iloc[0]))
-        part = pdf.iloc[found[0] : found[1] + 1] if found else pdf.iloc[:0]
-        return pd.DataFrame({"uid": part["uid"], "lev": part["lev"]})
+    Within a run neighbours differ by twice ``STUCK`` at most, so windows find the stretches that are long and thick enough to hold one;
+    only profiles with such a stretch are packed, a row of arrays each, for the exact runs.
+    """
+    wide = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", F.col("z").cast("double").alias("z"), F.col("t").cast("double").alias("t"))
+    wide = wide.join(one_header(profiles).select("uid", _least_levels().alias("least")).where("least IS NOT NULL"), "uid")
+    w, whole = Window.partitionBy("uid").orderBy("z", "lev"), Window.partitionBy("uid")
+    step = F.coalesce(F.abs(F.col("t") - F.lag("t").over(w)) > 2.01 * STUCK, F.lit(True))
+    parts = wide.withColumn("_part", F.sum(step.cast("int")).over(w))
+    part = Window.partitionBy("uid", "_part")
+    fit = (F.count("*").over(part) >= F.col("least")) & (F.max("z").over(part) - F.min("z").over(part) >= THICK)
+    open_rows = parts.withColumn("_fit", fit).withColumn("_open", F.max("_fit").over(whole)).where("_open")
+    packed = open_rows.groupBy("uid", "least").agg(F.sort_array(F.collect_list(F.struct("z", "lev", "t"))).alias("at"))
+    rows = packed.select("uid", "least", *(F.col(f"at.{c}").alias(c) for c in ("z", "lev", "t")))
 
-    stuck = enough.groupBy("uid").applyInPandas(run, "uid long, lev int").withColumn("hit", F.lit(True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids, levs = [], []
+            for uid, least, z, lev, t in zip(*(b[c].to_pylist() for c in ("uid", "least", "z", "lev", "t")), strict=True):
+                if found := stuck_run(np.array(z, float), np.array(t, float), least):
+                    levs += lev[found[0] : found[1] + 1]
+                    uids += [uid] * (found[1] + 1 - found[0])
+            yield pa.record_batch([pa.array(uids, pa.int64()), pa.array(levs, pa.int32())], names=["uid", "lev"])
+
+    stuck = rows.mapInArrow(run, "uid long, lev int").withColumn("hit", F.lit(True))
     return levels.select("uid", "lev").join(stuck, ["uid", "lev"], "left").select("uid", "lev", F.coalesce("hit", F.lit(False)).alias("flag"))

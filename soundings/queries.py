@@ -226,7 +226,18 @@ f AS (SELECT x.uid, x.lev, x.n, coalesce(lead(m.reject1) OVER w, FALSE) AS rejec
 c AS (SELECT uid, count_if(reject) AS c FROM f GROUP BY uid)
 SELECT f.uid, f.lev, f.reject OR c.c >= 4 OR c.c > f.n / 2.0 AS reject, f.suspect FROM f JOIN c ON c.uid = f.uid"""
 _add("check_e03_e04_spike_and_step", lambda s, d: sequential.spike_and_step(schema.levels(s, d), schema.profiles(s, d)), _SPIKES)
-_add("check_e05_increasing_depth", lambda s, d: sequential.increasing_depth(schema.levels(s, d), schema.profiles(s, d)))
+#: Depths out of order: of each profile the list of levels that are gone grows by a level, or a lone pair, a step.
+_DISORDER = f"""WITH RECURSIVE sp AS MATERIALIZED (SELECT uid, lev, reject FROM ({_SPIKES}) e03), v AS MATERIALIZED (SELECT l.uid, l.lev, l.z, row_number() OVER (PARTITION BY l.uid ORDER BY l.lev) AS i, sp.reject FROM {{levels}} l JOIN sp ON sp.uid = l.uid AND sp.lev = l.lev),
+flat AS (SELECT uid FROM v GROUP BY uid HAVING count(*) > 1 AND min(coalesce(z, 0)) = max(coalesce(z, 0))),
+ok AS MATERIALIZED (SELECT * FROM v WHERE z >= 0 AND z <= 11000 AND uid NOT IN (SELECT uid FROM flat)),
+pair AS MATERIALIZED (SELECT a.uid, a.i AS x, b.i AS y, a.reject AS sx, b.reject AS sy FROM ok a JOIN ok b ON a.uid = b.uid AND ((a.i < b.i AND a.z >= b.z) OR (a.i > b.i AND a.z <= b.z))),
+w AS (SELECT DISTINCT uid, []::BIGINT[] AS gone FROM pair UNION ALL
+SELECT uid, list_concat(gone, CASE WHEN m.c > 1 THEN [m.x] WHEN m.sx AND m.sy THEN [m.x, m.y] WHEN m.sx THEN [m.x] WHEN m.sy THEN [m.y] ELSE [m.x, m.y] END) FROM (
+ SELECT uid, gone, max(struct_pack(c := c, x := x, y := y, sx := sx, sy := sy)) AS m FROM (
+  SELECT w.uid, w.gone, p.x, count(*) AS c, max(p.y) AS y, bool_or(p.sx) AS sx, bool_or(p.sy) AS sy FROM w JOIN pair p ON p.uid = w.uid WHERE NOT list_contains(w.gone, p.x) AND NOT list_contains(w.gone, p.y) GROUP BY w.uid, w.gone, p.x) q1 GROUP BY uid, gone) q2),
+g AS (SELECT uid, arg_max(gone, len(gone)) AS gone FROM w GROUP BY uid)
+SELECT v.uid, v.lev, coalesce(v.z < 0 OR v.z > 11000, FALSE) OR v.uid IN (SELECT uid FROM flat) OR coalesce(list_contains(g.gone, v.i), FALSE) AS flag FROM v LEFT JOIN g ON g.uid = v.uid"""
+_add("check_e05_increasing_depth", lambda s, d: sequential.increasing_depth(schema.levels(s, d), schema.profiles(s, d)), _DISORDER)
 _LEAST = "CASE probe WHEN 1 THEN 7 WHEN 2 THEN 20 WHEN 3 THEN 7 WHEN 4 THEN 50 WHEN 5 THEN 7 WHEN 6 THEN 7 WHEN 7 THEN 7 WHEN 9 THEN 20 WHEN 13 THEN 20 WHEN 14 THEN 7 WHEN 16 THEN 7 END"
 _add(
     "check_i05_stuck_value",
