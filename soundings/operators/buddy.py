@@ -148,22 +148,27 @@ def covariance(metres: Column, seconds: Column, a: Column, b: Column) -> Column:
     return part(100.0) + part(400.0)
 
 
-def prior_flags(levels: DataFrame, profiles: DataFrame, background: DataFrame, found: DataFrame) -> DataFrame:
-    """``uid, lev, flag``: the union of the six checks that a level must pass before it counts at a standard level.
+def union_of_prior(background: DataFrame, found: DataFrame, others: Sequence[DataFrame]) -> DataFrame:
+    """``uid, lev, flag``: the union of the checks that a level must pass before it counts at a standard level.
 
-    ``background`` is the result of e07 and ``found`` that of the sequential checks; the others (constant values, range,
-    stability) are run here.
+    ``background`` is the result of e07, ``found`` that of the sequential checks, ``others`` are flags of further checks.
     """
     disorder = found.select("uid", "lev", (F.col("reject") | F.col("disorder")).alias("flag"))
-    return rules.any_flag([background, disorder, *(local.run(n, levels, profiles) for n in ("e01_range", "e02_constant_value", "e06_stability"))])
+    return rules.any_flag([background, disorder, *others])
+
+
+def prior_flags(levels: DataFrame, profiles: DataFrame, background: DataFrame, found: DataFrame) -> DataFrame:
+    """The union with the other checks (constant values, range, stability) run here."""
+    return union_of_prior(background, found, [local.run(n, levels, profiles) for n in ("e01_range", "e02_constant_value", "e06_stability")])
 
 
-def standard_level_check(levels: DataFrame, profiles: DataFrame, grid: DataFrame, depths: Sequence[float], axes=gridded.BACKGROUND_AXES) -> DataFrame:
+def standard_level_check(levels: DataFrame, profiles: DataFrame, grid: DataFrame, depths: Sequence[float], axes=gridded.BACKGROUND_AXES, near: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """``uid, lev, flag`` (e09): differences from the background of the levels that pass the six checks, at standard depths,
-    compared with the buddy's."""
-    found = sequential.sequential_flags(levels, profiles)
-    near = gridded.background(levels, profiles, grid, found, axes)
-    prior = prior_flags(levels, profiles, near, found)
+    compared with the buddy's. ``near`` (the result of e07) and ``prior`` (the union of the six) are made here if not given."""
+    if near is None or prior is None:
+        found = sequential.sequential_flags(levels, profiles)
+        near = gridded.background(levels, profiles, grid, found, axes) if near is None else near
+        prior = prior_flags(levels, profiles, near, found) if prior is None else prior
     diff = near.select("uid", "lev", (F.col("theta") - F.col("clim")).alias("diff")).join(prior.where("NOT flag").select("uid", "lev"), ["uid", "lev"])
     on = levels.select("uid", "lev", "z").join(diff, ["uid", "lev"], "left")
     cells = gridded.columns_of(grid, ("ilat", "ilon"), ("clim", "bgev", "obev"))

@@ -160,6 +160,28 @@ def test_fuzzy_sets(spark):
         assert laws[uid] == (total < -6.0)
 
 
+def test_shared_nodes_are_made_once(cast, spark, monkeypatch):
+    """All of a run's checks take the sequential pass and the background from one node each; the flags are those of each check alone."""
+    levels, profiles = cast
+    made = []
+    for module, name in ((sequential, "sequential_flags"), (gridded, "background"), (local, "run_local")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: made.append(n) or f(*a, **k))
+    refs = {"background": spark.sql(queries.BACKGROUND_SQL), "standard_depths": queries.DEPTHS}
+    names = ["e03_spike_and_step", "e04_spike_and_step_suspect", "e05_increasing_depth", "e07_background", "e09_standard_levels_and_buddies", "e01_range", "a03_gradient", "e06_stability"]
+    run = registry.CheckRun(levels, profiles, names, refs)
+    flags = run.flags()
+    assert sorted(made) == ["background", "run_local", "sequential_flags"]
+    assert {n for n, k in run.uses.items() if k > 1} == {"sequential", "background", "neighbours", "e06_stability"} & set(run.uses)
+    got = {(r.check, r.uid, r.lev): r.flag for r in flags.collect()}
+    cached = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in cached
+    run.release()
+    for name in names:
+        alone = {(name, r.uid, r.lev): r.flag for r in registry.run_checks(levels, profiles, [name], refs).collect()}
+        assert alone == {k: v for k, v in got.items() if k[0] == name}
+    assert any(v for k, v in got.items() if k[0] == "e07_background")
+
+
 def test_buddies_by_all_pairs(spark):
     """Cells of longitude lose no pair, across the date line and near the poles; a profile may have no buddy."""
     rng = random.Random(8)
