@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schema
+from . import lineage, schema
 from .plans import registry
-from .sources import ingest
+from .sources import ingest, store
 from .operators import buddy, gridded, local, rates, rules, selection, sequential, track
 
 _VIEWS = f"WITH levels AS ({schema.LEVELS_SQL}), profiles AS ({schema.PROFILES_SQL}), tracks AS ({schema.TRACKS_SQL})"
@@ -562,6 +562,56 @@ _add("masked_sentinels", _with(lambda s, lv, pr: lv.select("uid", "lev", ingest.
      "SELECT uid, lev, CASE WHEN NOT (t + 72 >= 99 AND t + 72 < 100) THEN t + 72 END AS t, CASE WHEN t + 72 > 99 AND t + 72 < 100 THEN 99 ELSE truth END AS truth FROM {levels}")
 
 
+_SHARED = ("e01_range", "e02_constant_value", "e03_spike_and_step", "e04_spike_and_step_suspect", "e05_increasing_depth", "e06_stability")
+_COUNTED = "SELECT '{0}' AS \"check\", count_if({1})::BIGINT AS flagged, count(*) AS levels FROM ({2}) q_{0}"
+_BY_CHECK = lambda df: df.groupBy("check").agg(F.count_if("flag").alias("flagged"), F.count("*").alias("levels"))
+_add(
+    "run_shared_checks",
+    _with(lambda s, lv, pr: _BY_CHECK(registry.run_checks(lv, pr, _SHARED))),
+    " UNION ALL ".join(
+        [_COUNTED.format(n, "flag", local.check_sql(n, local.DUCK)) for n in ("e01_range", "e02_constant_value", "e06_stability")]
+        + [_COUNTED.format("e03_spike_and_step", "reject", _SPIKES), _COUNTED.format("e04_spike_and_step_suspect", "suspect", _SPIKES), _COUNTED.format("e05_increasing_depth", "flag", _DISORDER)]
+    ),
+)
+_add("run_dependent_checks", _with(lambda s, lv, pr: _BY_CHECK(registry.run_checks(lv, pr, (*_SHARED, "e07_background", "e09_standard_levels_and_buddies"), {"background": _grid(s, BACKGROUND_SQL), "standard_depths": DEPTHS}))))
+
+
+def _stored_by_profile(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    """Levels and the flags of a check as tables by profile, and from these what is flagged of each profile: no exchange by ``uid``."""
+    put = lambda df, what: store.save_by_profile(df, (path := lineage.fresh(s, what)).rpartition("/")[2].replace("-", "_"), path, 16)
+    levels, flags = put(lv, "levels"), put(local.run("e01_range", lv, pr), "flags")
+    on = levels.join(flags, ["uid", "lev"])
+    return on.groupBy("uid").agg(F.count("*").alias("levels"), F.count_if("flag").alias("flagged"), F.min(F.when(F.col("flag"), F.col("z"))).alias("shallowest"))
+
+
+_add(
+    "stored_by_profile",
+    _with(_stored_by_profile),
+    f"SELECT l.uid, count(*) AS levels, count_if(c.flag)::BIGINT AS flagged, min(CASE WHEN c.flag THEN l.z END) AS shallowest FROM {{levels}} l JOIN ({local.check_sql('e01_range', local.DUCK)}) c ON c.uid = l.uid AND c.lev = l.lev GROUP BY l.uid",
+)
+#: A climatology's columns as whole numbers, by arithmetic over the rows of a table.
+_STATED = """CAST(l_partkey % 180 AS INT) - 90 AS lat, CAST(l_suppkey % 360 AS INT) - 180 AS lon, CAST(l_linenumber * 10 AS INT) AS depth, CAST(l_orderkey % 14 AS INT) + 1 AS month, CAST(l_quantity AS INT) % 25 - 3 AS q1,
+CAST(l_quantity AS INT) % 25 - 3 + CAST(l_linenumber AS INT) AS q3, CAST(l_quantity AS INT) % 25 - 2 AS median, CAST(l_partkey % 3 AS INT) - 1 AS medcouple"""
+
+
+def _climatology_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges fitted to lines of text, published by month and read again."""
+    names = ("lat", "lon", "depth", "month", "q1", "q3", "median", "medcouple")
+    lines = spark.sql(f"SELECT concat('  ', concat_ws('   ', {', '.join(names)}), ' ') AS value FROM (SELECT {_STATED} FROM {{source}})", source=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    path = lineage.fresh(spark, "lines")
+    lines.write.text(path)
+    return _rounded(ingest.prepared_climatology(spark, lineage.fresh(spark, "climatology"), path, {n: k for k, n in enumerate(names)})).select("lat", "lon", "depth", F.coalesce("month", F.lit(0)).alias("month"), "tmin", "tmax")
+
+
+_add(
+    "climatology_ranges",
+    _climatology_ranges,
+    f"""SELECT lat::DOUBLE AS lat, lon::DOUBLE AS lon, depth::DOUBLE AS depth, CASE WHEN month <= 12 THEN month ELSE 0 END AS month,
+round(CASE WHEN median <= -2 THEN -2.0 ELSE greatest(q1 - 1.5 * (q3 - q1) * exp(CASE WHEN medcouple >= 0 THEN -4.0 ELSE -3.0 END * medcouple), -2.0) END, 6) AS tmin,
+round(CASE WHEN median <= -2 THEN 33.0 ELSE least(q3 + 1.5 * (q3 - q1) * exp(CASE WHEN medcouple >= 0 THEN 3.0 ELSE 4.0 END * medcouple), 33.0) END, 6) AS tmax FROM (SELECT {_STATED} FROM lineitem) s""",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

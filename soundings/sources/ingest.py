@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import store
 
 RULES = ("Remove above reject", "Remove below reject", "Remove profile", "Remove rejected levels", "Optional", "At least one from group")
 
@@ -199,27 +200,27 @@ def adjusted_range(q1: Column, q3: Column, median: Column, medcouple: Column) ->
     return F.when(cold, -2.0).otherwise(F.greatest(low, F.lit(-2.0))), F.when(cold, 33.0).otherwise(F.least(high, F.lit(33.0)))
 
 
-def fit_climatology(spark: SparkSession, path: str, fields: dict[str, int]) -> DataFrame:
-    """Ranges of a large white-space separated climatology: one pass over its lines, without a shuffle.
+def fit_lines(lines: DataFrame, fields: dict[str, int]) -> DataFrame:
+    """``lat, lon, depth, month, tmin, tmax`` of white-space separated lines (``value``), without a shuffle.
 
     ``fields`` gives the position of ``lat, lon, depth, month, q1, q3, median, medcouple``; a month above 12 means annual.
     """
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(*(F.get(parts, F.lit(k)).try_cast("double").alias(n) for n, k in fields.items()))
+    rows = lines.select(*(F.get(parts, F.lit(k)).try_cast("double").alias(n) for n, k in fields.items()))
     low, high = adjusted_range(F.col("q1"), F.col("q3"), F.col("median"), F.col("medcouple"))
     month = F.when(F.col("month") <= 12, F.col("month").cast("int"))
     return rows.where("lat IS NOT NULL").select("lat", "lon", "depth", month.alias("month"), low.alias("tmin"), high.alias("tmax"))
 
 
+def fit_climatology(spark: SparkSession, path: str, fields: dict[str, int]) -> DataFrame:
+    """Ranges of a large white-space separated climatology: one pass over its lines."""
+    return fit_lines(spark.read.text(path), fields)
+
+
 def prepared_climatology(spark: SparkSession, ready: str, path: str, fields: dict[str, int]) -> DataFrame:
-    """The prepared grid if it is there, else it is fitted and stored first, by month."""
-    try:
-        return spark.read.parquet(ready)
-    except Exception as e:  # noqa: BLE001 - only a missing path means that it must be built
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fit_climatology(spark, path, fields).write.partitionBy("month").parquet(ready)
-    return spark.read.parquet(ready)
+    """The prepared grid if it has been published, else it is fitted and published first, by month; of several sessions one does so."""
+    found = store.published(spark, ready)
+    return store.publish(fit_climatology(spark, path, fields), ready, ["month"]) if found is None else found
 
 
 def write_flags(flags: DataFrame, path: str) -> None:
