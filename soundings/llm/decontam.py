@@ -7,10 +7,10 @@ of n words, or a run of 24 of them, has more disjoint seeds of three words than
 substituted; items of 8 words get all positions and a second mask. The overlap is then verified word by word along the whole item:
 substitutions are tolerated, and the overlap must match ``MATCHED`` of the item's words, or of ``LONGEST`` words of it.
 
-Scale: a text is split and hashed once. A benchmark of up to ``SLICE`` seed hashes is broadcast with its items' words, so that
-hits are found and verified where the text lies and nothing of the corpus is shuffled. The seeds of a larger one are joined by a
-shuffle on the hash, whose skewed partitions Spark splits; hits (row, item, shift) are written to a table, and the texts that
-have any are fetched for verification.
+Scale: a benchmark of up to ``SLICE`` seed hashes is broadcast, so that hits are found where the text lies; the seeds of a larger one
+are joined by a shuffle on the hash, whose skewed partitions Spark splits. Hits (row, item, shift) are made distinct and written to a
+table, so that each place is verified once however many seeds point to it; only the texts that have any are fetched, and
+shuffled, for verification.
 
 A null or empty text has no words and no overlap. Items under ``EXACT_WORDS`` words must match in full; those under
 ``LEAST_WORDS`` hold too little to tell. A row is known by its id and its text: repeated rows share their result, rows of one
@@ -88,16 +88,14 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str,
     masks = MASKS if items.where(F.size(words(F.col("text"))) == EIGHT).limit(1).count() else MASKS[:1]
     theirs = item_seeds(benchmark, item_col, "text").select(F.col("id").alias("item"), "seed", F.col("at").alias("item_at")).distinct()
     wanted = items.select("item", _hashes(F.col("text")).alias("item_words"))
-    if theirs.count() <= SLICE:
-        found = seed_hashes(rows, ("doc", "th"), "text", masks, "words").join(F.broadcast(theirs), "seed")
-        laid = found.select("doc", "th", "item", (F.col("at") - F.col("item_at")).alias("shift"), "words")
-        wanted = F.broadcast(wanted)  # as bounded as its seeds: no item has more than three times as many words as seeds
-    else:
-        found = seed_hashes(rows, ("doc", "th"), "text", masks).join(theirs, "seed")
-        hits = stored(found.select("doc", "th", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-        same_row = lambda a, b: (a["th"] == b["th"]) & a["doc"].eqNullSafe(b["doc"])
-        held = rows.join(hits, same_row(rows, hits), "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", _hashes(F.col("text")).alias("words"))
-        laid = held.join(hits, same_row(held, hits)).select(held["doc"], held["th"], "item", "shift", "words")
+    small = theirs.count() <= SLICE
+    found = seed_hashes(rows, ("doc", "th"), "text", masks).join(F.broadcast(theirs) if small else theirs, "seed")
+    # Many seeds may say the same of where an item lies: each place is verified once.
+    hits = sized(stored(found.select("doc", "th", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()))
+    same_row = lambda a, b: (a["th"] == b["th"]) & a["doc"].eqNullSafe(b["doc"])
+    held = rows.join(hits, same_row(rows, hits), "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", _hashes(F.col("text")).alias("words"))
+    laid = held.join(hits, same_row(held, hits)).select(held["doc"], held["th"], "item", "shift", "words")
+    wanted = F.broadcast(wanted) if small else wanted  # as bounded as its seeds: no item has more than three times as many words as seeds
     same = laid.join(wanted, "item").select("doc", "th", "item", "shift", F.size("item_words").alias("n"), _once(_overlap(F.col("words"), F.col("item_words"), F.col("shift"))).alias("same"))
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     span = F.least(F.col("n"), F.lit(LONGEST))
