@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import pytest
+
 from soundings.llm import decontam, langid, pii, secrets
 
 
@@ -267,3 +269,34 @@ def test_substitutions_of_short_items(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("most", [4, 8, 20])
+def test_recognition_does_not_depend_on_the_number_of_languages(spark, most):
+    """Texts of every language stay, random letters and an unknown script go; a column named like the sample's own is no hindrance."""
+    rng = random.Random(most)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(most):
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(25)]
+        text = lambda p=parts: " ".join("".join(rng.choice(p) for _ in range(rng.randint(1, 3))) for _ in range(60))
+        rows += [(1000 * k + i, text(), f"l{k:02}", 1, 2.0) for i in range(60)]
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    junk += [" ".join("".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(4)) for _ in range(60)) for _ in range(20)]
+    rows += [(100_000 + i, t, None, 1, 2.0) for i, t in enumerate(junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _n int, _place double")
+    kept = {r.doc_id for r in langid.keep_known(df).collect()}
+    assert kept == {r[0] for r in rows if r[0] < 100_000}
+    assert langid.language_digest(df).count() == len(rows)
+
+
+def test_equal_words_are_verified_once_a_place(spark):
+    """One document of 600 equal words against one item of 600: a hit for each pair of places, a verification for each shift."""
+    import time
+
+    docs = spark.createDataFrame([(1, "same " * 600), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "same " * 600)], "item_id long, text string")
+    decontam.contaminated(docs.limit(0), bench).count()
+    began = time.perf_counter()
+    got = [tuple(r) for r in decontam.contaminated(docs, bench).collect()]
+    assert got == [(1, 1, 0, 600, 600)] and time.perf_counter() - began < 20
