@@ -612,6 +612,88 @@ round(CASE WHEN median <= -2 THEN 33.0 ELSE least(q3 + 1.5 * (q3 - q1) * exp(CAS
 )
 
 
+_FORMULA = "a01_gross_range&a03_gradient|e01_range|o03_gradient&r02_gradient"
+_add(
+    "confusion_of_formula",
+    lambda s, d: _decisions(s, d).select("uid", rates.confusion(F.col("truth"), selection.formula(_FORMULA)).alias("kind")),
+    f"SELECT uid, CASE WHEN truth AND hit THEN 'TP' WHEN truth THEN 'FN' WHEN hit THEN 'FP' ELSE 'TN' END AS kind FROM (SELECT uid, truth, {' OR '.join('(' + t.replace('&', ' AND ') + ')' for t in _FORMULA.split('|'))} AS hit FROM ({_DECIDED}) d) x",
+)
+
+
+def _varying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rates.varying(_decisions(spark, sf_dir).withColumn("always", F.lit(True)))
+    return spark.createDataFrame([(c,) for c in found.columns], "name string")
+
+
+_add("varying_columns", _varying, f"WITH d AS (SELECT *, TRUE AS always FROM ({_DECIDED}) d0) " + " UNION ALL ".join(f"SELECT '{c}' AS name FROM d HAVING count(DISTINCT {c}) > 1" for c in ("uid", "truth", *CHECKS, "always")))
+
+
+def _reused(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    stored = local.run("e01_range", lv, pr).where("uid % 3 = 0").withColumn("flag", F.when(F.col("uid") % 2 == 0, F.col("flag")))
+    return ingest.reuse(lv, stored, local.run("a03_gradient", lv, pr))
+
+
+_add(
+    "reused_flags",
+    _with(_reused),
+    f"SELECT l.uid, l.lev, coalesce(o.flag, c.flag, FALSE) AS flag FROM {{levels}} l LEFT JOIN (SELECT uid, lev, CASE WHEN uid % 2 = 0 THEN flag END AS flag FROM ({local.check_sql('e01_range', local.DUCK)}) e WHERE uid % 3 = 0) o ON o.uid = l.uid AND o.lev = l.lev LEFT JOIN ({local.check_sql('a03_gradient', local.DUCK)}) c ON c.uid = l.uid AND c.lev = l.lev",
+)
+_add("without_listed", _with(lambda s, lv, pr: ingest.without(lv, pr.where("probe = 2")).select("uid", "lev", "t")), "SELECT uid, lev, t FROM {levels} WHERE uid NOT IN (SELECT uid FROM {profiles} WHERE probe = 2)")
+_add(
+    "spurious_positions",
+    _with(lambda s, lv, pr: ingest.drop_spurious_positions(pr.select("uid", (F.col("lat") * 12).alias("lat"), (F.col("lon") * 6).alias("lon")))),
+    "SELECT uid, CASE WHEN abs(y) <= 999 AND abs(x) <= 999 THEN y END AS lat, CASE WHEN abs(y) <= 999 AND abs(x) <= 999 THEN x END AS lon FROM (SELECT uid, lat * 12 AS y, lon * 6 AS x FROM {profiles}) q",
+)
+_add("first_of_each", _with(lambda s, lv, pr: ingest.first_of_each(lv.where("t > 15"), "lev").select("uid", "lev", "z")), "SELECT uid, lev, z FROM {levels} WHERE t > 15 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY lev) = 1")
+
+
+def _inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.search_table(_decisions(spark, sf_dir), CHECKS, with_inverted=True)[0]
+
+
+_add("inverted_patterns", _inverted, f"SELECT truth, (({_MASK}) + {1 << len(CHECKS)}::BIGINT * ({(1 << len(CHECKS)) - 1} - ({_MASK})))::BIGINT AS mask, count(*) AS n FROM ({_DECIDED}) d GROUP BY ALL")
+#: Terms of a selection in their order.
+CHOSEN = ("r02_gradient&t07_rate_of_change", "e01_range", "a03_gradient&o03_gradient", "a04_spike")
+
+
+def _roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored selection: its points, cut where the FPR reaches 60."""
+    masks = [(c, sum(1 << CHECKS.index(x) for x in c.split("&"))) for c in CHOSEN]
+    points = selection.roc_points(selection.patterns(_decisions(spark, sf_dir), CHECKS), masks)
+    table = spark.createDataFrame([(k, c, t, f) for k, ((c, _), (t, f)) in enumerate(zip(masks, points, strict=True))], "pos int, check string, tpr double, fpr double")
+    return _rounded(rates.cut_roc(table, 60.0))
+
+
+_HELD = [" OR ".join("(" + t.replace("&", " AND ") + ")" for t in CHOSEN[: k + 1]) for k in range(len(CHOSEN))]
+_add(
+    "roc_points",
+    _roc,
+    f"WITH d AS ({_DECIDED}), p AS (" + " UNION ALL ".join(f"SELECT {k} AS pos, '{c}' AS \"check\", 100.0 * count_if(truth AND ({h})) / count_if(truth) AS tpr, 100.0 * count_if(NOT truth AND ({h})) / count_if(NOT truth) AS fpr FROM d" for k, (c, h) in enumerate(zip(CHOSEN, _HELD, strict=True)))
+    + ') SELECT pos, "check", round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM (SELECT *, max((fpr >= 60)::INT) OVER (ORDER BY pos) AS over FROM p) q WHERE pos = 0 OR over = 0',
+)
+
+
+def _covariances(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
+    """Covariance of the background errors of each profile and the one of the next uid."""
+    from .functions import geo
+
+    one = pr.select("uid", "year", "month", "day", "time", "lat", "lon", (1.0 + F.col("uid") % 3).alias("bgev"))
+    two = one.select((F.col("uid") - 1).alias("uid"), *(F.col(c).alias(f"{c}2") for c in ("year", "month", "day", "time", "lat", "lon", "bgev")))
+    both = one.join(two, "uid").withColumn("metres", geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) / 100.0)
+    gap = geo.time_apart(tuple(F.col(c) for c in ("year", "month", "day", "time")), tuple(F.col(f"{c}2") for c in ("year", "month", "day", "time"))) / 2000.0
+    return both.select("uid", F.round("metres", 3).alias("metres"), gap.alias("seconds"), F.round(buddy.covariance(F.col("metres"), gap, F.col("bgev"), F.col("bgev2")), 9).alias("covariance"))
+
+
+_WHEN = "CASE WHEN {0}month BETWEEN 1 AND 12 AND {0}day <= day(last_day(make_date({0}year, {0}month, 1))) THEN epoch(make_date({0}year, {0}month, {0}day)) + CASE WHEN {0}time >= 0 AND {0}time < 24 THEN {0}time * 3600 ELSE 0 END END"
+_add(
+    "buddy_covariances",
+    _with(_covariances),
+    f"""WITH x AS (SELECT p.uid, p.lat AS lat, p.lon AS lon, q.lat AS a, q.lon AS o, abs(({_WHEN.format('p.')}) - ({_WHEN.format('q.')})) / 2000.0 AS seconds, 1.0 + p.uid % 3 AS va, 1.0 + q.uid % 3 AS vb FROM {{profiles}} p JOIN {{profiles}} q ON q.uid = p.uid + 1),
+y AS (SELECT *, {_METRES} / 100.0 AS metres FROM x)
+SELECT uid, round(metres, 3) AS metres, seconds, round(sqrt(va / 2 * vb / 2) * ((1 + metres / 100000.0) * exp(-metres / 100000.0 - pow(seconds / 432000.0, 2)) + (1 + metres / 400000.0) * exp(-metres / 400000.0 - pow(seconds / 432000.0, 2))), 9) AS covariance FROM y""",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
