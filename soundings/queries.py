@@ -295,9 +295,6 @@ def _e07(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
     return _rounded(gridded.background(lv, pr, _grid(s, BACKGROUND_SQL), sequential.spike_and_step(lv, pr)))
 
 
-_add("check_e07_background", _with(_e07))
-
-
 def interpolated(levels: str, grid: str, keys: tuple[str, ...], fields: tuple[str, ...]) -> str:
     """SQL of the values of a depth column at each level: linear between depths, the first value above, NULL below."""
     on = " AND ".join(f"g.{k} = x.{k}" for k in keys)
@@ -308,6 +305,25 @@ def interpolated(levels: str, grid: str, keys: tuple[str, ...], fields: tuple[st
 FROM ({levels}) x LEFT JOIN (SELECT * FROM ({grid}) g0 WHERE {full}) g ON {on} GROUP BY x.uid, x.lev, x.z, x.t) y"""
 
 
+def _lapse_sql(t: str, ds: str, p: str) -> str:
+    cubic, square = f"((-2.1687e-16 * {t} + 1.8676e-14) * {t} - 4.6206e-13)", f"((2.7759e-12 * {t} - 1.1351e-10) * {ds} + ((-5.4481e-14 * {t} + 8.733e-12) * {t} - 6.7795e-10) * {t} + 1.8741e-8)"
+    return f"(({cubic} * {p} + {square}) * {p} + (-4.2393e-8 * {t} + 1.8932e-6) * {ds} + ((6.6228e-10 * {t} - 6.836e-8) * {t} + 8.5258e-6) * {t} + 3.5803e-5)"
+
+
+_GROSS = "(CASE WHEN {0} IN (1, 2, 3, 13, 16) THEN 0.05 ELSE 0.01 END)::DOUBLE"
+_GOOD = "exp(-0.5 * least(pow({0}, 2) / ({1}), 160.0)) / sqrt(6.283185307179586 * ({1}))"
+#: Potential temperature by steps of 1 dbar to the surface, each level's steps as a fold over a list, and the posterior of e07.
+_BACKGROUND = f"""WITH RECURSIVE sp AS MATERIALIZED (SELECT uid, lev, suspect FROM ({_SPIKES}) e04), v AS ({interpolated(_ON_CELL, BACKGROUND_SQL, ("ilat", "ilon"), ("clim", "bgev", "obev"))}),
+w0 AS (SELECT v.uid, v.lev, v.z, v.t, v.clim, v.bgev, v.obev, coalesce(l.s, 35.0) - 35.0 AS ds, p.lat, p.probe, sp.suspect, 5.92e-3 + 5.25e-3 * pow(sin(radians(p.lat)), 2) AS c1
+FROM v JOIN {{levels}} l ON l.uid = v.uid AND l.lev = v.lev JOIN {{profiles}} p ON p.uid = v.uid JOIN sp ON sp.uid = v.uid AND sp.lev = v.lev WHERE v.t IS NOT NULL AND v.z IS NOT NULL AND v.clim IS NOT NULL),
+w1 AS (SELECT *, {local.PRESSURE} AS pr FROM w0), w2 AS (SELECT *, struct_pack(p := pr, b := t + {_lapse_sql('t', 'ds', 'pr')}, n := t, ds := ds) AS start FROM w1),
+w3 AS (SELECT *, CASE WHEN pr > 0 AND pr <= 20000 THEN list_reduce(list_prepend(start, list_transform(range(ceil(pr)::BIGINT), lambda x: start)), lambda a, x: struct_pack(p := a.p - 1, b := a.n, n := a.b - 2 * {_lapse_sql('a.n', 'a.ds', 'a.p')}, ds := a.ds)) END AS last FROM w2),
+w4 AS (SELECT *, CASE WHEN pr = 0 THEN t ELSE (last.p + 1) * last.n - last.p * last.b END AS theta, 4.0 * bgev * CASE WHEN abs(lat) < 10 THEN 2.25 ELSE 1.0 END + obev AS var, CASE WHEN suspect THEN 0.5 + 0.5 * {_GROSS.format('probe')} ELSE {_GROSS.format('probe')} END AS guess FROM w3),
+w5 AS (SELECT *, {_GOOD.format('theta - clim', 'var')} AS good FROM w4), w6 AS (SELECT *, CASE WHEN theta IS NOT NULL THEN 0.1 * guess / (0.1 * guess + good * (1 - guess)) END AS pge FROM w5)
+SELECT l.uid, l.lev, coalesce(w6.pge >= 0.5, FALSE) AS flag, w6.pge, w6.theta, w6.clim FROM {{levels}} l LEFT JOIN w6 ON w6.uid = l.uid AND w6.lev = l.lev"""
+_add("check_e07_background", _with(_e07), f"SELECT uid, lev, flag, round(pge, 6) AS pge, round(theta, 6) AS theta, round(clim, 6) AS clim FROM ({_BACKGROUND}) e07")
+
+
 def _posterior(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
     """The posterior of e07 with temperatures as they are for potential ones, and t07 for the suspects."""
     suspects = local.run("t07_rate_of_change", lv, pr).withColumnRenamed("flag", "suspect")
@@ -497,7 +513,6 @@ _add(
 )
 
 
-_add("check_e09_standard_levels_and_buddies", _with(lambda s, lv, pr: buddy.standard_level_check(lv, pr, _grid(s, BACKGROUND_SQL), DEPTHS)))
 _NEAREST = f"list_position(list_transform({list(DEPTHS)}, lambda d: abs(d - z)), list_min(list_transform({list(DEPTHS)}, lambda d: abs(d - z)))) - 1"
 _add(
     "standard_levels",
@@ -517,6 +532,30 @@ _add(
 )
 
 
+_WHEN = "CASE WHEN {0}month BETWEEN 1 AND 12 AND {0}day <= day(last_day(make_date({0}year, {0}month, 1))) THEN epoch(make_date({0}year, {0}month, {0}day)) + CASE WHEN {0}time >= 0 AND {0}time < 24 THEN {0}time * 3600 ELSE 0 END END"
+_STD_CELL = f"SELECT p.uid, d.k AS lev, d.depth AS z, NULL::DOUBLE AS t, p.ilat, p.ilon FROM (SELECT uid, {_CELL} FROM {{profiles}}) p CROSS JOIN (VALUES {', '.join(f'({k}, {d})' for k, d in enumerate(DEPTHS))}) AS d(k, depth)"
+_BUDDY_SQL = f"SELECT uid, buddy, metres FROM (SELECT a.uid, b.uid AS buddy, {_GREAT} AS metres, row_number() OVER (PARTITION BY a.uid ORDER BY {_GREAT}, b.uid) AS r FROM {{profiles}} a JOIN {{profiles}} b ON {_PAIR}) x WHERE r = 1 AND metres <= 400000"
+_PGE = lambda d, var, probe: f"0.1 * {_GROSS.format(probe)} / (0.1 * {_GROSS.format(probe)} + {_GOOD.format(d, var)} * (1 - {_GROSS.format(probe)}))"
+_PART = "sqrt(bgev / 2 * bgev2 / 2) * (1 + metres / {0}.0) * exp(-metres / {0}.0 - pow(gap / 432000.0, 2))"
+_STANDARD = f"""WITH RECURSIVE near AS MATERIALIZED ({_BACKGROUND}), prior AS (SELECT uid, lev, bool_or(flag) AS flag FROM (SELECT uid, lev, flag FROM near UNION ALL SELECT uid, lev, reject AS flag FROM ({_SPIKES}) b1 UNION ALL SELECT * FROM ({_DISORDER}) b2
+ UNION ALL {' UNION ALL '.join(f"SELECT uid, lev, flag FROM ({local.check_sql(n, local.DUCK)}) b_{n}" for n in _SIX)}) b GROUP BY uid, lev),
+lv AS (SELECT l.uid, l.lev, CASE WHEN diff IS NOT NULL THEN k END AS k, diff FROM (SELECT l.uid, l.lev, ({_NEAREST})::INT AS k, CASE WHEN NOT prior.flag THEN near.theta - near.clim END AS diff FROM {{levels}} l JOIN near ON near.uid = l.uid AND near.lev = l.lev JOIN prior ON prior.uid = l.uid AND prior.lev = l.lev) l),
+std AS (SELECT uid, k, avg(diff) AS diff FROM lv WHERE diff IS NOT NULL GROUP BY uid, k),
+err AS (SELECT uid, lev AS k, clim, bgev, obev FROM ({interpolated(_STD_CELL, BACKGROUND_SQL, ("ilat", "ilon"), ("clim", "bgev", "obev"))}) i WHERE clim IS NOT NULL),
+bud AS MATERIALIZED ({_BUDDY_SQL}), both_ AS (SELECT s.uid, s.k, s.diff, e.clim, e.bgev, e.obev, p.lat, p.probe, o.diff AS diff2, oe.bgev AS bgev2, bud.metres, q.lat AS blat, q.probe AS bprobe, abs(({_WHEN.format('p.')}) - ({_WHEN.format('q.')})) AS gap
+ FROM std s JOIN err e ON e.uid = s.uid AND e.k = s.k JOIN {{profiles}} p ON p.uid = s.uid LEFT JOIN bud ON bud.uid = s.uid LEFT JOIN (std o JOIN err oe ON oe.uid = o.uid AND oe.k = o.k) ON o.uid = bud.buddy AND o.k = s.k LEFT JOIN {{profiles}} q ON q.uid = bud.buddy),
+c1 AS (SELECT *, {_PGE('diff', 'obev + bgev * CASE WHEN abs(lat) < 10 THEN 2.25 ELSE 1.0 END', 'probe')} AS pge0, {_PGE('diff', 'obev + bgev2 * CASE WHEN abs(blat) < 10 THEN 2.25 ELSE 1.0 END', 'bprobe')} AS heard, {_PART.format(100000)} + {_PART.format(400000)} AS cov, obev + bgev AS va, obev + bgev2 AS vb FROM both_),
+c2 AS (SELECT *, cov * cov / (va * vb) AS rho FROM c1),
+c3 AS (SELECT *, greatest(-80.0, least(80.0, -0.5 * ln(1 - rho) - 0.5 * rho / (1 - rho) * (diff * diff / va + diff2 * diff2 / vb - 2 * diff * diff2 / cov))) AS logq FROM c2),
+c4 AS (SELECT *, CASE WHEN diff2 IS NOT NULL AND gap IS NOT NULL THEN 1.0 / nullif(1 - (1 - pge0) * (1 - heard) * (1 - logq), 0) END AS zz FROM c3),
+c5 AS (SELECT uid, k, lat, diff + clim AS value, coalesce(pge0 * sqrt(CASE WHEN zz < 0 THEN 1.0 ELSE zz END), pge0) AS pge FROM c4),
+c6 AS (SELECT *, CASE WHEN lag(k) OVER w - k = -1 AND lag(pge) OVER w < 0.5 THEN lag(value) OVER w END AS above, CASE WHEN lead(k) OVER w - k = 1 AND lead(pge) OVER w < 0.5 THEN lead(value) OVER w END AS below, {list(DEPTHS)}[k + 1] AS depth, CASE WHEN abs(lat) < 20 THEN 300.0 ELSE 200.0 END AS base FROM c5 WINDOW w AS (PARTITION BY uid ORDER BY k)),
+c7 AS (SELECT *, 0.5 * CASE WHEN depth > base + 100 THEN 0.5 WHEN depth > base THEN 1.0 - 0.005 * (depth - base) ELSE 1.0 END AS slack FROM c6),
+c8 AS (SELECT uid, k, pge >= 0.5 AND NOT coalesce(value BETWEEN coalesce(below, above) - slack AND coalesce(above, below) + slack, FALSE) AS bad FROM c7)
+SELECT l.uid, l.lev, coalesce(c8.bad, FALSE) AS flag FROM lv l LEFT JOIN c8 ON c8.uid = l.uid AND c8.k = l.k"""
+_add("check_e09_standard_levels_and_buddies", _with(lambda s, lv, pr: buddy.standard_level_check(lv, pr, _grid(s, BACKGROUND_SQL), DEPTHS)), _STANDARD)
+
+
 _FULL = "SELECT *, CAST(uid % 9 AS INT) AS profile_type, CAST(uid % 17 AS INT) AS orig_flag_type FROM {profiles}"
 
 
@@ -684,7 +723,6 @@ def _covariances(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
     return both.select("uid", F.round("metres", 3).alias("metres"), gap.alias("seconds"), F.round(buddy.covariance(F.col("metres"), gap, F.col("bgev"), F.col("bgev2")), 9).alias("covariance"))
 
 
-_WHEN = "CASE WHEN {0}month BETWEEN 1 AND 12 AND {0}day <= day(last_day(make_date({0}year, {0}month, 1))) THEN epoch(make_date({0}year, {0}month, {0}day)) + CASE WHEN {0}time >= 0 AND {0}time < 24 THEN {0}time * 3600 ELSE 0 END END"
 _add(
     "buddy_covariances",
     _with(_covariances),
