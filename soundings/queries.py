@@ -248,6 +248,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY run DESC, j) AS pla
 h AS (SELECT s.uid, s.j, s.run FROM s JOIN o ON o.uid = s.uid AND o.j = s.j + s.run - 1 WHERE s.place = 1 AND s.run >= s.least AND o.z - s.z >= 200)
 SELECT l.uid, l.lev, h.uid IS NOT NULL AS flag FROM {{levels}} l LEFT JOIN o ON o.uid = l.uid AND o.lev = l.lev LEFT JOIN h ON h.uid = l.uid AND o.j >= h.j AND o.j < h.j + h.run""",
 )
+
 _add("check_e10_track", lambda s, d: track.track_check(schema.tracks(s, d)))
 _METRES = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(o)) / 2), 2))))"
 _add(
@@ -612,7 +613,11 @@ _add(
         + [_COUNTED.format("e03_spike_and_step", "reject", _SPIKES), _COUNTED.format("e04_spike_and_step_suspect", "suspect", _SPIKES), _COUNTED.format("e05_increasing_depth", "flag", _DISORDER)]
     ),
 )
-_add("run_dependent_checks", _with(lambda s, lv, pr: _BY_CHECK(registry.run_checks(lv, pr, (*_SHARED, "e07_background", "e09_standard_levels_and_buddies"), {"background": _grid(s, BACKGROUND_SQL), "standard_depths": DEPTHS}))))
+_add(
+    "run_dependent_checks",
+    _with(lambda s, lv, pr: _BY_CHECK(registry.run_checks(lv, pr, ("e03_spike_and_step", "e05_increasing_depth", "e07_background", "e09_standard_levels_and_buddies"), {"background": _grid(s, BACKGROUND_SQL), "standard_depths": DEPTHS}))),
+    " UNION ALL ".join(_COUNTED.format(n, c, q) for n, c, q in (("e03_spike_and_step", "reject", _SPIKES), ("e05_increasing_depth", "flag", _DISORDER), ("e07_background", "flag", _BACKGROUND), ("e09_standard_levels_and_buddies", "flag", _STANDARD))),
+)
 
 
 def _stored_by_profile(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
