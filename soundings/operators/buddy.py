@@ -93,7 +93,7 @@ def _away_from(cell_lat: tuple[str, str], cell_lon: tuple[str, str]) -> Column:
 
 def buddies(profiles: DataFrame, leaf: int = LEAF) -> DataFrame:
     """``uid, buddy, metres``: the nearest profile of another cruise in the same year and month within 400 km (so within 5
-    degrees of latitude), the first uid of equally near ones.
+    degrees of latitude), the first uid of those that are equally near to the millimetre.
 
     Places meet through cells of latitude bands and, within a band, of longitudes; a profile seeks in its own cell and those beside
     it. Cells of many places are divided until few are left in each. A search goes down all cells at once, a level a round: it keeps
@@ -137,7 +137,7 @@ def buddies(profiles: DataFrame, leaf: int = LEAF) -> DataFrame:
     fit = leaves.withColumn("best", F.min("best").over(Window.partitionBy("uid"))).where(F.col("least") <= F.col("best")) if len(levels) > 1 else leaves
     pairs = fit.join(ends, [*_NODE]).where(F.col("cruise") != F.col("other"))
     away = geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), geo.nearest_turn(F.col("lon2"), F.col("lon")))
-    best = pairs.withColumn("metres", away).groupBy("uid").agg(F.min(F.struct("metres", "buddy")).alias("m"))
+    best = pairs.withColumn("metres", away).groupBy("uid").agg(F.min(F.struct(F.round("metres", 3).alias("near"), "buddy", "metres")).alias("m"))
     return best.select("uid", F.col("m.buddy").alias("buddy"), F.col("m.metres").alias("metres")).where(F.col("metres") <= REACH_M)
 
 

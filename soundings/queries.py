@@ -510,7 +510,7 @@ _GREAT = "2 * 6367000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) /
 _add(
     "buddies",
     _with(lambda s, lv, pr: _rounded(buddy.buddies(pr).withColumn("metres", F.round("metres", 2)))),
-    f"SELECT uid, buddy, round(metres, 2) AS metres FROM (SELECT a.uid, b.uid AS buddy, {_GREAT} AS metres, row_number() OVER (PARTITION BY a.uid ORDER BY {_GREAT}, b.uid) AS r FROM {{profiles}} a JOIN {{profiles}} b ON {_PAIR}) x WHERE r = 1 AND metres <= 400000",
+    f"SELECT uid, buddy, round(metres, 2) AS metres FROM (SELECT a.uid, b.uid AS buddy, {_GREAT} AS metres, row_number() OVER (PARTITION BY a.uid ORDER BY round({_GREAT}, 3), b.uid) AS r FROM {{profiles}} a JOIN {{profiles}} b ON {_PAIR}) x WHERE r = 1 AND metres <= 400000",
 )
 
 
@@ -535,7 +535,7 @@ _add(
 
 _WHEN = "CASE WHEN {0}month BETWEEN 1 AND 12 AND {0}day <= day(last_day(make_date({0}year, {0}month, 1))) THEN epoch(make_date({0}year, {0}month, {0}day)) + CASE WHEN {0}time >= 0 AND {0}time < 24 THEN {0}time * 3600 ELSE 0 END END"
 _STD_CELL = f"SELECT p.uid, d.k AS lev, d.depth AS z, NULL::DOUBLE AS t, p.ilat, p.ilon FROM (SELECT uid, {_CELL} FROM {{profiles}}) p CROSS JOIN (VALUES {', '.join(f'({k}, {d})' for k, d in enumerate(DEPTHS))}) AS d(k, depth)"
-_BUDDY_SQL = f"SELECT uid, buddy, metres FROM (SELECT a.uid, b.uid AS buddy, {_GREAT} AS metres, row_number() OVER (PARTITION BY a.uid ORDER BY {_GREAT}, b.uid) AS r FROM {{profiles}} a JOIN {{profiles}} b ON {_PAIR}) x WHERE r = 1 AND metres <= 400000"
+_BUDDY_SQL = f"SELECT uid, buddy, metres FROM (SELECT a.uid, b.uid AS buddy, {_GREAT} AS metres, row_number() OVER (PARTITION BY a.uid ORDER BY round({_GREAT}, 3), b.uid) AS r FROM {{profiles}} a JOIN {{profiles}} b ON {_PAIR}) x WHERE r = 1 AND metres <= 400000"
 _PGE = lambda d, var, probe: f"0.1 * {_GROSS.format(probe)} / (0.1 * {_GROSS.format(probe)} + {_GOOD.format(d, var)} * (1 - {_GROSS.format(probe)}))"
 _PART = "sqrt(bgev / 2 * bgev2 / 2) * (1 + metres / {0}.0) * exp(-metres / {0}.0 - pow(gap / 432000.0, 2))"
 _STANDARD = f"""WITH RECURSIVE near AS MATERIALIZED ({_BACKGROUND}), prior AS (SELECT uid, lev, bool_or(flag) AS flag FROM (SELECT uid, lev, flag FROM near UNION ALL SELECT uid, lev, reject AS flag FROM ({_SPIKES}) b1 UNION ALL SELECT * FROM ({_DISORDER}) b2

@@ -70,3 +70,10 @@ def test_a_hundred_thousand_headers_in_one_cell(spark):
     for a in random.Random(2).sample(rows, 40):
         metres, other = min((_metres(a, b), b[0]) for b in rows if b[3] != a[3])
         assert got[a[0]][0] == other and got[a[0]][1] == pytest.approx(metres, abs=1e-4)
+
+
+def test_equally_near_to_the_millimetre(spark):
+    """Two places as far to the east as to the west, which rounding puts apart: the first uid is the buddy."""
+    place = lambda u: (u, 2001, 7, u % 50, u * 37 % 1840 / 10 - 92, u * 73 % 3640 / 10 - 182)
+    found = buddy.buddies(spark.createDataFrame([place(u) for u in (99, 38739, 77379)], SCHEMA)).collect()
+    assert next(r for r in found if r.uid == 38739).buddy == 99
