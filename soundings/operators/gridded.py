@@ -215,20 +215,23 @@ def hex_cells(profiles: DataFrame, cells: DataFrame) -> DataFrame:
     """``uid, cell``: the polygon among the three nearest centres that holds a position.
 
     ``cells`` is ``cell, lat, lon, corners array<struct<lat,lon>>``. Centres are found through 10-degree boxes and those
-    around them, then ranked by angle. Positions with coordinates beyond 999 are none.
+    around them, of the boxes at a pole all, then ranked by angle to 1e-9 degrees and by number. Positions with coordinates beyond 999 are none.
     """
     box = lambda lat, lon: (F.least(F.floor((lat + 90) / 10), F.lit(17)), F.pmod(F.floor((lon + 180) / 10), F.lit(36)))
     fit = profiles.where((F.abs("lat") <= 999) & (F.abs("lon") <= 999))
     y, x = box(F.col("lat"), F.col("lon"))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    seek = fit.select("uid", "lat", "lon", F.explode(around).alias("a")).select("*", F.explode(around).alias("b")).select("uid", "lat", "lon", (y + F.col("a")).alias("by"), F.pmod(x + F.col("b"), F.lit(36)).alias("bx"))
+    polar = lambda by: (by <= 0) | (by >= 17)
+    row, beside = y + F.col("a"), F.transform(around, lambda b: F.pmod(x + b, F.lit(36)))
+    reach = F.when(polar(y) & polar(row), F.sequence(F.lit(0).cast("long"), F.lit(35).cast("long"))).otherwise(beside)
+    seek = fit.select("uid", "lat", "lon", F.explode(around).alias("a")).select("uid", "lat", "lon", row.alias("by"), F.explode(reach).alias("bx"))
     cy, cx = box(F.col("lat"), F.col("lon"))
     centres = cells.select("cell", F.col("lat").alias("clat"), F.col("lon").alias("clon"), "corners", cy.alias("by"), cx.alias("bx"))
-    met = seek.join(centres, ["by", "bx"]).withColumn("angle", geo.central_angle(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")))
+    met = seek.join(centres, ["by", "bx"]).withColumn("angle", F.round(geo.central_angle(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 9))
     near = met.withColumn("_r", F.row_number().over(Window.partitionBy("uid").orderBy("angle", "cell"))).where("_r <= 3")
     n = F.size("corners")
     corner = lambda i: F.get("corners", F.pmod(i, n))
-    turn = lambda c: geo.nearest_turn(c, F.col("lon"))
+    turn = lambda c: geo.nearest_turn(c, geo.nearest_turn(F.col("clon"), F.col("lon")))  # noqa: E731  # all corners with their centre
     crossed = F.transform(
         F.sequence(F.lit(0), n - 1),
         lambda i: (

@@ -458,7 +458,7 @@ _add(
     "check_o06_min_max",
     _with(_o06),
     f"""WITH c AS (SELECT id AS cell, floor(id / 36) * 10 - 85.0 AS lat, id % 36 * 10 - 175.0 AS lon FROM range(0, 648) AS r(id)),
-n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY angle, cell) AS r FROM (SELECT p.uid, p.lat AS y, p.lon AS x, c.cell, c.lat, c.lon, {_ANGLE} AS angle FROM {{profiles}} p JOIN c ON TRUE) a),
+n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY angle, cell) AS r FROM (SELECT p.uid, p.lat AS y, p.lon AS x, c.cell, c.lat, c.lon, round(degrees({_ANGLE}), 9) AS angle FROM {{profiles}} p JOIN c ON TRUE) a),
 h AS (SELECT uid, y, cell, row_number() OVER (PARTITION BY uid ORDER BY r) AS one FROM n WHERE r <= 3 AND y >= lat - 5 AND y < lat + 5 AND CASE WHEN x < -180 THEN x + 360 WHEN x >= 180 THEN x - 360 ELSE x END >= lon - 5 AND CASE WHEN x < -180 THEN x + 360 WHEN x >= 180 THEN x - 360 ELSE x END < lon + 5),
 c1 AS (SELECT l.uid, l.lev, l.t, l.z, h.cell, 5.92e-3 + 5.25e-3 * sin(radians(h.y)) * sin(radians(h.y)) AS c1 FROM {{levels}} l LEFT JOIN h ON h.uid = l.uid AND h.one = 1),
 q AS (SELECT uid, lev, t, cell, {local.PRESSURE} AS pr FROM c1)

@@ -126,3 +126,13 @@ def test_stuck_run():
     t = np.where((z >= 100) & (z <= 400), 5.0, z / 10)
     assert sequential.stuck_run(z, t, 7) == (5, 20)
     assert sequential.stuck_run(z[:7], t[:7], 7) is None
+
+
+def test_centres_ranked_alike(spark):
+    """At a pole all centres are as near, at a corner four: the least numbers count, and the cell that holds the place may be none of them."""
+    corner = lambda a, o: [(a - 5, o - 5), (a - 5, o + 5), (a + 5, o + 5), (a + 5, o - 5)]
+    rows = [(k, float(k // 36 * 10 - 85), float(k % 36 * 10 - 175), corner(k // 36 * 10 - 85.0, k % 36 * 10 - 175.0)) for k in range(648)]
+    cells = spark.createDataFrame(rows, "cell int, lat double, lon double, corners array<struct<lat: double, lon: double>>")
+    places = [(1, -90.0, 24.0), (2, -90.0, -171.0), (3, -89.9, 24.0), (4, 0.0, 100.0), (5, 81.0, 179.0)]
+    got = {r.uid: r.cell for r in gridded.hex_cells(spark.createDataFrame(places, "uid long, lat double, lon double"), cells).collect()}
+    assert got == {2: 0, 3: 20, 5: 647}  # the cells of 1 and 4 come after others as near
