@@ -17,18 +17,41 @@ from ..functions.geo import in_region
 from ..schema import one_header
 
 
+def with_profile(levels: DataFrame, of: DataFrame, how: str = "left") -> DataFrame:
+    """Levels with what is known of their profile, as many rows as there are profiles: sorted and merged, as both lie by ``uid``.
+
+    Packed depth columns are small only as shuffled bytes; by these Spark would broadcast a table that does not fit the driver.
+    """
+    return levels.join(of.hint("merge"), "uid", how)
+
+
 def columns_of(grid: DataFrame, cell: Sequence[str], fields: Sequence[str], depth: str = "depth") -> DataFrame:
     """One row per cell with its depth column as ``col array<struct<depth, fields…>>`` in order of depth."""
     kept = grid.where(" AND ".join(f"{f} IS NOT NULL" for f in (depth, *fields)))
     return kept.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(F.col(depth).cast("double").alias("depth"), *(F.col(f).cast("double").alias(f) for f in fields)))).alias("col"))
 
 
+def once(column: Column) -> Column:
+    """A value computed once per row, however often it is used later: a projection would be copied to each use."""
+    return F.explode(F.array(column))
+
+
+def around_depth(col: Column, z: Column) -> Column:
+    """The points of a depth column around ``z``: the last that is not below it (``lo``) and the first that is not above it (``hi``)."""
+    above = F.filter(col, lambda x: x["depth"] <= z)
+    return F.struct(F.get(above, F.size(above) - 1).alias("lo"), F.get(F.filter(col, lambda x: x["depth"] >= z), F.lit(0)).alias("hi"))
+
+
+def between(around: Column, z: Column, field: str) -> Column:
+    """Linear interpolation between two points of a depth column: the first value above it, NULL below its deepest point."""
+    lo, hi = around["lo"], around["hi"]
+    inside = geo.linear(z, lo["depth"], F.nullif(hi["depth"], lo["depth"]), lo[field], hi[field])
+    return F.when(hi.isNull(), F.lit(None)).when(lo.isNull(), hi[field]).otherwise(F.coalesce(inside, lo[field]))
+
+
 def at_depth(col: Column, z: Column, field: str) -> Column:
-    """Linear interpolation in a depth column: the first value above it, NULL below its deepest point."""
-    above, below = F.filter(col, lambda x: x["depth"] <= z), F.filter(col, lambda x: x["depth"] >= z)
-    lo, hi = F.get(above, F.size(above) - 1), F.get(below, F.lit(0))
-    between = geo.linear(z, lo["depth"], F.nullif(hi["depth"], lo["depth"]), lo[field], hi[field])
-    return F.when(F.size(below) == 0, F.lit(None)).when(F.size(above) == 0, hi[field]).otherwise(F.coalesce(between, lo[field]))
+    """The value of a depth column at a depth; for several uses see ``around_depth``."""
+    return between(around_depth(col, z), z, field)
 
 
 def nearest_cells(profiles: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int]) -> DataFrame:
@@ -43,13 +66,13 @@ def on_background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, axes=
     """Levels with the background column ``col`` of their profile's cell, and the header's latitude and probe."""
     cells = columns_of(grid, ("ilat", "ilon"), ("clim", "bgev", "obev"))
     headers = nearest_cells(one_header(profiles), *axes).join(cells, ["ilat", "ilon"], "left").select("uid", "lat", "probe", "col")
-    return levels.join(headers, "uid", "left")
+    return with_profile(levels, headers)
 
 
 def background_available(levels: DataFrame, profiles: DataFrame, grid: DataFrame, axes=BACKGROUND_AXES) -> DataFrame:
     """``uid, lev, flag`` (e08): a level with data where the background column does not reach; all, if there is no column."""
-    on = on_background(levels, profiles, grid, axes)
-    deep = F.col("t").isNotNull() & F.col("z").isNotNull() & at_depth(F.col("col"), F.col("z"), "clim").isNull()
+    on = on_background(levels, profiles, grid, axes).select("*", F.element_at("col", -1)["depth"].alias("deepest"))
+    deep = F.col("t").isNotNull() & F.col("z").isNotNull() & (F.col("z") > F.col("deepest"))
     return on.select("uid", "lev", F.coalesce(F.col("col").isNull() | deep, F.lit(False)).alias("flag"))
 
 
@@ -69,8 +92,9 @@ def background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, suspects
     """``uid, lev, flag, pge, theta, clim`` (e07): Bayesian comparison of potential temperature with the background."""
     on = on_background(levels, profiles, grid, axes).join(suspects.select("uid", "lev", "suspect"), ["uid", "lev"])
     pressure = seawater.depth_to_pressure(F.col("z"), F.col("lat"))
-    at = lambda f: at_depth(F.col("col"), F.col("z"), f)
-    seen = on.where("t IS NOT NULL AND z IS NOT NULL AND col IS NOT NULL").select("uid", "lev", "lat", "probe", "suspect", "t", F.coalesce("s", F.lit(35.0)).alias("s"), pressure.alias("pr"), at("clim").alias("clim"), at("bgev").alias("bgev"), at("obev").alias("obev"))
+    at = lambda f: between(F.col("around"), F.col("z"), f)
+    met = on.where("t IS NOT NULL AND z IS NOT NULL AND col IS NOT NULL").select("*", once(around_depth(F.col("col"), F.col("z"))).alias("around"))
+    seen = met.select("uid", "lev", "lat", "probe", "suspect", "t", F.coalesce("s", F.lit(35.0)).alias("s"), pressure.alias("pr"), at("clim").alias("clim"), at("bgev").alias("bgev"), at("obev").alias("obev"))
     wide = F.col("bgev") * F.when(F.abs("lat") < 10, 2.25).otherwise(1.0) * 4.0 + F.col("obev")
     theta = seen.where("clim IS NOT NULL").withColumn("theta", seawater.moved_temperature("t", "s", "pr", F.lit(0.0))).withColumn("variance", wide)
     found = theta.select("uid", "lev", "theta", "clim", posterior_error(F.col("theta") - F.col("clim"), F.col("variance"), gross_error(F.col("probe"), F.col("suspect"))).alias("pge"))
@@ -85,7 +109,7 @@ def near_cells(profiles: DataFrame, cells: DataFrame, step: float = 0.25) -> Dat
     seek = profiles.select("uid", "lat", "lon", F.explode(around).alias("a")).select("*", F.explode(around).alias("b"))
     seek = seek.select("uid", "lat", "lon", (F.floor(F.col("lat") / step) + F.col("a")).cast("int").alias("row"), F.pmod(F.floor(F.col("lon") / step) + F.col("b"), F.lit(turns)).cast("int").alias("column"))
     points = cells.select("*", row.alias("row"), F.pmod(col, F.lit(turns)).alias("column"), F.col("lat").alias("plat"), F.col("lon").alias("plon")).drop("lat", "lon")
-    met = seek.join(points, ["row", "column"])
+    met = seek.join(points.hint("merge"), ["row", "column"])  # as many points as places: never broadcast
     away = F.sqrt(F.pow(F.col("plat") - F.col("lat"), 2) + F.pow(geo.nearest_turn(F.col("plon"), F.col("lon")) - F.col("lon"), 2))
     best = met.withColumn("away", away).where(F.col("away") <= step).groupBy("uid").agg(F.min_by("col", F.struct("away", "plat", "plon")).alias("col"))
     return best
@@ -94,8 +118,10 @@ def near_cells(profiles: DataFrame, cells: DataFrame, step: float = 0.25) -> Dat
 def climatology(levels: DataFrame, profiles: DataFrame, grid: DataFrame, most: float = 5.0, step: float = 0.25) -> DataFrame:
     """``uid, lev, flag`` (a05, t11, t12): more than ``most`` deviations from the mean of the nearest grid point."""
     cells = columns_of(grid, ("lat", "lon"), ("mean", "sd"))
-    on = levels.join(near_cells(profiles, cells, step), "uid", "left")
-    mean, sd = (at_depth(F.col("col"), F.col("z"), f) for f in ("mean", "sd"))
+    on = with_profile(levels, near_cells(profiles, cells, step))
+    on = on.select("uid", "lev", "z", "t", once(around_depth(F.col("col"), F.col("z"))).alias("around"))
+    on = on.select("uid", "lev", "t", *(between(F.col("around"), F.col("z"), f).alias(f) for f in ("mean", "sd")))
+    mean, sd = F.col("mean"), F.col("sd")
     return on.select("uid", "lev", F.coalesce((sd > 0) & (F.abs(F.col("t") - mean) / F.nullif(sd, F.lit(0.0)) > most), F.lit(False)).alias("flag"))
 
 
@@ -115,7 +141,7 @@ def local_climatology(levels: DataFrame, profiles: DataFrame, monthly: DataFrame
     """
     closed = (F.col("lat").between(35, 45) & F.col("lon").between(45, 60)) | (F.col("lat").between(40, 50) & F.col("lon").between(-95, -75))
     at = one_header(profiles).where(~closed).select("uid", "month", F.floor((F.col("lon") + 180) / 0.5).cast("int").alias("ix"), F.floor((90 - F.col("lat")) / 0.5).cast("int").alias("iy"))
-    rows = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", "t", _bin(F.col("z"), edges).alias("k")).where("k IS NOT NULL").join(at, "uid")
+    rows = levels.where("z >= 0 AND t IS NOT NULL").select("uid", "lev", "t", _bin(F.col("z"), edges).alias("k")).where("k IS NOT NULL").transform(with_profile, at, "inner")
     named = lambda g, p: g.withColumnRenamed("med", f"{p}_med").withColumnRenamed("amd", f"{p}_amd")
     got = rows.join(named(monthly, "m"), ["ix", "iy", "k", "month"], "left").join(named(annual, "y"), ["ix", "iy", "k"], "left")
     fit = (F.col("k") <= monthly_bins) & (F.col("m_amd") >= 0) & (F.col("m_med") >= -2.3)
@@ -136,7 +162,7 @@ def two_bin_climatology(levels: DataFrame, profiles: DataFrame, monthly: DataFra
     """
     lon = F.when((F.col("lon") >= 180) & (F.col("lon") < 360), F.col("lon") - 360).otherwise(F.col("lon"))
     at = one_header(profiles).select("uid", "month", F.bround((lon + 180) / 0.5).cast("int").alias("i"), F.bround((90 - F.col("lat")) / 0.5).cast("int").alias("j")).where("i BETWEEN 0 AND 720 AND j BETWEEN 0 AND 360")
-    rows = levels.where("z IS NOT NULL AND t IS NOT NULL").select("uid", "lev", "t", _bin(F.col("z"), edges).alias("k")).where("k IS NOT NULL").join(at, "uid")
+    rows = levels.where("z IS NOT NULL AND t IS NOT NULL").select("uid", "lev", "t", _bin(F.col("z"), edges).alias("k")).where("k IS NOT NULL").transform(with_profile, at, "inner")
     shifted = lambda g, p, by: g.select(*(c for c in ("i", "j", "month") if c in g.columns), (F.col("k") - by).alias("k"), F.col("tmin").alias(f"{p}_lo"), F.col("tmax").alias(f"{p}_hi"))
     for p, by in (("m0", 0), ("m1", 1)):
         rows = rows.join(shifted(monthly, p, by), ["i", "j", "month", "k"], "left")
@@ -158,7 +184,7 @@ def region_range(levels: DataFrame, profiles: DataFrame, cells: DataFrame, range
     at = one_header(profiles).select("uid", wrap(F.col("lat"), 90).alias("glat"), wrap(F.col("lon"), 180).alias("glon")).join(cells, ["glat", "glon"]).select("uid", "region")
     table = columns_of(ranges, ("region",), ("tmin", "tmax"))
     place = F.row_number().over(Window.partitionBy("uid").orderBy("lev"))
-    on = levels.withColumn("_i", place).join(at, "uid", "left").join(table, "region", "left")
+    on = levels.withColumn("_i", place).transform(with_profile, at).join(table, "region", "left")
     hit = F.get(F.filter("col", lambda x: x["depth"] >= F.col("z")), F.lit(0))
     bad = (F.col("_i") > 1) & F.col("z").isNotNull() & ((F.col("t") < hit["tmin"]) | (F.col("t") > hit["tmax"]))
     return on.select("uid", "lev", F.coalesce(bad, F.lit(False)).alias("flag"))
@@ -182,13 +208,13 @@ def at_sea(levels: DataFrame, profiles: DataFrame, relief: DataFrame, lat: tuple
     wrong = ~F.col("lon").between(-180, 359.999999) | ~F.col("lat").between(-90, 90)
     cells = nearest_cells(one_header(profiles), lat, lon).join(land, ["ilat", "ilon"], "left")
     flag = F.when(F.col("lat").isNull() | F.col("lon").isNull(), False).otherwise(F.coalesce(wrong | F.col("land"), F.lit(False)))
-    return levels.select("uid", "lev").join(cells.select("uid", flag.alias("flag")), "uid", "left").select("uid", "lev", F.coalesce("flag", F.lit(False)).alias("flag"))
+    return with_profile(levels.select("uid", "lev"), cells.select("uid", flag.alias("flag"))).select("uid", "lev", F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
 def below_bottom(levels: DataFrame, profiles: DataFrame, relief: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int]) -> DataFrame:
     """``uid, lev, flag`` (o01): deeper than the bottom at the nearest relief point."""
     floor = nearest_cells(one_header(profiles), lat, lon).join(relief, ["ilat", "ilon"], "left").select("uid", (-F.col("height")).alias("floor"))
-    return levels.join(floor, "uid", "left").select("uid", "lev", F.coalesce(F.col("z") > F.col("floor"), F.lit(False)).alias("flag"))
+    return with_profile(levels, floor).select("uid", "lev", F.coalesce(F.col("z") > F.col("floor"), F.lit(False)).alias("flag"))
 
 
 #: Corners of two seas with their own temperature ranges.
@@ -200,7 +226,7 @@ def regional_range(levels: DataFrame, profiles: DataFrame) -> DataFrame:
     """``uid, lev, flag`` (r05): outside of the range of the Red Sea or the Mediterranean."""
     seas = one_header(profiles).select("uid", in_region(F.col("lat"), F.col("lon"), *RED_SEA).alias("red"), in_region(F.col("lat"), F.col("lon"), *MEDITERRANEAN).alias("med"))
     bad = (F.col("red") & ~F.col("t").between(21.7, 40)) | (F.col("med") & ~F.col("t").between(10, 40))
-    return levels.join(seas, "uid", "left").select("uid", "lev", F.coalesce(bad, F.lit(False)).alias("flag"))
+    return with_profile(levels, seas).select("uid", "lev", F.coalesce(bad, F.lit(False)).alias("flag"))
 
 
 def envelope(levels: DataFrame, bounds: Sequence[tuple[float, float, float, float]]) -> DataFrame:
@@ -248,7 +274,7 @@ def min_max(levels: DataFrame, profiles: DataFrame, cells: DataFrame, bounds: Da
     profiles = one_header(profiles)
     at = hex_cells(profiles, cells).join(profiles.select("uid", "lat"), "uid")
     bins = bounds.groupBy("cell").agg(F.collect_list(F.struct("lo", "hi", "tmin", "tmax")).alias("bins"))
-    on = levels.join(at, "uid", "left").join(bins, "cell", "left").withColumn("pr", seawater.depth_to_pressure(F.col("z"), F.col("lat")))
+    on = with_profile(levels, at).join(bins, "cell", "left").withColumn("pr", seawater.depth_to_pressure(F.col("z"), F.col("lat")))
     hit = F.get(F.filter("bins", lambda b: (b["lo"] < F.col("pr")) & (F.col("pr") <= b["hi"])), F.lit(0))
     return on.select("uid", "lev", F.coalesce((F.col("t") < hit["tmin"]) | (F.col("t") > hit["tmax"]), F.lit(False)).alias("flag"))
 

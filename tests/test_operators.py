@@ -292,3 +292,13 @@ def test_stream_of_profiles(spark, tmp_path):
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r.uid: r.flags for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: [False, True], 2: [False], 3: None}
+
+
+def test_profiles_are_merged_with_their_levels(cast, spark):
+    """What is known of each profile is no broadcast, however few its shuffled bytes: packed columns shrink in a shuffle only."""
+    levels, profiles = cast
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    grid = profiles.selectExpr("lat", "lon", "explode(array(0d, 200d)) AS depth", "10d AS mean", "1d AS sd")
+    assert "BroadcastExchange" not in plan(gridded.climatology(levels, profiles, grid))
+    cells = spark.range(684).selectExpr("int(id / 36) AS ilat", "int(id % 36) AS ilon", "0d AS depth", "9d AS clim", "1d AS bgev", "1d AS obev")
+    assert plan(gridded.background_available(levels, profiles, cells)).split("Initial Plan")[0].count("SortMergeJoin") == 1
