@@ -8,9 +8,13 @@ shuffles by cell when it is not.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, seawater
 from ..functions.geo import in_region
@@ -306,9 +310,18 @@ UNCERTAINTY = {"low": (0.0, 0.225, 0.225, 0.45), "medium": (0.275, 0.5, 0.5, 0.7
 _STEPS = 50
 
 
-def _once(column: Column) -> Column:
-    """A value computed once per row, however often it is used later: a projection would be copied to each use."""
-    return F.explode(F.array(column))
+@F.pandas_udf(T.DoubleType())
+def _halved(low: pd.Series, medium: pd.Series, high: pd.Series) -> pd.Series:
+    """Where the area of the cut output sets is halved, for the levels of a batch at once; NULL without an area."""
+    grid, height = np.arange(_STEPS + 1) / float(_STEPS), np.zeros((len(low), _STEPS + 1))
+    ramp = lambda a, b: np.maximum(0.0, np.minimum(1.0, (grid - a) / (b - a)))
+    for cut, corners in zip((low, medium, high), UNCERTAINTY.values(), strict=True):
+        own = ramp(*corners) if len(corners) == 2 else np.minimum(ramp(corners[0], corners[1]), ramp(corners[3], corners[2]))
+        np.maximum(height, np.minimum(cut.to_numpy(float)[:, None], own), out=height)
+    upto = np.cumsum(height, axis=1)
+    whole = upto[:, -1:]
+    at = (upto >= whole / 2 - 1e-9).argmax(axis=1) / float(_STEPS)
+    return pd.Series(at, dtype="Float64").mask(~(whole[:, 0] > 0))
 
 
 def uncertainty(rows: DataFrame, features: dict[str, Column], memberships: dict[str, dict[str, Sequence[float]]]) -> DataFrame:
@@ -318,17 +331,14 @@ def uncertainty(rows: DataFrame, features: dict[str, Column], memberships: dict[
     A membership is a ramp (two corners, downwards for *low*) or a trapezoid (four). Missing features are left out; NULL
     without any.
     """
-    own = {level: F.array_compact(F.array(*(_over(features[n].cast("double"), m[level]) for n, m in memberships.items()))) for level in UNCERTAINTY}
-    held = rows.select("uid", "lev", _once(F.struct(*(a.alias(level) for level, a in own.items()))).alias("own"))
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), F.size(a))
-    strength = held.select("uid", "lev", _once(F.struct(*((F.array_max if level == "high" else mean)(F.col(f"own.{level}")).alias(level) for level in UNCERTAINTY))).alias("s"))
-    known = F.col("s.low").isNotNull()
-    height = lambda k: F.greatest(*(F.least(F.col(f"s.{n}"), _over(k / float(_STEPS), corners)) for n, corners in UNCERTAINTY.items()))
-    area = strength.select("uid", "lev", _once(F.when(known, F.transform(F.sequence(F.lit(0), F.lit(_STEPS)), height))).alias("area"))
-    whole = area.select("uid", "lev", "area", _once(F.aggregate("area", F.lit(0.0), lambda acc, x: acc + x)).alias("whole"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("k"))
-    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.when((acc["at"] < 0) & (acc["sum"] + x >= F.col("whole") / 2 - 1e-9), acc["k"]).otherwise(acc["at"]).alias("at"), (acc["k"] + 1).alias("k"))
-    return whole.select("uid", "lev", F.when(F.col("whole") > 0, F.aggregate("area", start, step)["at"] / float(_STEPS)).alias("uncertainty"))
+    own = {level: [_over(features[n].cast("double"), m[level]) for n, m in memberships.items()] for level in UNCERTAINTY}
+    held = rows.select("uid", "lev", *(a.alias(f"{level}{k}") for level, each in own.items() for k, a in enumerate(each)))
+    cells = lambda level: [F.col(f"{level}{k}") for k in range(len(own[level]))]
+    total = lambda level: reduce(lambda a, b: a + b, (F.coalesce(x, F.lit(0.0)) for x in cells(level)), F.lit(0.0))
+    known = lambda level: reduce(lambda a, b: a + b, (x.isNotNull().cast("int") for x in cells(level)))
+    most = lambda level: F.greatest(*cells(level)) if len(own[level]) > 1 else cells(level)[0]
+    strength = held.select("uid", "lev", *((most(level) if level == "high" else F.try_divide(total(level), known(level))).alias(level) for level in UNCERTAINTY))
+    return strength.select("uid", "lev", _halved("low", "medium", "high").alias("uncertainty"))
 
 
 def fuzzy(levels: DataFrame, features: dict[str, Column], memberships: dict[str, dict[str, Sequence[float]]], most: float = 0.34) -> DataFrame:

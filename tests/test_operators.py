@@ -302,3 +302,10 @@ def test_profiles_are_merged_with_their_levels(cast, spark):
     assert "BroadcastExchange" not in plan(gridded.climatology(levels, profiles, grid))
     cells = spark.range(684).selectExpr("int(id / 36) AS ilat", "int(id % 36) AS ilon", "0d AS depth", "9d AS clim", "1d AS bgev", "1d AS obev")
     assert plan(gridded.background_available(levels, profiles, cells)).split("Initial Plan")[0].count("SortMergeJoin") == 1
+
+
+def test_areas_are_halved_in_batches(cast):
+    """No list of heights is made and folded for each level by itself."""
+    rows, found = gridded.features(cast[0])
+    plan = gridded.fuzzy(rows, found, queries.NARROW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "transform(" not in plan
