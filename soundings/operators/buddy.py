@@ -182,7 +182,8 @@ def buddy_check(levels: DataFrame, profiles: DataFrame, errors: DataFrame, depth
 
     ``levels`` is ``uid, lev, z, diff`` (potential temperature less background of levels that passed the checks before;
     NULL otherwise) and ``errors`` is ``uid, k, bgev, obev, clim`` at the standard depths. The buddy's probability is
-    computed from the profile's own differences with the buddy's variance, as specified. A rejected level between
+    computed from the profile's own differences with the buddy's variance, as specified; where the buddy has no difference, or the
+    time between the two is unknown, the profile's own probability stays. A rejected level between
     accepted ones is reinstated if it lies within their values and a tolerance; accepted is meant before reinstating.
     """
     profiles = one_header(profiles)
@@ -198,7 +199,7 @@ def buddy_check(levels: DataFrame, profiles: DataFrame, errors: DataFrame, depth
     va, vb = F.col("obev") + F.col("bgev"), F.col("obev") + F.col("bgev2")
     rho = cov * cov / (va * vb)
     log = -0.5 * F.log(1 - rho) - 0.5 * rho / (1 - rho) * (F.pow("diff", F.lit(2)) / va + F.pow("diff2", F.lit(2)) / vb - 2 * F.col("diff") * F.col("diff2") / cov)
-    log = F.greatest(F.lit(-80.0), F.least(F.lit(80.0), log))
+    log = F.when(log.isNotNull(), F.greatest(F.lit(-80.0), F.least(F.lit(80.0), log)))  # bounds would replace a NULL
     heard = posterior_error(F.col("diff"), F.col("obev") + F.col("bgev2") * F.when(F.abs("blat") < 10, 2.25).otherwise(1.0), gross_error(F.col("bprobe"), F.lit(False)))
     z = F.try_divide(F.lit(1.0), 1 - (1 - F.col("pge0")) * (1 - heard) * (1 - log))
     scored = pairs.withColumn("pge", F.coalesce(F.col("pge0") * F.sqrt(F.when(z < 0, 1.0).otherwise(z)), F.col("pge0"))).select("uid", "k", "lat", "diff", "clim", "pge")

@@ -77,3 +77,13 @@ def test_equally_near_to_the_millimetre(spark):
     place = lambda u: (u, 2001, 7, u % 50, u * 37 % 1840 / 10 - 92, u * 73 % 3640 / 10 - 182)
     found = buddy.buddies(spark.createDataFrame([place(u) for u in (99, 38739, 77379)], SCHEMA)).collect()
     assert next(r for r in found if r.uid == 38739).buddy == 99
+
+
+def test_a_buddy_at_an_unknown_time_changes_nothing(spark):
+    """The 31st of February is no date: the probability of the profile's own difference (0.58) stays."""
+    names = "uid long, cruise long, year int, month int, day int, time double, lat double, lon double, probe int"
+    levels = spark.createDataFrame([(1, 0, 25.0, 3.652), (2, 0, 25.0, 3.652)], "uid long, lev int, z double, diff double")
+    errors = spark.createDataFrame([(1, 2, 1.0, 0.5, 23.5), (2, 2, 2.0, 0.5, 23.5)], "uid long, k int, bgev double, obev double, clim double")
+    for day, want in ((31, {1: True, 2: False}), (20, {1: False, 2: False})):
+        heads = spark.createDataFrame([(1, 1, 1990, 2, day, 3.0, 40.0, 0.0, 3), (2, 2, 1990, 2, day, 3.0, 41.0, 0.0, 5)], names)
+        assert {r.uid: r.flag for r in buddy.buddy_check(levels, heads, errors, (5.0, 15.0, 25.0)).collect()} == want, day
