@@ -94,15 +94,18 @@ def posterior_error(difference: Column, variance: Column, guess: Column) -> Colu
 
 def background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, suspects: DataFrame, axes=BACKGROUND_AXES) -> DataFrame:
     """``uid, lev, flag, pge, theta, clim`` (e07): Bayesian comparison of potential temperature with the background."""
-    on = on_background(levels, profiles, grid, axes).join(suspects.select("uid", "lev", "suspect"), ["uid", "lev"])
+    heard = suspects.select("uid", "lev", F.struct("suspect").alias("heard"))
+    on = on_background(levels, profiles, grid, axes).join(heard, ["uid", "lev"], "left").withColumn("suspect", F.col("heard.suspect"))
     pressure = seawater.depth_to_pressure(F.col("z"), F.col("lat"))
     at = lambda f: between(F.col("around"), F.col("z"), f)
-    met = on.where("t IS NOT NULL AND z IS NOT NULL AND col IS NOT NULL").select("*", once(around_depth(F.col("col"), F.col("z"))).alias("around"))
+    usable = F.expr("t IS NOT NULL AND z IS NOT NULL AND col IS NOT NULL AND heard IS NOT NULL")
+    met = on.select("*", once(F.when(usable, around_depth(F.col("col"), F.col("z")))).alias("around"))
     seen = met.select("uid", "lev", "lat", "probe", "suspect", "t", F.coalesce("s", F.lit(35.0)).alias("s"), pressure.alias("pr"), at("clim").alias("clim"), at("bgev").alias("bgev"), at("obev").alias("obev"))
     wide = F.col("bgev") * F.when(F.abs("lat") < 10, 2.25).otherwise(1.0) * 4.0 + F.col("obev")
-    theta = seen.where("clim IS NOT NULL").withColumn("theta", seawater.moved_temperature("t", "s", "pr", F.lit(0.0))).withColumn("variance", wide)
-    found = theta.select("uid", "lev", "theta", "clim", posterior_error(F.col("theta") - F.col("clim"), F.col("variance"), gross_error(F.col("probe"), F.col("suspect"))).alias("pge"))
-    return levels.select("uid", "lev").join(found, ["uid", "lev"], "left").select("uid", "lev", F.coalesce(F.col("pge") >= 0.5, F.lit(False)).alias("flag"), "pge", "theta", "clim")
+    warm = F.when(F.col("clim").isNotNull(), F.col("t"))
+    theta = seen.withColumn("theta", seawater.moved_temperature(warm, "s", "pr", F.lit(0.0))).withColumn("variance", wide)
+    pge = posterior_error(F.col("theta") - F.col("clim"), F.col("variance"), gross_error(F.col("probe"), F.col("suspect")))
+    return theta.withColumn("pge", pge).select("uid", "lev", F.coalesce(F.col("pge") >= 0.5, F.lit(False)).alias("flag"), "pge", "theta", "clim")
 
 
 def near_cells(profiles: DataFrame, cells: DataFrame, step: float = 0.25) -> DataFrame:

@@ -1,6 +1,7 @@
 """Checks whose steps depend on earlier ones: spikes and steps, increasing depth, stuck values.
 
-Each works on whole profiles, one after the other; profiles that cannot fail are kept out of it by window tests.
+Each works on whole profiles. Spikes, steps and depths of many profiles are judged at once, level by level; the runs of a stuck value
+one profile after the other, of those that a window test does not clear.
 """
 
 from __future__ import annotations
@@ -169,61 +170,157 @@ def stuck_run(z: np.ndarray, t: np.ndarray, least: int) -> tuple[int, int] | Non
     return i, i + int(runs[i]) - 1
 
 
-def _tolerance(z: Column, lat: Column) -> Column:
-    base = F.when(lat < 20.0, 300.0).otherwise(200.0)
-    factor = F.when(z > 600, 0.3).when(z > 500, 0.4).when(z > base + 100, 0.5).when(z > base, 1.0 - 0.005 * (z - base)).otherwise(1.0)
-    return 5.0 * factor
+#: Profiles of up to ``SHORT`` levels have their inversions counted pair by pair; fewer than ``FEW`` of a length are judged one by one.
+SHORT, FEW = 128, 8
+
 
+def _tolerances(z: np.ndarray, away: np.ndarray) -> np.ndarray:
+    """``depth_tolerance`` of many levels."""
+    base = np.where(away < 20.0, 300.0, 200.0)
+    upper = np.where(z > base, 1.0 - 0.005 * (z - base), 1.0)
+    return 5.0 * np.where(z > 600, 0.3, np.where(z > 500, 0.4, np.where(z > base + 100, 0.5, upper)))
 
-def _marked(levels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Levels with ``steep``: whether their profile may have a spike or a step; and ``tangled``: whether its depths may be out of order.
 
-    A spike or a step takes a step of more than half the tolerance between levels near each other, a level too cold for the
-    tropics, or a zero at the bottom.
+def _spikes_side_by_side(z: np.ndarray, t: np.ndarray, lat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``spikes_and_steps`` of many profiles, a column each, level by level; longest first, NaN below a profile's last level."""
+    reject, suspect = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
+    step, slope = np.full(z.shape, _NAN), np.full(z.shape, _NAN)
+    dz, diff = np.diff(z, axis=0), np.diff(t, axis=0)
+    near = (dz <= 50) | ((z[1:] >= 350) & (dz <= 100))
+    step[1:] = np.where(near, diff, _NAN)
+    slope[1:] = np.where(near, diff / np.maximum(10.0, dz), _NAN)
+    held, away = np.isfinite(z) & np.isfinite(t), np.abs(lat)
+    tropic, longer = away < 20.0, len(n) - np.searchsorted(n[::-1], np.arange(len(z)), "right")
+    for i in range(1, len(z)):
+        m = longer[i]  # profiles with a level ``i``
+        z0, z1, t0, t1 = z[i - 1, :m], z[i, :m], t[i - 1, :m], t[i, :m]
+        ok = held[i, :m] & held[i - 1, :m]
+        weight, steady = 0.5, np.zeros(m, bool)
+        most = _tolerances(z0, away[:m])
+        if i >= 2:
+            ok &= held[i - 2, :m]
+            two = z1 - z[i - 2, :m]
+            part = (z0 - z[i - 2, :m]) / two
+            weight = np.where(two >= 5.0, part, 0.5)
+            steady = (two > 0) & (np.abs(t0 - (part * (t1 - t[i - 2, :m]) + t[i - 2, :m])) < 0.5 * most)
+        cold = ok & tropic[:m] & (z0 < 1000.0) & (t0 < 1.0)
+        suspect[i - 1, :m] |= cold
+        step[i, :m][cold] = _NAN
+        ok &= ~cold
+        a, b = step[i - 1, :m], step[i, :m]  # views: what is set to NaN is NaN from then on
+        spike = np.abs(a + b) < 0.5 * most
+        hit = ok & (np.maximum(np.abs(a), np.abs(b)) > most) & (spike | (np.abs((1.0 - weight) * a - weight * b) < 0.5 * most))
+        reject[i - 1, :m] |= hit & spike
+        a[hit] = b[hit] = _NAN
+        steep = np.maximum(np.abs(slope[i - 1, :m]), np.abs(slope[i, :m])) > 0.05
+        small = ok & steep & (np.maximum(np.abs(a), np.abs(b)) > 0.5 * most) & (np.abs(a + b) < 0.25 * np.abs(b - a))
+        reject[i - 1, :m] |= small
+        a[small] = b[small] = _NAN
+        if i >= 2:
+            thermocline = (z0 <= 250.0) & (-3.0 * most < a) & (a < -most)
+            suspect[i - 2 : i, :m] |= ok & (np.abs(a) > most) & ~thermocline & ~steady
+    last, own = n - 1, np.arange(len(n))
+    suspect[last, own] |= held[last, own] & (np.abs(step[last, own]) > _tolerances(z[last, own], away))
+    suspect[last, own] |= t[last, own] == 0.0
+    found = reject.sum(axis=0)
+    reject |= ((found >= 4) | (found > n / 2)) & (np.arange(len(z))[:, None] < n)
+    return reject, suspect
+
+
+def _disorder_side_by_side(z: np.ndarray, spikes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``depths_out_of_order`` of many short profiles, a column each, NaN below a profile's last level; a round takes a level, or a
+    lone pair, of each that still has inversions."""
+    rows = np.arange(len(z))[:, None]
+    inside = rows < n
+    qc = (z < 0) | (z > 11000)
+    whole = np.where(np.isfinite(z), z, 0.0)
+    flat = (n > 1) & ((whole == whole[0]) | ~inside).all(axis=0)
+    cols = np.flatnonzero((n > 1) & ~flat)
+    d = np.where(qc | ~np.isfinite(z), _NAN, z)[:, cols]
+    count = np.zeros(d.shape, np.int32)
+    for k in range(1, len(d)):
+        pair = d[k:] <= d[:-k]
+        count[:-k] += pair
+        count[k:] += pair
+
+    def inverted(k: np.ndarray) -> np.ndarray:
+        at = d[k, np.arange(len(k))]
+        return np.where(rows < k, d >= at, d <= at) & (rows != k)
+
+    def take(k: np.ndarray, who: np.ndarray) -> None:
+        nonlocal count
+        count = count - (inverted(k) & who)
+        k, own = k[who], np.flatnonzero(who)
+        d[k, own], count[k, own] = _NAN, -1
+        qc[k, cols[own]] = True
+
+    while True:
+        most = count.max(axis=0, initial=0)
+        live = most > 0
+        if not live.any():
+            break
+        if not live.all():
+            cols, d, count, most = cols[live], d[:, live], count[:, live], most[live]
+        level = len(d) - 1 - (count[::-1] == most).argmax(axis=0)
+        other = np.where(most == 1, len(d) - 1 - inverted(level)[::-1].argmax(axis=0), level)
+        lone, one, two = most == 1, spikes[level, cols], spikes[other, cols]
+        take(level, ~lone | one | ~two)
+        take(other, lone & (two | ~one))
+    return qc | (flat & inside)
+
+
+def _judged(z: np.ndarray, t: np.ndarray, lat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(reject, suspect, disorder) of the levels of many profiles that lie one behind the other, ``size`` levels each.
+
+    Profiles of about the same length are laid side by side, so that the levels of one place are judged at once.
     """
-    w, whole = Window.partitionBy("uid").orderBy("lev"), Window.partitionBy("uid")
-    on = levels.select("uid", "lev", F.col("z").cast("double").alias("z"), F.col("t").cast("double").alias("t")).join(one_header(profiles).select("uid", "lat"), "uid", "left")
-    z, t, lat = F.col("z"), F.col("t"), F.abs("lat")
-    above, gap = F.lag("z").over(w), z - F.lag("z").over(w)
-    near = (gap <= 50) | ((z >= 350) & (gap <= 100))
-    step = near & (F.abs(t - F.lag("t").over(w)) > 0.5 * F.least(_tolerance(above, lat), _tolerance(z, lat)))
-    cold = (lat < 20.0) & (z < 1000.0) & (t < 1.0)
-    last = (t == 0.0) & F.lead("lev").over(w).isNull()
-    steep = F.coalesce(step, F.lit(False)) | F.coalesce(cold, F.lit(False)) | F.coalesce(last, F.lit(False))
-    before = F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    odd = F.coalesce((z < 0) | (z > 11000) | (z <= before), F.lit(False))
-    alone = (F.count("z").over(whole) == 0) & (F.count("*").over(whole) > 1)
-    marked = on.withColumn("_steep", steep).withColumn("_odd", odd)
-    return marked.withColumn("steep", F.max("_steep").over(whole)).withColumn("tangled", F.max("_odd").over(whole) | alone).drop("_steep", "_odd")
+    reject, suspect, disorder = (np.zeros(len(z), bool) for _ in range(3))
+    start = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    width = np.ceil(np.log2(np.maximum(size[order], 1))).astype(int)
+    with np.errstate(all="ignore"):
+        for who in np.split(order, np.flatnonzero(np.diff(width)) + 1):
+            n, rows = size[who], np.arange(size[who].max(initial=0))[:, None]
+            if not len(rows):
+                continue
+            if len(who) < FEW:
+                for k in who:
+                    own = slice(start[k], start[k] + size[k])
+                    reject[own], suspect[own] = spikes_and_steps(z[own], t[own], lat[k])
+                    disorder[own] = depths_out_of_order(z[own], reject[own])
+                continue
+            inside = rows < n
+            at = start[who] + np.minimum(rows, n - 1)
+            deep, warm = np.where(inside, z[at], _NAN), np.where(inside, t[at], _NAN)
+            found = _spikes_side_by_side(deep, warm, lat[who], n)
+            reject[at[inside]], suspect[at[inside]] = found[0][inside], found[1][inside]
+            if len(rows) <= SHORT:
+                disorder[at[inside]] = _disorder_side_by_side(deep, found[0], n)[inside]
+                continue
+            for k in who:
+                own = slice(start[k], start[k] + size[k])
+                disorder[own] = depths_out_of_order(z[own], reject[own])
+    return reject, suspect, disorder
 
 
 def sequential_flags(levels: DataFrame, profiles: DataFrame) -> DataFrame:
     """``uid, lev, reject, suspect, disorder`` of every level (checks e03, e04 and e05), in one pass.
 
-    Profiles that pass the window tests have no flag; only the others are packed, a row of arrays per profile, for the state
-    machine. A profile without a header counts as one of unknown latitude.
+    Profiles are packed, a row of arrays each, and judged many at once. A profile without a header counts as one of unknown latitude.
     """
-    marked = _marked(levels, profiles)
-    packed = marked.where("steep OR tangled").groupBy("uid", "lat", "steep", "tangled").agg(F.sort_array(F.collect_list(F.struct("lev", "z", "t"))).alias("at"))
-    rows = packed.select("uid", F.col("lat").cast("double").alias("lat"), "steep", "tangled", *(F.col(f"at.{c}").alias(c) for c in ("lev", "z", "t")))
+    own = levels.select("uid", F.struct("lev", F.col("z").cast("double").alias("z"), F.col("t").cast("double").alias("t")).alias("at"))
+    packed = own.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("at")).join(one_header(profiles).select("uid", "lat"), "uid", "left")
+    rows = packed.select("uid", F.col("lat").cast("double").alias("lat"), *(F.col(f"at.{c}").alias(c) for c in ("lev", "z", "t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends = b["lev"].offsets.to_numpy()[1:] - b["lev"].offsets[0].as_py()
-            cut = lambda name: np.split(b[name].flatten().to_numpy(zero_copy_only=False).astype(float), ends[:-1])  # noqa: B023, E731
-            found = []
-            for z, t, lat, steep, tangled in zip(cut("z"), cut("t"), b["lat"].to_pylist(), b["steep"].to_pylist(), b["tangled"].to_pylist(), strict=True):
-                none = np.zeros(len(z), bool)
-                with np.errstate(all="ignore"):
-                    reject, suspect = spikes_and_steps(z, t, _NAN if lat is None else lat) if steep else (none, none)
-                    found.append((reject, suspect, depths_out_of_order(z, reject) if tangled else none))
-            flags = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, bool) for k in range(3)]
-            uid = np.repeat(b["uid"].to_numpy(), np.diff(b["lev"].offsets.to_numpy()))
-            yield pa.record_batch([pa.array(uid), b["lev"].flatten(), *map(pa.array, flags)], names=["uid", "lev", "reject", "suspect", "disorder"])
-
-    found = rows.mapInArrow(run, "uid long, lev int, reject boolean, suspect boolean, disorder boolean")
-    no = F.lit(False)
-    return found.unionByName(marked.where("NOT (steep OR tangled)").select("uid", "lev", no.alias("reject"), no.alias("suspect"), no.alias("disorder")))
+            flat = lambda name: b[name].flatten().to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            size = np.diff(b["lev"].offsets.to_numpy())
+            flags = _judged(flat("z"), flat("t"), b["lat"].to_numpy(zero_copy_only=False).astype(float), size)
+            uid = b["uid"].take(pa.array(np.repeat(np.arange(len(size)), size)))
+            yield pa.record_batch([uid, b["lev"].flatten(), *map(pa.array, flags)], names=["uid", "lev", "reject", "suspect", "disorder"])
+
+    return rows.mapInArrow(run, "uid long, lev int, reject boolean, suspect boolean, disorder boolean")
 
 
 def spike_and_step(levels: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -327,10 +327,10 @@ _add("check_e07_background", _with(_e07), f"SELECT uid, lev, flag, round(pge, 6)
 
 def _posterior(s: SparkSession, lv: DataFrame, pr: DataFrame) -> DataFrame:
     """The posterior of e07 with temperatures as they are for potential ones, and t07 for the suspects."""
-    suspects = local.run("t07_rate_of_change", lv, pr).withColumnRenamed("flag", "suspect")
+    suspects = local.run_local(lv, pr, ("t07_rate_of_change",), ("z", "t")).withColumnRenamed("t07_rate_of_change", "suspect")
     at = lambda f: gridded.between(F.col("around"), F.col("z"), f).alias(f)
-    met = gridded.on_background(lv, pr, _grid(s, BACKGROUND_SQL)).select("*", gridded.once(gridded.around_depth(F.col("col"), F.col("z"))).alias("around"))
-    on = met.select("uid", "lev", "t", "probe", at("clim"), at("bgev"), at("obev")).join(suspects, ["uid", "lev"])
+    met = gridded.on_background(suspects, pr, _grid(s, BACKGROUND_SQL)).select("*", gridded.once(gridded.around_depth(F.col("col"), F.col("z"))).alias("around"))
+    on = met.select("uid", "lev", "t", "probe", "suspect", at("clim"), at("bgev"), at("obev"))
     pge = gridded.posterior_error(F.col("t") - F.col("clim"), 4.0 * F.col("bgev") + F.col("obev"), gridded.gross_error(F.col("probe"), F.col("suspect")))
     return _rounded(on.select("uid", "lev", "clim", "bgev", pge.alias("pge")))
 

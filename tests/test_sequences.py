@@ -3,7 +3,11 @@
 import time
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
+from soundings import schema
+from soundings.functions import seawater
 from soundings.operators import sequential
 
 
@@ -104,3 +108,48 @@ def test_stuck_levels_in_a_table(spark):
     got = {(r.uid, r.lev) for r in out.where("flag").collect()}
     assert got == {x for x in want if x[0] % 10} and out.count() == len(rows)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_profiles_judged_together_equal_those_judged_alone():
+    rng = np.random.default_rng(3)
+    for longest in (6, 40, 200):
+        size = rng.integers(1, longest, 150)
+        n = int(size.sum())
+        z = np.cumsum(rng.integers(-20, 50, n)).astype(float) % 900 - 5
+        t = np.round(28 - 0.03 * z + rng.choice([0, 0, 0, 15, -8, 3, -3], n) + rng.normal(0, 0.3, n), 1)
+        for values, value, share in ((t, np.nan, 0.05), (z, np.nan, 0.03), (t, 0.0, 0.03), (t, 0.5, 0.1)):
+            values[rng.random(n) < share] = value
+        lat = np.where(rng.random(len(size)) < 0.1, np.nan, rng.uniform(-60, 60, len(size)))
+        got, start = sequential._judged(z, t, lat, size), np.cumsum(size) - size
+        with np.errstate(all="ignore"):
+            for k, (a, m) in enumerate(zip(start, size, strict=True)):
+                reject, suspect = sequential.spikes_and_steps(z[a : a + m], t[a : a + m], lat[k])
+                want = reject, suspect, sequential.depths_out_of_order(z[a : a + m], reject)
+                assert all((g[a : a + m] == w).all() for g, w in zip(got, want, strict=True)), (longest, k)
+
+
+def test_temperatures_moved_together_equal_those_moved_alone():
+    rng = np.random.default_rng(4)
+    t, s, p0 = rng.uniform(-2, 30, 60), rng.uniform(30, 37, 60), np.concatenate([[0.0, 0.4, 1.0, 7.0], rng.uniform(0, 300, 56)])
+    p1 = np.where(rng.random(60) < 0.5, 0.0, rng.uniform(0, 300, 60))
+    got = seawater.moved_temperature.func(*map(pd.Series, (t, s, p0, p1)))
+    for k in range(60):
+        step, p, now, ds = (1.0 if p1[k] >= p0[k] else -1.0), p0[k], t[k], s[k] - 35
+        before, first = now - seawater._lapse(now, ds, p) * step, True
+        while first or (p - p1[k]) * (p - step - p1[k]) > 0:
+            before, now, p, first = now, before + 2 * seawater._lapse(now, ds, p) * step, p + step, False
+        assert abs(got[k] - ((p1[k] - p + step) * now + (p - p1[k]) * before) / step) < 1e-9, k
+
+
+def test_views_lie_by_profile_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(schema, "LEVELS_A_TASK", 500)
+    levels, profiles = (f(spark, "/root/testdata/sf0.001") for f in (schema.levels, schema.profiles))
+    parts = -(-levels.count() // 500)
+    sizes = levels.groupBy(F.spark_partition_id()).count().collect()
+    assert levels.rdd.getNumPartitions() == profiles.rdd.getNumPartitions() == parts and max(r["count"] for r in sizes) < 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # one exchange of each table, whatever windows and joins follow
+        plan = sequential.increasing_depth(levels, profiles)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
