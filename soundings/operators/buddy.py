@@ -159,7 +159,7 @@ def union_of_prior(background: DataFrame, found: DataFrame, others: Sequence[Dat
 
 def prior_flags(levels: DataFrame, profiles: DataFrame, background: DataFrame, found: DataFrame) -> DataFrame:
     """The union with the other checks (constant values, range, stability) run here."""
-    return union_of_prior(background, found, [local.run(n, levels, profiles) for n in ("e01_range", "e02_constant_value", "e06_stability")])
+    return union_of_prior(background, found, [local.run_any(("e01_range", "e02_constant_value", "e06_stability"), levels, profiles)])
 
 
 def standard_level_check(levels: DataFrame, profiles: DataFrame, grid: DataFrame, depths: Sequence[float], axes=gridded.BACKGROUND_AXES, near: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:

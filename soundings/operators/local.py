@@ -8,6 +8,7 @@ that need several steps are queries of their own. A missing value never flags; a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seawater
 from ..schema import one_header
+from .rules import any_flag
 
 PRESSURE = "((1 - c1) - sqrt((1 - c1) * (1 - c1) - 8.84e-6 * z)) / 4.42e-6"
 
@@ -110,6 +112,21 @@ _BOX_T = (-3.5, -2.5, -2.3, -2.0, -1.4, -1.0, -0.8, -0.5, -0.4, 3.0, 5.0, 5.5, 6
 _BOX_Z = (0.0, 500.0, 1200.0, 2000.0, 3800.0, 4200.0, 5000.0, 6000.0, 9000.0, 7500.0, 4400.0, 1950.0, 1900.0, 1800.0, 1700.0, 2200.0, 1700.0, 5200.0, 1600.0, 1400.0, 3600.0, 5200.0, 1000.0, 800.0, 1800.0, 800.0, 600.0, 400.0, 350.0, 2400.0, 400.0, 350.0, 300.0, 250.0, 200.0, 100.0, 50.0)
 _BOXES = " OR ".join(f"(t >= {a} AND t <= {b} AND z >= {z})" for a, b, z in zip(_BOX_T, _BOX_T[1:], _BOX_Z, strict=False))
 
+
+def stability_sql(seen: str, carried: str = "") -> str:
+    """The check e06 over levels with their neighbours, with columns of these carried along."""
+    return f"""
+WITH a AS (SELECT uid, lev, i, n, s, t{carried}, CASE WHEN n_p = 0 THEN pr ELSE p END AS q FROM ({seen}) v),
+b AS (SELECT *, {_theta("s", "t", "q")} AS th, s IS NOT NULL AND t IS NOT NULL AND q IS NOT NULL AS ok FROM a),
+c AS (SELECT uid, lev, i, n, ok, s, th, q{carried}, lag(s) OVER w AS s_p, lag(th) OVER w AS th_p, coalesce(lag(ok) OVER w, FALSE) AS ok_p, coalesce(lag(ok, 2) OVER w, FALSE) AS ok_pp, coalesce(lead(ok) OVER w, FALSE) AS ok_n FROM b WINDOW w AS (PARTITION BY uid ORDER BY i)),
+d AS (SELECT *, {_density("s", "th", "q")} - {_density("s_p", "th_p", "q")} AS d FROM c),
+e AS (SELECT *, lag(d) OVER w AS d_p, lead(d) OVER w AS d_n FROM d WINDOW w AS (PARTITION BY uid ORDER BY i)),
+f AS (SELECT *, i >= 2 AND i <= n - 2 AND ok AND ok_p AND ok_pp AND coalesce(d < -0.03, FALSE) AS bad, coalesce(abs(d_p + d) < 0.25 * abs(d_p - d), FALSE) AS before, coalesce(abs(d + d_n) < 0.25 * abs(d - d_n), FALSE) AS after FROM e),
+g AS (SELECT *, bad AND NOT before AND ok_n AS own, bad AND (before OR (ok_n AND NOT after)) AS above FROM f),
+h AS (SELECT uid, lev, n{carried}, own OR coalesce(lead(above) OVER (PARTITION BY uid ORDER BY i), FALSE) OR (i = n - 1 AND ok AND ok_p AND coalesce(d < -0.03, FALSE)) AS flag FROM g)
+SELECT uid, lev, flag OR sum(CASE WHEN flag THEN 1 ELSE 0 END) OVER (PARTITION BY uid) >= greatest(2, n / 4.0) AS flag{carried} FROM h"""
+
+
 #: Checks that take several steps.
 STEPS = {
     "r04_depth_increasing": f"""
@@ -135,16 +152,7 @@ SELECT uid, lev, coalesce(probe = 2 AND i > last, FALSE) AS flag FROM a""",
 WITH a AS (SELECT uid, t, count(*) AS c, max_by(z, lev) FILTER (WHERE z IS NOT NULL) - min_by(z, lev) FILTER (WHERE z IS NOT NULL) AS span FROM {levels} WHERE t IS NOT NULL GROUP BY uid, t),
 b AS (SELECT a.uid FROM a JOIN (SELECT uid, count(*) AS n FROM {levels} GROUP BY uid) m ON a.uid = m.uid WHERE a.c >= 0.9 * m.n AND a.span >= 100 GROUP BY a.uid)
 SELECT l.uid, l.lev, b.uid IS NOT NULL AS flag FROM {levels} l LEFT JOIN b ON l.uid = b.uid""",
-    "e06_stability": f"""
-WITH a AS (SELECT uid, lev, i, n, s, t, CASE WHEN n_p = 0 THEN pr ELSE p END AS q FROM ({neighbours()}) v),
-b AS (SELECT *, {_theta("s", "t", "q")} AS th, s IS NOT NULL AND t IS NOT NULL AND q IS NOT NULL AS ok FROM a),
-c AS (SELECT uid, lev, i, n, ok, s, th, q, lag(s) OVER w AS s_p, lag(th) OVER w AS th_p, coalesce(lag(ok) OVER w, FALSE) AS ok_p, coalesce(lag(ok, 2) OVER w, FALSE) AS ok_pp, coalesce(lead(ok) OVER w, FALSE) AS ok_n FROM b WINDOW w AS (PARTITION BY uid ORDER BY i)),
-d AS (SELECT *, {_density("s", "th", "q")} - {_density("s_p", "th_p", "q")} AS d FROM c),
-e AS (SELECT *, lag(d) OVER w AS d_p, lead(d) OVER w AS d_n FROM d WINDOW w AS (PARTITION BY uid ORDER BY i)),
-f AS (SELECT *, i >= 2 AND i <= n - 2 AND ok AND ok_p AND ok_pp AND coalesce(d < -0.03, FALSE) AS bad, coalesce(abs(d_p + d) < 0.25 * abs(d_p - d), FALSE) AS before, coalesce(abs(d + d_n) < 0.25 * abs(d - d_n), FALSE) AS after FROM e),
-g AS (SELECT *, bad AND NOT before AND ok_n AS own, bad AND (before OR (ok_n AND NOT after)) AS above FROM f),
-h AS (SELECT uid, lev, n, own OR coalesce(lead(above) OVER (PARTITION BY uid ORDER BY i), FALSE) OR (i = n - 1 AND ok AND ok_p AND coalesce(d < -0.03, FALSE)) AS flag FROM g)
-SELECT uid, lev, flag OR sum(CASE WHEN flag THEN 1 ELSE 0 END) OVER (PARTITION BY uid) >= greatest(2, n / 4.0) AS flag FROM h""",
+    "e06_stability": stability_sql(neighbours()),
     "t09_smooth_residual": f"""
 WITH a AS (SELECT uid, lev, i, t, CASE WHEN t_p2 IS NOT NULL AND t_p1 IS NOT NULL AND t IS NOT NULL AND t_n1 IS NOT NULL AND t_n2 IS NOT NULL THEN {_M5} END AS u FROM ({neighbours()}) v),
 b AS (SELECT *, lag(u) OVER w AS u_p, lead(u) OVER w AS u_n FROM a WINDOW w AS (PARTITION BY uid ORDER BY i)),
@@ -184,9 +192,11 @@ HEADER = {
 @dataclass(frozen=True)
 class Dialect:
     bround: str
+    #: What the levels of a profile are ordered by; Spark does not know that ``i`` numbers them by ``lev`` and would sort them again.
+    place: str
 
 
-SPARK, DUCK = Dialect("bround"), Dialect("round_even")
+SPARK, DUCK = Dialect("bround", "lev"), Dialect("round_even", "i")
 
 
 def check_sql(name: str, dialect: Dialect) -> str:
@@ -195,7 +205,7 @@ def check_sql(name: str, dialect: Dialect) -> str:
         return f"SELECT uid, lev, coalesce({LOCAL[name].replace('{bround}', dialect.bround)}, FALSE) AS flag FROM ({neighbours()}) v"
     if name in HEADER:
         return f"SELECT l.uid, l.lev, coalesce(p.uid IS NOT NULL AND {HEADER[name]}, FALSE) AS flag FROM {{levels}} l LEFT JOIN {{profiles}} p ON l.uid = p.uid"
-    return STEPS[name]
+    return STEPS[name].replace("ORDER BY i", f"ORDER BY {dialect.place}").replace("ORDER BY x.i", f"ORDER BY x.{dialect.place}")
 
 
 NAMES = (*LOCAL, *STEPS, *HEADER)
@@ -203,6 +213,8 @@ NAMES = (*LOCAL, *STEPS, *HEADER)
 
 def run(name: str, levels: DataFrame, profiles: DataFrame) -> DataFrame:
     """``uid, lev, flag`` of one check."""
+    if name == "e02_constant_value":
+        return _if_constant(levels.select("uid", "lev", F.lit(False).alias("flag")), levels)
     sql = check_sql(name, SPARK)
     return levels.sparkSession.sql(sql, **{k: v for k, v in (("levels", levels), ("profiles", one_header(profiles))) if f"{{{k}}}" in sql})
 
@@ -212,3 +224,39 @@ def run_local(levels: DataFrame, profiles: DataFrame, names: tuple[str, ...] = t
     neighbour check: one exchange and one sort for all of them."""
     seen = levels.sparkSession.sql(neighbours(*carried), levels=levels, profiles=one_header(profiles))
     return seen.select("uid", "lev", *carried, *headers, *(F.expr(f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)").alias(n) for n in names))
+
+
+def constant_profiles(levels: DataFrame) -> DataFrame:
+    """``uid`` of the profiles that e02 flags, from one pass: only a profile's most frequent temperature can make 90 % of its levels."""
+    return levels.sparkSession.sql(
+        """
+SELECT uid FROM (SELECT uid, sum(c) AS n, max(c) FILTER (WHERE t IS NOT NULL) AS c, max_by(span, c) FILTER (WHERE t IS NOT NULL) AS span FROM
+ (SELECT uid, t, count(*) AS c, max_by(z, lev) FILTER (WHERE z IS NOT NULL) - min_by(z, lev) FILTER (WHERE z IS NOT NULL) AS span FROM {levels} GROUP BY uid, t) GROUP BY uid)
+WHERE c >= 0.9 * n AND span >= 100""",
+        levels=levels,
+    )
+
+
+def _if_constant(flags: DataFrame, levels: DataFrame) -> DataFrame:
+    """Flags with those of e02 added."""
+    found = constant_profiles(levels).withColumn("_constant", F.lit(True))
+    return flags.join(found, "uid", "left").select("uid", "lev", (F.col("flag") | F.col("_constant").isNotNull()).alias("flag"))
+
+
+def run_any(names: Sequence[str], levels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``uid, lev, flag``: whether any of the named checks flags a level.
+
+    Neighbour checks and e06 share one pass over the levels, e02 adds its profiles; other checks are united with these.
+    """
+    near, own = [n for n in names if n in LOCAL], "e06_stability" in names
+    others = [n for n in names if n not in (*near, "e06_stability", "e02_constant_value")]
+    parts = [run(n, levels, profiles) for n in others]
+    if near or own:
+        hit = " OR ".join([f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)" for n in near] or ["FALSE"])
+        seen = f"SELECT *, {hit} AS hit FROM ({neighbours()}) v0"
+        sql = stability_sql(seen, ", hit").replace("ORDER BY i", f"ORDER BY {SPARK.place}") if own else f"SELECT uid, lev, FALSE AS flag, hit FROM ({seen}) v"
+        flags = levels.sparkSession.sql(sql, levels=levels, profiles=one_header(profiles)).select("uid", "lev", (F.col("flag") | F.col("hit")).alias("flag"))
+        parts.append(_if_constant(flags, levels) if "e02_constant_value" in names else flags)
+    elif "e02_constant_value" in names:
+        parts.append(run("e02_constant_value", levels, profiles))
+    return parts[0] if len(parts) == 1 else any_flag(parts)

@@ -524,12 +524,12 @@ _add(
 _SIX = ("e01_range", "e02_constant_value", "e06_stability")
 _add(
     "union_of_flags",
-    _with(lambda s, lv, pr: rules.any_flag([local.run(n, lv, pr) for n in _SIX])),
+    _with(lambda s, lv, pr: local.run_any(_SIX, lv, pr)),
     "SELECT uid, lev, bool_or(flag) AS flag FROM (" + " UNION ALL ".join(f"SELECT * FROM ({local.check_sql(n, local.DUCK)}) q_{n}" for n in _SIX) + ") a GROUP BY uid, lev",
 )
 _add(
     "levels_that_pass",
-    _with(lambda s, lv, pr: rules.passed(lv, rules.any_flag([local.run(n, lv, pr) for n in _SIX])).select("uid", "lev", "z")),
+    _with(lambda s, lv, pr: rules.passed(lv, local.run_any(_SIX, lv, pr)).select("uid", "lev", "z")),
     "SELECT uid, lev, z FROM {levels} SEMI JOIN (SELECT uid, lev FROM (" + " UNION ALL ".join(f"SELECT * FROM ({local.check_sql(n, local.DUCK)}) q_{n}" for n in _SIX) + ") a GROUP BY uid, lev HAVING NOT bool_or(flag)) b USING (uid, lev)",
 )
 

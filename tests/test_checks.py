@@ -1,10 +1,12 @@
 """Profiles whose flagged levels are known: fixed values that the checks must give."""
 
+import re
+
 import pytest
 
 from soundings import schema
 from soundings.functions import geo, seawater
-from soundings.operators import gridded, local, sequential
+from soundings.operators import gridded, local, rules, sequential
 from soundings.plans import registry
 
 NINE = [float(z) for z in range(100, 1001, 100)]
@@ -97,6 +99,30 @@ def test_all_checks_share_one_window_pass(tables):
     assert wide.count() == tables[0].count()
 
 
+@pytest.mark.parametrize("name", ["r04_depth_increasing", "s05_surface_spikes", "e06_stability", "t09_smooth_residual", "t10_scaled_residual"])
+def test_steps_sort_levels_once(tables, name):
+    """Numbers of levels follow from their order, so no window sorts by them again."""
+    plan = local.run(name, *tables)._jdf.queryExecution().sparkPlan().toString()
+    plan += local.run(name, *tables)._jdf.queryExecution().executedPlan().toString()
+    assert "lev#" in plan and not re.search(r"Sort \[uid#\d+L? ASC NULLS FIRST, i#", plan)
+
+
+@pytest.mark.parametrize("names", [("e01_range", "e02_constant_value", "e06_stability"), ("e02_constant_value",), ("o03_gradient", "r04_depth_increasing"), ("e06_stability", "r02_gradient", "s06_wire_break")])
+def test_any_of_some_checks_in_one_pass(tables, names):
+    rows = lambda df: sorted(map(tuple, df.select("uid", "lev", "flag").collect()))
+    got, want = local.run_any(names, *tables), rules.any_flag([local.run(n, *tables) for n in names])
+    assert rows(got) == rows(want) and any(r[2] for r in rows(got))
+
+
+def test_constant_values(spark):
+    """A value counts if it makes 90 % of all levels, those without a value included, over 100 m."""
+    z = [None, *(13.0 * k for k in range(9))]
+    cases = {1: [5.0] * 10, 2: [5.0] * 9 + [None], 3: [5.0] * 8 + [6.0, None], 4: [None] * 10, 5: [6.0] + [5.0] * 9, 6: [5.0] * 5 + [6.0] * 5}
+    levels = spark.createDataFrame([(u, k, z[k], t, None, None, 1) for u, ts in cases.items() for k, t in enumerate(ts)] + [(7, 0, 1.0, 2.0, None, None, 1)], schema.LEVELS)
+    assert {r.uid for r in local.constant_profiles(levels).collect()} == {1, 5}  # from 2 the deepest level is missing: 91 m
+    assert {r.uid for r in local.run("e02_constant_value", levels, levels).where("flag").collect()} == {1, 5}
+
+
 def test_formulas(spark):
     from pyspark.sql import functions as F
 
