@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +49,25 @@ def is_aircraft(platform: Column) -> Column:
     return F.coalesce(platform.isin(*AIRCRAFT), F.lit(False))
 
 
+class Angles(Sequence):
+    """The turn at each position of a track, found when first asked for: most segments that go are too fast whatever the turn."""
+
+    def __init__(self, track: Track, n: int):
+        self.track, self.known = track, [None] * n
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def __getitem__(self, i: int) -> float:
+        found = self.known[i]
+        if found is None:
+            found = self.known[i] = self.track._turn(self.track.prev[i], i, self.track.next[i])
+        return found
+
+    def forget(self, i: int) -> None:
+        self.known[i] = None
+
+
 class Track:
     """Times (s) and positions (degrees) of one cruise in order; the rules that pick a position to reject.
 
@@ -62,10 +81,9 @@ class Track:
         self.s, self.lat, self.lon, self.limit = seconds.tolist(), np.radians(lat).tolist(), np.radians(lon).tolist(), limit
         n = self.size = len(self.s)
         self.prev, self.next = list(range(-1, n - 1)), [*range(1, n), -1]
-        self.speed, self.angle, self.heap = [math.nan] * n, [math.nan] * n, []
+        self.speed, self.heap = [math.nan] * n, []
+        self.angle = Angles(self, n)
         self.gone = [False] * n
-        for i in range(n):
-            self._renew(i)
         for i in range(1, n):
             self.speed[i] = self.pace(i - 1, i)
         self.heap = [(-v, i) for i, v in enumerate(self.speed) if v == v]
@@ -87,9 +105,6 @@ class Track:
     def _turn(self, i: int, j: int, k: int) -> float:
         return abs(math.pi - self.corner(i, j, k)) if min(i, j, k) >= 0 else math.nan
 
-    def _renew(self, i: int) -> None:
-        self.angle[i] = self._turn(self.prev[i], i, self.next[i])
-
     def drop(self, k: int) -> None:
         """Take a position out."""
         p, q = self.prev[k], self.next[k]
@@ -97,10 +112,10 @@ class Track:
         self.size -= 1
         if p >= 0:
             self.next[p] = q
-            self._renew(p)
+            self.angle.forget(p)
         if q >= 0:
             self.prev[q] = p
-            self._renew(q)
+            self.angle.forget(q)
             self.speed[q] = self.pace(p, q) if p >= 0 else math.nan
             if p >= 0:
                 heapq.heappush(self.heap, (-self.speed[q], q))
@@ -114,16 +129,16 @@ class Track:
             heapq.heappop(self.heap)
         return -1
 
-    def _too_fast(self, v: float, here: float, before: float) -> bool:
-        return v > self.limit or (v > 0.8 * self.limit and (here > math.pi / 2 or before > math.pi / 2))
+    def _too_fast(self, v: float, here: Callable[[], float], before: Callable[[], float]) -> bool:
+        return v > self.limit or (v > 0.8 * self.limit and (here() > math.pi / 2 or before() > math.pi / 2))
 
     def excessive(self, i: int) -> bool:
-        return self.prev[i] >= 0 and self._too_fast(self.speed[i], self.angle[i], self.angle[self.prev[i]])
+        return self.prev[i] >= 0 and self._too_fast(self.speed[i], lambda: self.angle[i], lambda: self.angle[self.prev[i]])
 
     def excessive_without(self, k: int) -> bool:
         """Whether the segment that takes the place of those at a position would be excessive."""
         p, q = self.prev[k], self.next[k]
-        return p >= 0 and q >= 0 and self._too_fast(self.pace(p, q), self._turn(p, q, self.next[q]), self._turn(self.prev[p], p, q))
+        return p >= 0 and q >= 0 and self._too_fast(self.pace(p, q), lambda: self._turn(p, q, self.next[q]), lambda: self._turn(self.prev[p], p, q))
 
     def _mean_speed(self) -> float:
         """Of segments without a time gap (as specified), so it is nearly always 0."""

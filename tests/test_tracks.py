@@ -48,6 +48,14 @@ def test_taking_out_equals_a_new_track():
                 assert new.excessive(at) == track.excessive(left[at])
 
 
+def test_turns_only_where_asked_for(monkeypatch):
+    """A segment beyond the limit is excessive whatever the turns at its ends."""
+    n = 50
+    monkeypatch.setattr(Track, "_turn", lambda *_: pytest.fail("a turn that decides nothing"))
+    track = Track(3600.0 * np.arange(n), np.arange(n) % 2 * 5.0, np.full(n, 90.0), 15.0)
+    assert all(track.excessive(i) for i in range(1, n)) and not track.excessive(0)
+
+
 def test_track_table(spark):
     """Aircraft, unnamed cruises and incomplete headers take no part; of the others the jump is flagged."""
     import datetime as dt
