@@ -60,16 +60,21 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 #: Levels that a task deals with: partitions grow in number with the table, not in size.
 LEVELS_A_TASK = 250_000
+#: Levels that a task reads and deals out; with more than 200 parts Spark holds all rows of such a task.
+LEVELS_READ_A_TASK = 1_000_000
 
 
 def _by_uid(spark: SparkSession, sf_dir: str, sql: str, table: str, key: str) -> DataFrame:
     """A view whose rows lie by ``uid``, levels and profiles alike, so that windows and joins by profile need no further exchange.
 
-    Joins by ``uid`` and level take the same partitions, if the session lets a part of the keys suffice, as is set here.
+    Joins by ``uid`` and level take the same partitions, if the session lets a part of the keys suffice, as is set here. So are
+    as many splits of the files as keep the rows small that a task holds while it deals them out.
     """
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # from the files' footers
-    parts = max(spark.sparkContext.defaultParallelism, -(-rows // LEVELS_A_TASK))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, -(-rows // LEVELS_A_TASK))
+    spark.conf.set("spark.sql.files.minPartitionNum", max(cores, -(-rows // LEVELS_READ_A_TASK)))
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumnRenamed(key, "uid").repartition(parts, "uid")
     text = sql.replace(f"{key} AS uid", "uid").replace(key, "uid").replace(f"FROM {table}", "FROM {source}")
     return spark.sql(text, source=source)

@@ -153,3 +153,18 @@ def test_views_lie_by_profile_in_parts_of_bounded_size(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_files_are_read_in_splits_of_bounded_size(spark, monkeypatch):
+    """Spark holds all rows of a task that deals them out to more than 200 parts."""
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        for least in (25, 50):
+            monkeypatch.setattr(schema, "LEVELS_READ_A_TASK", 600_000 // least)
+            schema.levels(spark, "/root/testdata/sf0.1")
+            assert spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").rdd.getNumPartitions() >= least
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+        monkeypatch.undo()
+        schema.levels(spark, "/root/testdata/sf0.001")
