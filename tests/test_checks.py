@@ -107,6 +107,16 @@ def test_steps_sort_levels_once(tables, name):
     assert "lev#" in plan and not re.search(r"Sort \[uid#\d+L? ASC NULLS FIRST, i#", plan)
 
 
+def test_long_gradients_without_a_join(spark):
+    levels = schema.levels(spark, "/root/testdata/sf0.01")
+    got = local.run("s03_long_gradient", levels, levels)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    steps = spark.sql(local.check_sql("s03_long_gradient", local.SPARK), levels=levels)
+    rows = lambda df: sorted(map(tuple, df.select("uid", "lev", "flag").collect()))
+    assert rows(got) == rows(steps) and 0 < got.where("flag").count() < got.count()
+
+
 @pytest.mark.parametrize("names", [("e01_range", "e02_constant_value", "e06_stability"), ("e02_constant_value",), ("o03_gradient", "r04_depth_increasing"), ("e06_stability", "r02_gradient", "s06_wire_break")])
 def test_any_of_some_checks_in_one_pass(tables, names):
     rows = lambda df: sorted(map(tuple, df.select("uid", "lev", "flag").collect()))
