@@ -23,6 +23,15 @@ def standard_levels(levels: DataFrame, depths: Sequence[float]) -> DataFrame:
     return levels.where("diff IS NOT NULL AND z IS NOT NULL").withColumn("k", nearest).groupBy("uid", "k").agg(F.avg("diff").alias("diff"), F.count("*").alias("n"))
 
 
+def _merged(rows: DataFrame, of: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joined with a table that grows with the profiles: sorted and merged.
+
+    What is exploded from the headers is small only by Spark's estimate of their files; by it Spark would broadcast a table that does
+    not fit the driver. So is it with packed or repeated columns, which are small only as shuffled bytes.
+    """
+    return rows.join(of.hint("merge"), [*on], how)
+
+
 def _cells_around() -> Column:
     """By latitude band (5 degrees, numbered from the equator): how many longitude cells there are, each at least as wide as
     the reach on that band and those beside it; one around the poles."""
@@ -74,7 +83,7 @@ def _tree(points: DataFrame, leaf: int) -> list[tuple[int, DataFrame, DataFrame]
         full = cells.where(F.col("n") > leaf)
         if depth == DEEPEST or full.isEmpty():
             return out
-        left = cut(at.join(full.select(*_NODE), [*_NODE], "left_semi").drop("depth", "ix", "iy"))
+        left = cut(_merged(at, full.select(*_NODE), _NODE, "left_semi").drop("depth", "ix", "iy"))
     return out
 
 
@@ -123,11 +132,11 @@ def buddies(profiles: DataFrame, leaf: int = LEAF) -> DataFrame:
     for depth, level, at in levels:
         small = (F.col("n") <= leaf) | F.lit(depth == DEEPEST)
         known = F.min(F.least(F.col("best"), lone("first"), lone("last"))).over(Window.partitionBy("uid"))
-        met = front.join(level, [*_NODE]).where((F.col("first.cruise") != F.col("cruise")) | (F.col("last.cruise") != F.col("cruise")))
+        met = _merged(front, level, _NODE).where((F.col("first.cruise") != F.col("cruise")) | (F.col("last.cruise") != F.col("cruise")))
         kept = met.withColumn("best", known).withColumn("least", _away_from(("lat_lo", "lat_hi"), ("lon_lo", "lon_hi"))).where(F.col("least") <= F.col("best"))
         if len(levels) > 1:
             kept = cut(kept)
-            at = at.join(level.where(small).select(*_NODE), [*_NODE], "left_semi")
+            at = _merged(at, level.where(small).select(*_NODE), _NODE, "left_semi")
         done = kept.where(small).select("uid", "cruise", "lat", "lon", *_NODE, "best", "least")
         places = at.select(*_NODE, F.col("uid").alias("buddy"), F.col("cruise").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
         leaves, ends = (done, places) if leaves is None else (leaves.unionByName(done), ends.unionByName(places))
@@ -135,7 +144,7 @@ def buddies(profiles: DataFrame, leaf: int = LEAF) -> DataFrame:
         below = below.withColumn("_x", F.explode(side)).withColumn("_y", F.explode(side))
         front = below.withColumn("ix", F.col("ix") * (1 << STEP) + F.col("_x")).withColumn("iy", F.col("iy") * (1 << STEP) + F.col("_y")).drop("_x", "_y")
     fit = leaves.withColumn("best", F.min("best").over(Window.partitionBy("uid"))).where(F.col("least") <= F.col("best")) if len(levels) > 1 else leaves
-    pairs = fit.join(ends, [*_NODE]).where(F.col("cruise") != F.col("other"))
+    pairs = _merged(fit, ends, _NODE).where(F.col("cruise") != F.col("other"))
     away = geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), geo.nearest_turn(F.col("lon2"), F.col("lon")))
     best = pairs.withColumn("metres", away).groupBy("uid").agg(F.min(F.struct(F.round("metres", 3).alias("near"), "buddy", "metres")).alias("m"))
     return best.select("uid", F.col("m.buddy").alias("buddy"), F.col("m.metres").alias("metres")).where(F.col("metres") <= REACH_M)

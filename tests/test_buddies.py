@@ -87,3 +87,14 @@ def test_a_buddy_at_an_unknown_time_changes_nothing(spark):
     for day, want in ((31, {1: True, 2: False}), (20, {1: False, 2: False})):
         heads = spark.createDataFrame([(1, 1, 1990, 2, day, 3.0, 40.0, 0.0, 3), (2, 2, 1990, 2, day, 3.0, 41.0, 0.0, 5)], names)
         assert {r.uid: r.flag for r in buddy.buddy_check(levels, heads, errors, (5.0, 15.0, 25.0)).collect()} == want, day
+
+
+@pytest.mark.parametrize("leaf", [8, 32])
+def test_no_table_of_profiles_is_broadcast(spark, leaf, monkeypatch):
+    """Spark takes what is exploded from few bytes of headers for small; the driver would have to hold a row for each cell around each profile."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cut = buddy.cut
+    monkeypatch.setattr(buddy, "cut", lambda df: (cut(df), plans.append(plan(df)))[0])
+    found = buddy.buddies(spark.createDataFrame([(u, 2000, 1, u % 3, 10 + u / 20, 20 + u / 20) for u in range(30)], SCHEMA), leaf)
+    assert len(found.collect()) == 30 and bool(plans) == (leaf < 30)
+    assert not any("Broadcast" in x for x in [*plans, plan(found)])
