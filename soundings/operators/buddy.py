@@ -157,32 +157,40 @@ def covariance(metres: Column, seconds: Column, a: Column, b: Column) -> Column:
     return part(100.0) + part(400.0)
 
 
-def union_of_prior(background: DataFrame, found: DataFrame, others: Sequence[DataFrame]) -> DataFrame:
+def union_of_prior(background: DataFrame | None, found: DataFrame, others: Sequence[DataFrame]) -> DataFrame:
     """``uid, lev, flag``: the union of the checks that a level must pass before it counts at a standard level.
 
-    ``background`` is the result of e07, ``found`` that of the sequential checks, ``others`` are flags of further checks.
+    ``background`` is the result of e07 (None where its flags are taken otherwise), ``found`` that of the sequential checks, ``others``
+    are flags of further checks.
     """
     disorder = found.select("uid", "lev", (F.col("reject") | F.col("disorder")).alias("flag"))
-    return rules.any_flag([background, disorder, *others])
+    return rules.any_flag([disorder, *others] if background is None else [background, disorder, *others])
 
 
-def prior_flags(levels: DataFrame, profiles: DataFrame, background: DataFrame, found: DataFrame) -> DataFrame:
+def prior_flags(levels: DataFrame, profiles: DataFrame, background: DataFrame | None, found: DataFrame) -> DataFrame:
     """The union with the other checks (constant values, range, stability) run here."""
     return union_of_prior(background, found, [local.run_any(("e01_range", "e02_constant_value", "e06_stability"), levels, profiles)])
 
 
 def standard_level_check(levels: DataFrame, profiles: DataFrame, grid: DataFrame, depths: Sequence[float], axes=gridded.BACKGROUND_AXES, near: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """``uid, lev, flag`` (e09): differences from the background of the levels that pass the six checks, at standard depths,
-    compared with the buddy's. ``near`` (the result of e07) and ``prior`` (the union of the six) are made here if not given."""
+    compared with the buddy's. ``near`` (the result of e07) and ``prior`` (the union of the six) are made here if not given.
+
+    The differences, which later steps use three times, are written to the checkpoint folder once.
+    """
     if near is None or prior is None:
         found = sequential.sequential_flags(levels, profiles)
         near = gridded.background(levels, profiles, grid, found, axes) if near is None else near
-        prior = prior_flags(levels, profiles, near, found) if prior is None else prior
-    diff = near.select("uid", "lev", (F.col("theta") - F.col("clim")).alias("diff")).join(prior.where("NOT flag").select("uid", "lev"), ["uid", "lev"])
-    on = levels.select("uid", "lev", "z").join(diff, ["uid", "lev"], "left")
+        if prior is None:  # flags of e07 are taken beside its differences: a union with them would make it twice
+            near = near.withColumn("_hit", F.max("flag").over(Window.partitionBy("uid", "lev"))).where("NOT _hit")
+            prior = prior_flags(levels, profiles, None, found)
+    diff = near.select("uid", "lev", (F.col("theta") - F.col("clim")).alias("diff"))
+    diff = cut(_merged(diff.where("diff IS NOT NULL"), prior.where("NOT flag").select("uid", "lev"), ["uid", "lev"]))
+    on = _merged(levels.select("uid", "lev", "z"), diff, ["uid", "lev"], "left")
     cells = gridded.columns_of(grid, ("ilat", "ilon"), ("clim", "bgev", "obev"))
     at = gridded.nearest_cells(one_header(profiles), *axes).join(cells, ["ilat", "ilon"]).select("uid", "col", F.posexplode(F.array(*(F.lit(float(d)) for d in depths))).alias("k", "depth"))
-    errors = at.select("uid", "k", *(gridded.at_depth(F.col("col"), F.col("depth"), f).alias(f) for f in ("clim", "bgev", "obev"))).where("clim IS NOT NULL")
+    at = at.select("uid", "k", "depth", gridded.once(gridded.around_depth(F.col("col"), F.col("depth"))).alias("around"))
+    errors = at.select("uid", "k", *(gridded.between(F.col("around"), F.col("depth"), f).alias(f) for f in ("clim", "bgev", "obev"))).where("clim IS NOT NULL")
     return buddy_check(on, profiles, errors, depths)
 
 
@@ -197,12 +205,12 @@ def buddy_check(levels: DataFrame, profiles: DataFrame, errors: DataFrame, depth
     """
     profiles = one_header(profiles)
     std = standard_levels(levels, depths)
-    own = std.join(errors, ["uid", "k"]).join(profiles.select("uid", "lat", "probe", "year", "month", "day", "time"), "uid")
+    own = _merged(_merged(std, errors, ["uid", "k"]), profiles.select("uid", "lat", "probe", "year", "month", "day", "time"), ["uid"])
     wide = F.when(F.abs("lat") < 10, 2.25).otherwise(1.0)
     own = own.withColumn("pge0", posterior_error(F.col("diff"), F.col("obev") + F.col("bgev") * wide, gross_error(F.col("probe"), F.lit(False))))
-    other = std.join(errors.select("uid", "k", "bgev"), ["uid", "k"]).select(F.col("uid").alias("buddy"), "k", F.col("diff").alias("diff2"), F.col("bgev").alias("bgev2"))
+    other = _merged(std, errors.select("uid", "k", "bgev"), ["uid", "k"]).select(F.col("uid").alias("buddy"), "k", F.col("diff").alias("diff2"), F.col("bgev").alias("bgev2"))
     when = profiles.select(F.col("uid").alias("buddy"), F.col("year").alias("y2"), F.col("month").alias("m2"), F.col("day").alias("d2"), F.col("time").alias("t2"), F.col("lat").alias("blat"), F.col("probe").alias("bprobe"))
-    pairs = own.join(buddies(profiles), "uid", "left").join(other, ["buddy", "k"], "left").join(when, "buddy", "left")
+    pairs = _merged(_merged(_merged(own, buddies(profiles), ["uid"], "left"), other, ["buddy", "k"], "left"), when, ["buddy"], "left")
     gap = geo.time_apart((F.col("year"), F.col("month"), F.col("day"), F.col("time")), (F.col("y2"), F.col("m2"), F.col("d2"), F.col("t2")))
     cov = covariance(F.col("metres"), gap, F.col("bgev"), F.col("bgev2"))
     va, vb = F.col("obev") + F.col("bgev"), F.col("obev") + F.col("bgev2")
@@ -222,5 +230,5 @@ def buddy_check(levels: DataFrame, profiles: DataFrame, errors: DataFrame, depth
     top, low = F.coalesce(above, below) + slack, F.coalesce(below, above) - slack
     kept = scored.withColumn("bad", (F.col("pge") >= 0.5) & ~F.coalesce(value.between(low, top), F.lit(False)))
     nearest = geo.nearest_index(F.array(*(F.lit(float(d)) for d in depths)), F.col("z"))
-    on = levels.withColumn("k", F.when(F.col("diff").isNotNull(), nearest)).join(kept.select("uid", "k", "bad"), ["uid", "k"], "left")
+    on = levels.withColumn("k", F.when(F.col("diff").isNotNull(), nearest)).transform(_merged, kept.select("uid", "k", "bad"), ["uid", "k"], "left")
     return on.select("uid", "lev", F.coalesce("bad", F.lit(False)).alias("flag"))

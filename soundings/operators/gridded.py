@@ -95,7 +95,7 @@ def posterior_error(difference: Column, variance: Column, guess: Column) -> Colu
 def background(levels: DataFrame, profiles: DataFrame, grid: DataFrame, suspects: DataFrame, axes=BACKGROUND_AXES) -> DataFrame:
     """``uid, lev, flag, pge, theta, clim`` (e07): Bayesian comparison of potential temperature with the background."""
     heard = suspects.select("uid", "lev", F.struct("suspect").alias("heard"))
-    on = on_background(levels, profiles, grid, axes).join(heard, ["uid", "lev"], "left").withColumn("suspect", F.col("heard.suspect"))
+    on = on_background(levels, profiles, grid, axes).join(heard.hint("merge"), ["uid", "lev"], "left").withColumn("suspect", F.col("heard.suspect"))
     pressure = seawater.depth_to_pressure(F.col("z"), F.col("lat"))
     at = lambda f: between(F.col("around"), F.col("z"), f)
     usable = F.expr("t IS NOT NULL AND z IS NOT NULL AND col IS NOT NULL AND heard IS NOT NULL")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seawater
-from ..schema import one_header
+from ..schema import merged_headers, one_header
 from .rules import any_flag
 
 PRESSURE = "((1 - c1) - sqrt((1 - c1) * (1 - c1) - 8.84e-6 * z)) / 4.42e-6"
@@ -234,7 +234,7 @@ def run(name: str, levels: DataFrame, profiles: DataFrame) -> DataFrame:
 def run_local(levels: DataFrame, profiles: DataFrame, names: tuple[str, ...] = tuple(LOCAL), carried: tuple[str, ...] = (), headers: tuple[str, ...] = ()) -> DataFrame:
     """``uid, lev``, carried columns of the levels and headers (probe, lat, lon, country), and a flag column per named
     neighbour check: one exchange and one sort for all of them."""
-    seen = levels.sparkSession.sql(neighbours(*carried), levels=levels, profiles=one_header(profiles))
+    seen = levels.sparkSession.sql(neighbours(*carried), levels=levels, profiles=merged_headers(profiles))
     return seen.select("uid", "lev", *carried, *headers, *(F.expr(f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)").alias(n) for n in names))
 
 
@@ -252,7 +252,7 @@ WHERE c >= 0.9 * n AND span >= 100""",
 def _if_constant(flags: DataFrame, levels: DataFrame) -> DataFrame:
     """Flags with those of e02 added."""
     found = constant_profiles(levels).withColumn("_constant", F.lit(True))
-    return flags.join(found, "uid", "left").select("uid", "lev", (F.col("flag") | F.col("_constant").isNotNull()).alias("flag"))
+    return flags.join(found.hint("merge"), "uid", "left").select("uid", "lev", (F.col("flag") | F.col("_constant").isNotNull()).alias("flag"))
 
 
 def run_any(names: Sequence[str], levels: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def run_any(names: Sequence[str], levels: DataFrame, profiles: DataFrame) -> Dat
         hit = " OR ".join([f"coalesce({LOCAL[n].replace('{bround}', SPARK.bround)}, FALSE)" for n in near] or ["FALSE"])
         seen = f"SELECT *, {hit} AS hit FROM ({neighbours()}) v0"
         sql = stability_sql(seen, ", hit").replace("ORDER BY i", f"ORDER BY {SPARK.place}") if own else f"SELECT uid, lev, FALSE AS flag, hit FROM ({seen}) v"
-        flags = levels.sparkSession.sql(sql, levels=levels, profiles=one_header(profiles)).select("uid", "lev", (F.col("flag") | F.col("hit")).alias("flag"))
+        flags = levels.sparkSession.sql(sql, levels=levels, profiles=merged_headers(profiles)).select("uid", "lev", (F.col("flag") | F.col("hit")).alias("flag"))
         parts.append(_if_constant(flags, levels) if "e02_constant_value" in names else flags)
     elif "e02_constant_value" in names:
         parts.append(run("e02_constant_value", levels, profiles))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import one_header
+from ..schema import merged_headers, one_header
 
 _NAN = float("nan")
 
@@ -309,7 +309,7 @@ def sequential_flags(levels: DataFrame, profiles: DataFrame) -> DataFrame:
     Profiles are packed, a row of arrays each, and judged many at once. A profile without a header counts as one of unknown latitude.
     """
     own = levels.select("uid", F.struct("lev", F.col("z").cast("double").alias("z"), F.col("t").cast("double").alias("t")).alias("at"))
-    packed = own.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("at")).join(one_header(profiles).select("uid", "lat"), "uid", "left")
+    packed = own.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("at")).join(merged_headers(profiles).select("uid", "lat"), "uid", "left")
     rows = packed.select("uid", F.col("lat").cast("double").alias("lat"), *(F.col(f"at.{c}").alias(c) for c in ("lev", "z", "t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,14 @@ def one_header(profiles: DataFrame) -> DataFrame:
     return least.select("uid", *(F.col(f"least.`{c}`").alias(c) for c in rest))
 
 
+def merged_headers(profiles: DataFrame) -> DataFrame:
+    """The same for a join with levels, which lie by ``uid`` as well: sorted and merged.
+
+    A few columns of the headers are small only beside their files; by these Spark would broadcast a row for each profile.
+    """
+    return one_header(profiles).hint("merge")
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derived table over the Parquet files of a folder, without registering any name."""
     out = sql

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -304,6 +305,20 @@ def test_profiles_are_merged_with_their_levels(cast, spark):
     assert plan(gridded.background_available(levels, profiles, cells)).split("Initial Plan")[0].count("SortMergeJoin") == 1
 
 
+def _broadcast_by_profile(monkeypatch, make):
+    """Joins of what a check runs that broadcast a table by profile, those of its cut parts included."""
+    plans, plan, cut = [], lambda df: df._jdf.queryExecution().executedPlan().toString(), buddy.cut
+    monkeypatch.setattr(buddy, "cut", lambda df: (cut(df), plans.append(plan(df)))[0])
+    found = make()
+    found.collect()
+    return [x for p in (*plans, plan(found)) for x in re.findall(r"BroadcastHashJoin \[(?:uid|buddy|year)", p)]
+
+
+def test_standard_levels_broadcast_no_profiles(cast, monkeypatch):
+    grid = cast[0].sparkSession.sql(queries.BACKGROUND_SQL)
+    assert not _broadcast_by_profile(monkeypatch, lambda: buddy.standard_level_check(*cast, grid, queries.DEPTHS))
+
+
 def test_areas_are_halved_in_batches(cast):
     """No list of heights is made and folded for each level by itself."""
     rows, found = gridded.features(cast[0])
