@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seawater
-from ..schema import merged_headers, one_header
+from ..schema import merged_headers
 from .rules import any_flag
 
 PRESSURE = "((1 - c1) - sqrt((1 - c1) * (1 - c1) - 8.84e-6 * z)) / 4.42e-6"
@@ -228,7 +228,7 @@ def run(name: str, levels: DataFrame, profiles: DataFrame) -> DataFrame:
     if name == "e02_constant_value":
         return _if_constant(levels.select("uid", "lev", F.lit(False).alias("flag")), levels)
     sql = IN_ONE_PASS.get(name) or check_sql(name, SPARK)
-    return levels.sparkSession.sql(sql, **{k: v for k, v in (("levels", levels), ("profiles", one_header(profiles))) if f"{{{k}}}" in sql})
+    return levels.sparkSession.sql(sql, **{k: v for k, v in (("levels", levels), ("profiles", merged_headers(profiles))) if f"{{{k}}}" in sql})
 
 
 def run_local(levels: DataFrame, profiles: DataFrame, names: tuple[str, ...] = tuple(LOCAL), carried: tuple[str, ...] = (), headers: tuple[str, ...] = ()) -> DataFrame:
