@@ -319,6 +319,11 @@ def test_standard_levels_broadcast_no_profiles(cast, monkeypatch):
     assert not _broadcast_by_profile(monkeypatch, lambda: buddy.standard_level_check(*cast, grid, queries.DEPTHS))
 
 
+def test_single_checks_broadcast_no_headers(cast):
+    found = local.run("e06_stability", *cast)
+    assert found.collect() and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_areas_are_halved_in_batches(cast):
     """No list of heights is made and folded for each level by itself."""
     rows, found = gridded.features(cast[0])
